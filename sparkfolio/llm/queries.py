@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, common, packing
+from . import bitplane, common, minhash, packing, pstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,19 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op5_fast_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op10_pstable_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+    "op5_fast_similarity_dedup": op5_fast_similarity_dedup,
+    "op10_pstable_near_duplicates": op10_pstable_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
