@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, common, minhash, packing, pstable
+from . import bitplane, common, fertility, minhash, packing, pstable, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +29,24 @@ def op5_fast_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(table(spark, sf_dir, "documents"))
+
+
 def op10_pstable_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
+    "op2_url_character_models": op2_url_character_models,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op5_fast_similarity_dedup": op5_fast_similarity_dedup,
+    "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_pstable_near_duplicates": op10_pstable_near_duplicates,
 }
 
