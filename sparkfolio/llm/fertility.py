@@ -128,7 +128,7 @@ def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: st
     for batch in common.rows_of(batches):
         rows = [measure(t, piece_ids, encoder, known) for t in batch["text"].to_pylist()]
         made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], *made], ["doc_id", "language", *names])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], batch["text_hash"], *made], ["doc_id", "language", "text_hash", *names])
 
 
 def rules(
@@ -143,10 +143,10 @@ def rules(
     slack: float = 0.15,
     least: int = 30,
 ) -> DataFrame:
-    """One row per document: doc_id, the measures, base_failed, band_failed and kept."""
+    """One row per document: doc_id, the measures, base_failed, band_failed, kept and text_hash."""
     lang = F.col(language).cast("string") if language and language in docs.columns else F.lit(None).cast("string")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("language"), "text")
-    measured = given.mapInArrow(lambda it: _measured(it, piece_file, vocabulary), f"doc_id long, language string, {SCHEMA}")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("language"), F.xxhash64("text").alias("text_hash"), "text")
+    measured = given.mapInArrow(lambda it: _measured(it, piece_file, vocabulary), f"doc_id long, language string, text_hash long, {SCHEMA}")
     measured = measured.withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     measured = common.materialize(measured.withColumn("language", F.coalesce("language", F.lit("?"))), "fertility")
     quarters = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
@@ -163,4 +163,4 @@ def rules(
     judged = measured.join(bands, group, "left").withColumn("base_failed", base)
     judged = judged.withColumn("band_failed", F.coalesce((F.col("size") >= least) & outside, F.lit(False)))
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band_failed", *MEASURES]
-    return judged.select(*shown, (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"))
+    return judged.select(*shown, (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"), "text_hash")

@@ -215,14 +215,14 @@ def _label(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         found = field.shares([scores[x] for x in at])
         lang = [field.labels[int(f.argmax())] if s else "und" for s, f in zip(spoken, found, strict=True)]
         score = [min(1.0, float(f.max())) if s else 0.0 for s, f in zip(spoken, found, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), batch["text_hash"]], ["doc_id", "lang_pred", "score", "text_hash"])
 
 
 def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row of ``docs`` (doc_id, text, and lang to learn from)."""
+    """doc_id, held_out, lang_pred, score and text_hash for every row of ``docs`` (doc_id, text, and lang to learn from)."""
     if field is None:
         field = train(sample(docs))
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(lambda it: _label(it, sent), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    out = rows.mapInArrow(lambda it: _label(it, sent), "doc_id long, lang_pred string, score double, text_hash long")
+    return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "text_hash")

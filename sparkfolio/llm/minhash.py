@@ -119,7 +119,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
             for k in range(rows):
                 h = mix(h ^ s[:, k])
             keys.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "cls", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([ids, batch["text_hash"], pa.array(sets, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "cls", "n", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -268,10 +268,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: in
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = BAND_ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id, kept and text_hash for every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     bands = bands_for(percent / 100, rows, miss)
-    signed = docs.mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, cls long, n long, keys array<long>")
+    signed = docs.mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, text_hash long, cls long, n long, keys array<long>")
     signed = common.materialize(signed, "signed")
     known = signed.filter("doc_id is not null and cls is not null")
     # a class's rows agree in all but doc_id, so the row of its least doc_id gives them all
@@ -285,4 +285,5 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        "text_hash",
     )

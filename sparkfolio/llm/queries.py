@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, common, fertility, langid, minhash, mixing, packing, pstable, replytree, urlfilter
+from . import bitplane, common, fertility, langid, minhash, mixing, packing, pstable, replytree, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.manifest(spark, path)
 
 
+def op3_gated_network_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -60,6 +64,7 @@ def op10_pstable_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_url_character_models": op2_url_character_models,
+    "op3_gated_network_toxicity": op3_gated_network_toxicity,
     "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
     "op5_fast_similarity_dedup": op5_fast_similarity_dedup,
     "op6_conditional_field_language": op6_conditional_field_language,

@@ -46,8 +46,9 @@ class Grams:
             owners.append(owner[: len(h)][inside])
         ids = np.concatenate([*found, np.empty(0, np.uint64)])
         of = np.concatenate([*owners, np.empty(0, np.int64)])
-        order = np.argsort(of, kind="stable")
-        self.ids = (ids[order] & np.uint64(slots - 1)).astype(np.int64)
+        self.ids = (ids & np.uint64(slots - 1)).astype(np.int64)
+        if len(found) > 1:
+            self.ids = self.ids[np.argsort(of, kind="stable")]
         self.counts = np.bincount(of, minlength=len(words))
         self.starts = np.cumsum(self.counts) - self.counts
 
