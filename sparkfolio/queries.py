@@ -61,7 +61,7 @@ def _sql(needles: list[str], where: str, select: str = "file_id, hit_count", *,
     columns = ["file_id", "count(*) AS units"]
     for i in at:
         columns += [f"bool_or({test[i]}) AS p{i}", f"sum(CASE WHEN {test[i]} THEN {count[i]} END)::BIGINT AS h{i}", f"arg_min({count[i]}, chunk_index) FILTER (WHERE {test[i]})::BIGINT AS f{i}"]
-    columns += [f"bool_or(regexp_matches({hay}, '{r}')) AS {n}" for n, r in (near or {}).items()]
+    columns += [f"bool_or({test_}) AS {n}" for n, test_ in (near or {}).items()]
     good = list(at) if positive is None else positive
     helps = " OR ".join(test[i] for i in good) or "false"
     columns += [f"bool_or(kind = '{k}' AND ({helps})) AS {k}_hit" for k in ("name", "path")]
@@ -104,9 +104,9 @@ _matching("and_not", "thenwh & !reed.", ["thenwh", "reed."], "p0 AND NOT p1", po
 _matching("grouping", "(thenwh | ouque) & (reed. | therea)", ["thenwh", "ouque", "reed.", "therea"], "(p0 OR p1) AND (p2 OR p3)")
 _matching("nofm", "2of(thenwh, the, ouque)", ["thenwh", "the", "ouque"], "p0::INT + p1::INT + p2::INT >= 2")
 _matching("nofm_nested", "2of(thenwh, 1of(ouque, reed.), type:pdf)", ["thenwh", "ouque", "reed."], "p0::INT + (p1::INT + p2::INT >= 1)::INT + (file_kind = 'pdf')::INT >= 2")
-_near = lambda a, b, d: f"(?s){a}.{{0,{d - len(a)}}}{b}|{b}.{{0,{d - len(b)}}}{a}"
+_near = lambda a, b, d: f"regexp_matches(norm, '(?s){a}.{{0,{d - len(a)}}}{b}|{b}.{{0,{d - len(b)}}}{a}')"
 _matching("near", "NEAR(tion,whst,40)", ["tion", "whst"], "n0", near={"n0": _near("tion", "whst", 40)})
-_matching("near_same_term", "NEAR(reed,reed,900)", ["reed"], "n0 AND NOT far", near={"n0": "(?s)reed.{0,896}reed", "far": "(?s)reed.{897,1000}.*reed"})
+_matching("near_same_term", "NEAR(reed,reed,900)", ["reed"], "n0", near={"n0": "contains(norm, 'reed') AND length(norm) - strpos(reverse(norm), 'deer') - 2 - strpos(norm, 'reed') BETWEEN 1 AND 900"})
 _matching("meta_type", "type:pdf & the", ["the"], "file_kind = 'pdf' AND p0")
 _matching("meta_ext", "ext:md,xlsx & the", ["the"], "extension IN ('.md', '.xlsx') AND p0")
 _matching("meta_size_range", "size:1KB..4KB", [], "size BETWEEN 1024 AND 4096", positive=[])
