@@ -79,16 +79,18 @@ def paths(messages: DataFrame, *, best: int = 1) -> DataFrame:
         .join(known.alias("b"), _on("a", "b", "parent", "node"), "left")
         .select("a.tree", "a.node", F.col("b.node").alias("above"), F.lit(1).cast("long").alias("size"), F.col("a.score").alias("total"))
     )
-    jumps = [common.materialize(jump, "jump")]
+    table = common.materialize(jump, "jump")
+    top, jumps = table.filter("above is null"), [table.filter("above is not null")]  # who has reached a root rests
     most = nodes.count().bit_length() + 1  # a longer way up is a cycle
-    while len(jumps) <= most and not jumps[-1].filter("above is not null").isEmpty():
+    while len(jumps) <= most and not jumps[-1].isEmpty():
         step = (
             jumps[-1].alias("a")
-            .join(jumps[-1].alias("b"), _on("a", "b", "above", "node"), "left")
-            .select("a.tree", "a.node", "b.above", (F.col("a.size") + F.coalesce("b.size", F.lit(0))).alias("size"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
+            .join(jumps[-1].unionByName(top).alias("b"), _on("a", "b", "above", "node"))
+            .select("a.tree", "a.node", "b.above", (F.col("a.size") + F.col("b.size")).alias("size"), (F.col("a.total") + F.col("b.total")).alias("total"))
         )
-        jumps.append(common.materialize(step, "jump"))
-    top = jumps[-1].filter("above is null")
+        table = common.materialize(step, "jump")
+        top = top.unionByName(table.filter("above is null"))
+        jumps.append(table.filter("above is not null"))
     leaves = top.alias("a").join(nodes.alias("b"), _on("a", "b", "node", "parent"), "left_anti")
     by = Window.partitionBy("tree").orderBy((F.col("total") / F.col("size")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= best)
@@ -96,7 +98,7 @@ def paths(messages: DataFrame, *, best: int = 1) -> DataFrame:
     for k in range(len(jumps) - 2, -1, -1):
         far = (
             way.alias("a")
-            .join(jumps[k].filter("above is not null").alias("b"), _on("a", "b", "node", "node"))
+            .join(jumps[k].alias("b"), _on("a", "b", "node", "node"))
             .select("a.tree", "a.leaf", "a.rank", F.col("b.above").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
         )
         way = common.materialize(way.unionByName(far), "way")
