@@ -17,6 +17,7 @@ order; without any language to learn from, all is ``und``; repeated rows get equ
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -147,7 +148,7 @@ def train(texts: dict[str, list[list[bytes]]], *, steps: int = STEPS, seed: int
     words, at = number([w for _, w in flat])
     grams = field.grams(words)
     by = [[x for x, (y, _) in zip(at, flat, strict=True) if y == k] for k in range(len(labels))]
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     k = len(labels)
     seen = [np.full_like(x, 1e-6, dtype=np.float64) for x in (field.features, field.moves, field.start)]
     for _ in range(steps):
@@ -155,10 +156,10 @@ def train(texts: dict[str, list[list[bytes]]], *, steps: int = STEPS, seed: int
         for b in range(BATCH):
             n = 0
             while n < LENGTH:
-                y = int(rng.integers(k))
-                own = by[y][int(rng.integers(len(by[y])))]
-                size = min(int(rng.integers(3, 30)), LENGTH - n, len(own))
-                first = int(rng.integers(len(own) - size + 1))
+                y = rng.randrange(k)
+                own = by[y][rng.randrange(len(by[y]))]
+                size = min(rng.randrange(3, 30), LENGTH - n, len(own))
+                first = rng.randrange(len(own) - size + 1)
                 ids[b, n : n + size], gold[b, n : n + size] = own[first : first + size], y
                 n += size
         slot, place = grams.of(ids.ravel())

@@ -50,6 +50,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@np.errstate(over="ignore")  # scalars warn, arrays don't
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = (x ^ (x >> _S30)) * _M1
@@ -80,6 +81,7 @@ def shingles(text: str | None, size: int, known: Words) -> np.ndarray:
     return np.unique(out)
 
 
+@np.errstate(over="ignore")
 def sketch(x: np.ndarray, t: int) -> np.ndarray:
     """``t`` coordinates of fast similarity sketching over hashes ``x``, which isn't empty."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
