@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 from .wordgrams import Grams, number, split
 
-PER_CLASS = 2500
-READ = 1500
+PER_CLASS = 2000
+READ = 800
 WINDOW, STRIDE = 32, 24
 SLOTS = 1 << 15
 SIZES = (3, 4, 5)
@@ -68,6 +68,11 @@ class Network:
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
         """Inputs of distinct words, after a row of zeros for padding."""
+        step = Grams.STEP
+        parts = [self._vectors(words[i : i + step]) for i in range(0, len(words), step)]
+        return np.concatenate([np.zeros((1, 2 * EMBED), np.float32), *[p[1:] for p in parts]])
+
+    def _vectors(self, words: list[bytes]) -> np.ndarray:
         own, grams = Grams(words, (), SLOTS, whole=True), Grams(words, SIZES, SLOTS)
         x = np.zeros((len(words) + 1, 2 * EMBED), np.float32)
         if words:
@@ -204,7 +209,7 @@ def _learn(net: Network, opt: _Adagrad, x: np.ndarray, own: Grams, grams: Grams,
     opt.step("chars", net.chars, grad, rows)
 
 
-def train(texts: list[list[bytes]], toxic: list[int], *, steps: int = STEPS, seed: int = SEED) -> Network:
+def train(texts: list[str], toxic: list[int], *, steps: int = STEPS, seed: int = SEED) -> Network:
     """Fit a network to whole or partial texts and their labels."""
     rng = np.random.default_rng(seed)
     net = Network(rng)
@@ -212,7 +217,7 @@ def train(texts: list[list[bytes]], toxic: list[int], *, steps: int = STEPS, see
     if len(set(toxic)) < 2:
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
-    words, at = number(texts)
+    words, at = number(map(split, texts))
     own, grams = Grams(words, (), SLOTS, whole=True), Grams(words, SIZES, SLOTS)
     later = np.arange(len(at)) % 5 == 4  # for calibration
     fit = np.flatnonzero(~later)
@@ -268,11 +273,12 @@ def _logistic(best: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float,
     x = np.stack([best, size, np.ones(len(y))], axis=1)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum()) * len(y)
     theta = np.array([1.0, 0.0, 0.0])
-    pull = np.array([0.1, 2.0, 0.01])
+    pull = np.array([2.0, 5.0, 0.05])
     for _ in range(30):
         p = _sigmoid(x @ theta)
         grad = x.T @ (weight * (p - y)) + pull * (theta - [1, 0, 0])
-        theta = theta - np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + np.diag(pull), grad)
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + np.diag(pull), grad)
+        theta = theta - step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-9))
     return float(max(theta[0], 0.05)), float(theta[1]), float(theta[2])
 
 
@@ -282,11 +288,11 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = split(text)
             first = zlib.crc32(f"{doc_id}:toxic".encode()) % max(1, len(words) - most + 1)
-            kept.append(words[first : first + most])
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(kept, pa.list_(pa.binary()))], ["toxic", "words"])
+            kept.append(b" ".join(words[first : first + most]).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(kept, pa.string())], ["toxic", "part"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, read: int = READ) -> tuple[list[list[bytes]], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, read: int = READ) -> tuple[list[str], list[int]]:
     """Bounded training texts and labels, from documents that are not held out."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marks = marks.filter(~common.held_out(F.col("doc_id")))
@@ -295,8 +301,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, re
     for mark, n in sizes.items():
         picked = picked | ((F.col("toxic") == mark) & (draw < int(min(1.0, per_class / n) * (1 << 30))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks.filter(picked), "doc_id")
-    parts = rows.mapInArrow(lambda it: _parts(it, read), "toxic int, words array<binary>")
-    found = sorted((([bytes(w) for w in r["words"]], r["toxic"]) for r in parts.collect()), key=lambda p: (zlib.crc32(b" ".join(p[0])), p[1]))
+    parts = rows.mapInArrow(lambda it: _parts(it, read), "toxic int, part string")
+    found = sorted(((r["part"], r["toxic"]) for r in parts.collect()), key=lambda p: (zlib.crc32(p[0].encode()), p))
     return [w for w, _ in found], [t for _, t in found]
 
 

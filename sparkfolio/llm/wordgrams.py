@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 
@@ -13,7 +15,7 @@ def split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def number(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+def number(texts: Iterable[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
     """The distinct words of several texts, and each text as indices into them."""
     index: dict[bytes, int] = {}
     at = [np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64) for words in texts]
@@ -27,7 +29,17 @@ class Grams:
     with a mark is a prefix or a suffix. With ``whole``, one slot of the word itself comes first.
     """
 
+    #: Words that are hashed at once, which bounds what is held beside the result.
+    STEP = 20_000
+
     def __init__(self, words: list[bytes], sizes: tuple[int, ...], slots: int, whole: bool = False) -> None:
+        parts = [self._some(words[i : i + self.STEP], sizes, slots, whole) for i in range(0, max(1, len(words)), self.STEP)]
+        self.ids = np.concatenate([ids for ids, _ in parts])
+        self.counts = np.concatenate([counts for _, counts in parts])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    @staticmethod
+    def _some(words: list[bytes], sizes: tuple[int, ...], slots: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in words]), np.uint8).astype(np.uint64)
         length = np.array([len(w) + 2 for w in words], np.int64)
         owner = np.repeat(np.arange(len(words)), length)
@@ -46,11 +58,8 @@ class Grams:
             owners.append(owner[: len(h)][inside])
         ids = np.concatenate([*found, np.empty(0, np.uint64)])
         of = np.concatenate([*owners, np.empty(0, np.int64)])
-        self.ids = (ids & np.uint64(slots - 1)).astype(np.int64)
-        if len(found) > 1:
-            self.ids = self.ids[np.argsort(of, kind="stable")]
-        self.counts = np.bincount(of, minlength=len(words))
-        self.starts = np.cumsum(self.counts) - self.counts
+        out = (ids & np.uint64(slots - 1)).astype(np.int32)
+        return (out[np.argsort(of, kind="stable")] if len(found) > 1 else out), np.bincount(of, minlength=len(words))
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """Per word, the sum of the table's rows at its slots; every word must have a slot."""
