@@ -47,7 +47,9 @@ def _write(node: Node, bare: bool, spaced: bool, level: int = 0) -> str:
     inner = 2 if isinstance(node, And) else 1
     parts = [_write(c, bare, spaced, 3 if isinstance(node, AtLeast) else inner + 1) for c in node.children]
     if isinstance(node, AtLeast):
-        return f"{node.count}of({','.join(parts)})"
+        # a filter's value may hold commas, so only a space ends it
+        ends = [" " if isinstance(c, Meta) else "," for c in node.children[:-1]]
+        return f"{node.count}of({''.join(p + e for p, e in zip(parts, [*ends, ''], strict=True))})"
     sign = "&" if isinstance(node, And) else "|"
     text = (f" {sign} " if spaced else sign).join(parts)
     return f"({text})" if level > inner else text
