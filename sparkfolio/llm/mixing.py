@@ -35,7 +35,7 @@ SAMPLE = 20_000
 SLOTS = 1 << 16
 ROW = 256
 #: Words that a document's evidence counts as.
-WEIGHT = 10.0
+WEIGHT = 60.0
 ROUNDS = 12
 STEPS = (1.0, 0.5, 0.2, 0.05)
 #: Shares of the mixture, and its size as a share of the corpus.
