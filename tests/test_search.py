@@ -82,7 +82,7 @@ def test_counts_terms_labels_evidence(spark):
     assert [r["hit_count"] for r in rows] == [5, 1] and [r["hit_count_first"] for r in rows] == [2, 1]
     assert [e["location"] for e in rows[0]["evidence"]] == ["2行", "3行", "4行"]
     assert rows[0]["matched_terms"] == ["AAA"] and rows[0]["score"] == 0.6125
-    assert search(c, "f1 & BBB").results.first()["score"] == 0.6 + 0.15 + 0.1 + 0.0075
+    assert search(c, "f1 & BBB").results.first()["score"] == pytest.approx(0.8575, abs=1e-4)
     assert evidence(c, search(c, "NEAR(aaa,zz,9)")).filter("term like 'NEAR%'").count() == 1
 
 
