@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .minhash import _ODD, Words, mix
+from .minhash import _ODD
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WINDOW = 8
@@ -47,13 +48,20 @@ class Pieces(dict):
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self._model.is_byte(i) for i in range(self._model.get_piece_size())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= tokens.REMEMBERED:
+    def of(self, words: list[bytes]) -> bytes:
+        """The ids of words one after another; words not met before are encoded in one call."""
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > tokens.REMEMBERED:
             self.clear()
-        ids = np.asarray(self._model.encode(word.decode("utf-8", "replace"), num_threads=1), dtype="<u4").tobytes()
-        if len(word) <= tokens.LONGEST:
-            self[word] = ids
-        return ids
+            new = list(set(words))
+        if new:
+            found = self._model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
+            self.update((w, array("I", ids).tobytes()) for w, ids in zip(new, found, strict=True))
+        out = b"".join([self[w] for w in words])
+        for w in new:
+            if len(w) > tokens.LONGEST:
+                del self[w]
+        return out
 
 
 @functools.cache
@@ -78,15 +86,18 @@ def script_of(text: str) -> str:
     return min(found, key=lambda s: (-found[s], s)) if found else ""
 
 
-def repeated_words(words: list[bytes], known: Words, window: int = WINDOW) -> int:
+def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in a window of ``window`` words found twice or more."""
     n = len(words) - window + 1
     if n < 2:
         return 0
-    h = np.array([known[w] for w in words], dtype=np.uint64)
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)  # these never leave the process
     out = np.zeros(n, np.uint64)
     for i in range(window):
-        out = mix(out * _ODD + h[i : n + i])
+        out = out * _ODD + h[i : n + i]
+    ordered = np.sort(out)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, at, counts = np.unique(out, return_inverse=True, return_counts=True)
     twice = np.flatnonzero(counts[at] > 1)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -105,12 +116,12 @@ def duplicate_lines(text: str) -> int:
     return again
 
 
-def measure(text: str | None, piece_ids: Pieces, encoder: tokens.Encoder, known: Words) -> tuple:
+def measure(text: str | None, piece_ids: Pieces, encoder: tokens.Encoder) -> tuple:
     """One text's values in the order of ``SCHEMA``."""
     text = text or ""
     words = text.encode("utf-8", "replace").split()
     chars = len(text) - sum(map(text.count, _SPACE))
-    ids = np.frombuffer(b"".join([piece_ids[w] for w in words]), dtype="<u4")
+    ids = np.frombuffer(piece_ids.of(words), dtype=np.uint32)
     n = len(ids)
     shown = (None,) * 4
     if n:
@@ -118,15 +129,15 @@ def measure(text: str | None, piece_ids: Pieces, encoder: tokens.Encoder, known:
         share = counts[counts > 0] / n
         bpe = len(encoder.encode(text)) // 4
         shown = (chars / n, float(piece_ids.is_byte[ids].mean()), chars / bpe, float(-(share * np.log2(share)).sum()))
-    return (script_of(text), len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, known), n, *shown)
+    return (script_of(text), len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words), n, *shown)
 
 
 def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    piece_ids, encoder, known = pieces(piece_file), tokens.encoder(vocabulary), Words()
+    piece_ids, encoder = pieces(piece_file), tokens.encoder(vocabulary)
     kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 4]
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     for batch in common.rows_of(batches):
-        rows = [measure(t, piece_ids, encoder, known) for t in batch["text"].to_pylist()]
+        rows = [measure(t, piece_ids, encoder) for t in batch["text"].to_pylist()]
         made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], batch["text_hash"], *made], ["doc_id", "language", "text_hash", *names])
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces remembered; as many of the time before stay at hand.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Marks that end a word and are tokens of their own after a letter.
