@@ -300,7 +300,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, re
     draw, picked = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)), F.lit(False)
     for mark, n in sizes.items():
         picked = picked | ((F.col("toxic") == mark) & (draw < int(min(1.0, per_class / n) * (1 << 30))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks.filter(picked), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.filter(picked)), "doc_id")  # about two times ``per_class`` short rows at any size
     parts = rows.mapInArrow(lambda it: _parts(it, read), "toxic int, part string")
     found = sorted(((r["part"], r["toxic"]) for r in parts.collect()), key=lambda p: (zlib.crc32(p[0].encode()), p))
     return [w for w, _ in found], [t for _, t in found]
