@@ -4,10 +4,10 @@ Everything is DataFrame expressions. URLs that a rule decides train the models:
 character is counted after contexts of 0 to ``order`` characters, per verdict. Probabilities
 are interpolated from the longest context down (Witten-Bell weights), and an unseen character
 after a seen context takes that context's escape mass times the shorter context's value. The
-log-ratios of the two models go into a table of fixed size, ``slots`` entries addressed by
-hash with a check value (the more frequent key keeps a contested slot, the other falls back
-to its shorter context), so what scoring needs has a constant bound and URLs are scored without
-a join on characters. A URL's score is its summed log-ratio per character. The threshold is
+log-ratios of the two models go into a table by the key's 64-bit hash that holds every counted key and
+grows with them. Up to ``slots`` keys it is broadcast and characters look it up where they are; a
+larger one is joined by shuffles with the distinct grams of the URLs, whose values are then
+joined to the characters. A URL's score is its log-ratio per character. The threshold is
 the one with the best balanced accuracy on decided URLs that were held out of training.
 
 Nulls, empties, ties: a null URL or one without ``://`` has an empty host and path, meets no
@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-SLOTS = 1 << 18
-#: Values are kept in steps of one part in this many.
-STEPS = 1_000_000
-ROW = 1024
+#: Keys up to which the table is sent to every executor; a larger one is joined by shuffles.
+SLOTS = 1 << 20
 #: Characters assumed possible at order 0.
 ALPHABET = 256
 PAD = "\u0002"
@@ -104,46 +102,33 @@ def learn(urls: DataFrame, *, order: int = ORDER) -> DataFrame:
     return out
 
 
-def _check(h: Column) -> Column:
-    """31 bits of a hash that don't choose its slot."""
-    return F.shiftrightunsigned(h, 33)
-
-
 def table_of(model: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The model as one row: ``t``, arrays of ROW longs, ``slots`` in all; check above, value in the lower 32 bits."""
-    h = F.xxhash64("key")
-    won = model.select(F.pmod(h, F.lit(slots)).alias("slot"), F.shiftleft(_check(h), 32).bitwiseOR(F.round(F.col("value") * STEPS).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("e"), "weight", "key")
-    won = won.groupBy("slot").agg(F.max_by("e", F.struct("weight", "key")).alias("e"))
-    every = model.sparkSession.range(slots).withColumnRenamed("id", "slot")
-    full = every.join(won, "slot", "left").select(F.floor(F.col("slot") / ROW).alias("row"), F.struct("slot", "e").alias("e"))
-    rows = full.groupBy("row").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    rows = rows.select(F.struct("row", F.col("e.e").alias("e")).alias("r"))
-    return rows.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.col("r.e").alias("t"))
+    """The model as (h, value), h the hash of a key: every key, whatever ``slots``."""
+    value = F.max_by("value", F.struct("weight", "key")).alias("value")  # keys of one 64-bit hash, if ever
+    return model.groupBy(F.xxhash64("key").alias("h")).agg(value)
 
 
 def score(urls: DataFrame, table: DataFrame, *, order: int = ORDER, slots: int = SLOTS) -> DataFrame:
     """(said, score) of each distinct non-empty ``said``."""
-    t = table.scalar()
+    small = table.count() <= slots
+    whole = f"g{order}"
     at = _positions(urls.select("said").distinct(), order)
+    grams = at if small else at.drop("said").dropDuplicates([whole])
     keys = {"h0": F.concat(F.lit("g"), "g0")}
     for k in range(1, order + 1):
         keys |= {f"h{k}": F.concat(F.lit("g"), f"g{k}"), f"e{k}": F.concat(F.lit("e"), F.expr(f"substring(g{k}, 1, {k})"))}
-    hashed = at.select("said", *[F.xxhash64(v).alias(n) for n, v in keys.items()])
-
-    def entry(name: str) -> Column:
-        slot = F.pmod(F.col(name), F.lit(slots))
-        return t[F.floor(slot / ROW).cast("int")][(slot % ROW).cast("int")]
-
-    def value(name: str) -> Column:
-        fits = F.shiftrightunsigned(f"x{name}", 32) == _check(F.col(name))
-        return F.when(fits, F.shiftright(F.shiftleft(f"x{name}", 32), 32) / float(STEPS))
-
-    found = hashed.select("said", *keys, *[entry(n).alias(f"x{n}") for n in keys])
-    valued = found.select("said", *[value(n).alias(n) for n in keys])
-    ratio = F.coalesce("h0", F.lit(0.0))
+    kept = "said" if small else whole
+    found = grams.select(kept, *[F.xxhash64(v).alias(n) for n, v in keys.items()])
+    for n in keys:
+        values = table.select(F.col("h").alias(n), F.col("value").alias(f"v{n}"))
+        found = found.join(F.broadcast(values) if small else values, n, "left")
+    ratio = F.coalesce("vh0", F.lit(0.0))
     for k in range(1, order + 1):
-        ratio = F.coalesce(F.col(f"h{k}"), F.coalesce(f"e{k}", F.lit(0.0)) + ratio)
-    return valued.select("said", ratio.alias("ratio")).groupBy("said").agg(F.avg("ratio").alias("score"))
+        ratio = F.coalesce(F.col(f"vh{k}"), F.coalesce(f"ve{k}", F.lit(0.0)) + ratio)
+    valued = found.select(kept, ratio.alias("ratio"))
+    if not small:
+        valued = at.select("said", whole).join(valued, whole)
+    return valued.groupBy("said").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:

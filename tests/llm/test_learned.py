@@ -82,6 +82,16 @@ def test_scores_equal_a_plain_markov_model(spark):
         assert got[s] == pytest.approx(total / len(s), abs=1e-4)
 
 
+def test_no_gram_is_lost_in_small_tables(spark):
+    rng = np.random.default_rng(4)
+    rows = [("".join(rng.choice(list("abcdefgh/."), 12)), ["allow", "block"][i % 2]) for i in range(40)]
+    model = urlfilter.learn(spark.createDataFrame(rows, "said string, verdict string"))
+    said = spark.createDataFrame([(s,) for s, _ in rows], "said string")
+    got = [{r["said"]: r["score"] for r in urlfilter.score(said, urlfilter.table_of(model, n), slots=n).collect()} for n in (1 << 14, 1 << 10)]
+    assert model.count() > 1 << 10 and len(got[0]) == len({s for s, _ in rows})
+    assert got[1] == pytest.approx(got[0], abs=1e-5)
+
+
 def test_threshold_is_the_best_cut(spark):
     rng = np.random.default_rng(1)
     rows = [("allow", float(x)) for x in rng.normal(0.5, 0.5, 80)] + [("block", float(x)) for x in rng.normal(-0.4, 0.5, 50)]
