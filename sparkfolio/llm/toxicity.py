@@ -3,7 +3,8 @@
 A word enters as two vectors: an embedding of the word (hashed) and the scaled sum of embeddings
 of its character n-grams (hashed, with marks at both ends). Two gated recurrent passes, attention over the
 words of a window and a logistic unit score windows of ``WINDOW`` words that start every ``STRIDE``
-words; the last one ends with the text, so every word lies in a window. A text's score is a logistic
+words; the last one ends with the text, so every word lies in a window and every run of up to
+``WINDOW - STRIDE + 1`` words whole in one, wherever it stands. A text's score is a logistic
 function of its best window and of the logarithm of its number of windows, fitted on documents that
 the network didn't see.
 
@@ -32,7 +33,9 @@ from .wordgrams import Grams, number, split
 
 PER_CLASS = 2000
 READ = 800
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 8
+#: Windows held at a time, about.
+HELD = 16384
 SLOTS = 1 << 15
 SIZES = (3, 4, 5)
 EMBED, HIDDEN = 8, 8
@@ -138,12 +141,18 @@ def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def best_windows(net: Network, words: list[bytes], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text the largest logit, its number of windows, and the window it came from."""
-    ids, owner = windows_of(texts)
     projected = net.project(net.vectors(words))
-    logits = np.concatenate([net.run(projected, ids[i : i + 4096]) for i in range(0, len(ids), 4096)] + [np.empty(0, np.float32)])
-    order = np.lexsort((-logits, owner))
-    first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-    return logits[first], np.bincount(owner, minlength=len(texts)), ids[first]
+    sizes = np.array([len(window_starts(len(x))) for x in texts], np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // HELD)) + 1).tolist(), len(texts)]
+    best, top = [np.empty(0, np.float32)], [np.empty((0, WINDOW), np.int64)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        ids, owner = windows_of(texts[i:j])
+        logits = np.concatenate([net.run(projected, ids[k : k + 4096]) for k in range(0, len(ids), 4096)] + best[:1])
+        order = np.lexsort((-logits, owner))
+        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        best.append(logits[first])
+        top.append(ids[first])
+    return np.concatenate(best), sizes, np.concatenate(top)
 
 
 class _Adagrad:

@@ -193,6 +193,12 @@ def test_windows_cover_every_word():
         assert set(range(n)) <= {i for s in starts for i in range(s, s + toxicity.WINDOW)} and starts[-1] in (0, n - toxicity.WINDOW)
 
 
+def test_short_spans_lie_whole_in_a_window():
+    for n in (33, 100, 501):
+        starts = toxicity.window_starts(n)
+        assert all(any(s <= i and i + 25 <= s + toxicity.WINDOW for s in starts) for i in range(n - 24))
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     net = toxicity.Network(rng)
