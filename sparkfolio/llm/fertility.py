@@ -6,7 +6,10 @@ bits. Natural texts of one language and length give close values; a text far out
 A band is per group (language if a column names it, and main script) and per octave of the token
 count, since entropy grows with length: median plus or minus ``spread`` times the distance from
 the median to the quartile on that side, at least ``slack`` of the measure. Quartiles come from
-all documents (mergeable quantile summaries). Groups below ``least`` documents reject nothing.
+all documents (mergeable quantile summaries). A group below ``least`` documents falls back to its script
+in its octave, then with 1 and 3 octaves on either side, then in all; the last serves at any size. In these
+the entropy is taken less its script's slope by octave. Scripts aren't compared with one another, as
+how a vocabulary covers a script says nothing of a text: a text alone in its script is kept.
 
 Base rules are exact: fewer than ``min_words`` words, or more than ``max_repeat`` percent of words
 in 8-word windows found twice or more, fail a text outright.
@@ -36,6 +39,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("piece_chars", "byte_share", "bpe_chars", "entropy")
+#: Octaves on either side that a fallback takes in, narrowest first.
+REACHES = (0, 1, 3, 64)
 SCHEMA = "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_share double, bpe_chars double, entropy double"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -162,16 +167,29 @@ def rules(
     measured = common.materialize(measured.withColumn("language", F.coalesce("language", F.lit("?"))), "fertility")
     quarters = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
     group = ["language", "script", "octave"]
-    bands = measured.filter("n_tokens > 0").groupBy(*group).agg(F.count("*").alias("size"), *quarters)
+    some = measured.filter("n_tokens > 0")
+    bands = common.materialize(some.groupBy(*group).agg(F.count("*").alias("size"), *quarters), "bands")
+    slope = F.least(F.greatest(F.coalesce(F.regr_slope("entropy", F.log2("n_tokens")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    slopes = some.groupBy("script").agg(slope.alias("slope"))
+    small = bands.filter(F.col("size") < least).select("script", F.col("octave").alias("at")).distinct()
+    small = small.join(slopes, "script").withColumn("reach", F.explode(F.array(*map(F.lit, REACHES))))
+    near = some.join(F.broadcast(small), "script").filter(F.abs(F.col("octave") - F.col("at")) <= F.col("reach"))
+    near = near.withColumn("entropy", F.col("entropy") - F.col("slope") * F.log2("n_tokens"))
+    near = near.groupBy("script", "at", "reach", "slope").agg(F.count("*").alias("n"), *quarters)
+    narrowest = F.struct(F.col("n") < least, F.when(F.col("n") < least, -F.col("reach")).otherwise(F.col("reach")))
+    best = near.groupBy("script", F.col("at").alias("octave")).agg(F.min_by(F.struct("slope", *[f"q_{m}" for m in MEASURES]), narrowest).alias("near"))
+    own = F.col("size") >= least
+    bands = bands.join(best, ["script", "octave"], "left")
+    bands = bands.select(*group, F.when(own, 0.0).otherwise(F.col("near.slope")).alias("slope"), *[F.when(own, F.col(f"q_{m}")).otherwise(F.col(f"near.q_{m}")).alias(f"q_{m}") for m in MEASURES])
     outside = F.lit(False)
     for m in MEASURES:
-        low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
+        low, mid, high = (F.col(f"q_{m}")[i] + (F.col("slope") * F.log2("n_tokens") if m == "entropy" else 0) for i in range(3))
         room = F.lit(0.05) if m == "byte_share" else mid * slack
         below = F.col(m) < mid - F.greatest((mid - low) * spread, room)
         above = F.col(m) > mid + F.greatest((high - mid) * spread, room)
         outside = outside | (above if m == "byte_share" else below | above)
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     judged = measured.join(bands, group, "left").withColumn("base_failed", base)
-    judged = judged.withColumn("band_failed", F.coalesce((F.col("size") >= least) & outside, F.lit(False)))
+    judged = judged.withColumn("band_failed", F.coalesce(outside, F.lit(False)))
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band_failed", *MEASURES]
     return judged.select(*shown, (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"), "text_hash")

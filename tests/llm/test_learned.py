@@ -131,6 +131,15 @@ def test_bands_reject_what_stands_out(spark):
     assert got[101]["kept"] and got[101]["byte_share"] > 0.5  # nothing to compare with
 
 
+def test_small_groups_are_judged_by_their_script(spark):
+    rng = np.random.default_rng(2)
+    normal = lambda n: " ".join("".join(rng.choice(["ther", "in", "ation", "whe", "re", "of", "stin", "ble"], rng.integers(1, 4))) for _ in range(n))
+    junk = " ".join("".join(rng.choice(list("qzxvkj"), 12)) for _ in range(20))
+    rows = [(i, normal(60), "en") for i in range(60)] + [(100, junk, "xx"), (101, normal(60), "yy"), (102, normal(70), "zz")]
+    got = {r["doc_id"]: r for r in fertility.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and [i for i, r in got.items() if r["band_failed"]] == [100]
+
+
 def test_odd_documents_are_judged(odd, none):
     for run in (fertility.rules, langid.identify):
         assert run(odd).count() == len(ODD) and run(none).count() == 0
