@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,9 +13,15 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the session names; a session without the setting gets a folder of its own."""
+    """What the session names; a local session without the setting gets a folder of its own.
+
+    On a cluster a folder of the driver's machine would be missed by the executors, so there the
+    setting must be made.
+    """
     named = spark.conf.get(CHECKPOINT, None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that all executors share")
         named = Path(tempfile.mkdtemp(prefix="sparkfolio-")).as_uri()
         spark.conf.set(CHECKPOINT, named)
     return named.rstrip("/")
@@ -30,3 +37,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
