@@ -4,7 +4,7 @@ The format. A dataset has one shard per writing task and shards follow each othe
 ascending doc_id order. A shard is a run of blocks of exactly ``block`` ids (the last one may
 be shorter). A block's payload is ``PLNS``, a header (version, bits per plane element, id count,
 plane count), the chunk index (byte length of every compressed plane), the planes and the
-crc32 of the raw ids. Beside each payload stand the documents that overlap the block
+crc32 of the raw ids. Beside each payload stand its first id's place in the shard and the documents that overlap the block
 (ordinal in the shard, doc_id, first id, id count), so one block can be read by itself.
 Spark's Parquet writer is only the container: its commit protocol makes a shard appear whole
 or not at all when an executor is lost, on any file system that Spark reaches.
@@ -32,7 +32,7 @@ from . import common, tokens
 BLOCK = 65_536
 MAGIC = b"PLNS"
 _HEAD = struct.Struct("<4sBBIH")
-BLOCK_SCHEMA = "shard int, block int, n_ids int, payload binary, docs array<struct<ord:long,doc_id:long,first:long,n:long>>"
+BLOCK_SCHEMA = "shard int, block int, start long, n_ids int, payload binary, docs array<struct<ord:long,doc_id:long,first:long,n:long>>"
 _DOC = pa.struct([("ord", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 
 
@@ -54,7 +54,14 @@ def pack_block(ids: bytes, planes: str = "byte", level: int = 3) -> bytes:
 
 
 def unpack_block(payload: bytes) -> bytes:
-    """The ids of one payload; a payload that is damaged raises ValueError."""
+    """The ids of one payload; a payload that is damaged or cut short raises ValueError."""
+    try:
+        return _unpacked(payload)
+    except (struct.error, zstandard.ZstdError) as e:
+        raise ValueError(f"a damaged block of bit planes: {e}") from e
+
+
+def _unpacked(payload: bytes) -> bytes:
     magic, version, width, n, count = _HEAD.unpack_from(payload)
     if magic != MAGIC or version != 1:
         raise ValueError("not a block of bit planes")
@@ -111,11 +118,12 @@ def _shard(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, bloc
             [
                 pa.array([shard], pa.int32()),
                 pa.array([number], pa.int32()),
+                pa.array([done], pa.int64()),
                 pa.array([size], pa.int32()),
                 pa.array([payload], pa.binary()),
                 pa.array([[dict(zip(("ord", "doc_id", "first", "n"), d, strict=True)) for d in docs]], pa.list_(_DOC)),
             ],
-            ["shard", "block", "n_ids", "payload", "docs"],
+            ["shard", "block", "start", "n_ids", "payload", "docs"],
         )
         done, number = done + size, number + 1
         docs = [d for d in docs if d[2] + d[3] > done]
@@ -168,9 +176,9 @@ def _segments(batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def segments(spark: SparkSession, path: str, *, keep_ids: bool = False, block: int = BLOCK) -> DataFrame:
+def segments(spark: SparkSession, path: str, *, keep_ids: bool = False) -> DataFrame:
     """What each block holds of each document: crc32 of the part and, if asked for, its ids."""
-    blocks = read_blocks(spark, path).select("shard", "block", "payload", "docs", (F.col("block").cast("long") * block).alias("start"))
+    blocks = read_blocks(spark, path).select("shard", "block", "payload", "docs", "start")
     schema = "shard int, ord long, doc_id long, first long, n long, block int, size long, crc long" + (", ids binary" if keep_ids else "")
     return blocks.mapInArrow(lambda it: _segments(it, keep_ids), schema)
 
@@ -187,7 +195,7 @@ def _joined(parts: pd.Series) -> pd.Series:
     return parts.map(one)
 
 
-def manifest(spark: SparkSession, path: str, *, block: int = BLOCK) -> DataFrame:
+def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and ids_crc32 of all its ids.
 
     Parts of a document that spans blocks are joined by the algebra of crc32, so no task ever
@@ -198,7 +206,7 @@ def manifest(spark: SparkSession, path: str, *, block: int = BLOCK) -> DataFrame
     base = shards.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     part = F.struct("block", "size", "crc")
     docs = (
-        segments(spark, path, block=block)
+        segments(spark, path)
         .groupBy("shard", "ord", "doc_id", "first", "n")
         .agg(F.min("crc").alias("crc"), F.collect_list(part).alias("parts"))
         .withColumn("one", F.size("parts") == 1)

@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 import zlib
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
+from ..sources import storage
 
+_cleared: set[str] = set()
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the session names, else a folder of this run.
 
-    Only a session without the setting (tests, local mode) gets a folder of its own, which
-    is created once and then kept in the setting so later calls agree.
+def work_dir(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, in the folder that all executors share.
+
+    It is removed when the driver's Python ends, or before by ``clear``.
     """
-    named = spark.conf.get(CHECKPOINT, None)
-    if not named:
-        named = Path(tempfile.mkdtemp(prefix="sparkfolio-")).as_uri()
-        spark.conf.set(CHECKPOINT, named)
-    return named.rstrip("/")
+    path = f"{storage.shared_dir(spark)}/sparkfolio/llm-{spark.sparkContext.applicationId}"
+    if path not in _cleared:
+        _cleared.add(path)
+        atexit.register(clear, spark)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of the session; results that were not written yet go with them."""
+    if spark.sparkContext._jsc is not None:  # else the session has stopped
+        storage.remove(spark, work_dir(spark))
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for one written table in the shared folder."""
-    return f"{shared_dir(spark)}/sparkfolio/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +54,18 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_work_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            storage.remove(df.sparkSession, path)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``taken`` equals, whatever their case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

@@ -140,6 +140,7 @@ def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] =
 
 def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` has copies of it, with the columns of ``docs``."""
-    times = mixed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies")).dropDuplicates(["_id", "_hash"]).filter("_copies > 0")
-    kept = docs.withColumn("_hash2", F.xxhash64("text")).join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, hash_, own, copies, copy = common.fresh(docs.columns, "_id", "_hash", "_own", "_copies", "_copy")
+    times = mixed.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("copies").alias(copies)).dropDuplicates([id_, hash_]).filter(F.col(copies) > 0)
+    kept = docs.withColumn(own, F.xxhash64("text")).join(times, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

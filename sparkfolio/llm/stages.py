@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, langid, minhash, mixing as mixer, packing as packer
+from . import common, fertility, langid, minhash, mixing as mixer, packing as packer
 
 #: A language label with a smaller share of a text's words is not trusted.
 LEAST_SHARE = 0.5
@@ -35,8 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id, once."""
     kept = _without(docs, minhash.near_duplicates(docs).filter("not kept"))
-    once = kept.withColumn("_once", F.xxhash64("text")).dropDuplicates(["doc_id", "_once"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    (once,) = common.fresh(docs.columns, "_once")
+    kept = kept.withColumn(once, F.xxhash64("text")).dropDuplicates(["doc_id", once])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ A byte-level pre-tokenizer ends a token before any white space that follows anot
 character, so a text whose spaces stand singly can be cut before every space and the pieces
 encoded on their own. Pieces recur, so a worker keeps the ids of those it has met in a table
 of bounded size. A piece of letters goes straight to the library's BPE model, any other piece
-and every text with other spacing through its whole tokenizer.
+and every text with other spacing through its whole tokenizer, as does every text if the vocabulary's
+file asks for another pre-tokenizer, a normalizer or another model.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 
 import numpy as np
@@ -46,6 +48,11 @@ class Encoder:
         self._all.no_truncation()
         self._all.no_padding()
         self._spelt = self._all.model.tokenize
+        kind = json.loads(self._all.to_str())
+        cut, model = kind["pre_tokenizer"] or {}, kind["model"]
+        # any other file is read by the library alone
+        plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        self._cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["normalizer"] is None and model["type"] == "BPE" and not any(model.get(x) for x in plain)
         self._letters = _byte_letters()
         self._bytes = [i.to_bytes(4, "little") for i in range(self._all.get_vocab_size())]
         self._known: dict[str, bytes] = {}
@@ -93,6 +100,8 @@ class Encoder:
         """The ids of one text; a null text counts as empty."""
         if not text:
             return b""
+        if not self._cuts:
+            return self._whole(text)
         get, learn = self._known.get, self._learn
         pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["", *text]
         try:
