@@ -5,7 +5,7 @@ the open sequence for which the sum over gaps of the squared counts of open sequ
 that gap becomes smallest, ties to the tightest fit; a new one is opened only where none fits.
 Sequences that stay open in any group are then packed again, each as one unit, so the
 remainders of different groups share sequences. Memory per task: the open sequences of one
-group of at most ``GROUP`` pieces.
+group of at most ``GROUP`` pieces, or of ``WIDER`` times as many sequences that are packed again.
 
 Nulls, ties, empties: a null text is empty and its document is the end id alone; a null doc_id
 or repeated rows are packed like any other; an empty table gives no rows.
@@ -26,6 +26,8 @@ from . import common, tokens
 LENGTH = 1024
 #: Pieces packed together; more make a little less waste and a longer task.
 GROUP = 65_536
+#: Sequences that are packed again are light, so their groups are larger by this.
+WIDER = 8
 
 
 class SumOfSquares:
@@ -109,18 +111,23 @@ def _packed(rows: DataFrame, n: int, size: str, capacity: int, group_rows: int,
 def pack(pieces: DataFrame, *, length: int = LENGTH, group_rows: int = GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` column.
 
-    Every row's ``length`` must be 1 to ``length``. Other columns pass through; give keys and
-    light columns only and join what is heavy afterwards, since rows are shuffled twice.
+    Every row's ``length`` must be 1 to ``length``. Other columns pass through, whatever their
+    names (but ``sequence_id`` and ``offset``, which are replaced); give keys and light columns only
+    and join what is heavy afterwards, since rows are shuffled twice.
     """
-    given = pieces.columns
-    rows = common.materialize(pieces.withColumnRenamed("length", "_size"), "pieces")
-    placed = common.materialize(_packed(rows, rows.count(), "_size", length, group_rows, ("_group", "_at", "_offset")), "placed")
-    open_ = placed.groupBy("_group", "_at").agg(F.sum("_size").alias("_fill")).filter(F.col("_fill") < length)
+    given = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    size, group, at, offset, fill, group2, at2, base = common.fresh(given, "_size", "_group", "_at", "_offset", "_fill", "_group2", "_at2", "_base")
+    rows = common.materialize(pieces.select(*[F.col("length").alias(size) if c == "length" else F.col(f"`{c}`") for c in given]), "pieces")
+    placed = common.materialize(_packed(rows, rows.count(), size, length, group_rows, (group, at, offset)), "placed")
+    common.release(rows)
+    open_ = placed.groupBy(group, at).agg(F.sum(size).alias(fill)).filter(F.col(fill) < length)
     open_ = common.materialize(open_, "open")
-    again = _packed(open_, open_.count(), "_fill", length, group_rows, ("_group2", "_at2", "_base")).drop("_fill")
-    first = F.when(F.col("_at2").isNull(), F.shiftleft(F.col("_group"), 32) + F.col("_at")).otherwise(-1 - F.shiftleft(F.col("_group2"), 32) - F.col("_at2"))
-    return placed.join(again, ["_group", "_at"], "left").select(
-        *[F.col("_size").alias("length") if c == "length" else F.col(f"`{c}`") for c in given],
+    least = open_.agg(F.min(fill)).first()[0]
+    open_ = open_.filter(F.col(fill) <= length - (least or 0))  # a fuller one takes no other
+    again = _packed(open_, open_.count(), fill, length, WIDER * group_rows, (group2, at2, base)).drop(fill)
+    first = F.when(F.col(at2).isNull(), F.shiftleft(F.col(group), 32) + F.col(at)).otherwise(-1 - F.shiftleft(F.col(group2), 32) - F.col(at2))
+    return placed.join(again, [group, at], "left").select(
+        *[F.col(size).alias("length") if c == "length" else F.col(f"`{c}`") for c in given],
         first.alias("sequence_id"),
-        (F.col("_offset") + F.coalesce(F.col("_base"), F.lit(0))).alias("offset"),
+        (F.col(offset) + F.coalesce(F.col(base), F.lit(0))).alias("offset"),
     )
