@@ -41,8 +41,8 @@ BAND_ROWS = 4
 MISS = 1e-6
 #: Classes of a bucket compared at once in step 4.
 BLOCK = 512
-#: Representatives' ids may be broadcast up to this many (8 bytes each); a join takes over beyond.
-BROADCAST_IDS = 2_000_000
+#: Keys of the texts to compare may be broadcast up to this many (24 bytes each, so 12 MB); a join takes over beyond.
+BROADCAST_IDS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
@@ -233,13 +233,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: in
     pairs = members.join(heads, ["band", "key"]).filter((F.col("cls") != F.col("head.cls")) & near).select("cls", F.col("head.cls").alias("head"), "n", F.col("head.n").alias("head_n")).distinct()
 
     # full sets of all classes in buckets, from the text of one document of each
-    wanted = members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
+    wanted = members.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
     wanted = common.materialize(wanted, "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(ids, "doc_id").select("cls", "text")
+    texts = docs.join(ids, ["doc_id", "text_hash"]).select("cls", "text")
     schema = "cls long, grams array<long>"
-    sets = texts.mapInArrow(lambda it: _sets(it, words), schema)
-    sets = sets.join(classes.select("cls", "n"), "cls").filter(F.size("grams") == F.col("n")).select("cls", "grams").dropDuplicates(["cls"])
+    sets = texts.mapInArrow(lambda it: _sets(it, words), schema).dropDuplicates(["cls"])  # one row may be there twice
     sets = common.materialize(sets, "sets")
 
     both = F.size(F.array_intersect("grams", "head_grams")).cast("long")
@@ -276,8 +275,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     signed = docs.mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, text_hash long, cls long, n long, keys array<long>")
     signed = common.materialize(signed, "signed")
     known = signed.filter("doc_id is not null and cls is not null")
-    # a class's rows agree in all but doc_id, so the row of its least doc_id gives them all
-    classes = common.materialize(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    # a class's rows agree in n and keys; the row of its least doc_id gives the text that is compared
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = known.groupBy("cls").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = common.materialize(classes.select("cls", "least.*", "n", "keys"), "classes")
     linked = link_classes(docs, classes, words=words, percent=percent, block=block)
     named = classes.select("cls", "doc_id").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
