@@ -1,15 +1,16 @@
 """Near-duplicate vectors: Euclidean p-stable hashing, then exact cosines.
 
-Vectors are scaled to length 1, where cosine ``c`` is the distance sqrt(2 - 2c). Each of
-``tables`` tables hashes a vector by ``projections`` Gaussian projections, shifted and cut into
-cells of ``width``; both numbers follow from the chance that a pair at the threshold meets in
-no table, below ``miss``. Only vectors of one non-null label share a cell.
+Vectors are scaled to length 1, where cosine ``c`` is the distance sqrt(2 - 2c). Each table hashes a
+vector by several Gaussian projections, shifted and cut into cells of ``width``. The number of
+projections grows with the logarithm of the number of vectors of one label, so that a cell holds about as many
+unrelated vectors at any size; the number of tables follows from the chance that a pair at the threshold meets in no
+table, below ``miss``. Only vectors of one non-null label share a cell.
 
-Equal vectors of one label form a class, and everything works on one row per class with its
+Equal vectors of one label form a class, and everything after that works on one row per class with its
 count. Cells with several classes are dealt into blocks of ``block`` classes by hash, and pairs
 of blocks are compared by one matrix product in double precision. A pair that shares several
-cells counts in the first table only. What leaves a block pair is a count per class and links
-that join components, never all pairs.
+cells counts in the first table only, told by 32 bits of each key. What leaves a block pair is a
+count per class and links that join components, never all pairs.
 
 Nulls, empties, ties: a vector that is null, empty, zero, or holds null or non-finite components,
 or has a null label or id, links with nothing (its component is its own id). Vectors of other
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from . import common, graph
 from .minhash import _ODD, _forest, lists_of, mix
 
-PROJECTIONS = 8
 WIDTH = 1.0
 MISS = 1e-6
+#: What an unrelated vector in a cell costs, in cells.
+PAIR = 1 / 16
 BLOCK = 512
 SEED = 20_240_607
 
@@ -46,40 +48,76 @@ def collision(distance: float, width: float) -> float:
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def tables_for(cosine: float, projections: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
+def tables_for(cosine: float, projections: int, width: float = WIDTH, miss: float = MISS) -> int:
     p = collision(math.sqrt(max(0.0, 2 - 2 * cosine)), width) ** projections
     return max(1, math.ceil(math.log(miss) / math.log1p(-p))) if p < 1 else 1
 
 
-def _cells(batches: Iterator[pa.RecordBatch], tables: int, projections: int, width: float) -> Iterator[pa.RecordBatch]:
+def projections_for(n: int, cosine: float, width: float = WIDTH, miss: float = MISS) -> int:
+    """Projections a table for ``n`` vectors of one label: those that cost least.
+
+    A vector costs its cells and, at a rate of ``PAIR``, the unrelated vectors in them, which lie
+    about sqrt(2) away.
+    """
+    far = collision(math.sqrt(2), width)
+    return min(range(2, 65), key=lambda k: tables_for(cosine, k, width, miss) * (1 + PAIR * n * far**k))
+
+
+def _by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrices of the vectors of each length; a null component is nan, null vectors are left out."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield rows, values[starts[rows][:, None] + np.arange(size)]
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _start(size: int, label: np.ndarray) -> np.ndarray:
+    return mix((np.full(1, size, np.uint64) * _ODD) + label.astype(np.int64).view(np.uint64))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of each vector, null for one that links with nothing."""
+    for batch in batches:
+        label = batch["label"].to_numpy(zero_copy_only=False)
+        known = ~np.isnan(label) if label.dtype.kind == "f" else np.ones(len(label), bool)
+        cls, there = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+        for rows, x in _by_length(batch["embedding"]):
+            good = known[rows] & np.isfinite(x).all(axis=1) & x.any(axis=1)
+            rows, x = rows[good], _units(x[good])
+            start = _start(x.shape[1], label[rows])
+            own = mix((start[:, None] ^ x.view(np.uint64)) + np.arange(x.shape[1], dtype=np.uint64) * _ODD)
+            cls[rows], there[rows] = mix(own.sum(axis=1, dtype=np.uint64)).view(np.int64), True
+        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["embedding"], pa.array(cls, pa.int64(), mask=~there)], ["vec_id", "label", "embedding", "cls"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], tables: int, projections: int, width: float) -> Iterator[pa.RecordBatch]:
+    """The keys of the cells of each class, a table after the other."""
     planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     number = np.arange(1, tables + 1, dtype=np.uint64)
-    for batch in batches:
-        cls, keys = [], []
-        for vector, label in zip(batch["embedding"].to_pylist(), batch["label"].to_pylist(), strict=True):
-            x = np.array([] if vector is None else [math.nan if v is None else v for v in vector], np.float64)
-            size = len(x)
-            with np.errstate(over="ignore"):
-                big = np.abs(x).max() if size else 0.0
-            if label is None or not size or not np.isfinite(x).all() or big == 0:
-                cls.append(None)
-                keys.append(None)
-                continue
-            x = x / big
-            x = x / np.sqrt(x @ x)
-            if size not in planes:
-                rng = np.random.default_rng([SEED, size])
-                planes[size] = rng.standard_normal((size, tables * projections)), rng.uniform(0, width, tables * projections)
-            a, b = planes[size]
-            cells = np.floor((x @ a + b) / width).astype(np.int64).view(np.uint64).reshape(tables, projections)
-            start = mix(np.uint64(size) * _ODD + np.array([int(label)], np.int64).view(np.uint64))
-            h = mix(start ^ number * _ODD)
-            for k in range(projections):
-                h = mix(h ^ cells[:, k]) + _ODD
-            own = mix(start ^ x.view(np.uint64) + np.arange(size, dtype=np.uint64) * _ODD)
-            cls.append(int(mix(np.add.reduce(own)[None]).view(np.int64)[0]))
-            keys.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "embedding", "cls", "keys"])
+    for whole in batches:
+        for batch in common.rows_of([whole], 256 << 10):
+            keys = np.zeros((batch.num_rows, tables), np.uint64)
+            label = batch["label"].to_numpy(zero_copy_only=False)
+            for rows, x in _by_length(batch["embedding"]):
+                size = x.shape[1]
+                if size not in planes:
+                    rng = np.random.default_rng([SEED, size])
+                    planes[size] = rng.standard_normal((size, tables * projections)), rng.uniform(0, width, tables * projections)
+                a, b = planes[size]
+                cells = np.floor((_units(x) @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(rows), tables, projections)
+                h = mix(_start(size, label[rows])[:, None] ^ (number * _ODD))
+                for k in range(projections):
+                    h = mix(h ^ cells[:, :, k]) + _ODD
+                keys[rows] = h
+            ends = pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch["cls"], pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))], ["cls", "keys"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
@@ -95,9 +133,7 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
             return None
         units = []
         for rows in (left, right):
-            x = np.array([r["embedding"] for r in rows], np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            units.append(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+            units.append(_units(np.array([r["embedding"] for r in rows], np.float64)))
         hit = units[0] @ units[1].T >= cosine
         cls = [np.array([r["cls"] for r in x]) for x in (left, right)]
         hit &= cls[0][:, None] != cls[1][None, :]
@@ -127,22 +163,25 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
         yield out
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, projections: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, projections: int | None = None, width: float = WIDTH, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    named = common.materialize(rows.mapInArrow(_named, f"vec_id long, label long, embedding array<{kind}>, cls long"), "vectors")
+    known = named.filter("vec_id is not null and cls is not null")
+    first = [F.first(c).alias(c) for c in ("label", "embedding")]
+    classes = common.materialize(known.groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("count"), *first), "classes")
+    if projections is None:
+        most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        projections = projections_for(most, cosine, width, miss)
     tables = tables_for(cosine, projections, width, miss)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    schema = "vec_id long, embedding array<double>, cls long, keys array<long>"
-    hashed = common.materialize(rows.mapInArrow(lambda it: _cells(it, tables, projections, width), schema), "hashed")
-    known = hashed.filter("vec_id is not null and cls is not null")
-    classes = common.materialize(
-        known.groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("count"), F.first("embedding").alias("embedding"), F.first("keys").alias("keys")),
-        "classes",
-    )
-    cells = classes.select("cls", F.posexplode("keys").alias("table", "key"))
+    keyed = common.materialize(classes.select("cls", "label", "embedding").mapInArrow(lambda it: _keys(it, tables, projections, width), "cls long, keys array<long>"), "keys")
+    cells = keyed.select("cls", F.posexplode("keys").alias("table", "key"))
     shared = cells.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = shared.select("table", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     dealt = cells.join(shared, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("cls", "table"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("cls", "count", "embedding", "keys"), "cls")
+    told = keyed.select("cls", F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("keys"))
+    dealt = dealt.join(classes.select("cls", "count", "embedding").join(told, "cls"), "cls")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select("table", "key", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "count", "embedding", "keys")
@@ -150,15 +189,16 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, projections: int =
     found = common.materialize(dealt.repartition(*at).sortWithinPartitions(*at, "side", "cls").mapInArrow(lambda it: _compare(it, cosine), "u long, v long, links long"), "found")
     degree = found.filter("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     parts = graph.components(found.filter("v is not null").select("u", "v"))
-    named = (
+    parts = (
         classes.select("cls", "least", "count")
         .join(degree, F.col("cls") == F.col("u"), "left")
         .join(parts, F.col("cls") == F.col("id"), "left")
         .select("cls", "least", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("cls", "n_links", "component_id")
-    return hashed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("cls")).alias("cls")).join(named, "cls", "left").select(
+    least = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    parts = common.materialize(parts.join(least, "component").select("cls", "n_links", "component_id"), "parts")
+    common.release(classes, keyed, found)
+    return named.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("cls")).alias("cls")).join(parts, "cls", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

@@ -148,5 +148,25 @@ def test_odd_vectors(spark):
 
 def test_tables_follow_from_the_miss_rate():
     p = pstable.collision(0.2, 1.0) ** 8
-    n = pstable.tables_for(0.98)
+    n = pstable.tables_for(0.98, 8)
     assert (1 - p) ** n < 1e-6 <= (1 - p) ** (n - 1)
+
+
+def test_projections_follow_from_the_number_of_vectors():
+    far = pstable.collision(2**0.5, 1.0)
+    chosen = [pstable.projections_for(10**e, 0.98) for e in range(0, 11, 2)]
+    assert chosen == sorted(chosen) and chosen[0] < chosen[-1]
+    assert all(10**e * far**k < 100 for e, k in zip(range(0, 11, 2), chosen, strict=True))
+
+
+def test_op10_as_registered_against_all_pairs(spark):
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    vectors_agree(rows, queries.op10_pstable_near_duplicates(spark, SF))
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    near = lambda k: " ".join([*words(k)[:-1], "other"])
+    df = spark.createDataFrame([(6, " ".join(words("a"))), (6, " ".join(words("b"))), (6, " ".join(words("b"))), (7, near("a")), (8, near("b")), (9, " ".join(words("c")))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, words=3, percent=85).collect())
+    assert got == [(6, 6, True)] * 3 + [(7, 6, False), (8, 6, False), (9, 9, True)]
