@@ -1,16 +1,18 @@
 """Reply trees: enumerate root-to-leaf paths by iterative self-joins, rank branches, format paths.
 
-``jump`` tables come from self-joins: joining a table with itself doubles the distance it spans,
-so a thread of n messages takes log2(n) rounds. They carry the length and the summed score
-of the messages passed, which ranks leaves; the chosen leaves then walk up through the tables
-from the widest jump to the narrowest, which meets each ancestor exactly once.
+Messages that follow their parent's number as its only reply are taken together as one run first, within
+``RUN`` numbers, so an unbranched thread is one row. ``jump`` tables come from self-joins of the
+runs: joining a table with itself doubles the distance it spans, so a path of n runs takes log2(n)
+rounds. They carry the length and the summed score of the messages passed, which ranks leaves;
+the chosen leaves then walk up through the tables from the widest jump to the narrowest, which meets each ancestor
+exactly once, and runs are taken apart again.
 
 The template marks a message as ``<|im_start|>role`` newline ``text<|im_end|>`` newline. In texts and
 roles every ``<``, backslashes, ``|`` gets one more backslash after the ``<``, so no marker can
 arise and the step is undone exactly; newlines and backslashes of roles are escaped first.
 
 Nulls, ties, repeats: a null role or text is empty; a message whose parent is null or missing is a
-root; messages on a cycle have no root and are left out; leaves of equal score rank by node;
+root; messages of one tree and node stand together, ordered by role and text, and count as one with the least parent and score; messages on a cycle have no root and are left out; leaves of equal score rank by node;
 a tree key may be null. ``threads`` orders a conversation by turn (nulls first), role and
 text, so repeated or tied rows all stay.
 """
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Messages of one run at most.
+RUN = 4096
 START, END = "<|im_start|>", "<|im_end|>\n"
 _bare, _escaped = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -70,18 +74,43 @@ def _on(a: str, b: str, left: str, right: str):  # type: ignore[no-untyped-def]
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{left}") == F.col(f"{b}.{right}"))
 
 
+def _runs(nodes: DataFrame) -> DataFrame:
+    """Each node with its run: ``tail`` (the run's last node), ``size``, ``total`` and ``back`` (nodes behind it there).
+
+    ``head_parent`` is the parent of the run's first node; it is the tail of another run, or none.
+    """
+    replies = nodes.filter("parent is not null").groupBy("tree", "parent").agg(F.count("*").alias("replies"))
+    known = nodes.alias("a").join(replies.alias("b"), _on("a", "b", "parent", "parent"), "left").select("a.*", F.coalesce("b.replies", F.lit(0)).alias("replies"))
+    block = F.floor(F.col("node") / RUN)
+    inside = Window.partitionBy("tree", "block").orderBy("node")
+    starts = ~((F.col("replies") == 1) & F.col("parent").eqNullSafe(F.lag("node").over(inside)))
+    cut = known.withColumn("block", block).withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int"))
+    cut = cut.withColumn("run", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("tree", "block", "run").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return cut.select(
+        "tree",
+        "node",
+        F.last("node").over(whole).alias("tail"),
+        F.first("parent").over(whole).alias("head_parent"),
+        F.count("*").over(whole).alias("size"),
+        F.sum("score").over(whole).alias("total"),
+        (F.count("*").over(whole) - F.row_number().over(Window.partitionBy("tree", "block", "run").orderBy("node"))).alias("back"),
+    )
+
+
 def paths(messages: DataFrame, *, best: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, up): the nodes of the ``best`` leaves of each tree; up is 0 at the leaf."""
-    nodes = common.materialize(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
-    known = nodes.select("tree", "node")
+    nodes = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("x")).select("tree", "node", "x.*")
+    each = common.materialize(_runs(common.materialize(nodes, "nodes")), "runs")
+    runs = each.filter("node = tail").select("tree", "node", F.col("head_parent").alias("parent"), "size", "total")
     jump = (
-        nodes.alias("a")
-        .join(known.alias("b"), _on("a", "b", "parent", "node"), "left")
-        .select("a.tree", "a.node", F.col("b.node").alias("above"), F.lit(1).cast("long").alias("size"), F.col("a.score").alias("total"))
+        runs.alias("a")
+        .join(runs.select("tree", "node").alias("b"), _on("a", "b", "parent", "node"), "left")
+        .select("a.tree", "a.node", F.col("b.node").alias("above"), "a.size", "a.total")
     )
     table = common.materialize(jump, "jump")
-    top, jumps = table.filter("above is null"), [table.filter("above is not null")]  # who has reached a root rests
-    most = nodes.count().bit_length() + 1  # a longer way up is a cycle
+    top, jumps, written = table.filter("above is null"), [table.filter("above is not null")], [table]  # who has reached a root rests
+    most = runs.count().bit_length() + 1  # a longer way up is a cycle
     while len(jumps) <= most and not jumps[-1].isEmpty():
         step = (
             jumps[-1].alias("a")
@@ -91,18 +120,22 @@ def paths(messages: DataFrame, *, best: int = 1) -> DataFrame:
         table = common.materialize(step, "jump")
         top = top.unionByName(table.filter("above is null"))
         jumps.append(table.filter("above is not null"))
-    leaves = top.alias("a").join(nodes.alias("b"), _on("a", "b", "node", "parent"), "left_anti")
+        written.append(table)
+    leaves = top.alias("a").join(runs.alias("b"), _on("a", "b", "node", "parent"), "left_anti")
     by = Window.partitionBy("tree").orderBy((F.col("total") / F.col("size")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= best)
     way = common.materialize(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up")), "way")
+    ways = [way]
     for k in range(len(jumps) - 2, -1, -1):
         far = (
             way.alias("a")
             .join(jumps[k].alias("b"), _on("a", "b", "node", "node"))
-            .select("a.tree", "a.leaf", "a.rank", F.col("b.above").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
+            .select("a.tree", "a.leaf", "a.rank", F.col("b.above").alias("node"), (F.col("a.up") + F.col("b.size")).alias("up"))
         )
-        way = common.materialize(way.unionByName(far), "way")
-    return way
+        ways.append(common.materialize(far, "way"))  # only what is new; all of it takes the next narrower jump
+        way = way.unionByName(ways[-1])
+    common.release(*written)
+    return way.alias("a").join(each.alias("b"), _on("a", "b", "node", "tail")).select("a.tree", "a.leaf", "a.rank", "b.node", (F.col("a.up") + F.col("b.back")).alias("up"))
 
 
 def _format(batches: Iterator[pa.RecordBatch], trained: str) -> Iterator[pa.RecordBatch]:
@@ -137,7 +170,7 @@ def conversations(messages: DataFrame, *, best: int = 1, trained: str = "assista
     messages = common.materialize(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
     said = paths(messages, best=best).alias("a").join(messages.alias("b"), _on("a", "b", "node", "node"))
     said = said.select("a.tree", "a.leaf", "a.rank", "a.up", "b.role", "b.text")
-    ordered = said.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", F.col("up").desc())
+    ordered = said.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", F.col("up").desc(), "role", "text")
     return ordered.mapInArrow(lambda it: _format(it, trained), "tree long, leaf long, rank int, formatted string, loss array<struct<start:long,end:long>>")
 
 

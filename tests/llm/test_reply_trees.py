@@ -42,6 +42,39 @@ def test_long_threads_take_few_rounds(spark):
     assert [t for _, t in replytree.parse(r["formatted"])] == [str(i) for i in range(1, 701)]
 
 
+def test_runs_and_branches_equal_a_plain_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows, parent = [], {}
+    for tree in range(12):
+        for n in range(1, 60):
+            p = None if n == 1 else n - 1 if rng.random() < 0.8 else rng.randrange(1, n)
+            parent[tree, n] = p
+            rows.append((tree, n, p, "assistant", f"{tree}.{n}", float(rng.randrange(5))))
+    score = {(r[0], r[1]): r[5] for r in rows}
+    want = {}
+    for tree in range(12):
+        found = []
+        for leaf in {n for n in range(1, 60)} - {parent[tree, n] for n in range(1, 60)}:
+            way, n = [], leaf
+            while n:
+                way.append(n)
+                n = parent[tree, n]
+            found.append((-sum(score[tree, n] for n in way) / len(way), leaf, [f"{tree}.{n}" for n in way[::-1]]))
+        want |= {(tree, k): x[2] for k, x in enumerate(sorted(found)[:3], 1)}
+    for run in (4096, 7):
+        monkeypatch.setattr(replytree, "RUN", run)
+        out = replytree.conversations(spark.createDataFrame(rows, SCHEMA), best=3).collect()
+        assert {(r["tree"], r["rank"]): [t for _, t in replytree.parse(r["formatted"])] for r in out} == want
+
+
+def test_messages_of_one_node_stand_together(spark):
+    rows = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "a", 2.0), (1, 3, 2, "user", "c", 1.0)]
+    out = replytree.conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [[t for _, t in replytree.parse(r["formatted"])] for r in out] == [["q", "a", "b", "c"]]
+
+
 def test_odd_conversations(spark):
     rows = [(5, None, "user", "x"), (5, 1, None, None), (5, 1, "assistant", "y"), (5, 1, "assistant", "y"), (None, 0, "user", "z"), (6, 0, "", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
