@@ -1,30 +1,41 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as two vectors: an embedding of the word (hashed) and the scaled sum of embeddings
-of its character n-grams (hashed, with marks at both ends). Two gated recurrent passes, attention over the
-words of a window and a logistic unit score windows of ``WINDOW`` words that start every ``STRIDE``
-words; the last one ends with the text, so every word lies in a window and every run of up to
-``WINDOW - STRIDE + 1`` words whole in one, wherever it stands. A text's score is a logistic
-function of its best window and of the logarithm of its number of windows, fitted on documents that
-the network didn't see.
-
-Training reads at most ``PER_CLASS`` labelled documents of each class (chosen by a hash of the id) and
-``READ`` words of each from a hashed place. The first coordinate of both tables starts at the log-odds
-of the classes; the windows of a document that train are its best-scored ones, chosen again as the
-network improves, which suits labels that hold for a document but come from a few words.
+of its character n-grams (hashed, with marks at both ends, so prefixes and suffixes are told
+apart). A gated recurrent pass in each direction gives every word a state. Windows of ``WINDOW``
+words start at every word of a text (a shorter text is one window); the states of a window's words
+are pooled by attention and a logistic unit scores the window. As attention weights and scores belong to words, sums
+over all overlapping windows are differences of running sums, and a text costs one pass however
+its windows overlap. A text's score is a logistic function of its best window and of the logarithm
+of its number of windows, fitted on whole documents that the network didn't see.
+
+The passes read a text in runs of ``RUN`` words, each after ``LEAD`` words before it and behind it that
+only warm the state up. So a text of any length is read whole in bounded steps, and words in
+front of a text hardly move the scores of its windows.
+
+Training draws exactly ``PER_CLASS`` labelled documents of each class (or all, if there are fewer) in
+order of a hash of the id, and reads all of their text on the executors: log-odds of words and
+n-grams over whole texts start the first coordinate of both tables, every window of a drawn text is
+ranked by them, and ``BEST`` windows and ``ANY`` from hashed places are sent to the driver with ``LEAD``
+words on either side. So the driver holds 2 * PER_CLASS * (BEST + ANY) * (WINDOW + 2 * LEAD)
+words at most, whatever the texts' lengths. In toxic documents the windows that train are chosen
+again as the network improves, which suits labels that hold for a document but come from a few
+words. One drawn document in five trains nothing; scores of those whole texts, computed on the executors,
+fit the last logistic function.
 
 Nulls, empties, ties: a null text is empty; a text without words has one empty window; documents
-labelled both ways count as toxic; null labels and null ids teach nothing; without both classes the
-score is the share of toxic labels, or 0; repeated rows get equal scores.
+labelled both ways count as toxic; null labels and null ids teach nothing; of rows with one id, one
+teaches; without both classes the score is the share of toxic labels, or 0; repeated rows get
+equal scores; very long texts are read to their end, an Arrow batch of texts at a time.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +43,17 @@ from . import common
 from .wordgrams import Grams, number, split
 
 PER_CLASS = 2000
-READ = 800
-WINDOW, STRIDE = 32, 8
-#: Windows held at a time, about.
-HELD = 16384
+WINDOW, LEAD, RUN = 32, 16, 512
+#: Windows of a drawn document that may train: those with the largest log-odds, and any.
+BEST, ANY = 5, 3
+#: A window is ranked by its words with the largest log-odds, so many.
+CUES = 3
 SLOTS = 1 << 15
-SIZES = (3, 4, 5)
+SIZES = (3, 5, 7)
 EMBED, HIDDEN = 8, 8
 STEPS, BATCH = 500, 64
+#: States that are held at a time, about.
+HELD = 1 << 19
 SEED = 9
 
 
@@ -47,13 +61,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def window_starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
-    """Starts of the windows over ``n`` words."""
-    return [0] if n <= window else [*range(0, n - window, stride), n - window]
-
-
 class Network:
-    """The network's weights; row 0 of ``inputs`` is padding."""
+    """The network's weights; input 0 is padding."""
 
     def __init__(self, rng: np.random.Generator) -> None:
         e, h = EMBED, HIDDEN
@@ -80,43 +89,44 @@ class Network:
         x = np.zeros((len(words) + 1, 2 * EMBED), np.float32)
         if words:
             x[1:, :EMBED] = self.words[own.ids]
-            counted = np.sqrt(np.maximum(grams.counts, 1))[:, None]
-            held = np.flatnonzero(grams.counts)
-            sums = np.zeros((len(words), EMBED), np.float32)
-            if len(held):
-                sums[held] = np.add.reduceat(self.chars[grams.ids], grams.starts[held], axis=0)
-            x[1:, EMBED:] = sums / counted
+            x[1:, EMBED:] = grams.means(self.chars)
         return x
 
-    def run(self, projected: list[np.ndarray], ids: np.ndarray, keep: bool = False, live: np.ndarray | None = None):  # type: ignore[no-untyped-def]
-        """Logits of windows of word numbers (windows, words), 0 where there is none."""
+    def project(self, x: np.ndarray) -> list[np.ndarray]:
+        return [x @ w + b for w, b in zip(self.w, self.b, strict=True)]
+
+    def step(self, d: int, x: np.ndarray, s: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Update, reset, candidate and new state of direction ``d``; a state that isn't live stays."""
+        h2 = 2 * HIDDEN
+        gates = _sigmoid(x[:, :h2] + s @ self.u[d][:, :h2])
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        if live is not None:
+            z = z * live[:, None]
+        c = np.tanh(x[:, h2:] + (r * s) @ self.u[d][:, h2:])
+        return z, r, c, s + z * (c - s)
+
+    def run(self, projected: list[np.ndarray], ids: np.ndarray, scored: np.ndarray, keep: bool = False):  # type: ignore[no-untyped-def]
+        """Logits of spans of inputs (spans, words) with padding behind; ``scored`` marks the window's words."""
         n, t = ids.shape
-        h3, h = 3 * HIDDEN, HIDDEN
-        states = np.empty((t, n, 2 * h), np.float32)
+        h = HIDDEN
+        states = np.empty((t, n, 2 * h), projected[0].dtype)
         trace: list = [[None] * t, [None] * t]
+        live = (ids > 0).astype(states.dtype)
         for d in range(2):
-            s = np.zeros((n, h), np.float32)
+            s = np.zeros((n, h), states.dtype)
             for i in range(t) if d == 0 else range(t - 1, -1, -1):
-                x = projected[d][ids[:, i]]
-                gates = _sigmoid(x[:, : 2 * h] + s @ self.u[d][:, : 2 * h])
-                z, r = gates[:, :h], gates[:, h:]
-                c = np.tanh(x[:, 2 * h : h3] + (r * s) @ self.u[d][:, 2 * h :])
+                z, r, c, later = self.step(d, projected[d][ids[:, i]], s, live[:, i])
                 if keep:
                     trace[d][i] = (s, z, r, c)
-                s = s + z * (c - s)
-                states[i, :, d * h : (d + 1) * h] = s
+                s = states[i, :, d * h : (d + 1) * h] = later
         a = np.tanh(states @ self.attend)
-        weight = a @ self.point
-        weight = np.where(ids.T > 0 if live is None else live, weight, -30.0)
+        weight = np.where(scored.T, a @ self.point, -np.inf)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
         context = np.einsum("tn,tnk->nk", weight, states)
         logits = context @ self.out + self.bias
         return (logits, states, trace, a, weight, context) if keep else logits
 
-    def project(self, x: np.ndarray) -> list[np.ndarray]:
-        return [x @ w + b for w, b in zip(self.w, self.b, strict=True)]
-
     def score(self, best: np.ndarray, windows: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(best), self.constant)
@@ -124,35 +134,56 @@ class Network:
         return _sigmoid(a * best + b * np.log(windows) + c)
 
 
-def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of texts of word numbers, and the text of each."""
-    starts = [window_starts(len(x)) for x in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-    ids = np.zeros((len(owner), WINDOW), np.int64)
-    k = 0
-    for x, own in zip(texts, starts, strict=True):
-        if len(x) < WINDOW:
-            ids[k, : len(x)] = x + 1
-        else:
-            ids[k : k + len(own)] = x[np.array(own)[:, None] + np.arange(WINDOW)] + 1
-        k += len(own)
-    return ids, owner
-
-
-def best_windows(net: Network, words: list[bytes], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text the largest logit, its number of windows, and the window it came from."""
-    projected = net.project(net.vectors(words))
-    sizes = np.array([len(window_starts(len(x))) for x in texts], np.int64)
+def _states(net: Network, projected: list[np.ndarray], x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """States (words, 2 * HIDDEN) of texts that lie one after another in ``x``, read in runs."""
+    first, last, left, right = [], [], [], []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        cuts = np.arange(a, b, RUN)
+        first.append(cuts)
+        last.append(np.minimum(cuts + RUN, b))
+        left.append(np.maximum(cuts - LEAD, a))
+        right.append(np.minimum(last[-1] + LEAD, b))
+    first, last, left, right = (np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64) for v in (first, last, left, right))
+    out = np.zeros((len(x) + 1, 2 * HIDDEN), np.float32)  # the last row takes what only warms up
+    for d, (begin, stop) in enumerate(((left, last), (first, right))):
+        size = stop - begin
+        order = np.argsort(-size, kind="stable")
+        begin_, stop_, size = begin[order], stop[order], size[order]
+        own_first, own_last = first[order], last[order]
+        s = np.zeros((len(order), HIDDEN), np.float32)
+        active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+        for i, n in enumerate(active.tolist()):
+            at = begin_[:n] + i if d == 0 else stop_[:n] - 1 - i
+            s = net.step(d, projected[d][x[at]], s[:n])[3]
+            out[np.where((at >= own_first[:n]) & (at < own_last[:n]), at, len(x)), d * HIDDEN : (d + 1) * HIDDEN] = s
+    return out[:-1]
+
+
+def window_logits(net: Network, projected: list[np.ndarray], texts: list[np.ndarray], window: int = WINDOW) -> Iterator[np.ndarray]:
+    """For each text of input numbers, the logits of the windows that start at its words."""
+    sizes = np.array([len(t) for t in texts], np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // HELD)) + 1).tolist(), len(texts)]
-    best, top = [np.empty(0, np.float32)], [np.empty((0, WINDOW), np.int64)]
     for i, j in zip(cuts, cuts[1:], strict=False):
-        ids, owner = windows_of(texts[i:j])
-        logits = np.concatenate([net.run(projected, ids[k : k + 4096]) for k in range(0, len(ids), 4096)] + best[:1])
-        order = np.lexsort((-logits, owner))
-        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-        best.append(logits[first])
-        top.append(ids[first])
-    return np.concatenate(best), sizes, np.concatenate(top)
+        ends = np.cumsum(sizes[i:j])
+        starts = ends - sizes[i:j]
+        x = np.concatenate([*texts[i:j], np.empty(0, np.int64)])
+        states = _states(net, projected, x, starts, ends)
+        weight = np.exp((np.tanh(states @ net.attend) @ net.point).astype(np.float64))
+        below = np.concatenate([[0.0], np.cumsum(weight)])
+        above = np.concatenate([[0.0], np.cumsum(weight * (states @ net.out))])
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if a == b:
+                yield net.bias.astype(np.float64)
+                continue
+            w = min(window, b - a)
+            yield (above[a + w : b + 1] - above[a : b + 1 - w]) / (below[a + w : b + 1] - below[a : b + 1 - w]) + float(net.bias[0])
+
+
+def best_windows(net: Network, words: list[bytes], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the largest logit of its windows and their number."""
+    projected = net.project(net.vectors(words))
+    found = [(float(x.max()), len(x)) for x in window_logits(net, projected, [t + 1 for t in texts])]
+    return np.array([b for b, _ in found]), np.array([n for _, n in found], np.int64)
 
 
 class _Adagrad:
@@ -169,14 +200,24 @@ class _Adagrad:
             weights[rows] -= self.rate * grad / np.sqrt(s[rows])
 
 
-def _learn(net: Network, opt: _Adagrad, x: np.ndarray, own: Grams, grams: Grams, ids: np.ndarray, gold: np.ndarray) -> None:
-    """One step of gradient descent on windows ``ids`` of words with inputs ``x``."""
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row numbers and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
+
+
+def _learn(net: Network, opt: _Adagrad, x: np.ndarray, own: Grams, grams: Grams, ids: np.ndarray, scored: np.ndarray, gold: np.ndarray) -> None:
+    """One step of gradient descent on spans ``ids`` of words with inputs ``x``."""
     h, t = HIDDEN, ids.shape[1]
     used, local = np.unique(ids, return_inverse=True)
-    local = local.reshape(ids.shape)
+    local = local.reshape(ids.shape) + (used[0] > 0)
+    if used[0] > 0:
+        used = np.concatenate([[0], used])
     vectors = x[used]
-    logits, states, trace, a, weight, context = net.run(net.project(vectors), local, keep=True, live=ids.T > 0)
-    d_logit = ((_sigmoid(logits) - gold) / len(gold)).astype(np.float32)
+    logits, states, trace, a, weight, context = net.run(net.project(vectors), local, scored, keep=True)
+    d_logit = ((_sigmoid(logits) - gold) / len(gold)).astype(vectors.dtype)
     opt.step("out", net.out, context.T @ d_logit)
     opt.step("bias", net.bias, d_logit.sum(keepdims=True))
     d_context = d_logit[:, None] * net.out
@@ -189,8 +230,8 @@ def _learn(net: Network, opt: _Adagrad, x: np.ndarray, own: Grams, grams: Grams,
     opt.step("attend", net.attend, np.einsum("tnk,tnh->kh", states, d_a))
     d_vectors = np.zeros_like(vectors)
     for d in range(2):
-        d_u, carry = np.zeros_like(net.u[d]), np.zeros((len(ids), h), np.float32)
-        d_x = np.zeros((len(used), 3 * h), np.float32)
+        d_u, carry = np.zeros_like(net.u[d]), np.zeros((len(ids), h), vectors.dtype)
+        d_in = np.empty((t, len(ids), 3 * h), vectors.dtype)
         for i in range(t - 1, -1, -1) if d == 0 else range(t):
             s, z, r, c = trace[d][i]
             g = d_states[i, :, d * h : (d + 1) * h] + carry
@@ -200,83 +241,90 @@ def _learn(net: Network, opt: _Adagrad, x: np.ndarray, own: Grams, grams: Grams,
             carry = g * (1 - z) + d_rs * r + d_gates @ net.u[d][:, : 2 * h].T
             d_u[:, : 2 * h] += s.T @ d_gates
             d_u[:, 2 * h :] += (r * s).T @ d_c
-            np.add.at(d_x, local[:, i], np.concatenate([d_gates, d_c], axis=1))
+            d_in[i] = np.concatenate([d_gates, d_c], axis=1)
+        d_in[local.T == 0] = 0  # behind a span nothing is read
+        rows, sums = _summed(local.T.ravel(), d_in.reshape(-1, 3 * h))
+        d_x = np.zeros((len(used), 3 * h), vectors.dtype)
+        d_x[rows] = sums
         d_vectors += d_x @ net.w[d].T
         opt.step(f"w{d}", net.w[d], vectors.T @ d_x)
         opt.step(f"u{d}", net.u[d], d_u)
         opt.step(f"b{d}", net.b[d], d_x.sum(axis=0))
-    live = used > 0
-    number_, d_vectors = used[live] - 1, d_vectors[live]
-    rows, at = np.unique(own.ids[number_], return_inverse=True)
-    grad = np.zeros((len(rows), EMBED), np.float32)
-    np.add.at(grad, at, d_vectors[:, :EMBED])
+    words, d_vectors = used[1:] - 1, d_vectors[1:]
+    rows, grad = _summed(own.ids[words], d_vectors[:, :EMBED])
     opt.step("words", net.words, grad, rows)
-    slots, place = grams.of(number_)
-    rows, at = np.unique(slots, return_inverse=True)
-    grad = np.zeros((len(rows), EMBED), np.float32)
-    np.add.at(grad, at, (d_vectors[:, EMBED:] / np.sqrt(np.maximum(grams.counts[number_], 1))[:, None])[place])
+    slots, place = grams.of(words)
+    rows, grad = _summed(slots, (d_vectors[:, EMBED:] / np.sqrt(np.maximum(grams.counts[words], 1))[:, None])[place])
     opt.step("chars", net.chars, grad, rows)
 
 
-def train(texts: list[str], toxic: list[int], *, steps: int = STEPS, seed: int = SEED) -> Network:
-    """Fit a network to whole or partial texts and their labels."""
+class Span:
+    """A window of a document with the words around it: all words, and the window's first and last."""
+
+    __slots__ = ("words", "first", "last")
+
+    def __init__(self, words: list[bytes], first: int, last: int) -> None:
+        self.words, self.first, self.last = words, first, last
+
+
+def span(words: list[bytes], start: int) -> Span:
+    a, b = max(0, start - LEAD), min(len(words), start + WINDOW)
+    return Span(words[a : b + LEAD], start - a, b - a)
+
+
+def train(docs: list[list[Span]], toxic: list[int], odds: tuple[np.ndarray, np.ndarray] | None = None, *, steps: int = STEPS, seed: int = SEED) -> Network:
+    """Fit a network to the spans of documents, the likeliest first, and the documents' labels."""
     rng = np.random.default_rng(seed)
     net = Network(rng)
     y = np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
-    words, at = number(map(split, texts))
+    if odds:
+        net.words[:, 0], net.chars[:, 0] = odds
+    words, at = number([s.words for d in docs for s in d])
+    spans = [s for d in docs for s in d]
+    widest = WINDOW + 2 * LEAD
+    ids = np.zeros((len(spans), widest), np.int32)
+    scored = np.zeros((len(spans), widest), bool)
+    for k, (s, x) in enumerate(zip(spans, at, strict=True)):
+        ids[k, : len(x)] = x + 1
+        scored[k, s.first : max(s.last, s.first + 1)] = True
+    ends = np.cumsum([len(d) for d in docs])
+    of = [np.arange(e - len(d), e) for e, d in zip(ends, docs, strict=True)]
     own, grams = Grams(words, (), SLOTS, whole=True), Grams(words, SIZES, SLOTS)
-    later = np.arange(len(at)) % 5 == 4  # for calibration
-    fit = np.flatnonzero(~later)
-    present = [np.unique(at[i]) for i in fit]
-    for table, features in ((net.words, own), (net.chars, grams)):
-        counts = np.zeros((2, SLOTS))
-        for i, w in zip(fit, present, strict=True):
-            counts[int(y[i])][np.unique(features.of(w)[0])] += 1
-        totals = np.array([(y[fit] == k).sum() for k in (0, 1)])[:, None]
-        odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
-        # what few documents show says little
-        table[:, 0] = np.clip(odds * (counts.sum(0) / (counts.sum(0) + 4)), -3, 3)
     opt = _Adagrad(0.05)
     x = net.vectors(words)
-    mean = np.concatenate([[0], x[1:, 0] + x[1:, EMBED]])
-    chosen: list[np.ndarray] = [np.zeros((0, WINDOW), np.int64)] * len(at)
+    pools = [np.flatnonzero(y == k) for k in (0, 1)]
+    hardest = np.array([o[0] for o in of])
     for round_ in range(4):
-        if round_ == 0:
-            for i in fit:
-                ids, _ = windows_of([at[i]])
-                chosen[i] = ids[np.argsort(-np.sort(mean[ids], axis=1)[:, -3:].sum(axis=1), kind="stable")[:2]]
-        else:
-            _, _, top = best_windows(net, words, [at[i] for i in fit])
-            for i, ids in zip(fit, top, strict=True):
-                chosen[i] = ids[None]
-        pools = [[i for i in fit if y[i] == k] for k in (0, 1)]
+        if round_:
+            projected = net.project(net.vectors(words))
+            logits = np.concatenate([net.run(projected, ids[k : k + 4096], scored[k : k + 4096]) for k in range(0, len(ids), 4096)])
+            hardest = np.array([o[int(logits[o].argmax())] for o in of])
         for _ in range(steps // 4):
-            docs = [pool[j] for pool in pools for j in rng.integers(len(pool), size=BATCH // 2)]
-            ids = np.stack([chosen[i][int(rng.integers(len(chosen[i])))] for i in docs])
+            drawn = np.concatenate([pool[rng.integers(len(pool), size=BATCH // 2)] for pool in pools])
+            chosen = hardest[drawn]
             # a clean document is clean everywhere
             for b in range(0, BATCH // 2, 2):
-                s = window_starts(len(at[docs[b]]))
-                first, own_ids = s[int(rng.integers(len(s)))], at[docs[b]]
-                part = own_ids[first : first + WINDOW] + 1
-                ids[b] = 0
-                ids[b, : len(part)] = part
-            used = np.unique(ids[ids > 0]) - 1
+                chosen[b] = of[drawn[b]][int(rng.integers(len(of[drawn[b]])))]
+            batch = ids[chosen]
+            used = np.unique(batch[batch > 0]) - 1
             x[used + 1, :EMBED] = net.words[own.ids[used]]
             slots, place = grams.of(used)
-            sums = np.zeros((len(used), EMBED), np.float32)
-            np.add.at(sums, place, net.chars[slots])
-            x[used + 1, EMBED:] = sums / np.sqrt(np.maximum(grams.counts[used], 1))[:, None]
-            _learn(net, opt, x, own, grams, ids, y[docs])
-    held = np.flatnonzero(later)
-    if len(set(y[held])) == 2:
-        best, n, _ = best_windows(net, words, [at[i] for i in held])
-        net.calibration = _logistic(best.astype(float), np.log(n), y[held])
+            if len(place):
+                rows, sums = _summed(place, net.chars[slots])
+                x[used[rows] + 1, EMBED:] = sums / np.sqrt(grams.counts[used[rows]])[:, None]
+            _learn(net, opt, x, own, grams, batch, scored[chosen], y[drawn])
     return net
 
 
+def calibrate(net: Network, best: np.ndarray, windows: np.ndarray, toxic: np.ndarray) -> None:
+    """Fit the last logistic function to whole documents that trained nothing."""
+    if net.constant is None and len(set(toxic.tolist())) == 2:
+        net.calibration = _logistic(best.astype(float), np.log(windows), toxic)
+
+
 def _logistic(best: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Newton steps for a regularised logistic fit, both classes weighing the same."""
     x = np.stack([best, size, np.ones(len(y))], axis=1)
@@ -291,36 +339,121 @@ def _logistic(best: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float,
     return float(max(theta[0], 0.05)), float(theta[1]), float(theta[2])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in common.rows_of(batches):
-        kept = []
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            words = split(text)
-            first = zlib.crc32(f"{doc_id}:toxic".encode()) % max(1, len(words) - most + 1)
-            kept.append(b" ".join(words[first : first + most]).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(kept, pa.string())], ["toxic", "part"])
-
+def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id, toxic, later and text of the documents that teach, at most ``per_class`` of a class.
 
-def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, read: int = READ) -> tuple[list[str], list[int]]:
-    """Bounded training texts and labels, from documents that are not held out."""
+    ``later`` marks the fifth that calibrates. Documents that are held out are never drawn.
+    """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marks = marks.filter(~common.held_out(F.col("doc_id")))
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw, picked = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)), F.lit(False)
-    for mark, n in sizes.items():
-        picked = picked | ((F.col("toxic") == mark) & (draw < int(min(1.0, per_class / n) * (1 << 30))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.filter(picked)), "doc_id")  # about two times ``per_class`` short rows at any size
-    parts = rows.mapInArrow(lambda it: _parts(it, read), "toxic int, part string")
-    found = sorted(((r["part"], r["toxic"]) for r in parts.collect()), key=lambda p: (zlib.crc32(p[0].encode()), p))
-    return [w for w, _ in found], [t for _, t in found]
+    draw = F.xxhash64("doc_id", F.lit("toxicity"))
+    one, two = (marks.filter(F.col("toxic") == k).orderBy(draw, "doc_id").limit(per_class) for k in (0, 1))
+    picked = one.unionByName(two)  # so many short rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    return rows.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document the distinct slots of its words (table 0) and of their n-grams (table 1)."""
+    for batch in common.rows_of(batches):
+        words, at = number([split(t) for t in batch["text"].to_pylist()])
+        own, grams = Grams(words, (), SLOTS, whole=True), Grams(words, SIZES, SLOTS)
+        counts = np.zeros((2, 2, SLOTS), np.int32)
+        for x, toxic in zip(at, batch["toxic"].to_pylist(), strict=True):
+            x = np.unique(x)
+            for table, features in enumerate((own, grams)):
+                counts[table, toxic][np.unique(features.of(x)[0])] += 1
+        table, slot = np.nonzero(counts.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(table.astype(np.int32)), pa.array(slot.astype(np.int32)), *[pa.array(counts[table, k, slot].astype(np.int64)) for k in (0, 1)]], ["kind", "slot", "clean", "toxic"])
+
+
+def log_odds(drawn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the classes by slot of both tables, from all words of the drawn documents."""
+    fit = drawn.filter("not later")
+    sizes = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = fit.select("text", "toxic").mapInArrow(_slots, "kind int, slot int, clean long, toxic long")
+    found = rows.groupBy("kind", "slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # two tables of SLOTS rows at most
+    kind, slot, clean, toxic = (found[c].to_numpy() for c in ("kind", "slot", "clean", "toxic"))
+    odds = np.log((toxic + 0.5) / (sizes.get(1, 0) + 1)) - np.log((clean + 0.5) / (sizes.get(0, 0) + 1))
+    # what few documents show says little
+    odds = np.clip(odds * ((clean + toxic) / (clean + toxic + 4)), -3, 3)
+    out = np.zeros((2, SLOTS), np.float32)
+    out[kind, slot] = odds
+    return out[0], out[1]
+
+
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """What each window of a text says at first sight, from its words' log-odds."""
+    if len(values) <= WINDOW:
+        return np.sort(values)[-CUES:].sum(keepdims=True)
+    wide, step = sliding_window_view(values, WINDOW), 65_536
+    return np.concatenate([np.partition(wide[i : i + step], WINDOW - CUES, axis=1)[:, -CUES:].sum(axis=1) for i in range(0, len(wide), step)])
+
+
+def starts_of(values: np.ndarray, seed: int) -> list[int]:
+    """The windows of one document that are sent: apart from each other, best first, then any."""
+    rank, out = _ranked(values), []
+    n = len(rank)
+    for _ in range(BEST):
+        i = int(rank.argmax())
+        if out and not np.isfinite(rank[i]):
+            break
+        out.append(i)
+        rank[max(0, i - WINDOW + 1) : i + WINDOW] = -np.inf
+    rng = np.random.default_rng(seed)
+    return out + [int(rng.integers(n)) for _ in range(ANY if n > 1 else 0)]
+
+
+def _spans(batches: Iterator[pa.RecordBatch], odds: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in common.rows_of(batches):
+        words, at = number([split(t) for t in batch["text"].to_pylist()])
+        own, grams = Grams(words, (), SLOTS, whole=True), Grams(words, SIZES, SLOTS)
+        value = odds[0][own.ids] + grams.means(odds[1][:, None])[:, 0] if words else np.zeros(0, np.float32)
+        rows = []
+        for doc_id, toxic, x in zip(batch["doc_id"].to_pylist(), batch["toxic"].to_pylist(), at, strict=True):
+            for k, start in enumerate(starts_of(value[x], doc_id & 0xFFFFFFFF) if len(x) else [0]):
+                a, b = max(0, start - LEAD), min(len(x), start + WINDOW)
+                rows.append((doc_id, toxic, k, b" ".join(words[i] for i in x[a : b + LEAD]), start - a, b - a))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "toxic", "k", "words", "first", "last"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Network:
+    """A network that learned from labelled documents."""
+    drawn = common.materialize(sample(docs, labels, per_class=per_class), "toxic")
+    odds = log_odds(drawn)
+    spans = drawn.filter("not later").select("doc_id", "toxic", "text").mapInArrow(lambda it: _spans(it, odds), "doc_id long, toxic int, k int, words binary, first int, last int")
+    found = spans.toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
+    held: dict[int, list[Span]] = {}
+    toxic: dict[int, int] = {}
+    for doc_id, mark, words, first, last in zip(*[found[c].to_pylist() for c in ("doc_id", "toxic", "words", "first", "last")], strict=True):
+        held.setdefault(doc_id, []).append(Span(words.split(), first, last))
+        toxic[doc_id] = mark
+    net = train(list(held.values()), list(toxic.values()), odds)
+    if net.constant is None:
+        sent = docs.sparkSession.sparkContext.broadcast(net)
+        judged = drawn.filter("later").select("doc_id", "text", "toxic").mapInArrow(lambda it: _best(it, sent), "doc_id long, toxic int, best double, windows long").toArrow().sort_by("doc_id")
+        calibrate(net, *[judged[c].to_numpy() for c in ("best", "windows", "toxic")])
+    common.release(drawn)
+    return net
+
+
+def _judged(batches: Iterator[pa.RecordBatch], sent) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:  # type: ignore[no-untyped-def]
     net: Network = sent.value
     for batch in common.rows_of(batches):
         words, at = number([split(t) for t in batch["text"].to_pylist()])
-        best, n, _ = best_windows(net, words, at)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(net.score(best, n).astype(float), pa.float64())], ["doc_id", "score"])
+        yield batch, *best_windows(net, words, at)
+
+
+def _best(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+    for batch, best, n in _judged(batches, sent):
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(best, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "toxic", "best", "windows"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+    for batch, best, n in _judged(batches, sent):
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sent.value.score(best, n).astype(float), pa.float64())], ["doc_id", "score"])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -331,4 +464,4 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(*sample(docs, labels)))
+    return score(docs, fit(docs, labels))

@@ -71,3 +71,11 @@ class Grams:
         place = np.repeat(np.arange(len(words)), counts)
         within = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
         return self.ids[np.repeat(self.starts[words], counts) + within], place
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Per word, the sum of the table's rows at its slots over the root of their number; 0 without slots."""
+        out = np.zeros((len(self.counts), table.shape[1]), table.dtype)
+        held = np.flatnonzero(self.counts)
+        if len(held):
+            out[held] = np.add.reduceat(table[self.ids], self.starts[held], axis=0) / np.sqrt(self.counts[held], dtype=table.dtype)[:, None]
+        return out
