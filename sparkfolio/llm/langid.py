@@ -6,12 +6,15 @@ sequences are spliced from windows of documents of different languages, so the f
 switch inside a text. A whole text is labelled by forward-backward; its language is the label with
 the largest expected number of words, and the score is that share.
 
-Training reads at most ``PER_LANGUAGE`` documents of each language (chosen by a hash of the id), one
-window of at most ``WINDOW`` words from a hashed place in each. The weights are one table of
-``SLOTS`` rows, sent to the executors.
+Training draws at most ``PER_LANGUAGE`` documents of each language in order of a hash of the id. The
+executors read their whole texts and send up to ``SPANS`` spans of ``SPAN`` words from hashed places
+anywhere in each, so the driver holds that many words at most, whatever the texts' lengths. The
+weights are one table of ``SLOTS`` rows, sent to the executors. A text of more than ``CELLS`` words is
+labelled by blocks that hand their forward states on, which gives the same posteriors
+in bounded memory.
 
 Nulls, empties, ties: null texts and texts without a letter are ``und`` with score 0; documents
-with a null id or language teach nothing but are labelled; a tie goes to the language first in
+with a null id or language teach nothing but are labelled; rows equal in id, language and text teach once; a tie goes to the language first in
 order; without any language to learn from, all is ``und``; repeated rows get equal answers.
 """
 
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .wordgrams import Grams, number, split
 
 PER_LANGUAGE = 800
-WINDOW = 120
+SPANS, SPAN = 12, 30
 SLOTS = 1 << 16
 SIZES = (1, 2, 3, 4)
 STEPS = 300
@@ -38,6 +41,8 @@ BATCH, LENGTH = 32, 40
 SEED = 71
 #: Words times documents that are labelled at once.
 CELLS = 200_000
+#: Words of a very long text that are held at once.
+STRETCH = 4096
 
 
 class Field:
@@ -93,22 +98,52 @@ class Field:
         share[~live] = 0
         return share, moves
 
-    def shares(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Expected label shares of whole texts, from the scores of their words."""
-        out: list[np.ndarray] = [np.zeros(len(self.labels))] * len(scores)
-        order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: len(scores[i]))
+    def shares(self, scores: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Expected label shares of whole texts of word numbers, from the words' scores."""
+        out: list[np.ndarray] = [np.zeros(len(self.labels))] * len(texts)
+        order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: len(texts[i]))
+        while order and len(texts[order[-1]]) > CELLS:
+            i = order.pop()
+            out[i] = self._long(scores, texts[i]) / len(texts[i])
         while order:
-            longest = len(scores[order[-1]])
+            longest = len(texts[order[-1]])
             at, order = order[-max(1, CELLS // longest) :], order[: -max(1, CELLS // longest)]
-            lengths = np.array([len(scores[i]) for i in at])
+            lengths = np.array([len(texts[i]) for i in at])
             block = np.zeros((len(at), longest, len(self.labels)))
             for j, i in enumerate(at):
-                block[j, : lengths[j]] = scores[i]
+                block[j, : lengths[j]] = scores[texts[i]]
             total = self._shares(block, lengths)
             for j, i in enumerate(at):
                 out[i] = total[j] / lengths[j]
         return out
 
+    def _long(self, scores: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Sums of posteriors of one text; only the forward states at the ends of blocks are kept."""
+        a = np.exp(self.moves - self.moves.max())
+        cuts = range(0, len(text), STRETCH)
+
+        def ahead(cut: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            e = scores[text[cut : cut + STRETCH]]
+            e = np.exp(e - e.max(axis=1, keepdims=True))
+            states = np.empty_like(e)
+            for i in range(len(e)):
+                x = (np.exp(self.start - self.start.max()) if before is None else before @ a) * e[i]
+                before = states[i] = x / x.sum()
+            return e, states
+
+        ends: list[np.ndarray | None] = [None]
+        for cut in cuts:
+            ends.append(ahead(cut, ends[-1])[1][-1])
+        back, total = np.ones(len(self.labels)), np.zeros(len(self.labels))
+        for k in range(len(cuts) - 1, -1, -1):
+            e, states = ahead(cuts[k], ends[k])
+            for i in range(len(e) - 1, -1, -1):
+                x = states[i] * back
+                total += x / x.sum()
+                back = a @ (e[i] * back)
+                back /= back.sum()
+        return total
+
     def _shares(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sums of posteriors over words; like ``marginals`` without the moves."""
         scores = np.ascontiguousarray(scores.transpose(1, 0, 2))
@@ -181,28 +216,35 @@ def train(texts: dict[str, list[list[bytes]]], *, steps: int = STEPS, seed: int
     return field
 
 
-def _windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.rows_of(batches):
-        ids, kept = batch["doc_id"].to_pylist(), []
-        for doc_id, text in zip(ids, batch["text"].to_pylist(), strict=True):
+        kept = []
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = split(text)
-            first = zlib.crc32(f"{doc_id}:window".encode()) % max(1, len(words) - most + 1)
-            kept.append(words[first : first + most])
-        yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(kept, pa.list_(pa.binary()))], ["lang", "words"])
+            most = max(1, len(words) - SPAN + 1)
+            starts = sorted({zlib.crc32(f"{doc_id}:{k}".encode()) % most for k in range(min(SPANS, 1 + len(words) // SPAN))})
+            kept.append([b" ".join(words[a : a + SPAN]) for a in starts])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["text_hash"], pa.array(kept, pa.list_(pa.binary()))], ["doc_id", "lang", "text_hash", "spans"])
 
 
-def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> dict[str, list[list[bytes]]]:
-    """Bounded training windows by language, from documents that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict[str, list[list[bytes]]]:
+    """Bounded training spans by language, from documents that are not held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
-    draw, picked = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)), F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        picked = picked | ((F.col("lang") == lang) & (draw < int(min(1.0, per_language / n) * (1 << 30))))
+    if not sizes:
+        return {}
+    draw, some = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)), F.lit(False)
+    for lang, n in sorted(sizes.items()):  # about twice as many as are needed, before any row moves
+        some = some | ((F.col("lang") == lang) & (draw < int(min(1.0, (2 * per_language + 100) / n) * (1 << 30))))
+    key = ["doc_id", "lang", "text_hash"]
+    first = Window.partitionBy("lang").orderBy(draw, "doc_id", "text_hash")
+    picked = rows.filter(some).select(*key).distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    spans = rows.join(F.broadcast(picked.select(*key)), key).select(*key, "text").mapInArrow(_spans, "doc_id long, lang string, text_hash long, spans array<binary>")
     out: dict[str, list[list[bytes]]] = {}
-    drawn = rows.filter(picked).orderBy("doc_id", "lang", F.xxhash64("text")).limit(2 * per_language * max(1, len(sizes)))
-    for r in drawn.mapInArrow(lambda it: _windows(it, window), "lang string, words array<binary>").collect():
-        out.setdefault(r["lang"], []).append([bytes(w) for w in r["words"]])
+    found = spans.groupBy(*key).agg(F.first("spans").alias("spans")).toArrow().sort_by([(k, "ascending") for k in key])
+    for lang, parts in zip(found["lang"].to_pylist(), found["spans"].to_pylist(), strict=True):
+        out.setdefault(lang, []).extend(p.split() for p in parts if p)
     return out
 
 
@@ -213,7 +255,7 @@ def _label(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         spoken = [bool(field.labels) and text is not None and any(map(str.isalpha, text)) for text in texts]
         words, at = number([split(t) if s else [] for t, s in zip(texts, spoken, strict=True)])
         scores = field.emissions(words)
-        found = field.shares([scores[x] for x in at])
+        found = field.shares(scores, at)
         lang = [field.labels[int(f.argmax())] if s else "und" for s, f in zip(spoken, found, strict=True)]
         score = [min(1.0, float(f.max())) if s else 0.0 for s, f in zip(spoken, found, strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), batch["text_hash"]], ["doc_id", "lang_pred", "score", "text_hash"])
