@@ -2,10 +2,11 @@
 
 Everything is DataFrame expressions and sums.
 
-1. A naive Bayes model over hashed words learns the labelled domains from a bounded sample of
-   labelled documents (``SAMPLE``, chosen by a hash of the id). Its table has a fixed size.
+1. A naive Bayes model over hashed words learns the labelled domains from exactly ``SAMPLE`` labelled
+   documents (or all, if there are fewer), the first by a hash of the id. Its table has a fixed size.
 2. Every word of every document is scored; a document's posterior is the softmax of the log
-   prior plus ``weight`` times its mean word log-likelihood, so long texts stay soft.
+   prior plus a weight times its mean word log-likelihood, so long texts stay soft. The weight is the one of ``WEIGHTS``
+   with the least log-loss on the fifth of the sample that teaches no words.
 3. Rates r >= 0 minimise the squared error of sum(r * tokens * posterior) against the targets,
    by projected gradient from r = 1. Steps are scaled by the inverse Gram matrix of the
    documents with positive rates, four step sizes are tried in one pass, and the best that
@@ -13,12 +14,14 @@ Everything is DataFrame expressions and sums.
    far, so a pass reads the posteriors once and returns a few sums.
 
 Copies of a document: the whole part of its rate, plus one with the fraction's probability by
-a hash of id and text, the same in every run.
+a hash of id and text, the same in every run; so the rates meet the targets exactly, and the
+copies in expectation. The mixture holds as many tokens as the corpus (``TOTAL``).
 
 Nulls, empties, ties: a null or empty text has 0 tokens, the prior as posterior, and a rate like
-others; rows with a null id are mixed too; a document labelled several times counts in the
-worst of its domains; repeated rows have equal rates; without labels all domains are equally
-likely. A domain that has no tokens cannot reach its target and keeps its error.
+others; a very long one is exploded and summed like all words; rows with a null id are mixed
+too; a document labelled several times counts in the worst of its domains; repeated rows have
+equal rates; without labels all domains are equally likely. A domain that has no tokens cannot
+reach its target and keeps its error, which ``reached_`` columns show.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ from . import common
 SAMPLE = 20_000
 SLOTS = 1 << 16
 ROW = 256
-#: Words that a document's evidence counts as.
-WEIGHT = 60.0
+#: Words that a document's evidence may count as.
+WEIGHTS = (1.0, 2.0, 4.0, 8.0, 15.0, 30.0, 60.0, 120.0, 250.0, 500.0)
 ROUNDS = 12
 STEPS = (1.0, 0.5, 0.2, 0.05)
 #: Shares of the mixture, and its size as a share of the corpus.
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
-TOTAL = 0.8
+TOTAL = 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -59,12 +62,18 @@ def _slot(word: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, sample: int = SAMPLE, slots: int = SLOTS) -> DataFrame:
-    """One row: ``t``, per domain rows of log-likelihoods by slot, and ``prior``, log priors."""
-    n = labelled.count()
-    share = min(1.0, sample / max(1, n))
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+def draw(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, domain, later) of the labelled documents that teach; ``later`` marks the fifth that sets the weight."""
+    first = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
+    return first.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit("later")), F.lit(5)) == 0)
+
+
+def learn(docs: DataFrame, drawn: DataFrame, domains: list[str], *, slots: int = SLOTS) -> DataFrame:
+    """One row: ``t``, per domain rows of log-likelihoods by slot, and ``prior``, log priors.
+
+    ``drawn`` is broadcast: it holds a bounded number of short rows.
+    """
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn.filter("not later")), "doc_id")
     of = [(F.col("domain") == d).cast("long") for d in domains]
     slots_ = said.select("domain", F.explode(_words(F.col("text"))).alias("w")).withColumn("slot", _slot(F.col("w"), slots))
     counts = slots_.groupBy("slot").agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(of)])
@@ -82,19 +91,43 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], *, sample: i
     return table.withColumn("prior", F.array(*[F.ln((seen[f"docs{i}"] + 1.0) / (whole + len(of))) for i in range(len(of))]))
 
 
-def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], *, slots: int = SLOTS, weight: float = WEIGHT) -> DataFrame:
-    """doc_id, text_hash, n_tokens and p0, p1, ... for every row of ``docs``."""
-    t, prior = model.select("t").scalar(), model.select("prior").scalar()
+def evidence(docs: DataFrame, model: DataFrame, domains: list[str], *, slots: int = SLOTS) -> DataFrame:
+    """doc_id, text_hash, n_tokens and the sums of word log-likelihoods s0, s1, ... for every row of ``docs``."""
+    t = model.select("t").scalar()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
     slot = rows.select("row", "doc_id", "text_hash", F.explode_outer("words").alias("w")).withColumn("slot", F.when(F.col("w").isNotNull(), _slot(F.col("w"), slots)))
     high, low = F.floor(F.col("slot") / ROW).cast("int"), (F.col("slot") % ROW).cast("int")
-    sums = slot.groupBy("row", "doc_id", "text_hash").agg(F.count("slot").alias("n_tokens"), *[F.sum(t[f"l{i}"][high][low]).alias(f"s{i}") for i in range(len(domains))])
-    logits = [prior[i] + weight * F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(len(domains))]
-    sums = sums.select("doc_id", "text_hash", "n_tokens", *[x.alias(f"x{i}") for i, x in enumerate(logits)])
-    top = F.greatest(*[f"x{i}" for i in range(len(domains))]) if len(domains) > 1 else F.col("x0")
-    odds = sums.select("doc_id", "text_hash", "n_tokens", *[F.exp(F.col(f"x{i}") - top).alias(f"o{i}") for i in range(len(domains))])
-    whole = sum((F.col(f"o{i}") for i in range(len(domains))), F.lit(0.0))
-    return odds.select("doc_id", "text_hash", "n_tokens", *[(F.col(f"o{i}") / whole).alias(f"p{i}") for i in range(len(domains))])
+    return slot.groupBy("row", "doc_id", "text_hash").agg(F.count("slot").alias("n_tokens"), *[F.sum(t[f"l{i}"][high][low]).alias(f"s{i}") for i in range(len(domains))]).drop("row")
+
+
+def logits(prior: Column, weight: Column, k: int) -> list[Column]:
+    return [prior[i] + weight * F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(k)]
+
+
+def calibrated(docs: DataFrame, drawn: DataFrame, model: DataFrame, domains: list[str], *, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+    """One row, ``weight``: that with the least log-loss on the documents that taught no words, the least without any."""
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn.filter("later").select("doc_id")), "doc_id", "left_semi")
+    known = evidence(seen, model, domains, slots=slots).join(F.broadcast(drawn.filter("later")), "doc_id").filter("n_tokens > 0")
+    prior, k = model.select("prior").scalar(), len(domains)
+    losses = []
+    for w in weights:
+        x = logits(prior, F.lit(w), k)
+        top = F.greatest(*x) if k > 1 else x[0]
+        whole = sum((F.exp(v - top) for v in x), F.lit(0.0))
+        own = sum((F.when(F.col("domain") == d, v).otherwise(0.0) for d, v in zip(domains, x, strict=True)), F.lit(0.0))
+        losses.append(F.struct(F.coalesce(F.avg(top + F.log(whole) - own), F.lit(0.0)).alias("loss"), F.lit(w).alias("weight")))
+    return known.agg(F.array_min(F.array(*losses))["weight"].alias("weight"))
+
+
+def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], weight: DataFrame, *, slots: int = SLOTS) -> DataFrame:
+    """doc_id, text_hash, n_tokens and p0, p1, ... for every row of ``docs``; ``weight`` is a table of one value."""
+    k = len(domains)
+    x = logits(model.select("prior").scalar(), weight.scalar(), k)
+    sums = evidence(docs, model, domains, slots=slots).select("doc_id", "text_hash", "n_tokens", *[v.alias(f"x{i}") for i, v in enumerate(x)])
+    top = F.greatest(*[f"x{i}" for i in range(k)]) if k > 1 else F.col("x0")
+    odds = sums.select("doc_id", "text_hash", "n_tokens", *[F.exp(F.col(f"x{i}") - top).alias(f"o{i}") for i in range(k)])
+    whole = sum((F.col(f"o{i}") for i in range(k)), F.lit(0.0))
+    return odds.select("doc_id", "text_hash", "n_tokens", *[(F.col(f"o{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
 def fit(soft: DataFrame, targets: np.ndarray, *, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[Column, np.ndarray]:
@@ -125,17 +158,25 @@ def fit(soft: DataFrame, targets: np.ndarray, *, rounds: int = ROUNDS, tolerance
     return rate, reached
 
 
-def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] = TARGETS, total: float = TOTAL, sample: int = SAMPLE, slots: int = SLOTS, weight: float = WEIGHT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, text_hash, n_tokens, p_<domain>, rate and copies for every row of ``docs``."""
+def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] = TARGETS, total: float = TOTAL, sample: int = SAMPLE, slots: int = SLOTS, weights: tuple[float, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, text_hash, n_tokens, p_<domain>, rate and copies for every row of ``docs``.
+
+    ``target_<domain>`` and ``reached_<domain>`` tell the tokens that are asked for and those the rates give.
+    """
     domains = sorted(targets)
-    model = common.materialize(learn(docs, labelled, domains, sample=sample, slots=slots), "words")
-    soft = common.materialize(posteriors(docs, model, domains, slots=slots, weight=weight), "soft")
+    drawn = common.materialize(draw(labelled.filter(F.col("domain").isin(*domains)), sample), "drawn")
+    model = common.materialize(learn(docs, drawn, domains, slots=slots), "words")
+    weight = common.materialize(calibrated(docs, drawn, model, domains, weights=weights, slots=slots), "weight")
+    soft = common.materialize(posteriors(docs, model, domains, weight, slots=slots), "soft")
+    common.release(drawn, model, weight)
     size = soft.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     shares = np.array([targets[d] for d in domains], float)
-    rate, _ = fit(soft, shares / shares.sum() * total * size, rounds=rounds)
-    draw = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    wanted = shares / shares.sum() * total * size
+    rate, reached = fit(soft, wanted, rounds=rounds)
+    drawn_ = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     shown = soft.select("doc_id", "text_hash", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
-    return shown.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    shown = shown.withColumn("copies", (F.floor("rate") + (drawn_ < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    return shown.select("*", *[F.lit(float(x)).alias(f"{name}_{d}") for name, xs in (("target", wanted), ("reached", reached)) for d, x in zip(domains, xs, strict=True)])
 
 
 def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
