@@ -5,12 +5,17 @@ vocabulary, characters per token of a byte-level one, and the entropy of the tok
 bits. Natural texts of one language and length give close values; a text far outside is rejected.
 A band is per group (language if a column names it, and main script) and per octave of the token
 count, since entropy grows with length: median plus or minus ``spread`` times the distance from
-the median to the quartile on that side, at least ``slack`` of the measure. Quartiles come from
-all documents (mergeable quantile summaries). A group below ``least`` documents falls back to its script
+the median to the quartile on that side, at least ``slack`` of the measure; above it ``spread_above`` and
+``slack_above``, which are wider, as few characters a token and little entropy are what junk shows. Quartiles come from counts of
+all documents' values, rounded to ``STEPS``, so they are the same however rows are partitioned and take
+bounded memory. A group below ``least`` documents falls back to its script
 in its octave, then with 1 and 3 octaves on either side, then in all; the last serves at any size. In these
 the entropy is taken less its script's slope by octave. Scripts aren't compared with one another, as
 how a vocabulary covers a script says nothing of a text: a text alone in its script is kept.
 
+Bands are counted and, up to ``BROADCAST_BANDS`` of them, broadcast to the documents, so a group of any
+size moves no row; more are joined under ``SALTS`` copies of each, which splits hot groups.
+
 Base rules are exact: fewer than ``min_words`` words, or more than ``max_repeat`` percent of words
 in 8-word windows found twice or more, fail a text outright.
 
@@ -39,6 +44,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("piece_chars", "byte_share", "bpe_chars", "entropy")
+#: Values are rounded to these before they are counted.
+STEPS = {"piece_chars": 0.005, "byte_share": 0.002, "bpe_chars": 0.005, "entropy": 0.01}
+#: Bands are rows of about 150 bytes.
+BROADCAST_BANDS, SALTS = 50_000, 16
 #: Octaves on either side that a fallback takes in, narrowest first.
 REACHES = (0, 1, 3, 64)
 SCHEMA = "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_share double, bpe_chars double, entropy double"
@@ -130,7 +139,7 @@ def measure(text: str | None, piece_ids: Pieces, encoder: tokens.Encoder) -> tup
     n = len(ids)
     shown = (None,) * 4
     if n:
-        counts = np.bincount(ids)
+        counts = np.bincount(ids) if n > 4096 else np.unique(ids, return_counts=True)[1]
         share = counts[counts > 0] / n
         bpe = len(encoder.encode(text)) // 4
         shown = (chars / n, float(piece_ids.is_byte[ids].mean()), chars / bpe, float(-(share * np.log2(share)).sum()))
@@ -155,8 +164,10 @@ def rules(
     vocabulary: str = tokens.BYTE_BPE,
     min_words: int = 20,
     max_repeat: int = 30,
-    spread: float = 8.0,
-    slack: float = 0.15,
+    spread: float = 6.0,
+    slack: float = 0.06,
+    spread_above: float = 8.0,
+    slack_above: float = 0.15,
     least: int = 30,
 ) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed, band_failed, kept and text_hash."""
@@ -165,7 +176,7 @@ def rules(
     measured = given.mapInArrow(lambda it: _measured(it, piece_file, vocabulary), f"doc_id long, language string, text_hash long, {SCHEMA}")
     measured = measured.withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     measured = common.materialize(measured.withColumn("language", F.coalesce("language", F.lit("?"))), "fertility")
-    quarters = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
+    quarters = [F.percentile(F.round(F.col(m) / STEPS[m]) * STEPS[m], [0.25, 0.5, 0.75]).alias(f"q_{m}") for m in MEASURES]
     group = ["language", "script", "octave"]
     some = measured.filter("n_tokens > 0")
     bands = common.materialize(some.groupBy(*group).agg(F.count("*").alias("size"), *quarters), "bands")
@@ -184,12 +195,18 @@ def rules(
     outside = F.lit(False)
     for m in MEASURES:
         low, mid, high = (F.col(f"q_{m}")[i] + (F.col("slope") * F.log2("n_tokens") if m == "entropy" else 0) for i in range(3))
-        room = F.lit(0.05) if m == "byte_share" else mid * slack
-        below = F.col(m) < mid - F.greatest((mid - low) * spread, room)
-        above = F.col(m) > mid + F.greatest((high - mid) * spread, room)
+        below = F.col(m) < mid - F.greatest((mid - low) * spread, mid * slack)
+        above = F.col(m) > mid + F.greatest((high - mid) * spread_above, F.lit(0.05) if m == "byte_share" else mid * slack_above)
         outside = outside | (above if m == "byte_share" else below | above)
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
-    judged = measured.join(bands, group, "left").withColumn("base_failed", base)
+    bands = common.materialize(bands, "bands")
+    if bands.count() <= BROADCAST_BANDS:
+        judged = measured.join(F.broadcast(bands), group, "left")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))
+        copies = bands.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        judged = measured.withColumn("salt", salt).join(copies, [*group, "salt"], "left")
+    judged = judged.withColumn("base_failed", base)
     judged = judged.withColumn("band_failed", F.coalesce(outside, F.lit(False)))
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band_failed", *MEASURES]
     return judged.select(*shown, (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"), "text_hash")
