@@ -5,13 +5,12 @@ Everything is DataFrame expressions and sums.
 1. A naive Bayes model over hashed words learns the labelled domains from exactly ``SAMPLE`` labelled
    documents (or all, if there are fewer), the first by a hash of the id. Its table has a fixed size.
 2. Every word of every document is scored; a document's posterior is the softmax of the log
-   prior plus a weight times its mean word log-likelihood, so long texts stay soft. The weight is the one of ``WEIGHTS``
-   with the least log-loss on the fifth of the sample that teaches no words.
-3. Rates r >= 0 minimise the squared error of sum(r * tokens * posterior) against the targets,
-   by projected gradient from r = 1. Steps are scaled by the inverse Gram matrix of the
-   documents with positive rates, four step sizes are tried in one pass, and the best that
-   lowers the error is kept. A rate is a function of the document's posterior and the steps so
-   far, so a pass reads the posteriors once and returns a few sums.
+   prior plus ``weight`` times its mean word log-likelihood, so long texts stay soft.
+3. Rates r >= 0 minimise the squared error of sum(r * tokens * posterior) against the targets, by
+   gradient steps that are summed up and projected: r = max(0, 1 - sum of steps * posterior), from
+   r = 1, so of all rates that meet the targets those nearest to 1 are found. Steps are scaled by the
+   inverse Gram matrix of the documents with positive rates; several dampings and step sizes are
+   tried in one pass over the posteriors, which returns a few sums for each, and the best is kept.
 
 Copies of a document: the whole part of its rate, plus one with the fraction's probability by
 a hash of id and text, the same in every run; so the rates meet the targets exactly, and the
@@ -37,10 +36,12 @@ from . import common
 SAMPLE = 20_000
 SLOTS = 1 << 16
 ROW = 256
-#: Words that a document's evidence may count as.
-WEIGHTS = (1.0, 2.0, 4.0, 8.0, 15.0, 30.0, 60.0, 120.0, 250.0, 500.0)
-ROUNDS = 12
-STEPS = (1.0, 0.5, 0.2, 0.05)
+#: Words that a document's evidence counts as. Less is nearer to the odds of held-out labels, but then memberships
+#: lie so near the prior that only extreme rates meet the targets; more makes memberships hard.
+WEIGHT = 15.0
+ROUNDS = 30
+#: Dampings and sizes of the steps that are tried.
+STEPS = ((0.0, 1.0), (0.0, 0.3), (1e-3, 1.0), (1e-2, 1.0), (1e-1, 1.0))
 #: Shares of the mixture, and its size as a share of the corpus.
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 TOTAL = 1.0
@@ -63,9 +64,8 @@ def _slot(word: Column, slots: int) -> Column:
 
 
 def draw(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, domain, later) of the labelled documents that teach; ``later`` marks the fifth that sets the weight."""
-    first = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
-    return first.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit("later")), F.lit(5)) == 0)
+    """(doc_id, domain) of the labelled documents that teach."""
+    return labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
 
 
 def learn(docs: DataFrame, drawn: DataFrame, domains: list[str], *, slots: int = SLOTS) -> DataFrame:
@@ -73,7 +73,7 @@ def learn(docs: DataFrame, drawn: DataFrame, domains: list[str], *, slots: int =
 
     ``drawn`` is broadcast: it holds a bounded number of short rows.
     """
-    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn.filter("not later")), "doc_id")
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     of = [(F.col("domain") == d).cast("long") for d in domains]
     slots_ = said.select("domain", F.explode(_words(F.col("text"))).alias("w")).withColumn("slot", _slot(F.col("w"), slots))
     counts = slots_.groupBy("slot").agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(of)])
@@ -100,29 +100,10 @@ def evidence(docs: DataFrame, model: DataFrame, domains: list[str], *, slots: in
     return slot.groupBy("row", "doc_id", "text_hash").agg(F.count("slot").alias("n_tokens"), *[F.sum(t[f"l{i}"][high][low]).alias(f"s{i}") for i in range(len(domains))]).drop("row")
 
 
-def logits(prior: Column, weight: Column, k: int) -> list[Column]:
-    return [prior[i] + weight * F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(k)]
-
-
-def calibrated(docs: DataFrame, drawn: DataFrame, model: DataFrame, domains: list[str], *, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
-    """One row, ``weight``: that with the least log-loss on the documents that taught no words, the least without any."""
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn.filter("later").select("doc_id")), "doc_id", "left_semi")
-    known = evidence(seen, model, domains, slots=slots).join(F.broadcast(drawn.filter("later")), "doc_id").filter("n_tokens > 0")
-    prior, k = model.select("prior").scalar(), len(domains)
-    losses = []
-    for w in weights:
-        x = logits(prior, F.lit(w), k)
-        top = F.greatest(*x) if k > 1 else x[0]
-        whole = sum((F.exp(v - top) for v in x), F.lit(0.0))
-        own = sum((F.when(F.col("domain") == d, v).otherwise(0.0) for d, v in zip(domains, x, strict=True)), F.lit(0.0))
-        losses.append(F.struct(F.coalesce(F.avg(top + F.log(whole) - own), F.lit(0.0)).alias("loss"), F.lit(w).alias("weight")))
-    return known.agg(F.array_min(F.array(*losses))["weight"].alias("weight"))
-
-
-def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], weight: DataFrame, *, slots: int = SLOTS) -> DataFrame:
-    """doc_id, text_hash, n_tokens and p0, p1, ... for every row of ``docs``; ``weight`` is a table of one value."""
-    k = len(domains)
-    x = logits(model.select("prior").scalar(), weight.scalar(), k)
+def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], *, slots: int = SLOTS, weight: float = WEIGHT) -> DataFrame:
+    """doc_id, text_hash, n_tokens and p0, p1, ... for every row of ``docs``."""
+    k, prior = len(domains), model.select("prior").scalar()
+    x = [prior[i] + weight * F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(k)]
     sums = evidence(docs, model, domains, slots=slots).select("doc_id", "text_hash", "n_tokens", *[v.alias(f"x{i}") for i, v in enumerate(x)])
     top = F.greatest(*[f"x{i}" for i in range(k)]) if k > 1 else F.col("x0")
     odds = sums.select("doc_id", "text_hash", "n_tokens", *[F.exp(F.col(f"x{i}") - top).alias(f"o{i}") for i in range(k)])
@@ -130,35 +111,50 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], weight: Da
     return odds.select("doc_id", "text_hash", "n_tokens", *[(F.col(f"o{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
+def rate_of(moves: np.ndarray) -> Column:
+    """The rate of a row with posteriors p0, p1, ... after steps that sum up to ``moves``."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((float(m) * F.col(f"p{i}") for i, m in enumerate(moves)), F.lit(0.0)))
+
+
 def fit(soft: DataFrame, targets: np.ndarray, *, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[Column, np.ndarray]:
     """The rate of a row of ``soft`` as a column, and the expected totals it gives."""
     k = len(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
     p, n = [F.col(f"p{i}") for i in range(k)], F.col("n_tokens").cast("double")
     scale = np.where(targets > 0, targets, max(targets.sum(), 1.0))
-    moved = lambda rate, step: F.greatest(F.lit(0.0), rate - sum((float(s) * x for s, x in zip(step, p, strict=True)), F.lit(0.0)))
-    totals = lambda rate, name: [F.coalesce(F.sum(rate * n * x), F.lit(0.0)).alias(f"{name}_{i}") for i, x in enumerate(p)]
-    rate, reached = F.lit(1.0), np.zeros(k)
+
+    def measured(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each sum of steps the totals, and the Gram matrix of the rows with positive rates."""
+        sums = []
+        for e, moves in enumerate(tried):
+            rate = rate_of(moves)
+            sums += [F.sum(rate * n * x).alias(f"t{e}_{i}") for i, x in enumerate(p)]
+            sums += [F.sum(F.when(rate > 0, n * p[i] * p[j])).alias(f"g{e}_{i}_{j}") for i, j in pairs]
+        row = soft.agg(*sums).first().asDict()
+        value = lambda name: row[name] or 0.0
+        return [(np.array([value(f"t{e}_{i}") for i in range(k)]), np.array([[value(f"g{e}_{max(i, j)}_{min(i, j)}") for j in range(k)] for i in range(k)])) for e in range(len(tried))]
+
+    error = lambda totals: float((((totals - targets) / scale) ** 2).sum())
+    moves = np.zeros(k)
+    ((reached, gram),) = measured([moves])
     for _ in range(rounds):
-        gram = [F.coalesce(F.sum(F.when(rate > 0, n * p[i] * p[j])), F.lit(0.0)).alias(f"g_{i}_{j}") for i in range(k) for j in range(i + 1)]
-        now = soft.agg(*totals(rate, "a"), *gram).first()
-        reached = np.array([now[f"a_{i}"] for i in range(k)])
-        error = (reached - targets) / scale
-        if np.abs(error).max() < tolerance:
+        if np.abs((reached - targets) / scale).max() < tolerance:
             break
-        m = np.array([[now[f"g_{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
-        direction = np.linalg.lstsq(m, reached - targets, rcond=1e-10)[0]
-        tried = [moved(rate, eta * direction) for eta in STEPS]
-        after = soft.agg(*[x for e, r in enumerate(tried) for x in totals(r, f"b{e}")]).first()
-        ends = [np.array([after[f"b{e}_{i}"] for i in range(k)]) for e in range(len(STEPS))]
-        errors = [float((((x - targets) / scale) ** 2).sum()) for x in ends]
-        best = int(np.argmin(errors))
-        if errors[best] >= float((error**2).sum()):
+        gram = gram / np.outer(scale, scale)
+        tried = []
+        for damping, size in STEPS:
+            damped = gram + damping * max(np.trace(gram) / k, 1e-12) * np.eye(k)
+            step = np.linalg.lstsq(damped, (reached - targets) / scale, rcond=1e-12)[0] / scale
+            tried.append(moves + size * step)
+        ends = measured(tried)
+        best = int(np.argmin([error(totals) for totals, _ in ends]))
+        if error(ends[best][0]) >= error(reached) * 0.995:
             break
-        rate, reached = tried[best], ends[best]
-    return rate, reached
+        moves, (reached, gram) = tried[best], ends[best]
+    return rate_of(moves), reached
 
 
-def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] = TARGETS, total: float = TOTAL, sample: int = SAMPLE, slots: int = SLOTS, weights: tuple[float, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] = TARGETS, total: float = TOTAL, sample: int = SAMPLE, slots: int = SLOTS, weight: float = WEIGHT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_hash, n_tokens, p_<domain>, rate and copies for every row of ``docs``.
 
     ``target_<domain>`` and ``reached_<domain>`` tell the tokens that are asked for and those the rates give.
@@ -166,9 +162,8 @@ def mix(docs: DataFrame, labelled: DataFrame, *, targets: Mapping[str, float] =
     domains = sorted(targets)
     drawn = common.materialize(draw(labelled.filter(F.col("domain").isin(*domains)), sample), "drawn")
     model = common.materialize(learn(docs, drawn, domains, slots=slots), "words")
-    weight = common.materialize(calibrated(docs, drawn, model, domains, weights=weights, slots=slots), "weight")
-    soft = common.materialize(posteriors(docs, model, domains, weight, slots=slots), "soft")
-    common.release(drawn, model, weight)
+    soft = common.materialize(posteriors(docs, model, domains, slots=slots, weight=weight), "soft")
+    common.release(drawn, model)
     size = soft.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     shares = np.array([targets[d] for d in domains], float)
     wanted = shares / shares.sum() * total * size
