@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..lang.parser import HYPHENS
 
-SNIPPET = 260
+#: Characters of a snippet, of one for a pair of words, and what marks a cut (fixed values).
+SNIPPET, NEAR_SNIPPET, DOTS = 260, 200, "..."
 
 
 def normalize_text(text: str | None, *, ignore_width: bool = True, case_sensitive: bool = False) -> str:
@@ -71,13 +72,18 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def snippet(text: Column, needle: Column | str, size: int = SNIPPET) -> Column:
-    """The text, or a window of ``size`` characters around a needle's first place, with ellipses."""
+def snippet(text: Column, needles: Column, size: Column | int = SNIPPET) -> Column:
+    """The text, or a window of ``size`` characters around the first place of any needle, with dots where it is cut.
+
+    ``needles`` is an array of normalised literals; their places are those in the lower-cased text.
+    """
     flat = collapse_whitespace(text)
-    at = F.greatest(F.call_function("instr", F.lower(flat), needle if isinstance(needle, Column) else F.lit(needle)) - 1, F.lit(0))
-    start = F.greatest(at - size // 2, F.lit(0))
+    size = F.lit(size) if isinstance(size, int) else size
+    low = F.lower(flat)
+    places = F.filter(F.transform(needles, lambda n: F.call_function("instr", low, n) - 1), lambda p: p >= 0)
+    start = F.greatest(F.coalesce(F.array_min(places), F.lit(0)) - F.floor(size / 2).cast("int"), F.lit(0))
     end = F.least(start + size, F.length(flat))
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), "…").otherwise(""))
+    cut = F.concat(F.when(start > 0, DOTS).otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), DOTS).otherwise(""))
     return F.when(F.length(flat) <= size, flat).otherwise(cut)
 
 

@@ -112,10 +112,6 @@ def is_monotone(node: Node | None) -> bool:
     return not any(isinstance(n, Not) or isinstance(n, Meta) and n.field in ("confirmed", "ocr") for n in walk(node))
 
 
-def requires_full_read(node: Node | None) -> bool:
-    return not is_monotone(node)
-
-
 def requires_term(node: Node | None) -> bool:
     """True if no document without any term of the query can match.
 

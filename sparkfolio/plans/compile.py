@@ -7,7 +7,7 @@ import operator
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import files as paths
@@ -15,6 +15,9 @@ from ..functions import text as texts
 from ..lang import nodes as q
 from ..lang.printer import display_name
 
+#: Fixed values of the labels and of the score.
+HOLDS, FAILS, JOIN = "一致:", " / 未一致:", "、"
+SHARE, PHRASE, IN_NAME, IN_PATH, HITS, OCR, MOST_HITS = 0.60, 0.10, 0.15, 0.10, 0.05, 0.02, 20
 #: With more stars than this a pattern counts as one without any.
 MOST_STARS = 6
 OWN = ("name", "path")
@@ -92,6 +95,20 @@ class Plan:
         self.positive = list(dict.fromkeys(self.of[t] for t in helping))
         self.phrases = sorted({self.of[t] for t in helping if t.phrase})
         self.nears = q.nears(self.root)
+        self.levels: list[list[q.Node]] = []
+        self._place(self.root)
+        self.named = {part: f"v{k}" for k, part in enumerate(p for level in self.levels for p in level)}
+
+    def _place(self, node: q.Node | None) -> int:
+        """Put the parts of the query into ``levels``, each above those it reads; a part once."""
+        if node is None:
+            return -1
+        own = () if isinstance(node, q.Near) else q.below(node)
+        at = 1 + max(map(self._place, own), default=-1)
+        self.levels += [[] for _ in range(at + 1 - len(self.levels))]
+        if node not in self.levels[at]:
+            self.levels[at].append(node)
+        return at
 
     # chunks ------------------------------------------------------------------------------
     def prefilter(self) -> Column | None:
@@ -104,11 +121,12 @@ class Plan:
         left, right = (texts.normalize_text(t.text, ignore_width=self.options.ignore_width, case_sensitive=self.options.case_sensitive) for t in (node.left, node.right))
         return texts.near(F.col("norm_text"), left, right, node.distance)
 
-    def chunk_columns(self) -> dict[str, Column]:
-        out = {}
-        for i, n in enumerate(self.needles):
-            out |= {f"m{i}": n.match(), f"c{i}": F.when(n.match(), n.count())}
-        return out | {f"n{j}": self.near(n) for j, n in enumerate(self.nears)}
+    def tested(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with m0, c0, ... (whether and how often a needle occurs) and n0, ... (nearness)."""
+        found = {f"m{i}": n.match() for i, n in enumerate(self.needles)} | {f"n{j}": self.near(n) for j, n in enumerate(self.nears)}
+        some = chunks.withColumns(found) if found else chunks  # counts read these columns, so no needle is sought twice
+        counts = [F.when(F.col(f"m{i}"), n.count()).alias(f"c{i}") for i, n in enumerate(self.needles)]
+        return some.select("file_id", "chunk_index", "kind", *found, *counts)
 
     # files -------------------------------------------------------------------------------
     def aggregates(self) -> list[Column]:
@@ -124,11 +142,20 @@ class Plan:
     def present(self, i: int) -> Column:
         return F.coalesce(F.col(f"p{i}"), F.lit(False))
 
-    def verdict(self, node: q.Node | None = None, *, top: bool = True) -> Column:
-        """Whether a file matches. Missing aggregates are false before anything is negated."""
-        node = self.root if top and node is None else node
-        if node is None:
-            return F.lit(True)
+    def judge(self, files: DataFrame) -> DataFrame:
+        """Files with a column for the verdict on each part of the query, and ``accepted``.
+
+        A part reads the columns of the parts below it. Missing aggregates are false before anything is
+        negated.
+        """
+        for parts in self.levels:
+            files = files.withColumns({self.named[part]: self._verdict(part) for part in parts})
+        return files.withColumn("accepted", F.lit(True) if self.root is None else self.verdict(self.root))
+
+    def verdict(self, node: q.Node) -> Column:
+        return F.col(self.named[node])
+
+    def _verdict(self, node: q.Node) -> Column:
         if isinstance(node, q.Term):
             return self.present(self.of[node])
         if isinstance(node, q.Near):
@@ -190,17 +217,17 @@ class Plan:
         tenth = lambda c, w: F.when(c, w).otherwise(0.0)
         flag = lambda name: F.coalesce(F.col(name), F.lit(False))
         matched = functools.reduce(operator.add, [self.present(i).cast("int") for i in self.positive])
-        total = matched / len(self.positive) * 0.60 + tenth(any_of(self.present(i) for i in self.phrases), 0.10)
-        total += tenth(flag("name_hit"), 0.15) + tenth(flag("path_hit"), 0.10)
-        total += F.least(self.hit_count(), F.lit(20)) / 20 * 0.05 - tenth(flag("ocr_hit"), 0.02)
+        total = matched / len(self.positive) * SHARE + tenth(any_of(self.present(i) for i in self.phrases), PHRASE)
+        total += tenth(flag("name_hit"), IN_NAME) + tenth(flag("path_hit"), IN_PATH)
+        total += F.least(self.hit_count(), F.lit(MOST_HITS)) / MOST_HITS * HITS - tenth(flag("ocr_hit"), OCR)
         return F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 4)
 
     def _labels(self, node: q.Node) -> Column:
         """array of labels of the parts of ``node`` that hold, for a file that matches it."""
         if isinstance(node, q.AtLeast):
-            part = lambda hold: F.array_join(F.filter(F.array(*[F.when(self.verdict(c) == hold, display_name(c)) for c in node.children]), lambda x: x.isNotNull()), "、")
+            part = lambda hold: F.array_join(F.filter(F.array(*[F.when(self.verdict(c) == hold, display_name(c)) for c in node.children]), lambda x: x.isNotNull()), JOIN)
             count = functools.reduce(operator.add, [self.verdict(c).cast("int") for c in node.children])
-            return F.array(F.concat(F.lit("一致:"), part(True), F.lit(" / 未一致:"), part(False), F.lit("（"), count.cast("string"), F.lit(f"/{len(node.children)}）")))
+            return F.array(F.concat(F.lit(HOLDS), part(True), F.lit(FAILS), part(False), F.lit("（"), count.cast("string"), F.lit(f"/{len(node.children)}）")))
         inside = any(isinstance(x, q.AtLeast) for x in q.walk(node))
         if isinstance(node, q.Or) or isinstance(node, q.And) and inside:
             none = F.array().cast("array<string>")

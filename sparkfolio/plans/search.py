@@ -59,8 +59,7 @@ def chunks_of(corpus: Corpus, plan: Plan, *, prefilter: bool = True) -> DataFram
 
 
 def chunk_matches(corpus: Corpus, plan: Plan, *, prefilter: bool = True) -> DataFrame:
-    chunks = chunks_of(corpus, plan, prefilter=prefilter)
-    return chunks.select("file_id", "chunk_index", "kind", *[c.alias(n) for n, c in plan.chunk_columns().items()])
+    return plan.tested(chunks_of(corpus, plan, prefilter=prefilter))
 
 
 def search(corpus: Corpus, query: str | q.Node | None, options: Options = Options(), *, confirmed: DataFrame | None = None, roots: Sequence[str] = (), prefilter: bool = True) -> Found:
@@ -76,7 +75,7 @@ def search(corpus: Corpus, query: str | q.Node | None, options: Options = Option
         files = files.filter(known)
     per_file = chunk_matches(corpus, plan, prefilter=prefilter).groupBy("file_id").agg(*plan.aggregates())
     joined = files.join(per_file, "file_id", "inner" if q.requires_term(plan.root) else "left")
-    judged = joined.withColumn("accepted", plan.verdict())
+    judged = plan.judge(joined)
     hits = judged.filter("accepted")
     results = hits.select(
         "file_id",
@@ -108,13 +107,14 @@ def evidence(corpus: Corpus, found: Found) -> DataFrame:
     """
     plan = found.plan
     mine = chunks_of(corpus, plan).join(found.results.select("file_id"), "file_id", "left_semi")
-    said = [F.when(plan.needles[i].match(), F.struct(F.lit(plan.terms[i].text).alias("term"), F.lit(plan.needles[i].norm).alias("needle"), F.lit(plan.options.max_evidence_per_term).alias("most"))) for i in plan.positive]
-    said += [F.when(plan.near(n), F.struct(F.lit(display_name(n)).alias("term"), F.lit(texts.normalize_text(n.left.text)).alias("needle"), F.lit(1).alias("most"))) for n in plan.nears]
-    hits = mine.withColumn("t", F.explode(F.filter(F.array(*said), lambda t: t.isNotNull())) if said else F.explode(F.expr("cast(array() as array<struct<term:string,needle:string,most:int>>)")))
+    row = lambda term, needles, most, size: F.struct(F.lit(term).alias("term"), F.array(*map(F.lit, needles)).alias("needles"), F.lit(most).alias("most"), F.lit(size).alias("size"))
+    said = [F.when(plan.needles[i].match(), row(plan.terms[i].text, [plan.needles[i].norm], plan.options.max_evidence_per_term, texts.SNIPPET)) for i in plan.positive]
+    said += [F.when(plan.near(n), row(display_name(n), [texts.normalize_text(e.text) for e in (n.left, n.right)], 1, texts.NEAR_SNIPPET)) for n in plan.nears]
+    hits = mine.withColumn("t", F.explode(F.filter(F.array(*said), lambda t: t.isNotNull())) if said else F.explode(F.expr("cast(array() as array<struct<term:string,needles:array<string>,most:int,size:int>>)")))
     first = Window.partitionBy("file_id", "t.term").orderBy("chunk_index")
     top = hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= plan.options.max_evidence_per_term).filter(F.col("rank") <= F.col("t.most"))
     place = texts.location_label(F.col("location"), F.col("kind"))
-    return top.select("file_id", F.col("t.term").alias("term"), "rank", place.alias("location"), "kind", texts.snippet(F.col("text"), F.col("t.needle")).alias("snippet"))
+    return top.select("file_id", F.col("t.term").alias("term"), "rank", place.alias("location"), "kind", texts.snippet(F.col("text"), F.col("t.needles"), F.col("t.size")).alias("snippet"))
 
 
 def with_evidence(corpus: Corpus, found: Found) -> DataFrame:

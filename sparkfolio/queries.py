@@ -161,7 +161,7 @@ _add(
     lambda s, d: evidence(_docs(s, d), _found("thenwh")(s, d)).select("file_id", "rank", "snippet"),
     f"""WITH {_BASE}, hits AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index)::INT AS rank, {_FLAT} AS flat FROM chunks WHERE contains(norm, 'thenwh')),
 placed AS (SELECT *, greatest(greatest(strpos(lower(flat), 'thenwh') - 1, 0) - 130, 0) AS a FROM hits WHERE rank <= 3)
-SELECT file_id, rank, CASE WHEN length(flat) <= 260 THEN flat ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || substr(flat, a + 1, 260) || CASE WHEN a + 260 < length(flat) THEN '…' ELSE '' END END AS snippet FROM placed""",
+SELECT file_id, rank, CASE WHEN length(flat) <= 260 THEN flat ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substr(flat, a + 1, 260) || CASE WHEN a + 260 < length(flat) THEN '...' ELSE '' END END AS snippet FROM placed""",
 )
 _add("facets_kind_source", lambda s, d: ops.facets(_two(s, d).results), f"WITH hits AS ({_two_sql('file_kind, source_type')}) SELECT 'kind' AS facet, file_kind AS value, count(*) AS n FROM hits GROUP BY ALL UNION ALL SELECT 'source', source_type, count(*) FROM hits GROUP BY ALL")
 _add("coverage", lambda s, d: ops.coverage(_found("!the", prefilter=False)(s, d).judged), _sql(["the"], "NOT coalesce(p0, false)", "count(*) AS discovered, count(units) AS scanned, count_if(accepted)::BIGINT AS matched, count_if(NOT accepted)::BIGINT AS rejected, sum(size)::BIGINT AS bytes, sum(units)::BIGINT AS units", positive=[], tail="all"))

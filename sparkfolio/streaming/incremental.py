@@ -21,9 +21,8 @@ def matches(chunks: DataFrame, query: str | q.Node, options: Options = Options()
     plan = compiled(query, options)
     if q.metadata_nodes(plan.root):
         raise ValueError("a stream of chunks has no file columns to filter on")
-    tested = chunks.select("file_id", "chunk_index", "kind", *[c.alias(n) for n, c in plan.chunk_columns().items()])
-    per_file = tested.groupBy("file_id").agg(*plan.aggregates())
-    return per_file.select("file_id", plan.verdict().alias("accepted"), plan.hit_count().alias("hit_count"))
+    per_file = plan.tested(chunks).groupBy("file_id").agg(*plan.aggregates())
+    return plan.judge(per_file).select("file_id", "accepted", plan.hit_count().alias("hit_count"))
 
 
 def hits_per_window(events: DataFrame, words: list[str], *, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -171,13 +171,13 @@ def test_text_and_path_functions(spark):
         paths.is_under(F.lit("/ab"), "/a").alias("under"),
         paths.human_size(F.lit(1536)).alias("size"),
         texts.page_of(F.lit("p 12/3")).alias("page"),
-        texts.snippet(F.lit("x" * 300 + "needle" + "y" * 300), "needle").alias("snippet"),
+        texts.snippet(F.lit("x" * 300 + "needle" + "y" * 300), F.array(F.lit("yy"), F.lit("needle"))).alias("snippet"),
         texts.highlight(F.lit("A.b ab"), ["a.B"]).alias("marked"),
         texts.collapse_whitespace(F.lit(" a\r\n\t b ")).alias("flat"),
         *[paths.cloud_decision(F.lit("online"), F.lit(i), mode, policy).alias(f"{mode}_{policy}_{i}") for mode in ("fast", "standard", "full") for policy in ("auto", "skip", "fetch") for i in (True, False)],
     ).first()
     assert row["key"] == "c:/a/c.txt" and row["none"] == row["hidden"] == "" and row["kind"] == "excel" and row["smb"] == "smb" and not row["under"]
-    assert row["size"] == "1.5 KB" and row["page"] == 12 and row["snippet"] == "…" + "x" * 130 + "needle" + "y" * 124 + "…" and row["marked"] == "<mark>A.b</mark> ab" and row["flat"] == "a b"
+    assert row["size"] == "1.5 KB" and row["page"] == 12 and row["snippet"] == "..." + "x" * 130 + "needle" + "y" * 124 + "..." and row["marked"] == "<mark>A.b</mark> ab" and row["flat"] == "a b"
     assert row["fast_auto_False"] == row["standard_skip_False"] == "skip" and row["standard_auto_False"] == row["fast_fetch_True"] == "read" and row["fast_auto_True"] == row["full_skip_True"] == "index"
     assert [paths.column_letter(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert texts.canonical_part("ＡＢ－ー 1*") == "ab1"
