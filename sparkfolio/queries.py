@@ -202,7 +202,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("index_candidates", _candidates, f"WITH {_BASE} SELECT DISTINCT file_id FROM chunks WHERE contains(norm, 'thenwh') OR contains(norm, 'reed.')")
-_add("index_status", lambda s, d: index.capped(*_docs(s, d))[0].groupBy("status").agg(F.count("*").alias("files"), F.sum("chunk_count").alias("chunks")), f"""WITH {_BASE}, sizes AS (SELECT file_id, count(*) AS n FROM body GROUP BY file_id)
+_add("index_status", lambda s, d: index.measured(*_docs(s, d)).groupBy("status").agg(F.count("*").alias("files"), F.sum("chunk_count").alias("chunks")), f"""WITH {_BASE}, sizes AS (SELECT file_id, count(*) AS n FROM body GROUP BY file_id)
 SELECT CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS chunks FROM files LEFT JOIN sizes USING (file_id) GROUP BY ALL""")
 
 

@@ -1,27 +1,42 @@
 """An incrementally kept index: a corpus as Parquet, with what is needed to see changes.
 
-A version of the index is a folder; ``CURRENT`` (a one-row table) names the latest complete one,
-so readers see a whole version or the one before, whatever fails while a refresh writes.
+Files and their chunks lie in ``BUCKETS`` buckets by file_id. A refresh writes only the buckets in which
+something changed, into a folder of its own, and then commits a list that names each bucket's folder.
+Commits are numbered and a number is taken once, so of two writers one fails and can try
+again; readers see a whole commit or the one before, whatever fails while a refresh writes. ``vacuum``
+removes folders that no recent commit names.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import files as paths
 from . import storage
 from .chunks import Corpus, corpus
 
 EXTRACTOR_VERSION = "1"
-#: Longer chunks are cut; files with more text are kept without chunks.
+#: Of a new index; an index keeps its number.
+BUCKETS = 64
+#: From these on a file's status says ``partial`` (its longest chunk) or ``too_large`` (its text). It is stored and searched whole.
 CHUNK_CHARS = 64 * 1024
 FILE_CHARS = 8 * 1024 * 1024
 MARKS = ("size", "mtime_ns", "version")
 
 
+class IndexUnavailable(RuntimeError):
+    """The index can't be read; a search goes to the files instead."""
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed meanwhile; nothing was changed."""
+
+
 def with_version(files: DataFrame, settings: str = "") -> DataFrame:
     return files.withColumn("version", paths.fingerprint([F.lit(EXTRACTOR_VERSION), F.lit(settings)]))
 
@@ -47,14 +62,12 @@ def candidates(files: DataFrame, chunks: DataFrame, plan) -> DataFrame:  # type:
     return files if some is None else files.join(chunks.filter(some).select("file_id"), "file_id", "left_semi")
 
 
-def capped(files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply the caps on chunk and file length; ``status`` tells ok, partial, too_large or empty."""
+def measured(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Files with chunk_count, text_chars and status: ok, partial, too_large or empty."""
     sizes = chunks.filter("chunk_index > 1").groupBy("file_id").agg(F.count("*").alias("chunk_count"), F.sum(F.length("text")).alias("text_chars"), F.max(F.length("text")).alias("_longest"))
     known = files.join(sizes, "file_id", "left").withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "text_chars": F.coalesce("text_chars", F.lit(0))})
     status = F.when(F.col("text_chars") > FILE_CHARS, "too_large").when(F.col("chunk_count") == 0, "empty").when(F.col("_longest") > CHUNK_CHARS, "partial").otherwise("ok")
-    known = known.withColumn("status", status).drop("_longest")
-    kept = chunks.join(known.filter("status = 'too_large'").select("file_id"), "file_id", "left_anti")
-    return known, kept.withColumns({c: F.substring(c, 1, CHUNK_CHARS) for c in ("text", "norm_text", "part_text")})
+    return known.withColumn("status", status).drop("_longest")
 
 
 def status(files: DataFrame) -> DataFrame:
@@ -62,58 +75,148 @@ def status(files: DataFrame) -> DataFrame:
 
 
 class CorpusIndex:
-    """An index under ``path`` of any file system that Spark writes."""
+    """An index under ``path`` of any file system that Spark writes; it stops growing at ``max_bytes``."""
+
+    def __init__(self, spark: SparkSession, path: str, *, max_bytes: int | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.max_bytes, self._buckets = spark, path.rstrip("/"), max_bytes, buckets
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    # commits -----------------------------------------------------------------------------
+    def _commits(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in storage.names(self.spark, f"{self.path}/commits") if n.endswith(".json"))
 
-    def _version(self) -> str | None:
-        if not storage.exists(self.spark, f"{self.path}/CURRENT"):
-            return None
-        return self.spark.read.schema("version string, n long").parquet(f"{self.path}/CURRENT").orderBy(F.desc("n")).first()["version"]
+    def _commit(self, number: int) -> dict:
+        try:
+            return json.loads(storage.read_text(self.spark, f"{self.path}/commits/{number}.json"))
+        except Exception as e:
+            raise IndexUnavailable(f"{self.path}: commit {number} can't be read") from e
+
+    def _now(self) -> tuple[int, dict | None]:
+        known = self._commits()
+        return (known[-1], self._commit(known[-1])) if known else (0, None)
+
+    def _table(self, commit: dict, table: str) -> DataFrame:
+        folders = [f"{self.path}/{folder}/{table}/bucket={b}" for b, folder in sorted(commit["folders"].items(), key=lambda x: int(x[0]))]
+        schema = StructType.fromJson(commit["schemas"][table])
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def load(self) -> Corpus | None:
-        version = self._version()
-        if version is None:
-            return None
-        return Corpus(*[self.spark.read.parquet(f"{self.path}/{version}/{t}") for t in ("files", "chunks")])
-
-    def _publish(self, files: DataFrame, chunks: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        files.write.parquet(f"{self.path}/{version}/files")
-        # a file's chunks lie together, which serves per-file reads and keeps footer statistics tight
-        chunks.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").write.parquet(f"{self.path}/{version}/chunks")
-        before = self.spark.read.schema("version string, n long").parquet(f"{self.path}/CURRENT").agg(F.max("n")).first()[0] if self._version() else 0
-        self.spark.createDataFrame([(version, before + 1)], "version string, n long").coalesce(1).write.mode("append").parquet(f"{self.path}/CURRENT")
+        """The corpus of the last commit, None before the first; ``IndexUnavailable`` if it is damaged."""
+        _, commit = self._now()
+        return None if commit is None else Corpus(self._table(commit, "files"), self._table(commit, "chunks"))
+
+    def verify(self) -> None:
+        """Raise ``IndexUnavailable`` unless all folders of the last commit are there and hold as many files as it says."""
+        _, commit = self._now()
+        if commit is None:
+            return
+        missing = [f for f in sorted(set(commit["folders"].values())) if not storage.exists(self.spark, f"{self.path}/{f}/files/_SUCCESS")]
+        if missing:
+            raise IndexUnavailable(f"{self.path}: {', '.join(missing)} is missing")
+        try:
+            found = self._table(commit, "files").count()
+        except Exception as e:
+            raise IndexUnavailable(f"{self.path}: {e}") from e
+        if found != commit["files"]:
+            raise IndexUnavailable(f"{self.path}: {found} files of {commit['files']}")
+
+    def size(self) -> int:
+        """Bytes of the last commit."""
+        _, commit = self._now()
+        return sum(storage.size(self.spark, f"{self.path}/{folder}/{t}/bucket={b}") for b, folder in commit["folders"].items() for t in ("files", "chunks")) if commit else 0
+
+    def _bucket(self, commit: dict | None) -> Column:
+        return F.pmod(F.xxhash64("file_id"), F.lit(commit["buckets"] if commit else self._buckets)).cast("int")
+
+    def _publish(self, number: int, before: dict | None, touched: list[int], files: DataFrame, chunks: DataFrame) -> None:
+        """Commit new contents of the touched buckets."""
+        folder, bucket = f"data/{number + 1}-{uuid.uuid4().hex}", self._bucket(before)
+        schemas = {"files": files.schema.jsonValue(), "chunks": chunks.schema.jsonValue()}
+        held = files.withColumn("bucket", bucket)
+        held.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/files")
+        # a file's chunks lie together, which serves per-file reads and keeps footer statistics tight; a bucket is not one task
+        wide = chunks.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("file_id", F.lit(1)), F.lit(16)))
+        wide.sortWithinPartitions("bucket", "file_id", "chunk_index").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/chunks")
+        there = {n.removeprefix("bucket=") for n in storage.names(self.spark, f"{self.path}/{folder}/files") if n.startswith("bucket=")}
+        folders = {b: f for b, f in (before["folders"] if before else {}).items() if int(b) not in set(touched)}
+        folders |= dict.fromkeys(there, folder)
+        commit = {"buckets": before["buckets"] if before else self._buckets, "schemas": schemas, "folders": folders, "files": 0}
+        commit["files"] = self._table(commit, "files").count()
+        if not storage.create_text(self.spark, f"{self.path}/commits/{number + 1}.json", json.dumps(commit)):
+            storage.remove(self.spark, f"{self.path}/{folder}")
+            raise Conflict(f"{self.path}: commit {number + 1} is taken")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove commits but the last ``keep`` and the folders that only they name; returns the number of folders."""
+        known = self._commits()
+        wanted = {f for n in known[-keep:] for f in self._commit(n)["folders"].values()}
+        gone = {f for n in known[:-keep] for f in self._commit(n)["folders"].values()} - wanted
+        for n in known[:-keep]:
+            storage.remove(self.spark, f"{self.path}/commits/{n}.json")
+        for folder in gone:
+            storage.remove(self.spark, f"{self.path}/{folder}")
+        return len(gone)
+
+    # changes -----------------------------------------------------------------------------
+    def pending(self, files: DataFrame, settings: str = "", *, complete: bool = True) -> DataFrame:
+        """What a refresh with ``files`` would change (file_id, change); nothing is read but the two lists of files."""
+        now, (_, commit) = with_version(files, settings), self._now()
+        marks = changes(now, self._table(commit, "files") if commit else now.limit(0))
+        return marks if complete else marks.filter("change <> 'removed'")
 
     def refresh(self, files: DataFrame, body: DataFrame, settings: str = "", *, complete: bool = True) -> DataFrame:
         """Take in ``files`` and the chunks (``body``) of those that changed; returns the changes.
 
-        Files that are missing from ``files`` go only if the listing was ``complete``.
+        Files that are missing from ``files`` go only if the listing was ``complete``. An index that has
+        reached ``max_bytes`` takes no new files (change ``full``) but still updates and removes.
         """
+        number, commit = self._now()
         now = with_version(files, settings)
-        old = self.load()
-        marks = changes(now, old.files if old else now.limit(0))
-        marks = storage.stored(marks if complete else marks.filter("change <> 'removed'"), "changes")
+        marks = self.pending(files, settings, complete=complete)
+        if self.max_bytes is not None and commit and self.size() >= self.max_bytes:
+            marks = marks.withColumn("change", F.when(F.col("change") == "added", "full").otherwise(F.col("change")))
+        marks = storage.stored(marks, "changes")
+        moved = marks.filter("change in ('added', 'updated', 'removed')").select("file_id")
+        touched = [r["b"] for r in moved.select(self._bucket(commit).alias("b")).distinct().collect()]  # as many as there are buckets
+        if not touched and commit:
+            return marks
         fresh = now.join(marks.filter("change in ('added', 'updated')").select("file_id"), "file_id", "left_semi")
         new = corpus(fresh, body.join(fresh.select("file_id"), "file_id", "left_semi"))
-        new_files, new_chunks = capped(new.files.withColumn("indexed_at", F.current_timestamp()), new.chunks)
-        if old:
-            touched = marks.filter("change <> 'unchanged'").select("file_id")
-            new_files = old.files.join(touched, "file_id", "left_anti").unionByName(new_files, allowMissingColumns=True)
-            new_chunks = old.chunks.join(touched, "file_id", "left_anti").unionByName(new_chunks)
-        self._publish(new_files, new_chunks)
+        new_files, new_chunks = measured(new.files.withColumn("indexed_at", F.current_timestamp()), new.chunks), new.chunks
+        if commit:
+            here = {"folders": {b: f for b, f in commit["folders"].items() if int(b) in touched}, "schemas": commit["schemas"]}
+            new_files = self._table(here, "files").join(moved, "file_id", "left_anti").unionByName(new_files, allowMissingColumns=True)
+            new_chunks = self._table(here, "chunks").join(moved, "file_id", "left_anti").unionByName(new_chunks)
+        self._publish(number, commit, touched, new_files, new_chunks)
         return marks
 
-    def remove(self, condition) -> None:  # type: ignore[no-untyped-def]
+    def remove(self, condition: Column) -> None:
         """Forget the files for which a condition on ``files`` holds."""
-        old = self.load()
-        if old:
-            gone = old.files.filter(condition).select("file_id")
-            self._publish(old.files.join(gone, "file_id", "left_anti"), old.chunks.join(gone, "file_id", "left_anti"))
+        number, commit = self._now()
+        if commit is None:
+            return
+        gone = storage.stored(self._table(commit, "files").filter(condition).select("file_id"), "gone")
+        touched = [r["b"] for r in gone.select(self._bucket(commit).alias("b")).distinct().collect()]
+        if touched:
+            here = {"folders": {b: f for b, f in commit["folders"].items() if int(b) in touched}, "schemas": commit["schemas"]}
+            self._publish(number, commit, touched, *[self._table(here, t).join(gone, "file_id", "left_anti") for t in ("files", "chunks")])
 
     def clear(self) -> None:
         self.remove(F.lit(True))
 
+    def rebuild(self, files: DataFrame, body: DataFrame, settings: str = "") -> DataFrame:
+        """Start anew, whatever is there; for an index that can't be read."""
+        storage.remove(self.spark, self.path)
+        return self.refresh(files, body, settings)
+
+    # questions ---------------------------------------------------------------------------
     def status(self) -> DataFrame:
         return status(self.load().files)
+
+    def under(self, root: str) -> DataFrame:
+        """The indexed files below a folder."""
+        return self.load().files.filter(paths.is_under(F.col("path"), root))
+
+    def known_count(self, root: str | None = None) -> int:
+        if self._now()[1] is None:
+            return 0
+        return (self.load().files if root is None else self.under(root)).count()

@@ -34,12 +34,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
+    fs, p = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path; 0 if it isn't there."""
+    fs, p = _at(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, or not at all if the name is taken by then."""
+    fs, p = _at(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(text.encode())
+    out.close()
+    taken = fs.exists(p) or not fs.rename(part, p)
+    if taken:
+        fs.delete(part, False)
+    return not taken
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

@@ -2,10 +2,11 @@ import io
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio.plans.search import search
-from sparkfolio.sources import extract, ocr_cache
+from sparkfolio.sources import extract, index, ocr_cache, storage
 from sparkfolio.sources.chunks import corpus, from_texts
 from sparkfolio.sources.index import CorpusIndex
 from sparkfolio.streaming import incremental
@@ -92,6 +93,52 @@ def test_index_keeps_up(spark, tmp_path):
     assert idx.load().files.count() == 0
 
 
+def test_index_writes_changed_buckets_only(spark, tmp_path):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=4)
+    _refresh(idx, _rows(spark, *[(i, f"alpha {i}") for i in range(40)]))
+    before = idx._now()[1]["folders"]
+    _refresh(idx, _rows(spark, *[(i, f"alpha {i}" + " beta" * (i == 7)) for i in range(40)]))
+    after = idx._now()[1]["folders"]
+    moved = [b for b in before if before[b] != after[b]]
+    assert len(before) == 4 and len(moved) == 1 and idx.load().files.count() == 40
+    assert [r["file_id"] for r in search(idx.load(), "beta").results.collect()] == [7]
+    assert _refresh(idx, _rows(spark, *[(i, f"alpha {i}" + " beta" * (i == 7)) for i in range(40)])) == dict.fromkeys(range(40), "unchanged")
+    assert idx._commits() == [1, 2] and idx.vacuum(keep=1) == 0 and idx._commits() == [2]
+    idx.remove(F.col("file_id") < 20)
+    idx.clear()
+    assert idx.vacuum(keep=1) > 0 and idx.load().files.count() == idx.load().chunks.count() == 0 and idx.size() == 0
+
+
+def test_index_keeps_long_texts_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(index, "FILE_CHARS", 200)
+    idx = CorpusIndex(spark, str(tmp_path / "index"))
+    _refresh(idx, _rows(spark, (1, "x" * 60 + "needle"), (2, ("y" * 40 + "\n") * 9 + "needle"), (3, "needle"), (4, "")))
+    assert {r["file_id"]: r["status"] for r in idx.load().files.collect()} == {1: "partial", 2: "too_large", 3: "ok", 4: "empty"}
+    assert search(idx.load(), "needle").results.count() == 3
+
+
+def test_index_stops_growing_and_tells_damage(spark, tmp_path):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), max_bytes=1)
+    assert _refresh(idx, _rows(spark, (1, "alpha"), (2, "beta"))) == {1: "added", 2: "added"}
+    assert _refresh(idx, _rows(spark, (1, "alpha"), (2, "beta new"), (3, "gamma"))) == {1: "unchanged", 2: "updated", 3: "full"}
+    assert idx.known_count() == 2 and idx.known_count("/x") == 2 and idx.under("/y").count() == 0
+    idx.verify()
+    stale = CorpusIndex(spark, idx.path)
+    stale._now = lambda n=idx._now(): n  # a writer that began before
+    idx.remove(F.col("file_id") == 1)
+    with pytest.raises(index.Conflict):
+        stale.remove(F.col("file_id") == 2)
+    assert idx.known_count() == 1
+    storage.remove(spark, f"{idx.path}/{next(iter(idx._now()[1]['folders'].values()))}")
+    with pytest.raises(index.IndexUnavailable):
+        idx.verify()
+    made = from_texts(_rows(spark, (9, "new")))
+    idx.rebuild(made.files.drop("name_norm", "path_norm"), made.chunks.filter("chunk_index > 1").drop("norm_text", "part_text"))
+    idx.verify()
+    assert idx.known_count() == 1
+
+
 def test_streams(spark, tmp_path):
     incoming, idx = str(tmp_path / "in"), CorpusIndex(spark, str(tmp_path / "index"))
     schema = "file_id long, folder string, text string"
