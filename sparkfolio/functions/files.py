@@ -19,6 +19,11 @@ EXTENSIONS = {
     ),
     "archive": (".zip", ".7z", ".rar"),
 }
+#: Extensions of files that hold no text.
+BINARY = (
+    ".exe", ".dll", ".bin", ".iso", ".zip", ".7z", ".rar", ".tar", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif",
+    ".tiff", ".webp", ".mp3", ".wav", ".mp4", ".mov", ".avi", ".db", ".sqlite", ".doc", ".ppt", ".xls.old",
+)
 UNKNOWN = "?"
 
 
@@ -75,10 +80,13 @@ def modified_day(mtime_ns: Column) -> Column:
     return F.to_date(F.timestamp_micros(((mtime_ns - F.pmod(mtime_ns, F.lit(1000))) / 1000).cast("long")))
 
 
-def source_type(path: Column) -> Column:
-    """Where a path lies, by its spelling."""
+def source_type(path: Column, removable: Iterable[str] = ()) -> Column:
+    """Where a path lies, by its spelling; ``removable`` names roots of exchangeable media. Unknown without a path."""
     low = F.lower(F.regexp_replace(path, r"\\", "/"))
-    return F.when(low.startswith("//"), "smb").when(low.rlike("(^|/)onedrive[^/]*/"), "onedrive").otherwise("local")
+    out = F.when(low.isNull() | (low == ""), "unknown").when(low.startswith("//"), "smb")
+    for root in removable:
+        out = out.when(is_under(low, root.lower()), "removable")
+    return out.when(low.rlike("(^|/)onedrive[^/]*/"), "onedrive").otherwise("local")
 
 
 def cloud_state(attributes: Column, source: Column) -> Column:
@@ -90,10 +98,16 @@ def cloud_state(attributes: Column, source: Column) -> Column:
 
 
 def cloud_decision(state: Column, indexed: Column, mode: str, policy: str) -> Column:
-    """read, index or skip for a file; an indexed file is served without a download unless ``fetch`` asks for one."""
-    fetch = policy == "fetch" or policy == "auto" and mode != "fast"
+    """read, index or skip for a file: one that lies online only is fetched, served from an index, or passed over."""
+    if policy == "fetch":
+        return F.lit("read")
     out = F.when(state != "online", "read")
-    return (out if policy == "fetch" else out.when(indexed, "index")).otherwise("read" if fetch else "skip")
+    return out.otherwise("skip") if policy == "skip" or mode == "fast" else out.when(indexed, "index").otherwise("read")
+
+
+def source_label(source: Column, cloud: Column) -> Column:
+    """Where a file lies, and ``online`` or ``pinned`` behind it."""
+    return F.when(cloud.isin("online", "pinned"), F.concat_ws(" ", source, cloud)).otherwise(source)
 
 
 def fingerprint(parts: Iterable[Column]) -> Column:

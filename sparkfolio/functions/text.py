@@ -68,6 +68,11 @@ def near(hay: Column, left: str, right: str, distance: int) -> Column:
     return hay.contains(left) & hay.contains(right) & hay.rlike(f"(?s){ahead(left, right)}|{ahead(right, left)}")
 
 
+def caseless(text: Column) -> Column:
+    """A text as names are ordered: lower case, and letters that have another spelling in upper case."""
+    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 

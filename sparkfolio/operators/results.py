@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as paths
 from ..functions import text as texts
+from ..sources import storage
 
 SORTS = {
     "relevance": "score",
@@ -25,7 +28,7 @@ DOWNWARDS = ("relevance", "hits", "modified", "size")
 
 def sort(results: DataFrame, by: str = "relevance", descending: bool | None = None) -> DataFrame:
     """By one column, ties by path upwards."""
-    key = F.lower(SORTS[by]) if by in ("filename", "path", "type", "source") else F.col(SORTS[by])
+    key = texts.caseless(F.col(SORTS[by])) if by in ("filename", "path", "type", "source") else F.col(SORTS[by])
     down = by in DOWNWARDS if descending is None else descending
     return results.orderBy(key.desc() if down else key.asc(), "path", "file_id")
 
@@ -74,50 +77,142 @@ def coverage(judged: DataFrame) -> DataFrame:
     )
 
 
+#: Counters of a search over folders.
+COUNTERS = ("discovered", "scanned", "hits", "indexed", "read", "ocr_pages", "skipped_online", "skipped_size", "skipped_type", "warnings", "errors", "bytes")
+
+
+def covered(files: DataFrame, results: DataFrame, issues: DataFrame, extracted: DataFrame) -> DataFrame:
+    """One row of ``COUNTERS`` over listed files with their ``decision``; each input is aggregated once."""
+    n = lambda test, name: F.count_if(test).alias(name)
+    by = F.col("decision")
+    listed = files.agg(
+        F.count("*").alias("discovered"),
+        n(by.isin("read", "index", "skip_online"), "scanned"),
+        n(by == "index", "indexed"),
+        n(by == "read", "read"),
+        *[n(by == f"skip_{x}", f"skipped_{x}") for x in ("online", "size", "type")],
+        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+    )
+    told = issues.agg(n(F.col("severity") == "warn", "warnings"), n(F.col("severity") == "error", "errors"))
+    pages = extracted.agg(n(F.col("kind") == "ocr", "ocr_pages"))
+    rows = [results.agg(F.count("*").alias("hits")), told, pages]
+    for row in rows:  # one row each
+        listed = listed.join(F.broadcast(row), F.lit(True))
+    return listed.select(*COUNTERS)
+
+
 def coverage_text(row: DataFrame) -> DataFrame:
-    return row.select(F.format_string("検索 %d / %d 件、一致 %d 件", "scanned", "discovered", "matched").alias("text"))
+    """The counters as a line (fixed format); warnings and errors only if there are any."""
+    number = lambda c: F.format_number(F.col(c), 0)
+    parts = [F.concat(F.lit(f"{label} "), number(c), F.lit(unit)) for c, label, unit in (("discovered", "発見", ""), ("scanned", "検索完了", ""), ("hits", "Hit", "資料"), ("indexed", "索引", ""), ("read", "実読込", ""), ("ocr_pages", "OCR", "ページ"), ("skipped_online", "Online-only skip", ""))]
+    parts += [F.when(F.col(c) > 0, F.concat(F.lit(f"{label} "), number(c))) for c, label in (("warnings", "警告"), ("errors", "エラー"))]
+    return row.select(F.concat_ws(" / ", *parts).alias("text"))
+
+
+def summary_text(row: DataFrame) -> DataFrame:
+    """A short line for the end of a search (fixed format); what is 0 is left out."""
+    some = (("skipped_type", "対象外 "), ("skipped_online", "未取得 "), ("skipped_size", "サイズ超過 "), ("warnings", "警告 "), ("errors", "エラー "))
+    parts = [F.when(F.col(c) > 0, F.concat(F.lit(label), F.format_number(F.col(c), 0))) for c, label in some]
+    return row.select(F.concat_ws(" / ", F.concat(F.lit("検索完了 "), F.format_number("scanned", 0), F.lit("件")), *parts).alias("text"))
+
+
+def progress(scanned: Column, discovered: Column, done: Column) -> Column:
+    """The share of files that are judged, from 0 to 1; null until all are listed."""
+    return F.when(done & (discovered > 0), F.least(F.lit(1.0), scanned / discovered))
 
 
 def latest_within(cache: DataFrame, most_bytes: int, *, key: str = "key", size: str = "chars", used: str = "used_at", batch: int = 200) -> DataFrame:
-    """The rows of a cache that stay when the longest unused go, in whole batches, until it fits."""
-    newest = Window.orderBy(F.col(used).desc(), F.col(key).desc())
-    total = F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    over = cache.withColumn("_total", total).withColumn("_age", F.row_number().over(newest))
-    gone = F.count_if(F.col("_total") > most_bytes).over(Window.partitionBy())
-    every = F.count("*").over(Window.partitionBy())
-    left = every - F.ceil(gone / batch) * batch
-    return over.withColumn("_left", left).filter(F.col("_age") <= F.col("_left")).select(*cache.columns)
+    """The rows of a cache that stay when the longest unused go, in whole batches, until it fits.
+
+    Rows are dealt out by ranges of their last use; totals of the ranges, one row each, give every range
+    what lies before it.
+    """
+    newest = [F.col(used).desc(), F.col(key).desc()]
+    dealt = storage.stored(cache.repartitionByRange(*newest).withColumn("_part", F.spark_partition_id()), "cache")
+    ranges = dealt.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    ranges = ranges.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_bytes", "_rows")])
+    inside = Window.partitionBy("_part").orderBy(*newest)
+    aged = dealt.join(F.broadcast(ranges), "_part").withColumns(
+        {
+            "_total": F.col("_bytes_before") + F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "_age": F.col("_rows_before") + F.row_number().over(inside),
+        }
+    )
+    left = aged.agg((F.count("*") - F.ceil(F.count_if(F.col("_total") > most_bytes) / batch) * batch).alias("left"))
+    return aged.filter(F.col("_age") <= left.scalar()).select(*cache.columns)
+
+
+def shown_rows(results: DataFrame) -> DataFrame:
+    """The columns of a list of results, and ``tags`` that tell how a row is drawn; ``odd`` follows the order of ``sort``."""
+    has = lambda c: c in results.columns
+    kind = F.when(F.col("from_index"), F.concat("file_kind", F.lit("*"))).otherwise(F.col("file_kind")) if has("from_index") else F.col("file_kind")
+    tags = F.array(F.when(F.col("confirmed"), "confirmed"), F.when(F.col("ocr_hit"), "ocr"))
+    return results.select(
+        "file_id",
+        F.when(F.col("confirmed"), "✓").otherwise("").alias("confirmed"),
+        "name",
+        F.array_join("displays", " / ").alias("displays"),
+        "hit_count",
+        kind.alias("kind"),
+        _time(F.col("mtime_ns")).alias("modified"),
+        paths.human_size(F.col("size")).alias("size_text"),
+        paths.source_label(F.col("source_type"), F.col("cloud_state")).alias("source"),
+        "path",
+        F.filter(tags, lambda t: t.isNotNull()).alias("tags"),
+    )
+
+
+def _time(mtime_ns: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(F.floor(mtime_ns / 1_000_000_000)), "yyyy-MM-dd HH:mm")
+
+
+#: Headings of the CSV export (fixed values), with the columns of ``csv_rows`` under them.
+CSV = {"済": "confirmed", "ファイル": "name", "一致条件": "displays", "Hit数": "hit_count", "種類": "file_kind", "更新日時": "modified", "サイズ": "size_text", "Source": "source", "OCR": "ocr", "場所": "location", "根拠": "snippet", "Path": "path"}
+#: More rows than these aren't exported by themselves at the end of a search (fixed value).
+MOST_AUTOSAVED = 100_000
 
 
 def csv_rows(results: DataFrame) -> DataFrame:
-    """The twelve columns of the CSV export; of evidence the first only."""
+    """The columns of the CSV export, and matched_terms and score; of evidence the first only."""
     first = F.try_element_at("evidence", F.lit(1)) if "evidence" in results.columns else F.lit(None).cast("struct<location:string,snippet:string>")
     return results.select(
+        F.when(F.col("confirmed"), "✓").otherwise("").alias("confirmed"),
         "name",
         "path",
         "file_kind",
         F.array_join("displays", " / ").alias("displays"),
         F.array_join("matched_terms", " ").alias("matched_terms"),
         "hit_count",
-        F.date_format(F.timestamp_seconds(F.floor(F.col("mtime_ns") / 1_000_000_000)), "yyyy-MM-dd HH:mm").alias("modified"),
+        _time(F.col("mtime_ns")).alias("modified"),
         paths.human_size(F.col("size")).alias("size_text"),
         "source_type",
-        first["location"].alias("location"),
-        first["snippet"].alias("snippet"),
+        paths.source_label(F.col("source_type"), F.col("cloud_state")).alias("source"),
+        F.when(F.col("ocr_hit"), "OCR").otherwise("").alias("ocr"),
+        F.coalesce(first["location"], F.lit("")).alias("location"),
+        F.coalesce(first["snippet"], F.lit("")).alias("snippet"),
         "score",
     )
 
 
 def write_csv(results: DataFrame, path: str) -> None:
-    csv_rows(results).write.csv(path, header=True, quoteAll=True)
+    """A folder of CSV parts; each starts with the mark of UTF-8, so that spreadsheets read it as such."""
+    rows = csv_rows(results).select(*[F.col(c).alias(("\ufeff" if i == 0 else "") + h) for i, (h, c) in enumerate(CSV.items())])
+    rows.write.csv(path, header=True, quoteAll=True, emptyValue="")
 
 
 def json_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.to_json(F.struct("path", F.col("file_kind").alias("kind"), F.col("hit_count").alias("hits"), "displays")).alias("json"))
+    return results.select(F.to_json(F.struct("path", F.col("file_kind").alias("kind"), F.col("hit_count").alias("hits"), "displays", *[c for c in ("from_index",) if c in results.columns])).alias("json"))
+
+
+def json_document(results: DataFrame, coverage: DataFrame, *, query: str, mode: str, elapsed: float) -> str:
+    """One document with the query, the coverage and all results; for results that are limited."""
+    rows = [json.loads(r["json"]) for r in json_rows(sort(results)).toLocalIterator()]
+    return json.dumps({"query": query, "mode": mode, "elapsed": round(elapsed, 3), "coverage": coverage.first().asDict(), "results": rows}, ensure_ascii=False, indent=2)
 
 
 def text_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.format_string("%6d  %-8s %s", "hit_count", "file_kind", "path").alias("line"))
+    return results.select("file_id", F.format_string("%5d  %-9s %s", "hit_count", "file_kind", "path").alias("line"))
 
 
 def clipboard(results: DataFrame) -> DataFrame:
@@ -126,6 +221,13 @@ def clipboard(results: DataFrame) -> DataFrame:
     return results.select("file_id", F.concat_ws("\n", F.array("path"), F.coalesce(lines, F.array().cast("array<string>"))).alias("text"))
 
 
+def toggled(confirmed: DataFrame, file_id: int) -> DataFrame:
+    """A user's set of confirmed files with one file put in, or taken out if it was there."""
+    one = confirmed.sparkSession.range(file_id, file_id + 1).select(F.col("id").cast(confirmed.schema["file_id"].dataType).alias("file_id"))
+    both = confirmed.select("file_id").distinct().unionByName(one)
+    return both.groupBy("file_id").agg(F.count("*").alias("n")).filter((F.col("file_id") != file_id) | (F.col("n") == 1)).select("file_id")
+
+
 def preview(chunks: DataFrame, file_id: int, needles: list[str], most_chars: int = 40_000) -> DataFrame:
     """The lines of one file with their locations, blanks dropped, marked, cut at ``most_chars``."""
     mine = chunks.filter(F.col("file_id") == file_id)

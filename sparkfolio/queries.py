@@ -180,7 +180,7 @@ _add(
     ),
 )
 _add("export_json", lambda s, d: ops.json_rows(_two(s, d).results), _two_sql("""'{"path":"' || path || '","kind":"' || file_kind || '","hits":' || hit_count || ',"displays":["' || concat_ws('","', CASE WHEN p0 THEN 'thenwh' END, CASE WHEN p1 THEN 'reed.' END) || '"]}' AS json"""))
-_add("export_text", lambda s, d: ops.text_rows(_two(s, d).results), _two_sql("printf('%6d  %-8s %s', hit_count, file_kind, path) AS line"))
+_add("export_text", lambda s, d: ops.text_rows(_two(s, d).results).select("line"), _two_sql("printf('%5d  %-9s %s', hit_count, file_kind, path) AS line"))
 
 
 # ------------------------------------------------------------------------- files and index

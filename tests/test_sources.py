@@ -1,11 +1,19 @@
+import datetime
 import io
+import json
 import time
 import zipfile
+import zlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkfolio import __main__ as command
+from sparkfolio.lang.nodes import QueryError
 from sparkfolio.plans.search import search
+from sparkfolio.session import Request, run
+from sparkfolio.settings import Settings
 from sparkfolio.sources import extract, index, ocr_cache, storage
 from sparkfolio.sources.chunks import corpus, from_texts
 from sparkfolio.sources.index import CorpusIndex
@@ -22,6 +30,29 @@ def _zip(**parts):
     return out.getvalue()
 
 
+def _pdf(*pages):
+    """Pages of one line each, compressed streams, a map of codes for the second font."""
+    out, kids = [], []
+    for n, text in enumerate(pages):
+        said = "".join(f"\\{c}" if c in "()\\" else c for c in text)
+        body = zlib.compress(f"BT /F1 12 Tf 72 700 Td ({said[:4]}) Tj [({said[4:]}) -20 ( )] TJ 0 -14 Td /F2 12 Tf <0102> Tj ET".encode())
+        kids.append(f"{10 + 2 * n} 0 R")
+        out.append(f"{10 + 2 * n} 0 obj\n<</Type /Page /Parent 2 0 R /Contents {11 + 2 * n} 0 R>>\nendobj\n".encode())
+        out.append(f"{11 + 2 * n} 0 obj\n<</Filter /FlateDecode /Length {len(body)}>>\nstream\n".encode() + body + b"\nendstream\nendobj\n")
+    cmap = "1 beginbfchar <01> <96FB> endbfchar 1 beginbfrange <02> <03> <6E90> endbfrange"
+    head = f"""%PDF-1.5
+1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj
+2 0 obj <</Type /Pages /Kids [{' '.join(kids)}] /Resources <</Font <</F1 3 0 R /F2 4 0 R>>>>>> endobj
+3 0 obj <</Type /Font>> endobj
+4 0 obj <</Type /Font /ToUnicode 5 0 R>> endobj
+5 0 obj <</Length {len(cmap)}>>
+stream
+{cmap}
+endstream endobj
+"""
+    return head.encode() + b"".join(out)
+
+
 def _write(root):
     (root / "sub").mkdir(parents=True)
     (root / "utf8.txt").write_text("AAA 評価\n\nBBB 電源\n", encoding="utf-8")
@@ -29,7 +60,8 @@ def _write(root):
     (root / "utf16.txt").write_bytes("温度 上昇".encode("utf-16"))
     (root / "data.dat").write_text("落下 試験", encoding="utf-8")
     (root / "binary.bin").write_bytes(bytes(range(256)) * 16)
-    (root / "a.pdf").write_bytes(b"%PDF")
+    (root / "a.pdf").write_bytes(_pdf("AAA in a page", "two (words)"))
+    (root / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
     (root / "a.docx").write_bytes(_zip(**{"word/document.xml": f'<d xmlns="{W}"><p><t>AAA 落下</t></p><tbl><p><t>BBB</t></p></tbl></d>', "word/header1.xml": f'<d xmlns="{W}"><p><t>社外秘</t></p></d>'}))
     (root / "a.pptx").write_bytes(_zip(**{"ppt/slides/slide1.xml": f'<s xmlns="{W}"><p><t>AAA 耐久</t></p></s>', "ppt/slides/slide2.xml": f'<s xmlns="{W}" show="0"><p><t>CCC</t></p></s>', "ppt/notesSlides/notesSlide1.xml": f'<s xmlns="{W}"><p><t>BBB</t></p></s>'}))
     (root / "a.xlsx").write_bytes(
@@ -50,22 +82,162 @@ def test_scan_and_extract(spark, tmp_path):
     root = tmp_path / "corpus"
     _write(root)
     files = extract.scan(spark, f"{root}; {root}")
-    assert files.count() == 11 and files.filter("name = 'sjis.txt'").first()["extension"] == ".txt"
+    assert files.count() == 12 and files.filter("name = 'sjis.txt'").first()["extension"] == ".txt"
     got = extract.extract(spark, files, str(root)).join(files.select("file_id", "name"), "file_id").collect()
     said = {}
     for r in got:
         said.setdefault(r["name"], []).append((r["kind"], r["location"], r["text"].rstrip("\n")) if r["code"] is None else r["code"])
     assert said["utf8.txt"] == [("line", "1行", "AAA 評価"), ("line", "3行", "BBB 電源")]
     assert said["sjis.txt"][0][2] == "電源ノイズ 測定" and said["utf16.txt"][0][2] == "温度 上昇" and said["data.dat"][0][2] == "落下 試験"
-    assert said["binary.bin"] == said["a.pdf"] == ["unsupported"] and said["evil.docx"] == ["unsafe_xml"]
+    assert said["binary.bin"] == said["old.xls"] == ["unsupported"] and said["evil.docx"] == ["unsafe_xml"]
+    assert said["a.pdf"] == [("page", "1ページ", "AAA in a page \n電源"), "no_recogniser", ("page", "2ページ", "two (words) \n電源")]
     assert said["a.docx"] == [("paragraph", "段落1", "AAA 落下"), ("table", "表1", "BBB"), ("header", "段落1", "社外秘")]
     assert ("slide", "スライド2（非表示）", "CCC") in said["a.pptx"] and ("note", "スライド1", "BBB") in said["a.pptx"]
     assert {("cell", "評価!A1", "AAA"), ("formula", "評価!B2", "=SUM(1,2)"), ("cell", "評価!B2", "3"), ("defined_name", "名前", "範囲 評価!A1"), ("comment", "A3", "注")} <= set(said["a.xlsx"])
-    assert said["a.zip"] == [("line", "a.zip > inner.txt / 1行", "異音 確認"), ("line", "a.zip > deep.zip / deep.zip > x.txt / 1行", "深い")]
-    chunks = extract.extract(spark, files, str(root)).filter("code is null").drop("code", "message")
+    assert said["a.zip"] == [("line", "a.zip > inner.txt / 1行", "異音 確認"), "zip_path", ("line", "a.zip > deep.zip / deep.zip > x.txt / 1行", "深い"), "zip_depth"]
+    chunks = extract.extract(spark, files, str(root)).filter("code is null").drop("code", "message", "severity")
     c = corpus(files, chunks)
     assert sorted(r["name"] for r in search(c, "AAA & BBB").results.collect()) == ["a.docx", "a.pptx", "utf8.txt"]
-    assert extract.issues(extract.extract(spark, files, str(root)), files).count() == 3
+    told = extract.issues(extract.extract(spark, files, str(root)), files).collect()
+    assert sorted((r["code"], r["severity"]) for r in told) == [("no_recogniser", "warn"), ("unsafe_xml", "skip"), ("unsupported", "skip"), ("unsupported", "skip"), ("zip_depth", "warn"), ("zip_path", "warn")]
+
+
+def test_scanned_pages_go_to_the_recogniser(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(_pdf("x"))
+    extract.recognise_with(lambda data, page: f"seen on {page}")
+    try:
+        rows = extract.extract(spark, extract.scan(spark, str(tmp_path)), str(tmp_path)).collect()
+    finally:
+        extract.recognise_with(None)
+    assert [(r["kind"], r["text"]) for r in rows] == [("page", "x \n電源"), ("ocr", "seen on 0")]
+
+
+def test_office_parts():
+    said = lambda reader, **parts: [c for c in reader("x", _zip(**parts))]
+    box = f'<d xmlns="{W}" xmlns:m="http://m"><p><t>before</t><m:AlternateContent><m:Choice><txbxContent><p><t>in a box</t></p></txbxContent></m:Choice><m:Fallback><txbxContent><p><t>in a box</t></p></txbxContent></m:Fallback></m:AlternateContent></p></d>'
+    assert said(extract.read_word, **{"word/document.xml": box}) == [("paragraph", "段落1", "before"), ("textbox", "テキストボックス", "in a box")]
+    rel = lambda **x: "<r>" + "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in x.items()) + "</r>"
+    sheet = lambda v: f'<s xmlns="{W}"><c r="A1"><v>{v}</v></c></s>'
+    book = f'<w xmlns="{W}" xmlns:r="http://r"><sheet name="one" r:id="b"/><sheet name="two" r:id="a"/></w>'
+    got = said(extract.read_sheets, **{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rel(a="worksheets/sheet1.xml", b="/xl/worksheets/sheet2.xml"), "xl/worksheets/sheet1.xml": sheet(1), "xl/worksheets/sheet2.xml": sheet(2)})
+    assert got[2:] == [("cell", "two!A1", "1"), ("cell", "one!A1", "2")]
+    slide = lambda t: f'<s xmlns="{W}"><p><t>{t}</t></p></s>'
+    show = f'<p xmlns="{W}" xmlns:r="http://r"><sldId r:id="y"/><sldId r:id="x"/></p>'
+    got = said(extract.read_slides, **{"ppt/presentation.xml": show, "ppt/_rels/presentation.xml.rels": rel(x="slides/slide1.xml", y="slides/slide2.xml"), "ppt/slides/slide1.xml": slide("last"), "ppt/slides/slide2.xml": slide("first"), "ppt/charts/chart1.xml": f'<c xmlns="{W}"><t>title</t><v>7</v></c>', "ppt/diagrams/data1.xml": f'<c xmlns="{W}"><t>step</t></c>'})
+    assert got == [("slide", "スライド1", "first"), ("slide", "スライド2", "last"), ("chart", "グラフ", "title"), ("chart", "グラフ", "7"), ("textbox", "SmartArt", "step")]
+
+
+def test_cell_spellings():
+    day = datetime.datetime(2025, 1, 2, 3, 4, 5)
+    assert extract.cell_spellings(True) == ["True", "TRUE", "true"] and extract.cell_spellings(None) == []
+    assert extract.cell_spellings(7) == ["7", "7.0", "7.00", "007", "0007", "00007"]
+    assert extract.cell_spellings(7.0, "0.000") == ["7.0", "7", "7.00", "007", "0007", "00007", "7.000"]
+    assert extract.cell_spellings(1.25, "0.0") == ["1.25", "1.2"] and extract.cell_spellings("a") == ["a"]
+    assert extract.cell_spellings(day)[1:] == ["2025/01/02", "2025-01-02", "2025/1/2", "2025/01/02 03:04", "2025/01/02 03:04:05"]
+
+
+def test_encodings():
+    assert extract.sniff_encoding("ab 日本".encode("utf-16-le")) == "utf-16-le" and extract.sniff_encoding("ab".encode("utf-16-be")) == "utf-16-be"
+    assert extract.sniff_encoding("日本 a".encode("cp932")) == "cp932" and extract.sniff_encoding("日本".encode()) == "utf-8"
+
+
+def test_prefilter_decides_from_the_list(spark):
+    rows = [(1, "/a.txt", ".txt", 10, "local"), (2, "/b.txt", ".txt", 60 << 20, "local"), (3, "/c.zip", ".zip", 1, "local"), (4, "/d.xls", ".xls", 1, "local"), (5, "/e.md", ".md", 1, "online"), (6, "/f.md", ".md", 1, "local"), (7, "/g", "", 1, "local")]
+    files = spark.createDataFrame(rows, "file_id long, path string, extension string, size long, cloud_state string")
+    known = spark.createDataFrame([(5,), (6,)], "file_id long")
+    decide = lambda **x: [r["decision"] for r in extract.prefilter(files, indexed=known, **x).orderBy("file_id").collect()]
+    assert decide(kinds=["text", "excel", "?"]) == ["read", "skip_size", "skip_type", "skip_type", "index", "index", "read"]
+    assert decide(mode="fast") == ["read", "skip_size", "read", "skip_type", "skip_online", "index", "read"]
+    assert decide(mode="full", policy="fetch", limits={"text": 1 << 30}) == ["read", "read", "read", "skip_type", "read", "read", "read"]
+
+
+def test_session(spark, tmp_path):
+    root = tmp_path / "corpus"
+    _write(root)
+    events = []
+    idx = CorpusIndex(spark, str(tmp_path / "index"))
+    ask = Request([str(root)], "AAA & BBB")
+    first = run(spark, ask, index=idx, confirmed=[str(root / "utf8.txt")], listener=events.append)
+    names = lambda found: sorted((r["name"], r["from_index"], r["confirmed"]) for r in found.results.collect())
+    assert names(first) == [("a.docx", False, False), ("a.pptx", False, False), ("utf8.txt", False, True)] and not first.truncated
+    row = first.coverage.first()
+    assert (row["discovered"], row["scanned"], row["hits"], row["indexed"], row["read"], row["skipped_type"]) == (12, 9, 3, 0, 9, 3)
+    assert {r["code"] for r in first.issues.collect()} == {"unsafe_xml", "no_recogniser"}
+    assert [e.kind for e in events][:2] == ["started", "discovered"] and events[-1].kind == "finished" and events[-1].values["hits"] == 3
+    (root / "utf8.txt").write_text("AAA only\n", encoding="utf-8")
+    (root / "a.docx").unlink()
+    again = run(spark, ask, index=idx)
+    assert names(again) == [("a.pptx", True, False)]
+    row = again.coverage.first()
+    assert row["indexed"] >= 6 and row["indexed"] + row["read"] == 8
+    assert idx.under(str(root)).filter("name = 'a.docx'").count() == 0
+    capped = run(spark, replace(ask, query="AAA | 評価", max_results=1, mode="full"))
+    assert capped.truncated and capped.results.count() == 1 and "result_cap" in {r["code"] for r in capped.issues.collect()}
+    one = again.results.first()["file_id"]
+    assert [e["term"] for e in again.rescan(one).first()["evidence"]] == ["AAA", "BBB"]
+    storage.remove(spark, f"{idx.path}/{next(iter(idx._now()[1]['folders'].values()))}")
+    assert names(run(spark, ask, index=idx)) == [("a.pptx", False, False)]
+    with pytest.raises(QueryError):
+        run(spark, replace(ask, query="("), listener=events.append)
+    assert events[-1].kind == "failed"
+
+
+def test_a_file_that_changes_is_read_again(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("old")
+    real, times = extract.extract, []
+
+    def slow(spark, files, roots):
+        out = storage.stored(real(spark, files, roots), "read")
+        if not times:
+            (tmp_path / "a.txt").write_text("newer words")
+        times.append(1)
+        return out
+
+    monkeypatch.setattr(extract, "extract", slow)
+    found = run(spark, Request([str(tmp_path)], "newer"))
+    assert found.results.count() == 1 and [r["code"] for r in found.issues.collect()] == ["file_changed_retry"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("alpha beta\nalpha")
+    args = ["--search", str(tmp_path / "docs"), "--settings", str(tmp_path / "s.json"), "--query"]
+    assert command.main([*args, "alpha", "--json", "--out", str(tmp_path / "out.json")]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["results"] == [{"path": str(tmp_path / "docs" / "a.txt"), "kind": "text", "hits": 2, "displays": ["alpha"], "from_index": False}] and shown["coverage"]["hits"] == 1
+    assert json.loads((tmp_path / "out.json").read_text()) == shown
+    assert command.main([*args, "beta", "--limit", "1"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("発見 1 / 検索完了 1 / Hit 1資料") and lines[1] == f"    1  text      {tmp_path}/docs/a.txt"
+    assert command.main([*args, "("]) == 2 and command.main([]) == 2 and command.main(["--diagnostics"]) == 0
+    kept = Settings.load(tmp_path / "s.json")
+    assert kept.history == ["beta", "alpha"] and kept.recent_roots == [str(tmp_path / "docs")]
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "s.json"
+    s = Settings.load(path)
+    for i in range(250):
+        s.remember(f"q{i % 230}")
+    assert len(s.history) == 200 and s.history[0] == "q19"
+    assert s.toggle_confirmed("/a") and s.confirmed == ["/a"] and not s.toggle_confirmed("/a")
+    s.mode = "full"
+    s.keep_preset("mine")
+    s.mode = "fast"
+    s.save(path)
+    t = Settings.load(path)
+    assert t == s
+    t.apply_preset("mine")
+    assert t.mode == "full" and t.history == s.history
+    path.write_text('{"mode": "odd", "query": 7, "spaces": "AND"}')
+    assert Settings.load(path) == Settings(spaces="AND")
+    path.write_text("{")
+    assert Settings.load(path) == Settings() and len(list(tmp_path.glob("s.broken-*"))) == 1
+
+
+def test_index_of_nothing_is_no_error(spark, tmp_path):
+    found = run(spark, Request([str(tmp_path)], "a"), index=CorpusIndex(spark, str(tmp_path / "i")))
+    assert found.results.count() == 0 and found.coverage.first()["discovered"] == 0
 
 
 def _rows(spark, *pairs):
