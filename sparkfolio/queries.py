@@ -6,18 +6,26 @@ lines, windows and normalisation, which on these texts equals lower case with ``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import files as paths
-from .lang.builder import Groups, combined
+from .functions import text as texts
+from .lang import nodes
+from .lang.builder import Groups, combined, equivalent
+from .lang.nodes import QueryError
+from .lang.parser import fold_operators, parse_query
+from .lang.printer import to_query_string
 from .operators import results as ops
 from .plans.compile import Options
-from .plans.search import Found, evidence, search
+from .plans.search import Found, evidence, search, with_evidence
+from .session import Outcome, Request, run
 from .sources import chunks as source
-from .sources import index, ocr_cache
+from .sources import extract, index, ocr_cache, storage
+from .streaming.incremental import hits_per_window
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +37,7 @@ files AS (
          folder || '/doc_' || file_id || extension AS path, extension,
          CASE extension WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' WHEN '.pdf' THEN 'pdf'
               WHEN '.xlsx' THEN 'excel' WHEN '.docx' THEN 'word' ELSE 'ppt' END AS file_kind,
-         octet_length(encode(text)) AS size, (file_id * 86400 + 1704067200) * 1000000000 AS mtime_ns,
+         octet_length(encode(text)) AS size, (file_id % 50000 * 86400 + 1704067200) * 1000000000 AS mtime_ns,
          list_extract(['local', 'smb', 'onedrive'], file_id % 3 + 1) AS source_type
   FROM (SELECT doc_id AS file_id, '/' || source || '/' || lang AS folder, text,
                list_extract(['.txt', '.pdf', '.xlsx', '.docx', '.pptx', '.md'], doc_id % 6 + 1) AS extension
@@ -53,7 +61,7 @@ chunks AS (
 _BASE = ",".join([_FILES, _BODY.format(id="doc_id", text="text", table="documents"), _CHUNKS])
 
 
-def _sql(needles: list[str], where: str, select: str = "file_id, hit_count", *, positive: list[int] | None = None, near: dict[str, str] | None = None, base: str = _BASE, hay: str = "norm", tail: str = "") -> str:
+def _sql(needles: list[str], where: str, select: str = "file_id, hit_count", *, positive: list[int] | None = None, near: dict[str, str] | None = None, base: str = _BASE, hay: str = "norm", tail: str = "", phrases: list[int] | None = None) -> str:
     """SELECT over files joined with per-file p0, h0, f0, ... of literal needles."""
     at = range(len(needles))
     test = [f"contains({hay}, '{n}')" for n in needles]
@@ -64,9 +72,10 @@ def _sql(needles: list[str], where: str, select: str = "file_id, hit_count", *,
     columns += [f"bool_or({test_}) AS {n}" for n, test_ in (near or {}).items()]
     good = list(at) if positive is None else positive
     helps = " OR ".join(test[i] for i in good) or "false"
-    columns += [f"bool_or(kind = '{k}' AND ({helps})) AS {k}_hit" for k in ("name", "path")]
+    columns += [f"bool_or(kind = '{k}' AND ({helps})) AS {k}_hit" for k in ("name", "path", "ocr")]
     total = lambda c: " + ".join([f"coalesce({c}{i}, 0)" for i in good] or ["0"])
-    score = f"0.60 * ({' + '.join(f'coalesce(p{i}, false)::INT' for i in good) or '0'}) / {max(1, len(good))} + 0.15 * coalesce(name_hit, false)::INT + 0.10 * coalesce(path_hit, false)::INT + least({total('h')}, 20) / 20.0 * 0.05"
+    said = " OR ".join(f"coalesce(p{i}, false)" for i in phrases or []) or "false"
+    score = f"0.60 * ({' + '.join(f'coalesce(p{i}, false)::INT' for i in good) or '0'}) / {max(1, len(good))} + 0.15 * coalesce(name_hit, false)::INT + 0.10 * coalesce(path_hit, false)::INT + least({total('h')}, 20) / 20.0 * 0.05 + 0.10 * ({said})::INT - 0.02 * coalesce(ocr_hit, false)::INT"
     return f"""WITH {base}, per_file AS (SELECT {', '.join(columns)} FROM chunks GROUP BY file_id),
 judged AS (SELECT files.*, per_file.* EXCLUDE (file_id), ({total('h')})::BIGINT AS hit_count, ({total('f')})::BIGINT AS hit_count_first,
   round(({score})::DOUBLE, 4) AS score, coalesce({where}, false) AS accepted FROM files LEFT JOIN per_file USING (file_id))
@@ -116,7 +125,6 @@ _matching("meta_path", "path:src1 & !the", ["the"], "contains(lower(path), 'src1
 _matching("meta_source", "source:smb & thenwh", ["thenwh"], "source_type = 'smb' AND p0")
 _matching("or_meta_mixed", "thenwh | type:pdf", ["thenwh"], "p0 OR file_kind = 'pdf'")
 _matching("or_negation_mixed", "thenwh | !the", ["thenwh", "the"], "p0 OR NOT coalesce(p1, false)", positive=[0])
-_matching("ocr_filter", "ocr:true | thenwh", ["thenwh"], "p0")
 _matching("term_case_sensitive", "The", ["The"], "p0", options=Options(case_sensitive=True), hay="text")
 _PART = r"regexp_replace(norm, '[^\p{L}\p{N}]', '', 'g')"
 _matching("part_number", "the-reed", ["thereed"], "p0", options=Options(part_number_mode=True), hay=_PART)
@@ -166,8 +174,17 @@ SELECT file_id, rank, CASE WHEN length(flat) <= 260 THEN flat ELSE CASE WHEN a >
 _add("facets_kind_source", lambda s, d: ops.facets(_two(s, d).results), f"WITH hits AS ({_two_sql('file_kind, source_type')}) SELECT 'kind' AS facet, file_kind AS value, count(*) AS n FROM hits GROUP BY ALL UNION ALL SELECT 'source', source_type, count(*) FROM hits GROUP BY ALL")
 _add("coverage", lambda s, d: ops.coverage(_found("!the", prefilter=False)(s, d).judged), _sql(["the"], "NOT coalesce(p0, false)", "count(*) AS discovered, count(units) AS scanned, count_if(accepted)::BIGINT AS matched, count_if(NOT accepted)::BIGINT AS rejected, sum(size)::BIGINT AS bytes, sum(units)::BIGINT AS units", positive=[], tail="all"))
 _add("total_hits", lambda s, d: _two(s, d).results.agg(F.sum("hit_count").alias("total_hits")), _two_sql("sum(hit_count)::BIGINT AS total_hits"))
-_add("sort_name", lambda s, d: ops.sort(_two(s, d).results, "filename").limit(100).select("file_id", "name"), _two_sql("file_id, name", "ORDER BY lower(name), path, file_id LIMIT 100"))
-_add("sort_modified", lambda s, d: ops.sort(_two(s, d).results, "modified").limit(40).select("file_id", "mtime_ns"), _two_sql("file_id, mtime_ns", "ORDER BY mtime_ns DESC, path LIMIT 40"))
+for _by, _column, _order in (
+    ("filename", "name", "lower(name)"), ("path", "path", "lower(path)"), ("type", "file_kind", "file_kind"), ("source", "source_type", "source_type"),
+    ("modified", "mtime_ns", "mtime_ns DESC"), ("size", "size", "size DESC"), ("hits", "hit_count", "hit_count DESC"), ("relevance", "score", "score DESC"),
+):
+    _add(f"sort_{_by}", lambda s, d, by=_by, c=_column: ops.sort(_two(s, d).results, by).select("file_id", c), _two_sql(f"file_id, {_column}", f"ORDER BY {_order}, path, file_id"))
+_add(
+    "sort_confirmed",
+    lambda s, d: ops.sort(search(_docs(s, d), "thenwh, reed.", confirmed=_confirmed(s, d)).results, "confirmed", True).select("file_id", "confirmed"),
+    _two_sql("file_id, file_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS confirmed", "ORDER BY confirmed DESC, path, file_id"),
+)
+_add("sort_upwards", lambda s, d: ops.sort(_two(s, d).results, "hits", False).limit(25).select("file_id", "hit_count"), _two_sql("file_id, hit_count", "ORDER BY hit_count, path, file_id LIMIT 25"))
 _add("offset_limit", lambda s, d: ops.page(ops.sort(_two(s, d).results, "hits"), 20, 30).select("file_id", "hit_count"), _two_sql("file_id, hit_count", "ORDER BY hit_count DESC, path, file_id LIMIT 30 OFFSET 20"))
 _add("result_cap", lambda s, d: ops.capped(_two(s, d).results, 100)[1], _two_sql("count(*) > 100 AS truncated"))
 _add("result_filter", lambda s, d: ops.narrow(_two(s, d).results, kinds=["pdf", "text"], sources=["local", "smb"], confirmed=False, without="/src0/en/doc_1.pdf").select("file_id", "path"), _two_sql("file_id, path", "AND file_kind IN ('pdf', 'text') AND source_type IN ('local', 'smb') AND path <> '/src0/en/doc_1.pdf'"))
@@ -225,11 +242,25 @@ def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("ocr_cache_lookup", _ocr, f"WITH {_FILES} SELECT path, CASE WHEN file_id % 4 < 2 THEN 'page of ' || path END AS cached FROM files")
 _add("path_functions", lambda s, d: _docs(s, d).files.select("file_id", *[f(F.col("path")).alias(n) for n, f in (("base", paths.name), ("folder", paths.directory), ("ext", paths.extension), ("key", paths.path_key))], paths.kind(F.col("extension")).alias("kind"), paths.is_under(F.col("path"), "/src1/en/").alias("under")), f"WITH {_FILES} SELECT file_id, name AS base, directory AS folder, extension AS ext, lower(path) AS key, file_kind AS kind, starts_with(path, '/src1/en/') AS under FROM files")
 _add("size_format", lambda s, d: _docs(s, d).files.select("file_id", paths.human_size(F.col("size") * 1000).alias("shown")), f"WITH {_FILES} SELECT file_id, CASE WHEN size * 1000 < 1024 THEN size * 1000 || ' B' WHEN size * 1000 < 1048576 THEN printf('%.1f KB', round(size * 1000 / 1024.0, 1)) ELSE printf('%.1f MB', round(size * 1000 / 1048576.0, 1)) END AS shown FROM files")
-_add("cloud_policy", lambda s, d: _docs(s, d).files.select("file_id", paths.cloud_decision(state := paths.cloud_state(F.when(F.col("file_id") % 4 == 0, 0x400000).when(F.col("file_id") % 4 == 1, 0x80000).otherwise(0), F.col("source_type")), F.col("file_id") % 8 == 0, "fast", "auto").alias("decision"), state.alias("state")), f"""WITH {_FILES}, s AS (SELECT file_id, CASE WHEN source_type = 'smb' THEN 'smb' WHEN file_id % 4 = 0 THEN 'online' WHEN file_id % 4 = 1 THEN 'pinned' ELSE 'local' END AS state FROM files)
-SELECT file_id, CASE WHEN state <> 'online' THEN 'read' WHEN file_id % 8 = 0 THEN 'index' ELSE 'skip' END AS decision, state FROM s""")
+_STATE = "CASE WHEN source_type = 'smb' THEN 'smb' WHEN file_id % 4 = 0 THEN 'online' WHEN file_id % 4 = 1 THEN 'pinned' ELSE 'local' END"
+_DECISIONS = {
+    (mode, policy): "'read'" if policy == "fetch" else f"CASE WHEN state <> 'online' THEN 'read' {'' if policy == 'skip' or mode == 'fast' else f'WHEN file_id % 8 = 0 THEN {chr(39)}index{chr(39)} '}ELSE '{'skip' if policy == 'skip' or mode == 'fast' else 'read'}' END"
+    for mode in ("fast", "standard", "full")
+    for policy in ("auto", "skip", "fetch")
+}
+
+
+def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.when(F.col("file_id") % 4 == 0, 0x400000).when(F.col("file_id") % 4 == 1, 0x80000).otherwise(0)
+    files = _docs(spark, sf_dir).files.withColumn("state", paths.cloud_state(bits, F.col("source_type")))
+    return files.select("file_id", "state", *[paths.cloud_decision(F.col("state"), F.col("file_id") % 8 == 0, m, p).alias(f"{m}_{p}") for m, p in _DECISIONS])
+
+
+_add("cloud_policy", _cloud, f"WITH {_FILES}, s AS (SELECT file_id, {_STATE} AS state FROM files) SELECT file_id, state, {', '.join(f'{sql} AS {m}_{p}' for (m, p), sql in _DECISIONS.items())} FROM s")
 _add("text_reader_chunks", lambda s, d: _docs(s, d).chunks.filter("kind = 'line'").select("file_id", "chunk_index", "location", F.length("text").alias("chars")), f"WITH {_BASE} SELECT file_id, chunk_index::INT AS chunk_index, location, length(text)::INT AS chars FROM body")
 _add("page_count", lambda s, d: ops.page_count(_docs(s, d).chunks), f"WITH {_BASE} SELECT file_id, max(try_cast(nullif(regexp_extract(location, '(\\d+)', 1), '') AS INT)) AS pages FROM chunks GROUP BY file_id")
-_add("highlight", lambda s, d: ops.preview(_docs(s, d).chunks.filter("kind = 'line'"), 8, ["the", "of"]).select("chunk_index", "text"), f"WITH {_BASE} SELECT chunk_index::INT AS chunk_index, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS text FROM body WHERE file_id = 8")
+_add("highlight", lambda s, d: _docs(s, d).chunks.filter("kind = 'line'").select("file_id", "chunk_index", texts.highlight(F.col("text"), ["the", "of"]).alias("marked")), f"WITH {_BASE} SELECT file_id, chunk_index::INT AS chunk_index, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS marked FROM body")
+_add("preview", lambda s, d: ops.preview(_docs(s, d).chunks.filter("kind = 'line'"), 8, ["the", "of"]).select("chunk_index", "text"), f"WITH {_BASE} SELECT chunk_index::INT AS chunk_index, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS text FROM body WHERE file_id = 8")
 _add("engine_comparison", lambda s, d: _found("thenwh, reed.")(s, d).results.select("file_id").exceptAll(_found("reed.")(s, d).results.select("file_id")), _sql(["thenwh", "reed."], "p0 AND NOT p1", "file_id"))
 
 _CONVERSATIONS = """files AS (SELECT conv_id AS file_id, conv_id || '.md' AS name, '/conversations/' || conv_id || '.md' AS path FROM conversations GROUP BY conv_id),
@@ -243,7 +274,126 @@ _PAGES = ",".join([
 ])
 _add("page_search", lambda s, d: search(source.indexed(s, d, "pages"), "nav & track").results.select("file_id", "hit_count"), _sql(["nav", "track"], "p0 AND p1", base=_PAGES))
 _add(
-    "event_hits_batch",
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n"),
-    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "event_hits",
+    lambda s, d: hits_per_window(s.read.parquet(f"{d}/events.parquet"), ["click", "7"]).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "hits"),
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS hits FROM events WHERE contains(lower(concat_ws(' ', event_type, props::VARCHAR)), 'click') OR contains(lower(concat_ws(' ', event_type, props::VARCHAR)), '7') GROUP BY ALL",
 )
+
+
+# ------------------------------------------------------------------- scanned pages, scores
+def _scanned(spark: SparkSession, sf_dir: str) -> source.Corpus:
+    """The documents, as if every tenth had been read from pictures."""
+    files, chunks = _docs(spark, sf_dir)
+    return source.Corpus(files, chunks.withColumn("kind", F.when((F.col("kind") == "line") & (F.col("file_id") % 10 == 3), "ocr").otherwise(F.col("kind"))))
+
+
+_SCANNED = _BASE.replace("'line' AS kind", "CASE WHEN file_id % 10 = 3 THEN 'ocr' ELSE 'line' END AS kind")
+for _name, _query, _where in (("ocr_filter", "ocr:true & thenwh", "p0 AND ocr_hit"), ("ocr_not", "ocr:false & thenwh", "p0 AND NOT ocr_hit")):
+    _add(_name, lambda s, d, q=_query: search(_scanned(s, d), q).results.select("file_id", "hit_count", "ocr_hit"), _sql(["thenwh"], _where, "file_id, hit_count, ocr_hit", base=_SCANNED))
+_add("ocr_alone", lambda s, d: search(_scanned(s, d), "ocr:true").results.select("file_id"), f"WITH {_SCANNED} SELECT DISTINCT file_id FROM chunks WHERE kind = 'ocr'")
+_add("score_of_phrases_and_pages", lambda s, d: search(_scanned(s, d), '"of the", thenwh').results.select("file_id", "score"), _sql(["of the", "thenwh"], "p0 OR p1", "file_id, score", base=_SCANNED, phrases=[0]))
+_add(
+    "facets_with_ocr",
+    lambda s, d: ops.facets(search(_scanned(s, d), "thenwh, reed.").results),
+    f"WITH hits AS ({_sql(['thenwh', 'reed.'], 'p0 OR p1', 'file_kind, source_type, ocr_hit', base=_SCANNED)}) SELECT 'kind' AS facet, file_kind AS value, count(*) AS n FROM hits GROUP BY ALL UNION ALL SELECT 'source', source_type, count(*) FROM hits GROUP BY ALL UNION ALL SELECT 'ocr', 'true', count(*) FROM hits WHERE ocr_hit",
+)
+_add("location_label", lambda s, d: _scanned(s, d).chunks.select("file_id", "chunk_index", texts.location_label(F.col("location"), F.col("kind")).alias("shown")), f"WITH {_SCANNED} SELECT file_id, chunk_index::INT AS chunk_index, location || CASE WHEN kind = 'ocr' THEN ' [OCR]' ELSE '' END AS shown FROM chunks")
+_add("meta_root", lambda s, d: search(_docs(s, d), "root:src1 & thenwh", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh"], "p0"))
+_add("meta_other_root", lambda s, d: search(_docs(s, d), "root:src2 & thenwh | reed. & type:md", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p1 AND extension = '.md' AND false"))
+_add(
+    "clipboard",
+    lambda s, d: ops.clipboard(with_evidence(_docs(s, d), _found("thenwh")(s, d))),
+    f"""WITH {_BASE}, hits AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index) AS rank, location, {_FLAT} AS flat FROM chunks WHERE contains(norm, 'thenwh')),
+placed AS (SELECT *, greatest(greatest(strpos(lower(flat), 'thenwh') - 1, 0) - 130, 0) AS a FROM hits WHERE rank <= 3),
+said AS (SELECT file_id, rank, location, CASE WHEN length(flat) <= 260 THEN flat ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substr(flat, a + 1, 260) || CASE WHEN a + 260 < length(flat) THEN '...' ELSE '' END END AS snippet FROM placed)
+SELECT file_id, any_value(path) || chr(10) || string_agg('  [' || location || '] ' || snippet, chr(10) ORDER BY rank) AS text FROM said JOIN files USING (file_id) GROUP BY file_id""",
+)
+_add("shown_rows", lambda s, d: ops.shown_rows(search(_scanned(s, d), "thenwh", confirmed=_confirmed(s, d)).results).select("file_id", "confirmed", "kind", "source", F.array_join("tags", " ").alias("tags")), _sql(["thenwh"], "p0", "file_id, CASE WHEN q THEN '✓' ELSE '' END AS confirmed, file_kind AS kind, source_type AS source, concat_ws(' ', CASE WHEN q THEN 'confirmed' END, CASE WHEN ocr_hit THEN 'ocr' END) AS tags", base=_SCANNED).replace("judged AS (SELECT", "judged AS (SELECT file_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS q,"))
+_add("toggle_confirmed", lambda s, d: ops.toggled(ops.toggled(_confirmed(s, d), 10_000_001), 16), "SELECT doc_id AS file_id FROM labels WHERE quality = 1 AND doc_id <> 16 UNION ALL SELECT 10000001 UNION ALL SELECT 16 WHERE 16 NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+
+
+# --------------------------------------------------------------------------- the language
+def _said(name: str, tell: Callable[[str], str], cases: dict[str, str]) -> None:
+    """A query that tells something of each query text, and the same as a table of values."""
+    _add(name, lambda s, d: s.createDataFrame([(q, tell(q)) for q in cases], "query string, told string"), "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in cases.items()) + ") AS t(query, told)")
+
+
+def _failure(query: str) -> str:
+    try:
+        parse_query(query)
+    except QueryError as e:
+        return str(e.position)
+    return "fine"
+
+
+def _asked(query: str) -> str:
+    node = parse_query(query)
+    helping, hurting = ("+".join(t.text for t in f(node)) for f in (nodes.terms, nodes.negative_terms))
+    return f"{helping}/{hurting}/{nodes.is_monotone(node)}/{nodes.requires_term(node)}"
+
+
+_said("serialise", lambda q: to_query_string(parse_query(q)), {"A,B&C": "A | B & C", "2OF(A B C)": "2of(A,B,C)", "NEAR(x,y)": "NEAR(x,y,100)", "-A": "!A", "size:1536k": "size:>=1536KB", '(A|B) "c d"': '(A | B) & "c d"'})
+_said("serialise_round_trip", lambda q: str(parse_query(to_query_string(parse_query(q))) == parse_query(q)), {"A,B&C": "True", "(A|B)&!C": "True", "2of(A,1of(B,C),type:pdf)": "True", 'NEAR("a b",c,9) & modified:2025-01-01..2025-02-01': "True"})
+_said("equivalence", lambda q: str(equivalent(*map(parse_query, q.split(" == ")))), {"A|B == B|A": "True", "A&B == A|B": "False", "type:ppt == ext:pptm,pptx": "True", "A&(B&C) == C&B&A": "True", "2of(A,B,C) == 2of(C,B,A)": "True", "NEAR(a,b,5) == NEAR(b,a,5)": "True", "NEAR(a,b,5) == NEAR(a,b,6)": "False"})
+_said("fold_operators", fold_operators, {"A＆B": "A&B", "A、B": "A,B", "A　B": "A B", "A かつ B": "A & B", "A or B": "A , B", "order": "order"})
+_said("syntax_error", _failure, {"A & B": "fine", "A & ()": "4", '"a': "0", "NEAR(a,b,0)": "0", "3of(a,b)": "0", "A )": "2"})
+_said("ast_utilities", _asked, {"a & !b": "a/b/False/True", "a | !!b": "a+b//False/False", "2of(a,b,type:pdf)": "a+b//True/True", "type:pdf": "//True/False"})
+
+
+# ------------------------------------------------------------------ indexes and folders
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[index.CorpusIndex, DataFrame]:
+    """An index of all documents but every 5th and 20 that are gone by now, then refreshed with all, every 7th changed."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.lit("/x").alias("folder"), "text")
+    gone = rows.filter("file_id % 5 <> 0").orderBy("file_id").limit(20).withColumn("file_id", F.col("file_id") + 10_000_000)
+    take = lambda idx, rows: idx.refresh((made := source.from_texts(rows)).files.drop("name_norm", "path_norm"), made.chunks.filter("chunk_index > 1").drop("norm_text", "part_text"))
+    idx = index.CorpusIndex(spark, f"{storage.shared_dir(spark)}/sparkfolio/index-{uuid.uuid4().hex}", buckets=8)
+    take(idx, rows.filter("file_id % 5 <> 0").unionByName(gone))
+    return idx, take(idx, rows.withColumn("text", F.when(F.col("file_id") % 7 == 0, F.concat("text", F.lit("\nzzchanged"))).otherwise(F.col("text"))))
+
+
+def _refreshed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refreshed(spark, sf_dir)[0].load().files.select("file_id", "size", F.col("chunk_count").alias("chunks"))
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx, _ = _refreshed(spark, sf_dir)
+    idx.remove((F.col("extension") == ".pdf") | (F.col("file_id") % 7 == 0))
+    return search(idx.load(), "thenwh | zzchanged").results.select("file_id", "hit_count")
+
+
+_add("index_refresh", lambda s, d: _refreshed(s, d)[1], "SELECT doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM documents UNION ALL (SELECT doc_id + 10000000, 'removed' FROM documents WHERE doc_id % 5 <> 0 ORDER BY doc_id LIMIT 20)")
+_add("index_refreshed_files", _refreshed_files, f"""WITH {_BASE}, n AS (SELECT file_id, count(*) AS n FROM body GROUP BY file_id)
+SELECT file_id, size + 10 * (file_id % 7 = 0)::INT AS size, coalesce(n, 0) + (file_id % 7 = 0)::INT AS chunks FROM files LEFT JOIN n USING (file_id)""")
+_add("index_remove", _removed, _sql(["thenwh"], "p0 AND extension <> '.pdf' AND file_id % 7 <> 0"))
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of a folder, one each, written by Spark."""
+    root = f"{storage.shared_dir(spark)}/sparkfolio/files-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("doc_id").text(root)
+    return root
+
+
+_ID = F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("file_id")
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = extract.scan(spark, root := _folder(spark, sf_dir))
+    rows = extract.extract(spark, files, root).join(files.select("file_id", "path"), "file_id")
+    return rows.select(_ID, "chunk_index", "kind", "location", F.length("text").alias("chars"), "code")
+
+
+def _session(spark: SparkSession, sf_dir: str) -> Outcome:
+    return run(spark, Request([_folder(spark, sf_dir)], "thenwh, reed.", Options(include_path_names=False)))
+
+
+_WRITTEN = r"""
+cut AS (SELECT doc_id AS file_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) || chr(10) AS said FROM documents),
+parts AS (SELECT file_id, line, w, substr(said, 8000 * w + 1, 8000) AS text FROM (SELECT *, unnest(range(0, (length(said) + 7999) // 8000)) AS w FROM cut) WHERE trim(regexp_replace(substr(said, 8000 * w + 1, 8000), '\s', '', 'g')) <> '')"""
+_add("scan_files", lambda s, d: extract.scan(s, _folder(s, d)).select(_ID, "size", "extension", "source_type"), "SELECT doc_id AS file_id, octet_length(encode(text)) + 1 AS size, '.txt' AS extension, 'local' AS source_type FROM documents")
+_add("extract_files", _extracted, f"WITH {_WRITTEN} SELECT file_id, (1 + row_number() OVER (PARTITION BY file_id ORDER BY line, w))::INT AS chunk_index, 'line' AS kind, line || '行' AS location, length(text)::INT AS chars, NULL::VARCHAR AS code FROM parts")
+_add("session_search", lambda s, d: _session(s, d).results.select(_ID, "hit_count", "from_index"), "SELECT doc_id AS file_id, ((length(lower(text)) - length(replace(lower(text), 'thenwh', ''))) // 6 + (length(lower(text)) - length(replace(lower(text), 'reed.', ''))) // 5)::BIGINT AS hit_count, false AS from_index FROM documents WHERE contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.')")
+_add("session_coverage", lambda s, d: _session(s, d).coverage.select(*[F.col(c).cast("long").alias(c) for c in ops.COUNTERS]), "SELECT count(*) AS discovered, count(*) AS scanned, count_if(contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.'))::BIGINT AS hits, 0::BIGINT AS indexed, count(*) AS read, 0::BIGINT AS ocr_pages, 0::BIGINT AS skipped_online, 0::BIGINT AS skipped_size, 0::BIGINT AS skipped_type, 0::BIGINT AS warnings, 0::BIGINT AS errors, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents")
+_add("prefilter", lambda s, d: extract.prefilter(_docs(s, d).files, kinds=["text", "pdf", "word"], limits={"text": 2000, "pdf": 5000}, indexed=_docs(s, d).files.filter("file_id % 3 = 1")).groupBy("decision").agg(F.count("*").alias("n")), f"""WITH {_FILES}
+SELECT CASE WHEN file_kind NOT IN ('text', 'pdf', 'word') THEN 'skip_type' WHEN file_kind = 'text' AND size > 2000 OR file_kind = 'pdf' AND size > 5000 THEN 'skip_size' WHEN file_id % 3 = 1 THEN 'index' ELSE 'read' END AS decision, count(*) AS n FROM files GROUP BY ALL""")

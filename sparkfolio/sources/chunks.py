@@ -21,8 +21,8 @@ LINE = 8000
 #: Extensions that table rows get in turn, and sources.
 TURNS = (".txt", ".pdf", ".xlsx", ".docx", ".pptx", ".md")
 SOURCES = ("local", "smb", "onedrive")
-#: 2024-01-01 in seconds; row n is n days younger.
-FIRST_DAY, DAY = 1_704_067_200, 86_400
+#: 2024-01-01 in seconds; row n is n days younger, counted from 0 again after ``DAYS``.
+FIRST_DAY, DAY, DAYS = 1_704_067_200, 86_400, 50_000
 
 
 class Corpus(NamedTuple):
@@ -74,7 +74,7 @@ def from_texts(rows: DataFrame) -> Corpus:
         F.col("folder").alias("directory"),
         "extension",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"),
-        ((F.col("file_id") * DAY + FIRST_DAY) * 1_000_000_000).alias("mtime_ns"),
+        ((F.pmod("file_id", F.lit(DAYS)) * DAY + FIRST_DAY) * 1_000_000_000).alias("mtime_ns"),
         turn(SOURCES).alias("source_type"),
         F.lit("local").alias("cloud_state"),
     )
