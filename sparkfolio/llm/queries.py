@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, common, fertility, langid, minhash, mixing, packing, pstable, replytree, toxicity, urlfilter
+from . import bitplane, common, fertility, langid, minhash, mixing, oracles, packing, pstable, replytree, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,11 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fast_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_hash")
 
 
 def op2_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op6_conditional_field_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pstable_near_duplicates": op10_pstable_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_character_models": oracles.OP2,
+    "op5_fast_similarity_dedup": oracles.OP5,
+    "op7_reply_trees": oracles.OP7,
+    "op10_pstable_near_duplicates": oracles.OP10,
+}
