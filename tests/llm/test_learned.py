@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import fertility, langid, mixing, queries, stages, toxicity, urlfilter
+from sparkfolio.llm import fertility, langid, mixing, queries, toxicity, urlfilter
 from sparkfolio.llm.wordgrams import Grams, number, split
 
 from .conftest import ODD
@@ -489,23 +489,3 @@ def test_op8_without_labels(spark, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").filter("false").write.parquet(str(tmp_path / "labels.parquet"))
     rows = queries.op8_soft_mixing(spark, str(tmp_path)).collect()
     assert len(rows) == docs.count() and all(r["p_high"] == pytest.approx(1 / 3) and r["rate"] >= 0 for r in rows)
-
-
-# -------------------------------------------------------------------------------- pipeline
-def test_stages_apply_their_decisions(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r["doc_id"] for r in fertility.rules(docs).filter("kept").collect()}
-    out = stages.quality_rules(spark, docs, SF)
-    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == good
-    twice = docs.limit(30).unionByName(docs.limit(30))
-    assert stages.minhash_near_dedup(spark, twice, SF).count() <= 30
-    for stage in (stages.quality_rules, stages.language_id, stages.minhash_near_dedup, stages.mixing):
-        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, none, SF).count() == 0
-    assert stages.minhash_near_dedup(spark, odd, SF).filter("doc_id in (6, 7)").count() == 1
-
-
-def test_pipeline_runs(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 100 and out.columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset"]
