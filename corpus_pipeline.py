@@ -14,7 +14,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Trained models and packing have no SQL form; tests compare run() with its stages one by one.
+#: Trained models and packing have no SQL form; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 

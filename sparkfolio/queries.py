@@ -299,7 +299,7 @@ _add(
 )
 _add("location_label", lambda s, d: _scanned(s, d).chunks.select("file_id", "chunk_index", texts.location_label(F.col("location"), F.col("kind")).alias("shown")), f"WITH {_SCANNED} SELECT file_id, chunk_index::INT AS chunk_index, location || CASE WHEN kind = 'ocr' THEN ' [OCR]' ELSE '' END AS shown FROM chunks")
 _add("meta_root", lambda s, d: search(_docs(s, d), "root:src1 & thenwh", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh"], "p0"))
-_add("meta_other_root", lambda s, d: search(_docs(s, d), "root:src2 & thenwh | reed. & type:md", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p1 AND extension = '.md' AND false"))
+_add("meta_other_root", lambda s, d: search(_docs(s, d), "root:src2 & thenwh | reed. & ext:md & root:src2", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p1 AND extension = '.md' AND false"))
 _add(
     "clipboard",
     lambda s, d: ops.clipboard(with_evidence(_docs(s, d), _found("thenwh")(s, d))),
@@ -367,8 +367,18 @@ SELECT file_id, size + 10 * (file_id % 7 = 0)::INT AS size, coalesce(n, 0) + (fi
 _add("index_remove", _removed, _sql(["thenwh"], "p0 AND extension <> '.pdf' AND file_id % 7 <> 0"))
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as files of a folder, one each, written by Spark."""
+    """The documents as files of a folder, one each, written by Spark once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        _folders[key] = _written(spark, sf_dir)
+    return _folders[key]
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
     root = f"{storage.shared_dir(spark)}/sparkfolio/files-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs.write.partitionBy("doc_id").text(root)
