@@ -83,22 +83,41 @@ def _confirmed(spark: SparkSession, confirmed: Sequence[str] | DataFrame | None,
     return files.join(marked, "path_key", "left_semi").select("file_id")
 
 
-def _read(spark: SparkSession, listed: DataFrame, roots: Sequence[str]) -> DataFrame:
+def _read(spark: SparkSession, listed: DataFrame, roots: Sequence[str], pages: bool) -> DataFrame:
     """Chunks and issues of files; those that changed meanwhile are read once more, and flagged if it happens again."""
-    first = storage.stored(reader.extract(spark, listed, roots), "extracted")
+    first = storage.stored(reader.extract(spark, listed, roots, pages=pages), "extracted")
     moved = reader.changed(spark, listed, roots)
     if moved.isEmpty():
         return first
     now = reader.scan(spark, list(roots)).join(moved.select("file_id"), "file_id", "left_semi")
-    again = storage.stored(reader.extract(spark, now, roots), "extracted")
+    again = storage.stored(reader.extract(spark, now, roots, pages=pages), "extracted")
     note = lambda files, code: files.select("file_id", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("kind", "string"), ("location", "string"), ("text", "string"))], F.lit(code).alias("code"), F.lit("the file changed while it was read").alias("message"), F.lit("warn").alias("severity"))
     kept = first.join(moved.select("file_id"), "file_id", "left_anti")
     still = reader.changed(spark, now, roots)
     return storage.stored(kept.unionByName(again).unionByName(note(moved, "file_changed_retry")).unionByName(note(still, "file_changed")), "extracted")
 
 
-def run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = None, confirmed: Sequence[str] | DataFrame | None = None, listener: Callable[[Event], None] | None = None) -> Outcome:
-    """Search the folders of a request; a query that can't be read is told and raised."""
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the search that runs under a tag, from another thread; its ``run`` raises."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def run(spark: SparkSession, request: Request, *, tag: str | None = None, **more) -> Outcome:  # type: ignore[no-untyped-def]
+    """Search the folders of a request; a query that can't be read is told and raised.
+
+    ``index`` is kept up and used, ``confirmed`` marks files by id or path, ``listener`` hears events, and
+    ``cancel`` stops what runs under ``tag``.
+    """
+    if not tag:
+        return _run(spark, request, **more)
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return _run(spark, request, **more)
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def _run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = None, confirmed: Sequence[str] | DataFrame | None = None, listener: Callable[[Event], None] | None = None) -> Outcome:
     began = time.monotonic()
     tell = lambda kind, **values: listener(Event(kind, values)) if listener else None
     try:
@@ -125,7 +144,7 @@ def run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = No
         current = index.pending(listed, complete=False).filter("change = 'unchanged'").join(stored.files.filter("status <> 'empty'").select("file_id"), "file_id", "left_semi")
     files = storage.stored(reader.prefilter(listed, kinds=request.kinds, limits=request.limits, mode=request.mode, policy=request.policy, indexed=current), "files")
     wanted = files.filter("decision = 'read'")
-    extracted = _read(spark, wanted, roots)
+    extracted = _read(spark, wanted, roots, request.mode != "fast")
     body = extracted.filter("code is null").select("file_id", "chunk_index", "kind", "location", "text")
     tell("read", files=wanted.count())
 

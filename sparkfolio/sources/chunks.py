@@ -106,13 +106,13 @@ def pages(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(with_norms(files.withColumn("extension", F.lit(".html"))), base.chunks.filter("chunk_index > 1").unionByName(normalize(named(files))))
 
 
-_kept: dict[tuple[str, str, str], Corpus] = {}
+_kept: dict[tuple, Corpus] = {}
 READERS = {"documents": documents, "conversations": conversations, "pages": pages}
 
 
 def indexed(spark: SparkSession, sf_dir: str, table: str = "documents") -> Corpus:
-    """The corpus of a table, stored on first use in a session and read from there afterwards."""
-    key = (spark.sparkContext.applicationId, sf_dir, table)
+    """The corpus of a table, stored on first use in a session and read from there until the table changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, table, storage.stamp(spark, f"{sf_dir}/{table}.parquet"))
     if key not in _kept:
         made = READERS[table](spark, sf_dir)
         _kept[key] = Corpus(storage.stored(made.files, f"{table}-files"), storage.stored(made.chunks, f"{table}-chunks"))

@@ -253,6 +253,11 @@ def recognise_with(reader: Callable[[bytes, int], str] | None) -> None:
     _recogniser[0] = reader
 
 
+def _unseen(data: bytes, page: int) -> str:
+    """Stands for a recogniser where pages aren't to be read."""
+    return ""
+
+
 def read_pdf(name: str, data: bytes) -> Iterator[Chunk | Note]:
     reader, told = _recogniser[0], False
     try:
@@ -415,9 +420,11 @@ def roots_of(roots: str | Sequence[str]) -> list[str]:
     return list(dict.fromkeys(r.strip() for r in (re.split(r"[;\n]", roots) if isinstance(roots, str) else roots) if r.strip()))
 
 
-def extract(spark: SparkSession, files: DataFrame, roots: str | Sequence[str]) -> DataFrame:
+def extract(spark: SparkSession, files: DataFrame, roots: str | Sequence[str], *, pages: bool = True) -> DataFrame:
     """Chunks (code is null) and issues (code is set) of ``files``, which ``scan`` listed under ``roots``.
 
+    Scanned pages are recognised unless ``pages`` is false.
+
     Up to ``NAMED`` files are fetched by name, so nothing else is read. More are picked out of another
     listing by a broadcast of their ids, or by a join if those are many too.
     """
@@ -430,7 +437,7 @@ def extract(spark: SparkSession, files: DataFrame, roots: str | Sequence[str]) -
     else:
         found = reader.option("recursiveFileLookup", "true").load(roots_of(roots))
     content = found.select(F.xxhash64("path").alias("file_id"), "content")
-    handlers, recogniser = list(HANDLERS), _recogniser[0]
+    handlers, recogniser = list(HANDLERS), _recogniser[0] if pages else _unseen
     return content.join(files.select("file_id", "path", "size"), "file_id").mapInPandas(lambda it: _extract(it, handlers, recogniser), SCHEMA)
 
 

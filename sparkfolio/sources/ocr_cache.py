@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import results
+
 
 def key() -> Column:
     """Identity of a page: what its recognition depends on."""
@@ -29,3 +31,9 @@ def touch(cache: DataFrame, used: DataFrame) -> DataFrame:
 
 def drop_file(cache: DataFrame, path: str) -> DataFrame:
     return cache.filter(F.col("path") != path)
+
+
+def trim(cache: DataFrame, most_bytes: int) -> DataFrame:
+    """What stays of a cache when the pages unused for longest go until its texts take ``most_bytes`` at most."""
+    sized = cache.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    return results.latest_within(sized, most_bytes, size="_bytes").drop("_bytes")

@@ -62,6 +62,15 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes below a path and when it, or a file in it, was last written: another stamp, another content."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    times = [fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))]
+    return fs.getContentSummary(p).getLength(), max(times)
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file whole, or not at all if the name is taken by then."""
     fs, p = _at(spark, path)

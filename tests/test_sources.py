@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import threading
 import time
 import zipfile
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkfolio import __main__ as command
 from sparkfolio.lang.nodes import QueryError
 from sparkfolio.plans.search import search
-from sparkfolio.session import Request, run
+from sparkfolio.session import Request, cancel, run
 from sparkfolio.settings import Settings
 from sparkfolio.sources import extract, index, ocr_cache, storage
 from sparkfolio.sources.chunks import corpus, from_texts
@@ -22,6 +23,11 @@ from sparkfolio.streaming import incremental
 W = "http://w"
 
 
+def _spin(spark):
+    """A job that takes long."""
+    spark.range(4, numPartitions=4).select(F.udf(lambda i: time.sleep(20))("id")).collect()
+
+
 def _zip(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -186,8 +192,8 @@ def test_a_file_that_changes_is_read_again(spark, tmp_path, monkeypatch):
     (tmp_path / "a.txt").write_text("old")
     real, times = extract.extract, []
 
-    def slow(spark, files, roots):
-        out = storage.stored(real(spark, files, roots), "read")
+    def slow(spark, files, roots, **more):
+        out = storage.stored(real(spark, files, roots, **more), "read")
         if not times:
             (tmp_path / "a.txt").write_text("newer words")
         times.append(1)
@@ -350,3 +356,21 @@ def test_ocr_cache(spark):
     assert ocr_cache.put(cache, cache.withColumn("text", F.lit("new"))).first()["text"] == "new"
     assert ocr_cache.touch(cache, cache.select("key", F.lit(9).alias("used_at"))).first()["used_at"] == 9
     assert ocr_cache.drop_file(cache, "/a").count() == 0
+    many = spark.range(1000).select(F.col("id").alias("key"), F.lit("ten bytes!").alias("text"), (F.col("id") * 7 % 1000).alias("used_at"))
+    left = ocr_cache.trim(many, 5_500).collect()
+    assert len(left) == 400 and min(r["used_at"] for r in left) == 600 and ocr_cache.trim(many, 10_000).count() == 1000
+
+
+def test_a_changed_table_is_read_anew(spark, tmp_path):
+    from sparkfolio.sources.chunks import indexed
+
+    for text in ("alpha", "beta gamma"):
+        spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert search(indexed(spark, str(tmp_path)), text).results.count() == 1
+
+
+def test_a_search_can_be_cancelled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("alpha")
+    with pytest.raises(Exception, match="(?i)cancel"):
+        run(spark, Request([str(tmp_path)], "alpha"), tag="mine", listener=lambda e: e.kind == "discovered" and (threading.Timer(0.4, cancel, (spark, "mine")).start(), _spin(spark)))
+    assert run(spark, Request([str(tmp_path)], "alpha"), tag="mine").results.count() == 1
