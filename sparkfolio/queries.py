@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import files as paths
@@ -385,13 +385,14 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-_ID = F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("file_id")
+def _id() -> Column:
+    return F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("file_id")
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = extract.scan(spark, root := _folder(spark, sf_dir))
     rows = extract.extract(spark, files, root).join(files.select("file_id", "path"), "file_id")
-    return rows.select(_ID, "chunk_index", "kind", "location", F.length("text").alias("chars"), "code")
+    return rows.select(_id(), "chunk_index", "kind", "location", F.length("text").alias("chars"), "code")
 
 
 def _session(spark: SparkSession, sf_dir: str) -> Outcome:
@@ -401,9 +402,9 @@ def _session(spark: SparkSession, sf_dir: str) -> Outcome:
 _WRITTEN = r"""
 cut AS (SELECT doc_id AS file_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) || chr(10) AS said FROM documents),
 parts AS (SELECT file_id, line, w, substr(said, 8000 * w + 1, 8000) AS text FROM (SELECT *, unnest(range(0, (length(said) + 7999) // 8000)) AS w FROM cut) WHERE trim(regexp_replace(substr(said, 8000 * w + 1, 8000), '\s', '', 'g')) <> '')"""
-_add("scan_files", lambda s, d: extract.scan(s, _folder(s, d)).select(_ID, "size", "extension", "source_type"), "SELECT doc_id AS file_id, octet_length(encode(text)) + 1 AS size, '.txt' AS extension, 'local' AS source_type FROM documents")
+_add("scan_files", lambda s, d: extract.scan(s, _folder(s, d)).select(_id(), "size", "extension", "source_type"), "SELECT doc_id AS file_id, octet_length(encode(text)) + 1 AS size, '.txt' AS extension, 'local' AS source_type FROM documents")
 _add("extract_files", _extracted, f"WITH {_WRITTEN} SELECT file_id, (1 + row_number() OVER (PARTITION BY file_id ORDER BY line, w))::INT AS chunk_index, 'line' AS kind, line || '行' AS location, length(text)::INT AS chars, NULL::VARCHAR AS code FROM parts")
-_add("session_search", lambda s, d: _session(s, d).results.select(_ID, "hit_count", "from_index"), "SELECT doc_id AS file_id, ((length(lower(text)) - length(replace(lower(text), 'thenwh', ''))) // 6 + (length(lower(text)) - length(replace(lower(text), 'reed.', ''))) // 5)::BIGINT AS hit_count, false AS from_index FROM documents WHERE contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.')")
+_add("session_search", lambda s, d: _session(s, d).results.select(_id(), "hit_count", "from_index"), "SELECT doc_id AS file_id, ((length(lower(text)) - length(replace(lower(text), 'thenwh', ''))) // 6 + (length(lower(text)) - length(replace(lower(text), 'reed.', ''))) // 5)::BIGINT AS hit_count, false AS from_index FROM documents WHERE contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.')")
 _add("session_coverage", lambda s, d: _session(s, d).coverage.select(*[F.col(c).cast("long").alias(c) for c in ops.COUNTERS]), "SELECT count(*) AS discovered, count(*) AS scanned, count_if(contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.'))::BIGINT AS hits, 0::BIGINT AS indexed, count(*) AS read, 0::BIGINT AS ocr_pages, 0::BIGINT AS skipped_online, 0::BIGINT AS skipped_size, 0::BIGINT AS skipped_type, 0::BIGINT AS warnings, 0::BIGINT AS errors, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents")
 _add("prefilter", lambda s, d: extract.prefilter(_docs(s, d).files, kinds=["text", "pdf", "word"], limits={"text": 2000, "pdf": 5000}, indexed=_docs(s, d).files.filter("file_id % 3 = 1")).groupBy("decision").agg(F.count("*").alias("n")), f"""WITH {_FILES}
 SELECT CASE WHEN file_kind NOT IN ('text', 'pdf', 'word') THEN 'skip_type' WHEN file_kind = 'text' AND size > 2000 OR file_kind = 'pdf' AND size > 5000 THEN 'skip_size' WHEN file_id % 3 = 1 THEN 'index' ELSE 'read' END AS decision, count(*) AS n FROM files GROUP BY ALL""")
