@@ -299,7 +299,7 @@ _add(
 )
 _add("location_label", lambda s, d: _scanned(s, d).chunks.select("file_id", "chunk_index", texts.location_label(F.col("location"), F.col("kind")).alias("shown")), f"WITH {_SCANNED} SELECT file_id, chunk_index::INT AS chunk_index, location || CASE WHEN kind = 'ocr' THEN ' [OCR]' ELSE '' END AS shown FROM chunks")
 _add("meta_root", lambda s, d: search(_docs(s, d), "root:src1 & thenwh", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh"], "p0"))
-_add("meta_other_root", lambda s, d: search(_docs(s, d), "root:src2 & thenwh | reed. & ext:md & root:src2", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p1 AND extension = '.md' AND false"))
+_add("meta_other_root", lambda s, d: search(_docs(s, d), "root:src2 & thenwh | reed.", roots=["/src1"]).results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p1"))
 _add(
     "clipboard",
     lambda s, d: ops.clipboard(with_evidence(_docs(s, d), _found("thenwh")(s, d))),
