@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, common, fertility, langid, minhash, mixing, oracles, packing, pstable, replytree, toxicity, urlfilter
+from . import bitplane, chunkreuse, common, fertility, langid, minhash, mixing, oracles, packing, pstable, replytree, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_pstable_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_chunk_reuse_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkreuse.digest(chunkreuse.encode(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_url_character_models": op2_url_character_models,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_pstable_near_duplicates": op10_pstable_near_duplicates,
+    "op11_chunk_reuse_encoding": op11_chunk_reuse_encoding,
 }
 
 ORACLES: dict[str, str] = {

@@ -5,7 +5,10 @@ character, so a text whose spaces stand singly can be cut before every space and
 encoded on their own. Pieces recur, so a worker keeps the ids of those it has met in a table
 of bounded size. A piece of letters goes straight to the library's BPE model, any other piece
 and every text with other spacing through its whole tokenizer, as does every text if the vocabulary's
-file asks for another pre-tokenizer, a normalizer or another model.
+file asks for another pre-tokenizer, a normalizer, another model or marks that a cut or a run of letters could split.
+
+Strings of the vocabulary's own marks, such as ``<|endoftext|>``, become their ids in a text, as the library's plain call
+has it; ``marks_as_text`` spells them out like other text.
 """
 
 from __future__ import annotations
@@ -41,10 +44,10 @@ class _Uneven(LookupError):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, marks_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._all = Tokenizer.from_file(path)
-        self._all.encode_special_tokens = True
+        self._all.encode_special_tokens = marks_as_text
         self._all.no_truncation()
         self._all.no_padding()
         self._spelt = self._all.model.tokenize
@@ -52,7 +55,9 @@ class Encoder:
         cut, model = kind["pre_tokenizer"] or {}, kind["model"]
         # any other file is read by the library alone
         plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
-        self._cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["normalizer"] is None and model["type"] == "BPE" and not any(model.get(x) for x in plain)
+        marks = any(a["lstrip"] or a["rstrip"] or a["single_word"] or all(c.isalpha() or c in _TAIL for c in a["content"]) or any(map(str.isspace, a["content"])) for a in kind["added_tokens"])
+        #: Whether a text may be cut before any space that follows another character than white space.
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["normalizer"] is None and model["type"] == "BPE" and not any(model.get(x) for x in plain) and not marks
         self._letters = _byte_letters()
         self._bytes = [i.to_bytes(4, "little") for i in range(self._all.get_vocab_size())]
         self._known: dict[str, bytes] = {}
@@ -100,7 +105,7 @@ class Encoder:
         """The ids of one text; a null text counts as empty."""
         if not text:
             return b""
-        if not self._cuts:
+        if not self.cuts:
             return self._whole(text)
         get, learn = self._known.get, self._learn
         pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["", *text]
@@ -111,7 +116,37 @@ class Encoder:
         return b"".join(out)
 
 
+    @property
+    def size(self) -> int:
+        return len(self._bytes)
+
+
+class Decoder:
+    """Texts of ids, marks included, as the library's ``decode(ids, skip_special_tokens=False)`` gives them."""
+
+    def __init__(self, path: str) -> None:
+        self._all = Tokenizer.from_file(path)
+        kind = json.loads(self._all.to_str())
+        self._spelt: list[bytes] | None = None
+        if (kind["decoder"] or {}).get("type") == "ByteLevel":
+            of = {c: b for b, c in _byte_letters().items()}
+            tokens = (self._all.id_to_token(i) or "" for i in range(self._all.get_vocab_size()))
+            self._spelt = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in tokens]
+
+    def decode(self, ids: bytes) -> str:
+        """The text of little-endian unsigned 32-bit ids."""
+        listed = np.frombuffer(ids, "<u4").tolist()
+        if self._spelt is None:
+            return self._all.decode(listed, skip_special_tokens=False)
+        return b"".join(map(self._spelt.__getitem__, listed)).decode("utf-8", "replace")
+
+
 @functools.cache
-def encoder(path: str = BYTE_BPE) -> Encoder:
+def encoder(path: str = BYTE_BPE, marks_as_text: bool = False) -> Encoder:
     """The worker's own encoder for a vocabulary file; kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, marks_as_text)
+
+
+@functools.cache
+def decoder(path: str = BYTE_BPE) -> Decoder:
+    return Decoder(path)

@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkfolio.llm import bitplane, packing, queries, tokens
 
@@ -14,9 +16,11 @@ from .conftest import ODD
 SF = "/root/testdata/sf0.001"
 
 
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def ids(text):
-    model = tokens.encoder()._all
-    return model.encode(text or "", add_special_tokens=False).ids
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -25,6 +29,20 @@ def test_pieces_encode_as_the_whole(text):
     assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == ids(text)
 
 
+def test_marks_become_their_ids_unless_asked_otherwise():
+    text = "a <|endoftext|> b.<|endoftext|>\n<|endoftext|>  x"
+    got = np.frombuffer(tokens.encoder().encode(text), "<u4").tolist()
+    assert got == ids(text) and got.count(50256) == 3
+    spelt = np.frombuffer(tokens.encoder(tokens.BYTE_BPE, True).encode(text), "<u4").tolist()
+    assert 50256 not in spelt and PLAIN.decode(spelt, skip_special_tokens=False) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 50256), max_size=30))
+def test_any_ids_decode_as_the_library_does(some):
+    assert tokens.decoder().decode(np.array(some, "<u4").tobytes()) == PLAIN.decode(some, skip_special_tokens=False)
+
+
 def test_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     e = tokens.Encoder(tokens.BYTE_BPE)
