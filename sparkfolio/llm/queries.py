@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chunkreuse, common, fertility, langid, minhash, mixing, oracles, packing, pstable, replytree, toxicity, urlfilter
+from . import bitplane, chunkreuse, common, fertility, langid, minhash, mixing, oracles, packing, pstable, replytree, spelling, toxicity, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,14 @@ def op11_chunk_reuse_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkreuse.digest(chunkreuse.encode(table(spark, sf_dir, "documents")))
 
 
+def op12_deletion_hash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=31)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_ids": op1_bitplane_ids,
     "op2_url_character_models": op2_url_character_models,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_pstable_near_duplicates": op10_pstable_near_duplicates,
     "op11_chunk_reuse_encoding": op11_chunk_reuse_encoding,
+    "op12_deletion_hash_variants": op12_deletion_hash_variants,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
