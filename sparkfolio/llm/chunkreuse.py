@@ -4,8 +4,8 @@
    fall into equal chunks wherever they stand. Chunks of all documents are counted by 64 bits of their digest; what is
    met more than once is marked in a bitmap of at most ``MOST_BITS`` bits, which the workers get. A bit that is
    set by another chunk only sends a chunk the longer way, so a bitmap that fills up costs time, never a result.
-2. A text without a marked chunk is encoded where it lies. Any other becomes parts in order: each stretch between marked
-   chunks, and each marked chunk as a reference. Marked chunks become distinct by a shuffle, each
+2. A text without a marked chunk is encoded where it lies and never moves. Any other becomes parts in order, which are
+   written: each stretch between marked chunks, and each marked chunk as a reference. Marked chunks become distinct by a shuffle, each
    is encoded once, and a join hands its ids to all its references.
 3. A chunk's own ids hold in any context between the first and the last space in it that follows another
    character than white space: the byte-level splitting cuts there whatever stands around. So its encoding
@@ -140,8 +140,8 @@ def _wide(ids: bytes | None, kind: str) -> bytes | None:
     return ids if ids is None or kind == "<u4" else np.frombuffer(ids, kind).astype("<u4").tobytes()
 
 
-#: n: what a row is. Whole texts have ids; parts have head, ids and tail; references have a digest and the chunk's text as head.
-WHOLE, PART, REFERENCE = 0, 1, 2
+#: What a row is: parts have head, ids and tail, references a digest and the chunk's text as head.
+PART, REFERENCE = 1, 2
 _PARTS = "row long, doc_id long, text_hash long, kind byte, ord int, digest binary, head string, ids binary, tail string"
 _FIELDS = [(f.split()[0], {"long": pa.int64(), "byte": pa.int8(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[f.split()[1]]) for f in _PARTS.split(", ")]
 
@@ -151,21 +151,32 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
+class Marks:
+    """The bitmap of chunks that are met more than once."""
+
+    def __init__(self, sent) -> None:  # type: ignore[no-untyped-def]
+        self.bits = np.frombuffer(sent.value, np.uint8)
+        self.mask = np.uint64(max(0, 8 * len(self.bits) - 1))
+
+    def of(self, data: bytes) -> tuple[list[int], list[bytes], list[int]]:
+        """Ends and digests of a text's chunks, and which of them are marked."""
+        ends = cut(data) if len(self.bits) else []
+        known = digests(data, ends)
+        if not known:
+            return ends, known, []
+        slots = np.frombuffer(b"".join([d[:8] for d in known]), "<u8") & self.mask
+        return ends, known, np.flatnonzero(self.bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).tolist()
+
+
 def _split(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
-    encoder, bits = tokens.encoder(path), np.frombuffer(marked.value, np.uint8)
-    kind, mask = _narrow(encoder), np.uint64(8 * len(bits) - 1)
+    """The parts of texts with marked chunks."""
+    encoder, marks = tokens.encoder(path), Marks(marked)
+    kind = _narrow(encoder)
     for batch in common.rows_of(batches):
         rows = []
         for row, doc, hash_, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text_hash", "text")), strict=True):
-            text, name = text or "", (row, doc, hash_)
-            data = text.encode() if len(bits) else b""
-            ends = cut(data) if data else []
-            known = digests(data, ends)
-            slots = np.frombuffer(b"".join([d[:8] for d in known]), "<u8") & mask
-            hit = np.flatnonzero(bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).tolist() if known else []
-            if not hit:
-                rows.append((*name, WHOLE, 0, None, None, _packed(encoder.encode(text), kind), None))
-                continue
+            name, data = (row, doc, hash_), (text or "").encode()
+            ends, known, hit = marks.of(data)
             at, number = 0, 0
             for i in hit:
                 start = ends[i - 1] if i else 0
@@ -175,12 +186,20 @@ def _split(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.
                     number += 1
                 rows.append((*name, REFERENCE, number, known[i], data[start : ends[i]].decode(), None, None))
                 at, number = ends[i], number + 1
-            if at < len(data):
+            if hit and at < len(data):
                 head, ids, tail = part(data[at:].decode(), encoder)
                 rows.append((*name, PART, number, None, head, _packed(ids, kind), tail))
         yield _batch(rows, _FIELDS)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+    """The ids of texts without marked chunks."""
+    encoder, marks = tokens.encoder(path), Marks(marked)
+    for batch in common.rows_of(batches):
+        texts = zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
+        yield _batch([(doc, hash_, encoder.encode(text)) for doc, hash_, text in texts if not marks.of((text or "").encode())[2]], _RESULT)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(path)
     kind = _narrow(encoder)
@@ -212,12 +231,6 @@ def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield _batch([(*now[1:], join(iter(held), encoder))], _RESULT)
 
 
-def _widened(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    kind = _narrow(tokens.encoder(path))
-    for batch in common.rows_of(batches):
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([_wide(x, kind) for x in batch["ids"].to_pylist()], pa.binary())], [name for name, _ in _RESULT])
-
-
 def shared(docs: DataFrame) -> bytes:
     """The bitmap of chunks that are met more than once; empty if there are none."""
     seen = docs.select("text").mapInArrow(_seen, "key long").groupBy("key").agg(F.count("*").alias("n"))
@@ -249,7 +262,7 @@ def encode(docs: DataFrame, *, path: str = tokens.BYTE_BPE) -> DataFrame:
     every = parts.filter(F.col("kind") == PART).select(*columns).unionByName(filled)
     kind = "doc_id long, text_hash long, ids binary"
     joined = every.repartition("row").sortWithinPartitions("row", "ord").mapInArrow(lambda it: _joined(it, path), kind)
-    whole = parts.filter(F.col("kind") == WHOLE).select("doc_id", "text_hash", "ids").mapInArrow(lambda it: _widened(it, path), kind)
+    whole = given.mapInArrow(lambda it: _whole(it, marked, path), kind)
     return whole.unionByName(joined)
 
 
