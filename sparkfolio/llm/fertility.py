@@ -6,11 +6,14 @@ bits. Natural texts of one language and length give close values; a text far out
 A band is per group (language if a column names it, and main script) and per octave of the token
 count, since entropy grows with length: median plus or minus ``spread`` times the distance from
 the median to the quartile on that side, at least ``slack`` of the measure; above it ``spread_above`` and
-``slack_above``, which are wider, as few characters a token and little entropy are what junk shows. Quartiles come from counts of
-all documents' values, rounded to ``STEPS``, so they are the same however rows are partitioned and take
-bounded memory. A group below ``least`` documents falls back to its script
-in its octave, then with 1 and 3 octaves on either side, then in all; the last serves at any size. In these
-the entropy is taken less its script's slope by octave. Scripts aren't compared with one another, as
+``slack_above``, which are wider, as few characters a token and little entropy are what junk shows.
+
+Quartiles come from histograms: values of all documents are rounded to ``STEPS`` and counted by group, octave and
+step, which is exact however rows are partitioned and takes memory by the number of steps. Wider groups add these
+small histograms up: those of a script in an octave, and those of a script in all octaves, where the entropy
+is taken less the script's slope by octave. A group of n documents has quartiles of its own with weight n and
+those of its script in its octave with weight ``pull``, which in turn are drawn to those of the script in all octaves, so
+a verdict moves smoothly with the size of a group and none is too small for one. Scripts aren't compared with one another, as
 how a vocabulary covers a script says nothing of a text: a text alone in its script is kept.
 
 Bands are counted and, up to ``BROADCAST_BANDS`` of them, broadcast to the documents, so a group of any
@@ -48,8 +51,6 @@ MEASURES = ("piece_chars", "byte_share", "bpe_chars", "entropy")
 STEPS = {"piece_chars": 0.005, "byte_share": 0.002, "bpe_chars": 0.005, "entropy": 0.01}
 #: Bands are rows of about 150 bytes.
 BROADCAST_BANDS, SALTS = 50_000, 16
-#: Octaves on either side that a fallback takes in, narrowest first.
-REACHES = (0, 1, 3, 64)
 SCHEMA = "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_share double, bpe_chars double, entropy double"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -156,6 +157,30 @@ def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: st
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], batch["text_hash"], *made], ["doc_id", "language", "text_hash", *names])
 
 
+def _bands(some: DataFrame, group: list[str], pull: float) -> DataFrame:
+    """Quartiles q_<measure> of every group, drawn to those of wider groups."""
+    counted = [some.groupBy(*group, F.lit(m).alias("measure"), F.round(F.col(m) / STEPS[m]).alias("step")).agg(F.count("*").alias("count")) for m in MEASURES]
+    steps = common.materialize(functools.reduce(DataFrame.unionByName, counted), "steps")
+    slope = F.least(F.greatest(F.coalesce(F.regr_slope("entropy", "octave"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    slopes = some.groupBy("script").agg(slope.alias("slope"))
+    size = F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, STEPS[m])]), F.col("measure"))
+    steps = steps.join(F.broadcast(slopes), "script")  # a row for each script
+    steps = steps.withColumn("value", F.col("step") * size)
+    trend = F.when(F.col("measure") == "entropy", F.col("slope") * F.col("octave")).otherwise(0.0)
+
+    def quartiles(of: list[str], value, name: str) -> DataFrame:  # type: ignore[no-untyped-def]
+        return steps.groupBy(*of, "measure").agg(F.sum("count").alias(f"n_{name}"), F.percentile(value, [0.25, 0.5, 0.75], F.col("count")).alias(f"q_{name}"))
+
+    own = quartiles([*group, "slope"], F.col("value"), "own")
+    near = quartiles(["script", "octave"], F.col("value"), "near")
+    wide = quartiles(["script"], F.round((F.col("value") - trend) / size) * size, "wide")
+    drawn = own.join(near, ["script", "octave", "measure"]).join(wide, ["script", "measure"])
+    near_ = F.transform("q_near", lambda q, i: (q * F.col("n_near") + (F.col("q_wide")[i] + trend) * pull) / (F.col("n_near") + pull))
+    drawn = drawn.withColumn("near", near_)
+    drawn = drawn.withColumn("q", F.transform("q_own", lambda q, i: (q * F.col("n_own") + F.col("near")[i] * pull) / (F.col("n_own") + pull)))
+    return drawn.groupBy(*group).agg(*[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(f"q_{m}") for m in MEASURES])
+
+
 def rules(
     docs: DataFrame,
     *,
@@ -168,7 +193,7 @@ def rules(
     slack: float = 0.06,
     spread_above: float = 8.0,
     slack_above: float = 0.15,
-    least: int = 30,
+    pull: float = 10.0,
 ) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed, band_failed, kept and text_hash."""
     lang = F.col(language).cast("string") if language and language in docs.columns else F.lit(None).cast("string")
@@ -176,30 +201,15 @@ def rules(
     measured = given.mapInArrow(lambda it: _measured(it, piece_file, vocabulary), f"doc_id long, language string, text_hash long, {SCHEMA}")
     measured = measured.withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     measured = common.materialize(measured.withColumn("language", F.coalesce("language", F.lit("?"))), "fertility")
-    quarters = [F.percentile(F.round(F.col(m) / STEPS[m]) * STEPS[m], [0.25, 0.5, 0.75]).alias(f"q_{m}") for m in MEASURES]
     group = ["language", "script", "octave"]
-    some = measured.filter("n_tokens > 0")
-    bands = common.materialize(some.groupBy(*group).agg(F.count("*").alias("size"), *quarters), "bands")
-    slope = F.least(F.greatest(F.coalesce(F.regr_slope("entropy", F.log2("n_tokens")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    slopes = some.groupBy("script").agg(slope.alias("slope"))
-    small = bands.filter(F.col("size") < least).select("script", F.col("octave").alias("at")).distinct()
-    small = small.join(slopes, "script").withColumn("reach", F.explode(F.array(*map(F.lit, REACHES))))
-    near = some.join(F.broadcast(small), "script").filter(F.abs(F.col("octave") - F.col("at")) <= F.col("reach"))
-    near = near.withColumn("entropy", F.col("entropy") - F.col("slope") * F.log2("n_tokens"))
-    near = near.groupBy("script", "at", "reach", "slope").agg(F.count("*").alias("n"), *quarters)
-    narrowest = F.struct(F.col("n") < least, F.when(F.col("n") < least, -F.col("reach")).otherwise(F.col("reach")))
-    best = near.groupBy("script", F.col("at").alias("octave")).agg(F.min_by(F.struct("slope", *[f"q_{m}" for m in MEASURES]), narrowest).alias("near"))
-    own = F.col("size") >= least
-    bands = bands.join(best, ["script", "octave"], "left")
-    bands = bands.select(*group, F.when(own, 0.0).otherwise(F.col("near.slope")).alias("slope"), *[F.when(own, F.col(f"q_{m}")).otherwise(F.col(f"near.q_{m}")).alias(f"q_{m}") for m in MEASURES])
+    bands = common.materialize(_bands(measured.filter("n_tokens > 0"), group, pull), "bands")
     outside = F.lit(False)
     for m in MEASURES:
-        low, mid, high = (F.col(f"q_{m}")[i] + (F.col("slope") * F.log2("n_tokens") if m == "entropy" else 0) for i in range(3))
+        low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
         below = F.col(m) < mid - F.greatest((mid - low) * spread, mid * slack)
         above = F.col(m) > mid + F.greatest((high - mid) * spread_above, F.lit(0.05) if m == "byte_share" else mid * slack_above)
         outside = outside | (above if m == "byte_share" else below | above)
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
-    bands = common.materialize(bands, "bands")
     if bands.count() <= BROADCAST_BANDS:
         judged = measured.join(F.broadcast(bands), group, "left")
     else:
