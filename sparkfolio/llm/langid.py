@@ -6,7 +6,8 @@ sequences are spliced from windows of documents of different languages, so the f
 switch inside a text. A whole text is labelled by forward-backward; its language is the label with
 the largest expected number of words, and the score is that share.
 
-Training draws at most ``PER_LANGUAGE`` documents of each language in order of a hash of the id. The
+Training draws at most ``PER_LANGUAGE`` documents of each language in order of a hash of the id, of the ``LANGUAGES``
+languages that have most labelled documents, so neither dirty labels nor many rows let the sample or the weights grow. The
 executors read their whole texts and send up to ``SPANS`` spans of ``SPAN`` words from hashed places
 anywhere in each, so the driver holds that many words at most, whatever the texts' lengths. The
 weights are one table of ``SLOTS`` rows, sent to the executors. A text of more than ``CELLS`` words is
@@ -33,6 +34,8 @@ from . import common
 from .wordgrams import Grams, number, split
 
 PER_LANGUAGE = 800
+#: Languages that are learned at most; the weights take 256 KB for each.
+LANGUAGES = 64
 SPANS, SPAN = 12, 30
 SLOTS = 1 << 16
 SIZES = (1, 2, 3, 4)
@@ -227,11 +230,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["text_hash"], pa.array(kept, pa.list_(pa.binary()))], ["doc_id", "lang", "text_hash", "spans"])
 
 
-def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict[str, list[list[bytes]]]:
+def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, list[list[bytes]]]:
     """Bounded training spans by language, from documents that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return {}
     draw, some = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)), F.lit(False)
