@@ -14,9 +14,9 @@ Steps, each on all documents:
    buckets hold most rows, which in a group of copies tends to be their original.
 3. Every class is compared with the representatives of its buckets on full sets, and
    components of those links are found.
-4. Where a bucket still holds several components, its classes are dealt into blocks, and all
-   pairs of blocks are compared by one matrix product over full sets, without emitting pairs:
-   each block pair gives at most one link per class that joins components.
+4. Where a bucket still holds several components, its classes are dealt into blocks of so many classes and so many shingles, and all
+   pairs of blocks are compared by matrix products over full sets, without emitting pairs:
+   each block pair gives at most one link per class that joins components. A task holds two blocks.
 5. Components of all links are the result.
 
 Nulls, empties, ties: a text without words (or null) and a row with a null doc_id have no
@@ -39,8 +39,8 @@ from . import common, graph
 
 BAND_ROWS = 4
 MISS = 1e-6
-#: Classes of a bucket compared at once in step 4.
-BLOCK = 512
+#: Classes of a bucket compared at once in step 4, and shingles of theirs: about so many of either make a block.
+BLOCK, BLOCK_SHINGLES = 512, 4 << 20
 #: Keys of the texts to compare may be broadcast up to this many (24 bytes each, so 12 MB); a join takes over beyond.
 BROADCAST_IDS = 500_000
 
@@ -252,9 +252,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, *, words: int, percent: in
     first = common.materialize(graph.components(stars), "first")
 
     labelled = members.join(first, members.cls == first.id, "left").select("band", "key", "cls", "n", "size", F.coalesce("component", "cls").alias("comp"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("rows"))
+    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("rows"), F.sum("n").alias("shingles"))
     # two rows that differ have met already, one of them as the representative
-    mixed = mixed.filter("a < b and rows > 2").select("band", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    blocks = F.least(F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)), F.col("rows"))
+    mixed = mixed.filter("a < b and rows > 2").select("band", "key", blocks.cast("int").alias("blocks"))
     dealt = labelled.drop("size").join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("cls", "band"), F.col("blocks")).cast("int"))
     dealt = dealt.join(classes.select("cls", "keys"), "cls").join(sets, "cls")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
