@@ -13,7 +13,8 @@ cells counts in the first table only, told by 32 bits of each key. What leaves a
 count per class and links that join components, never all pairs.
 
 Nulls, empties, ties: a vector that is null, empty, zero, or holds null or non-finite components,
-or has a null label or id, links with nothing (its component is its own id). Vectors of other
+or has a null label or id, links with nothing (its component is its own id). Labels of any atomic type are
+compared by value: whole numbers as they are, others by 64 bits of a hash of theirs. Vectors of other
 lengths than the pair's are never compared: the length is part of the cell. A repeated vec_id
 is a vector of its own; the least id stands for a component.
 """
@@ -25,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
 from . import common, graph
 from .minhash import _ODD, _forest, lists_of, mix
@@ -85,8 +87,8 @@ def _start(size: int, label: np.ndarray) -> np.ndarray:
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The class of each vector, null for one that links with nothing."""
     for batch in batches:
-        label = batch["label"].to_numpy(zero_copy_only=False)
-        known = ~np.isnan(label) if label.dtype.kind == "f" else np.ones(len(label), bool)
+        label = batch["label"].fill_null(0).to_numpy(zero_copy_only=False)
+        known = batch["label"].is_valid().to_numpy(zero_copy_only=False)
         cls, there = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
         for rows, x in _by_length(batch["embedding"]):
             good = known[rows] & np.isfinite(x).all(axis=1) & x.any(axis=1)
@@ -163,10 +165,20 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
         yield out
 
 
+def _label(vectors: DataFrame) -> Column:
+    """A whole number for each label: equal for equal labels, null for a null one."""
+    kind, label = vectors.schema["label"].dataType, F.col("label")
+    if isinstance(kind, IntegralType):
+        return label.cast("long")
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        label = label + F.lit(0).cast(kind)  # one zero
+    return F.when(F.col("label").isNotNull(), F.xxhash64(label))
+
+
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, projections: int | None = None, width: float = WIDTH, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _label(vectors).alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     named = common.materialize(rows.mapInArrow(_named, f"vec_id long, label long, embedding array<{kind}>, cls long"), "vectors")
     known = named.filter("vec_id is not null and cls is not null")
     first = [F.first(c).alias(c) for c in ("label", "embedding")]
