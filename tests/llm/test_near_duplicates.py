@@ -1,5 +1,7 @@
 import itertools
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -92,6 +94,23 @@ def test_a_group_of_near_copies_keeps_all_links(spark, block):
     agree(minhash.near_duplicates(df, words=3, percent=85, block=block), rows, 3, 85)
 
 
+def test_blocks_follow_the_size_of_sets(spark, monkeypatch):
+    """Long near-copies are compared in blocks of few, with the same result."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 400)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for k in rng.integers(0, 400, i):
+            words[k] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(docs, words=2, percent=70).collect()))
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, words=2, percent=70).collect())) == want
+    assert 1 < len({r[2] for r in want}) < 40
+
+
 def test_odd_documents(spark, odd, none):
     rows = minhash.near_duplicates(odd).collect()
     by = {}
@@ -146,6 +165,14 @@ def test_odd_vectors(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in again) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True)]
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, 0.0, -0.0, None, 1.2]), ("string", ["a", "b", "", "", None, "a"]), ("decimal(9,2)", [Decimal("1.20"), Decimal("1.70"), Decimal(0), Decimal(0), None, Decimal("1.2")]), ("bigint", [2**62, 2**62 + 1, 0, 0, None, 2**62])])
+def test_labels_of_any_type_are_compared_by_value(spark, kind, labels):
+    df = spark.createDataFrame([(i, [1.0, 2.0], x) for i, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    for parts in (1, 6):  # with and without the null among the others
+        got = {r["vec_id"]: r["component_id"] for r in pstable.near_vectors(df.repartition(parts)).collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 0}
+
+
 def test_tables_follow_from_the_miss_rate():
     p = pstable.collision(0.2, 1.0) ** 8
     n = pstable.tables_for(0.98, 8)
