@@ -53,12 +53,13 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(name(path), r"^.+(\.[^.]*)$", 1))
 
 
-def path_key(path: Column) -> Column:
-    """Identity of a path: one kind of slash, no empty or ``.`` steps, ``..`` undone, lower case."""
-    steps = F.split(F.lower(F.regexp_replace(path, r"\\", "/")), "/")
+def path_key(path: Column, *, caseless: bool = False) -> Column:
+    """Identity of a path: one kind of slash, no empty or ``.`` steps, ``..`` undone; lower case where case tells nothing apart."""
+    slashed = F.regexp_replace(path, r"\\", "/")
+    steps = F.split(F.lower(slashed) if caseless else slashed, "/")
     kept = F.filter(steps, lambda s: (s != "") & (s != "."))
     stack = F.aggregate(kept, F.expr("cast(array() as array<string>)"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)))
-    return F.concat(F.when(F.regexp_replace(path, r"\\", "/").startswith("/"), "/").otherwise(""), F.array_join(stack, "/"))
+    return F.concat(F.when(slashed.startswith("/"), "/").otherwise(""), F.array_join(stack, "/"))
 
 
 def is_under(path: Column, root: str) -> Column:

@@ -64,8 +64,42 @@ def near(hay: Column, left: str, right: str, distance: int) -> Column:
         first, from_end = F.instr(hay, left), F.instr(F.reverse(hay), left[::-1])
         last = F.length(hay) - from_end - len(left) + 2
         return (first > 0) & (last > first) & (last - first <= distance)
+    return hay.contains(left) & hay.contains(right) & hay.rlike(near_pattern(left, right, distance))
+
+
+def near_pattern(left: str, right: str, distance: int) -> str:
+    """A Java regular expression for two different literals that start within ``distance`` characters of each other."""
     ahead = lambda a, b: f"(?={quote(a)}).{{0,{distance}}}(?={quote(b)})"
-    return hay.contains(left) & hay.contains(right) & hay.rlike(f"(?s){ahead(left, right)}|{ahead(right, left)}")
+    return f"(?s){ahead(left, right)}|{ahead(right, left)}"
+
+
+def starts(hay: Column, needle: str) -> Column:
+    """Where a literal begins, counted from 0, in order; occurrences may overlap."""
+    pieces = F.split(hay, f"(?={quote(needle)})")
+    told = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc: acc["out"],
+    )
+    none = F.expr("cast(array() as array<int>)")
+    return F.when(~hay.contains(needle), none).when(hay.startswith(needle), told).otherwise(F.slice(told, F.lit(2), F.greatest(F.size(told) - 1, F.lit(0))))
+
+
+def spans(hay: Column, left: str, right: str, distance: int) -> Column:
+    """array(struct(left, right, distance)): for each start of ``left`` the nearest of ``right`` within ``distance``, ties to the one before.
+
+    For two equal literals the first and the last start, as nearness of a term to itself asks for.
+    """
+    if left == right:
+        at = starts(hay, left)
+        first, last = F.array_min(at), F.array_max(at)
+        pair = F.array(F.struct(first.alias("left"), last.alias("right"), (last - first).alias("distance")))
+        return F.when((F.size(at) > 1) & (last - first <= distance), pair).otherwise(F.slice(pair, 1, 0))
+    there = starts(hay, right)
+    nearest = lambda a: F.array_min(F.transform(F.filter(there, lambda b: F.abs(b - a) <= distance), lambda b: F.struct(F.abs(b - a).alias("distance"), b.alias("right"))))
+    each = F.transform(starts(hay, left), lambda a: F.struct(a.alias("a"), nearest(a).alias("b")))
+    return F.transform(F.filter(each, lambda x: x["b"].isNotNull()), lambda x: F.struct(x["a"].alias("left"), x["b"]["right"].alias("right"), x["b"]["distance"].alias("distance")))
 
 
 def caseless(text: Column) -> Column:

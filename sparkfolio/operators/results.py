@@ -26,11 +26,15 @@ SORTS = {
 DOWNWARDS = ("relevance", "hits", "modified", "size")
 
 
-def sort(results: DataFrame, by: str = "relevance", descending: bool | None = None) -> DataFrame:
-    """By one column, ties by path upwards."""
+def _order(by: str, descending: bool | None) -> list[Column]:
     key = texts.caseless(F.col(SORTS[by])) if by in ("filename", "path", "type", "source") else F.col(SORTS[by])
     down = by in DOWNWARDS if descending is None else descending
-    return results.orderBy(key.desc() if down else key.asc(), "path", "file_id")
+    return [key.desc() if down else key.asc(), F.col("path").asc(), F.col("file_id").asc()]
+
+
+def sort(results: DataFrame, by: str = "relevance", descending: bool | None = None) -> DataFrame:
+    """By one column, ties by path upwards."""
+    return results.orderBy(*_order(by, descending))
 
 
 def page(results: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -44,6 +48,30 @@ def capped(results: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return results.limit(most), more
 
 
+class Ranked:
+    """A sorted result store: ranges of the order, and how many results lie before each, so a page opens the ranges it lies in."""
+
+    def __init__(self, results: DataFrame, by: str = "relevance", descending: bool | None = None, *, ranges: int | None = None) -> None:
+        order = _order(by, descending)
+        dealt = results.repartitionByRange(ranges, *order) if ranges else results.repartitionByRange(*order)
+        self.by, self.descending, self.columns = by, descending, results.columns
+        self.table = storage.divided(dealt.withColumn("_range", F.spark_partition_id()), "ranked", "_range")
+        sizes = sorted(map(tuple, self.table.groupBy("_range").agg(F.count("*")).collect()))  # a row for each range
+        self.starts: list[tuple[int, int, int]] = []
+        self.total = 0
+        for part, n in sizes:
+            self.starts.append((part, self.total, n))
+            self.total += n
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Results ``offset`` to ``offset + limit``; only the ranges that hold them are read and sorted."""
+        here = [(part, start) for part, start, n in self.starts if start < offset + limit and start + n > offset]
+        if not here:
+            return self.table.select(*self.columns).limit(0)
+        rows = self.table.filter(F.col("_range").isin([part for part, _ in here])).select(*self.columns)
+        return page(sort(rows, self.by, self.descending), offset - here[0][1], limit)
+
+
 def narrow(results: DataFrame, *, kinds: list[str] | None = None, sources: list[str] | None = None, ocr_only: bool = False, confirmed: bool | None = None, folder: str | None = None, without: str | None = None) -> DataFrame:
     """The results that pass facet filters; ``without`` drops one path."""
     tests: list[Column] = []
@@ -81,24 +109,35 @@ def coverage(judged: DataFrame) -> DataFrame:
 COUNTERS = ("discovered", "scanned", "hits", "indexed", "read", "ocr_pages", "skipped_online", "skipped_size", "skipped_type", "warnings", "errors", "bytes")
 
 
-def covered(files: DataFrame, results: DataFrame, issues: DataFrame, extracted: DataFrame) -> DataFrame:
-    """One row of ``COUNTERS`` over listed files with their ``decision``; each input is aggregated once."""
-    n = lambda test, name: F.count_if(test).alias(name)
+def listed_counters() -> dict[str, Column]:
+    """Counters of listed files with their ``decision``."""
     by = F.col("decision")
-    listed = files.agg(
-        F.count("*").alias("discovered"),
-        n(by.isin("read", "index", "skip_online"), "scanned"),
-        n(by == "index", "indexed"),
-        n(by == "read", "read"),
-        *[n(by == f"skip_{x}", f"skipped_{x}") for x in ("online", "size", "type")],
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-    )
-    told = issues.agg(n(F.col("severity") == "warn", "warnings"), n(F.col("severity") == "error", "errors"))
-    pages = extracted.agg(n(F.col("kind") == "ocr", "ocr_pages"))
-    rows = [results.agg(F.count("*").alias("hits")), told, pages]
-    for row in rows:  # one row each
-        listed = listed.join(F.broadcast(row), F.lit(True))
-    return listed.select(*COUNTERS)
+    return {
+        "discovered": F.count("*"),
+        "scanned": F.count_if(by.isin("read", "index", "skip_online")),
+        "indexed": F.count_if(by == "index"),
+        "read": F.count_if(by == "read"),
+        **{f"skipped_{x}": F.count_if(by == f"skip_{x}") for x in ("online", "size", "type")},
+        "bytes": F.coalesce(F.sum("size"), F.lit(0)),
+    }
+
+
+def read_counters() -> dict[str, Column]:
+    """Counters of chunks that were read."""
+    return {"ocr_pages": F.count_if(F.col("kind") == "ocr")}
+
+
+def issue_counters() -> dict[str, Column]:
+    return {"warnings": F.count_if(F.col("severity") == "warn"), "errors": F.count_if(F.col("severity") == "error")}
+
+
+def covered(files: DataFrame, results: DataFrame, issues: DataFrame, extracted: DataFrame) -> DataFrame:
+    """One row of ``COUNTERS`` over tables that are there; a session observes the same counters while it writes them."""
+    all_ = lambda df, counters: df.agg(*[c.alias(n) for n, c in counters.items()])
+    row = all_(files, listed_counters())
+    for other in (results.agg(F.count("*").alias("hits")), all_(issues, issue_counters()), all_(extracted, read_counters())):  # one row each
+        row = row.join(F.broadcast(other), F.lit(True))
+    return row.select(*COUNTERS)
 
 
 def coverage_text(row: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ class Needle:
     norm: str
     part: str = ""
     pattern: str = ""
+    #: What a pattern has between its stars.
+    pieces: tuple[str, ...] = ()
 
     def match(self) -> Column:
         found = F.col("norm_text").contains(self.norm) if self.norm else F.lit(False)
@@ -63,7 +65,7 @@ def needle(term: q.Term, options: Options) -> Needle:
         return Needle(norm)
     part = texts.canonical_part(term.text, case_sensitive=options.case_sensitive, keep_star=True)
     if "*" in part and part.count("*") <= MOST_STARS and part.strip("*"):
-        return Needle(norm, pattern=texts.part_pattern(part))
+        return Needle(norm, pattern=texts.part_pattern(part), pieces=tuple(part.split("*")))
     return Needle(norm, part.replace("*", ""))
 
 

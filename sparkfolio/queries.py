@@ -6,7 +6,6 @@ lines, windows and normalisation, which on these texts equals lower case with ``
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +13,15 @@ from pyspark.sql import functions as F
 
 from .functions import files as paths
 from .functions import text as texts
-from .lang import nodes
-from .lang.builder import Groups, combined, equivalent
-from .lang.nodes import QueryError
-from .lang.parser import fold_operators, parse_query
-from .lang.printer import to_query_string
+from .lang.builder import Groups, combined
 from .operators import results as ops
+from .plans import stored, topk
 from .plans.compile import Options
 from .plans.search import Found, evidence, search, with_evidence
 from .session import Outcome, Request, run
 from .sources import chunks as source
-from .sources import extract, index, ocr_cache, storage
+from .sources import extract, index, listing, ocr_cache, storage
+from .streaming import matcher
 from .streaming.incremental import hits_per_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,23 +237,27 @@ def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("ocr_cache_lookup", _ocr, f"WITH {_FILES} SELECT path, CASE WHEN file_id % 4 < 2 THEN 'page of ' || path END AS cached FROM files")
-_add("path_functions", lambda s, d: _docs(s, d).files.select("file_id", *[f(F.col("path")).alias(n) for n, f in (("base", paths.name), ("folder", paths.directory), ("ext", paths.extension), ("key", paths.path_key))], paths.kind(F.col("extension")).alias("kind"), paths.is_under(F.col("path"), "/src1/en/").alias("under")), f"WITH {_FILES} SELECT file_id, name AS base, directory AS folder, extension AS ext, lower(path) AS key, file_kind AS kind, starts_with(path, '/src1/en/') AS under FROM files")
+_add("path_functions", lambda s, d: _docs(s, d).files.select("file_id", *[f(F.col("path")).alias(n) for n, f in (("base", paths.name), ("folder", paths.directory), ("ext", paths.extension), ("key", paths.path_key))], paths.kind(F.col("extension")).alias("kind"), paths.is_under(F.col("path"), "/src1/en/").alias("under")), f"WITH {_FILES} SELECT file_id, name AS base, directory AS folder, extension AS ext, path AS key, file_kind AS kind, starts_with(path, '/src1/en/') AS under FROM files")
 _add("size_format", lambda s, d: _docs(s, d).files.select("file_id", paths.human_size(F.col("size") * 1000).alias("shown")), f"WITH {_FILES} SELECT file_id, CASE WHEN size * 1000 < 1024 THEN size * 1000 || ' B' WHEN size * 1000 < 1048576 THEN printf('%.1f KB', round(size * 1000 / 1024.0, 1)) ELSE printf('%.1f MB', round(size * 1000 / 1048576.0, 1)) END AS shown FROM files")
 _STATE = "CASE WHEN source_type = 'smb' THEN 'smb' WHEN file_id % 4 = 0 THEN 'online' WHEN file_id % 4 = 1 THEN 'pinned' ELSE 'local' END"
-_DECISIONS = {
-    (mode, policy): "'read'" if policy == "fetch" else f"CASE WHEN state <> 'online' THEN 'read' {'' if policy == 'skip' or mode == 'fast' else f'WHEN file_id % 8 = 0 THEN {chr(39)}index{chr(39)} '}ELSE '{'skip' if policy == 'skip' or mode == 'fast' else 'read'}' END"
-    for mode in ("fast", "standard", "full")
-    for policy in ("auto", "skip", "fetch")
-}
+#: What is done with a file that lies online only, by mode, policy, and whether the index holds it.
+_ONLINE = """
+online(mode, policy, indexed, decision) AS (VALUES
+  ('fast', 'auto', false, 'skip'), ('fast', 'auto', true, 'skip'), ('fast', 'skip', false, 'skip'), ('fast', 'skip', true, 'skip'),
+  ('fast', 'fetch', false, 'read'), ('fast', 'fetch', true, 'read'), ('standard', 'auto', false, 'read'), ('standard', 'auto', true, 'index'),
+  ('standard', 'skip', false, 'skip'), ('standard', 'skip', true, 'skip'), ('standard', 'fetch', false, 'read'), ('standard', 'fetch', true, 'read'),
+  ('full', 'auto', false, 'read'), ('full', 'auto', true, 'index'), ('full', 'skip', false, 'skip'), ('full', 'skip', true, 'skip'),
+  ('full', 'fetch', false, 'read'), ('full', 'fetch', true, 'read'))"""
+_CASES = [(mode, policy) for mode in ("fast", "standard", "full") for policy in ("auto", "skip", "fetch")]
 
 
 def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.when(F.col("file_id") % 4 == 0, 0x400000).when(F.col("file_id") % 4 == 1, 0x80000).otherwise(0)
     files = _docs(spark, sf_dir).files.withColumn("state", paths.cloud_state(bits, F.col("source_type")))
-    return files.select("file_id", "state", *[paths.cloud_decision(F.col("state"), F.col("file_id") % 8 == 0, m, p).alias(f"{m}_{p}") for m, p in _DECISIONS])
+    return files.select("file_id", "state", *[paths.cloud_decision(F.col("state"), F.col("file_id") % 8 == 0, m, p).alias(f"{m}_{p}") for m, p in _CASES])
 
 
-_add("cloud_policy", _cloud, f"WITH {_FILES}, s AS (SELECT file_id, {_STATE} AS state FROM files) SELECT file_id, state, {', '.join(f'{sql} AS {m}_{p}' for (m, p), sql in _DECISIONS.items())} FROM s")
+_add("cloud_policy", _cloud, f"WITH {_FILES}, {_ONLINE}, s AS (SELECT file_id, {_STATE} AS state FROM files) SELECT file_id, state, {', '.join(f"CASE WHEN state <> 'online' THEN 'read' ELSE (SELECT decision FROM online WHERE mode = '{m}' AND policy = '{p}' AND indexed = (file_id % 8 = 0)) END AS {m}_{p}" for m, p in _CASES)} FROM s")
 _add("text_reader_chunks", lambda s, d: _docs(s, d).chunks.filter("kind = 'line'").select("file_id", "chunk_index", "location", F.length("text").alias("chars")), f"WITH {_BASE} SELECT file_id, chunk_index::INT AS chunk_index, location, length(text)::INT AS chars FROM body")
 _add("page_count", lambda s, d: ops.page_count(_docs(s, d).chunks), f"WITH {_BASE} SELECT file_id, max(try_cast(nullif(regexp_extract(location, '(\\d+)', 1), '') AS INT)) AS pages FROM chunks GROUP BY file_id")
 _add("highlight", lambda s, d: _docs(s, d).chunks.filter("kind = 'line'").select("file_id", "chunk_index", texts.highlight(F.col("text"), ["the", "of"]).alias("marked")), f"WITH {_BASE} SELECT file_id, chunk_index::INT AS chunk_index, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS marked FROM body")
@@ -312,41 +313,13 @@ _add("shown_rows", lambda s, d: ops.shown_rows(search(_scanned(s, d), "thenwh",
 _add("toggle_confirmed", lambda s, d: ops.toggled(ops.toggled(_confirmed(s, d), 10_000_001), 16), "SELECT doc_id AS file_id FROM labels WHERE quality = 1 AND doc_id <> 16 UNION ALL SELECT 10000001 UNION ALL SELECT 16 WHERE 16 NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 
 
-# --------------------------------------------------------------------------- the language
-def _said(name: str, tell: Callable[[str], str], cases: dict[str, str]) -> None:
-    """A query that tells something of each query text, and the same as a table of values."""
-    _add(name, lambda s, d: s.createDataFrame([(q, tell(q)) for q in cases], "query string, told string"), "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in cases.items()) + ") AS t(query, told)")
-
-
-def _failure(query: str) -> str:
-    try:
-        parse_query(query)
-    except QueryError as e:
-        return str(e.position)
-    return "fine"
-
-
-def _asked(query: str) -> str:
-    node = parse_query(query)
-    helping, hurting = ("+".join(t.text for t in f(node)) for f in (nodes.terms, nodes.negative_terms))
-    return f"{helping}/{hurting}/{nodes.is_monotone(node)}/{nodes.requires_term(node)}"
-
-
-_said("serialise", lambda q: to_query_string(parse_query(q)), {"A,B&C": "A | B & C", "2OF(A B C)": "2of(A,B,C)", "NEAR(x,y)": "NEAR(x,y,100)", "-A": "!A", "size:1536k": "size:>=1536KB", '(A|B) "c d"': '(A | B) & "c d"'})
-_said("serialise_round_trip", lambda q: str(parse_query(to_query_string(parse_query(q))) == parse_query(q)), {"A,B&C": "True", "(A|B)&!C": "True", "2of(A,1of(B,C),type:pdf)": "True", 'NEAR("a b",c,9) & modified:2025-01-01..2025-02-01': "True"})
-_said("equivalence", lambda q: str(equivalent(*map(parse_query, q.split(" == ")))), {"A|B == B|A": "True", "A&B == A|B": "False", "type:ppt == ext:pptm,pptx": "True", "A&(B&C) == C&B&A": "True", "2of(A,B,C) == 2of(C,B,A)": "True", "NEAR(a,b,5) == NEAR(b,a,5)": "True", "NEAR(a,b,5) == NEAR(a,b,6)": "False"})
-_said("fold_operators", fold_operators, {"A＆B": "A&B", "A、B": "A,B", "A　B": "A B", "A かつ B": "A & B", "A or B": "A , B", "order": "order"})
-_said("syntax_error", _failure, {"A & B": "fine", "A & ()": "4", '"a': "0", "NEAR(a,b,0)": "0", "3of(a,b)": "0", "A )": "2"})
-_said("ast_utilities", _asked, {"a & !b": "a/b/False/True", "a | !!b": "a+b//False/False", "2of(a,b,type:pdf)": "a+b//True/True", "type:pdf": "//True/False"})
-
-
 # ------------------------------------------------------------------ indexes and folders
 def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[index.CorpusIndex, DataFrame]:
     """An index of all documents but every 5th and 20 that are gone by now, then refreshed with all, every 7th changed."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.lit("/x").alias("folder"), "text")
     gone = rows.filter("file_id % 5 <> 0").orderBy("file_id").limit(20).withColumn("file_id", F.col("file_id") + 10_000_000)
     take = lambda idx, rows: idx.refresh((made := source.from_texts(rows)).files.drop("name_norm", "path_norm"), made.chunks.filter("chunk_index > 1").drop("norm_text", "part_text"))
-    idx = index.CorpusIndex(spark, f"{storage.shared_dir(spark)}/sparkfolio/index-{uuid.uuid4().hex}", buckets=8)
+    idx = index.CorpusIndex(spark, storage.place(spark, "index"))
     take(idx, rows.filter("file_id % 5 <> 0").unionByName(gone))
     return idx, take(idx, rows.withColumn("text", F.when(F.col("file_id") % 7 == 0, F.concat("text", F.lit("\nzzchanged"))).otherwise(F.col("text"))))
 
@@ -379,12 +352,24 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    root = f"{storage.shared_dir(spark)}/sparkfolio/files-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs.write.partitionBy("doc_id").text(root)
+    root = storage.place(spark, "files")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    _put(docs, lambda doc_id: f"{root}/doc_id={doc_id}/text.txt", "\n")
     return root
 
 
+def _put(docs: DataFrame, name: Callable[[int], str], end: str = "") -> None:
+    """Write the text of each document to a file, in tasks."""
+
+    def put(frames):  # type: ignore[no-untyped-def]
+        for frame in frames:
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                listing.write(name(doc_id), ((text or "") + end).encode())
+            yield frame[["doc_id"]]
+
+    docs.mapInPandas(put, "doc_id long").write.format("noop").mode("overwrite").save()
+
+
 def _id() -> Column:
     return F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("file_id")
 
@@ -395,8 +380,8 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_id(), "chunk_index", "kind", "location", F.length("text").alias("chars"), "code")
 
 
-def _session(spark: SparkSession, sf_dir: str) -> Outcome:
-    return run(spark, Request([_folder(spark, sf_dir)], "thenwh, reed.", Options(include_path_names=False)))
+def _session(spark: SparkSession, sf_dir: str, mode: str = "standard") -> Outcome:
+    return run(spark, Request([_folder(spark, sf_dir)], "thenwh, reed.", Options(include_path_names=False), mode=mode))
 
 
 _WRITTEN = r"""
@@ -408,3 +393,125 @@ _add("session_search", lambda s, d: _session(s, d).results.select(_id(), "hit_co
 _add("session_coverage", lambda s, d: _session(s, d).coverage.select(*[F.col(c).cast("long").alias(c) for c in ops.COUNTERS]), "SELECT count(*) AS discovered, count(*) AS scanned, count_if(contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.'))::BIGINT AS hits, 0::BIGINT AS indexed, count(*) AS read, 0::BIGINT AS ocr_pages, 0::BIGINT AS skipped_online, 0::BIGINT AS skipped_size, 0::BIGINT AS skipped_type, 0::BIGINT AS warnings, 0::BIGINT AS errors, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents")
 _add("prefilter", lambda s, d: extract.prefilter(_docs(s, d).files, kinds=["text", "pdf", "word"], limits={"text": 2000, "pdf": 5000}, indexed=_docs(s, d).files.filter("file_id % 3 = 1")).groupBy("decision").agg(F.count("*").alias("n")), f"""WITH {_FILES}
 SELECT CASE WHEN file_kind NOT IN ('text', 'pdf', 'word') THEN 'skip_type' WHEN file_kind = 'text' AND size > 2000 OR file_kind = 'pdf' AND size > 5000 THEN 'skip_size' WHEN file_id % 3 = 1 THEN 'index' ELSE 'read' END AS decision, count(*) AS n FROM files GROUP BY ALL""")
+_SAID = "SELECT doc_id AS file_id, ((length(lower(text)) - length(replace(lower(text), 'thenwh', ''))) // 6 + (length(lower(text)) - length(replace(lower(text), 'reed.', ''))) // 5)::BIGINT AS hit_count FROM documents WHERE contains(lower(text), 'thenwh') OR contains(lower(text), 'reed.')"
+for _mode in ("fast", "full"):
+    _add(f"session_{_mode}", lambda s, d, m=_mode: _session(s, d, m).results.select(_id(), "hit_count"), _SAID)
+
+
+def _rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence of the best result of a search."""
+    done = _session(spark, sf_dir)
+    best = done.results.first()["file_id"]
+    rows = done.rescan(best).select("file_id", F.explode("evidence").alias("e")).join(done.files.select("file_id", "path"), "file_id")
+    return rows.select(_id(), "e.term", F.col("e.rank").cast("int").alias("rank"), "e.location")
+
+
+_add("rescan", _rescanned, f"""WITH {_WRITTEN}, found AS ({_SAID}),
+best AS (SELECT file_id FROM (SELECT file_id, hit_count, (contains(lower(text), 'thenwh'))::INT + contains(lower(text), 'reed.')::INT AS terms FROM found JOIN documents ON doc_id = file_id)
+  ORDER BY round(0.6 * terms / 2 + 0.05 * least(hit_count, 20) / 20, 4) DESC, '/doc_id=' || file_id || '/' LIMIT 1),
+lines AS (SELECT file_id, line, w, text, unnest(['thenwh', 'reed.']) AS term FROM parts WHERE file_id IN (SELECT file_id FROM best))
+SELECT file_id, term, row_number() OVER (PARTITION BY term ORDER BY line, w)::INT AS rank, line || '行' AS location FROM lines WHERE contains(lower(text), term)""")
+
+
+def _odd_names(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files whose names begin with ``_`` or ``.`` or differ in case only, written once a session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} names")
+    if key not in _folders:
+        root = storage.place(spark, "names")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        _put(docs, lambda doc_id: f"{root}/{'Aa'[doc_id % 2]}/{('', '_', '.')[doc_id // 2 % 3]}d{doc_id // 2}.TXT")
+        _folders[key] = root
+    return _folders[key]
+
+
+_add("scan_all_names", lambda s, d: extract.scan(s, _odd_names(s, d)).select(F.substring_index("path", "/", -2).alias("place"), "size", "extension"), "SELECT substr('Aa', doc_id::INT % 2 + 1, 1) || '/' || list_extract(['', '_', '.'], doc_id // 2 % 3 + 1) || 'd' || (doc_id // 2) || '.TXT' AS place, coalesce(octet_length(encode(text)), 0) AS size, '.txt' AS extension FROM documents")
+
+
+# --------------------------------------------------------------- postings, segments, states
+_indexes: dict[tuple, index.CorpusIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.CorpusIndex:
+    """An index of the documents in two segments, kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        files, chunks = _docs(spark, sf_dir)
+        body = chunks.filter("chunk_index > 1").drop("norm_text", "part_text")
+        idx = index.CorpusIndex(spark, storage.place(spark, "index"))
+        idx.refresh(files.filter("file_id % 3 < 2").drop("name_norm", "path_norm"), body)
+        idx.refresh(files.drop("name_norm", "path_norm"), body)
+        _indexes[key] = idx
+    return _indexes[key]
+
+
+_GRAMS = ["the", "hen", "enw", "nwh", "ree", "eed", "ed."]
+_add("posting_candidates", lambda s, d: _index(s, d).candidates("thenwh & reed.", most=None).select("file_id"), _sql(_GRAMS, " AND ".join(_own(i) for i in range(len(_GRAMS))), "file_id"))
+_add("posting_candidates_or", lambda s, d: _index(s, d).candidates("(thenwh | reed.) & !the", most=None).select("file_id"), _sql(_GRAMS, "p0 AND p1 AND p2 AND p3 OR p4 AND p5 AND p6", "file_id"))
+_add(
+    "posting_sizes",
+    lambda s, d: (i := _index(s, d)).postings(c := i._now()[1], [x.id for x in c["segments"]]).filter("gram < 'o'").groupBy("gram").agg(F.sum("n").cast("long").alias("n")),
+    f"WITH {_BASE}, grams AS (SELECT DISTINCT file_id, 'n' || substr(norm, i::INT, 3) AS gram FROM (SELECT file_id, norm, unnest(range(1, length(norm) - 1)) AS i FROM chunks)) SELECT gram, count(*) AS n FROM grams GROUP BY gram",
+)
+_add("posting_search", lambda s, d: _index(s, d).search("thenwh & !reed.").results.select("file_id", "hit_count"), _sql(["thenwh", "reed."], "p0 AND NOT p1", positive=[0]))
+_add("segment_search", lambda s, d: _index(s, d).search("modified:2024-02-01..2024-06-30 & ext:md,xlsx & the").results.select("file_id", "hit_count"), _sql(["the"], "DATE '2024-01-01' + file_id::INT BETWEEN DATE '2024-02-01' AND DATE '2024-06-30' AND extension IN ('.md', '.xlsx') AND p0"))
+_add("index_under", lambda s, d: _index(s, d).under("/src1").select("file_id", "path"), f"WITH {_FILES} SELECT file_id, path FROM files WHERE starts_with(path, '/src1/')")
+_add("topk_bounded", lambda s, d: topk.best(_index(s, d), "thenwh, reed.", 50).results.select("file_id", "path", "score", "hit_count"), _two_sql("file_id, path, score, hit_count", "ORDER BY score DESC, path, file_id LIMIT 50"))
+_add("ranked_page", lambda s, d: ops.Ranked(_two(s, d).results, "hits").page(20, 30).select("file_id", "hit_count"), _two_sql("file_id, hit_count", "ORDER BY hit_count DESC, path, file_id LIMIT 30 OFFSET 20"))
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index that may not grow takes in of all documents, when it holds two of three and every 7th has changed."""
+    files, chunks = _docs(spark, sf_dir)
+    files, body = files.drop("name_norm", "path_norm"), chunks.filter("chunk_index > 1").drop("norm_text", "part_text")
+    idx = index.CorpusIndex(spark, storage.place(spark, "index"), max_bytes=1)
+    idx.refresh(files.filter("file_id % 3 < 2"), body)
+    return idx.refresh(files.withColumn("size", F.when(F.col("file_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))), body)
+
+
+_add("index_capacity", _full, "SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 2 THEN 'full' WHEN doc_id % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM documents")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a stream of the documents' chunks, dealt out in no order."""
+    files, chunks = _docs(spark, sf_dir)
+    source_, out, check = (storage.place(spark, n) for n in ("arriving", "outcomes", "progress"))
+    rows = matcher.with_ends(chunks)
+    rows.repartition(8, F.xxhash64("file_id", "chunk_index")).write.parquet(source_)
+    query = matcher.decided(spark, source_, rows.schema, "thenwh & !reed. | type:pdf & ouque", out, check, files, per_trigger=4)
+    query.awaitTermination()
+    return spark.read.schema(matcher.SCHEMA).parquet(out).select("file_id", "outcome")
+
+
+_add("stateful_matches", _decided, _sql(["thenwh", "reed.", "ouque"], "p0 AND NOT p1 OR file_kind = 'pdf' AND p2", "file_id, CASE WHEN accepted THEN 'accept' ELSE 'reject' END AS outcome", tail="all"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each passage of the benchmark a query of its words: two of its first three, and the fifth or a kind of file, not the last."""
+    words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) > 3)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", words.alias("w")).filter("size(w) > 5").collect()
+    ask = {r["item_id"]: f"2of({r['w'][0]},{r['w'][1]},{r['w'][2]}) & ({r['w'][4]} | type:pdf) & !{r['w'][-1]}" for r in items}
+    return stored.matches(_docs(spark, sf_dir), ask)
+
+
+_add("stored_queries", _stored, f"""WITH {_BASE}, items AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3) AS w FROM benchmark),
+asked AS (SELECT item_id AS query_id, w[1] AS a, w[2] AS b, w[3] AS c, w[5] AS d, w[-1] AS z FROM items WHERE len(w) > 5),
+words AS (SELECT DISTINCT unnest([a, b, c, d, z]) AS word FROM asked),
+held AS (SELECT word, file_id, sum((length(norm) - length(replace(norm, word, ''))) // length(word))::BIGINT AS hits FROM words JOIN chunks ON contains(norm, word) GROUP BY ALL),
+near AS (SELECT query_id, file_id, max((word = a)::INT) AS a, max((word = b)::INT) AS b, max((word = c)::INT) AS c, max((word = d)::INT) AS d, max((word = z)::INT) AS z, sum(CASE WHEN word IN (a, b, c, d) THEN hits ELSE 0 END)::BIGINT AS hit_count
+  FROM asked JOIN held ON word IN (a, b, c, d, z) GROUP BY ALL)
+SELECT query_id, file_id, hit_count FROM near JOIN files USING (file_id) WHERE a + b + c >= 2 AND (d = 1 OR file_kind = 'pdf') AND z = 0""")
+_add(
+    "near_spans",
+    lambda s, d: _docs(s, d).chunks.select("file_id", "chunk_index", F.explode(texts.spans(F.col("norm_text"), "tion", "whst", 40)).alias("x")).select("file_id", "chunk_index", "x.*"),
+    f"""WITH {_BASE}, said AS (SELECT file_id, chunk_index, norm FROM chunks WHERE contains(norm, 'tion') AND contains(norm, 'whst')),
+starts AS (SELECT file_id, chunk_index, list_filter(range(0, length(norm)), lambda i: substr(norm, i::INT + 1, 4) = 'tion') AS l, list_filter(range(0, length(norm)), lambda i: substr(norm, i::INT + 1, 4) = 'whst') AS r FROM said),
+pairs AS (SELECT file_id, chunk_index, x AS a, unnest(r) AS b FROM (SELECT *, unnest(l) AS x FROM starts))
+SELECT file_id, chunk_index::INT AS chunk_index, a::INT AS "left", b::INT AS "right", abs(a - b)::INT AS distance FROM pairs WHERE abs(a - b) <= 40
+QUALIFY row_number() OVER (PARTITION BY file_id, chunk_index, a ORDER BY abs(a - b), b) = 1""",
+)
+_add(
+    "term_starts",
+    lambda s, d: _docs(s, d).chunks.select("file_id", "chunk_index", F.posexplode(texts.starts(F.col("norm_text"), "reed")).alias("nth", "start")),
+    f"""WITH {_BASE}, found AS (SELECT file_id, chunk_index, list_filter(range(0, length(norm)), lambda i: substr(norm, i::INT + 1, 4) = 'reed') AS places FROM chunks WHERE contains(norm, 'reed'))
+SELECT file_id, chunk_index::INT AS chunk_index, (generate_subscripts(places, 1) - 1)::INT AS nth, unnest(places)::INT AS start FROM found""",
+)

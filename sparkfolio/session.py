@@ -4,8 +4,9 @@
     found.results, found.issues, found.coverage, found.truncated
 
 The list of files decides which are read (kind, size, cloud, index); nothing else is opened. What was read
-goes to the index, if there is one, and all files are judged by one plan. Events go to a
-listener as the steps end.
+goes to the index, if there is one, and all files are judged by one plan. Counters are observed while the steps' tables are
+written, so no table is read again for them. Events go to a listener as the steps end, and ``progress`` tells how far
+the tasks of a running search are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import files as paths
@@ -41,6 +42,9 @@ class Request:
     limits: dict[str, int] = field(default_factory=dict)
     max_results: int = MAX_RESULTS
     max_files: int | None = None
+    #: Roots of exchangeable media, and whether names that differ in case only are one file.
+    removable: Sequence[str] = ()
+    caseless: bool = False
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,12 @@ class Outcome:
     coverage: DataFrame
     truncated: bool
     elapsed: float
+    #: Stored tables that the outcome reads.
+    held: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Remove what the search has stored; its tables can't be read any more."""
+        storage.release(*self.held)
 
     def evidence(self) -> DataFrame:
         """Results with their evidence."""
@@ -83,18 +93,21 @@ def _confirmed(spark: SparkSession, confirmed: Sequence[str] | DataFrame | None,
     return files.join(marked, "path_key", "left_semi").select("file_id")
 
 
-def _read(spark: SparkSession, listed: DataFrame, roots: Sequence[str], pages: bool) -> DataFrame:
-    """Chunks and issues of files; those that changed meanwhile are read once more, and flagged if it happens again."""
-    first = storage.stored(reader.extract(spark, listed, roots, pages=pages), "extracted")
-    moved = reader.changed(spark, listed, roots)
-    if moved.isEmpty():
-        return first
-    now = reader.scan(spark, list(roots)).join(moved.select("file_id"), "file_id", "left_semi")
-    again = storage.stored(reader.extract(spark, now, roots, pages=pages), "extracted")
-    note = lambda files, code: files.select("file_id", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("kind", "string"), ("location", "string"), ("text", "string"))], F.lit(code).alias("code"), F.lit("the file changed while it was read").alias("message"), F.lit("warn").alias("severity"))
-    kept = first.join(moved.select("file_id"), "file_id", "left_anti")
-    still = reader.changed(spark, now, roots)
-    return storage.stored(kept.unionByName(again).unionByName(note(moved, "file_changed_retry")).unionByName(note(still, "file_changed")), "extracted")
+def _note(moved: DataFrame) -> DataFrame:
+    """An issue row, as ``extract`` has it, for each of some files."""
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("kind", "string"), ("location", "string"), ("text", "string"))]
+    return moved.select("file_id", *empty, F.lit("file_changed_retry").alias("code"), F.lit("the file changed while it was read").alias("message"), F.lit("warn").alias("severity"))
+
+
+def progress(spark: SparkSession, tag: str) -> dict[str, int]:
+    """Tasks that are done and in all, of the stages that a search with a tag runs just now; from another thread."""
+    tracker, out = spark.sparkContext.statusTracker(), {"stages": 0, "done": 0, "tasks": 0}
+    jobs = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag)
+    stages = {s for j in jobs if (info := tracker.getJobInfo(j)) and info.status == "RUNNING" for s in info.stageIds}
+    for stage in stages:
+        if info := tracker.getStageInfo(stage):
+            out = {"stages": out["stages"] + 1, "done": out["done"] + info.numCompletedTasks, "tasks": out["tasks"] + info.numTasks}
+    return out
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
@@ -127,8 +140,20 @@ def _run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = N
         raise
     roots = reader.roots_of(list(request.roots))
     tell("started", query=request.query, mode=request.mode, roots=roots)
-    listed = storage.stored(reader.scan(spark, roots, subfolders=request.subfolders, max_files=request.max_files), "listed")
-    tell("discovered", files=listed.count())
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict]:
+        """Store a step's table; the counters are taken from its rows as they are written."""
+        seen = Observation()
+        out = storage.stored(df.observe(seen, *[c.alias(n) for n, c in counters.items()]) if counters else df, name)
+        held.append(out)
+        return out, seen.get if counters else {}
+
+    everything, found_ = keep(reader.listed(spark, roots, subfolders=request.subfolders), "everything", files=F.count_if(F.col("error").isNull()))
+    listed = reader.described(everything, removable=request.removable, caseless=request.caseless)
+    if request.max_files is not None or request.caseless:
+        listed, found_ = keep(listed.limit(request.max_files) if request.max_files is not None else listed, "listed", files=F.count("*"))
+    tell("discovered", files=found_["files"])
 
     stored: Corpus | None = None
     if index is not None:
@@ -142,11 +167,17 @@ def _run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = N
     if index is not None and stored is not None:
         # what can't be read has no chunks, so it is tried again
         current = index.pending(listed, complete=False).filter("change = 'unchanged'").join(stored.files.filter("status <> 'empty'").select("file_id"), "file_id", "left_semi")
-    files = storage.stored(reader.prefilter(listed, kinds=request.kinds, limits=request.limits, mode=request.mode, policy=request.policy, indexed=current), "files")
+    files, chosen = keep(reader.prefilter(listed, kinds=request.kinds, limits=request.limits, mode=request.mode, policy=request.policy, indexed=current), "files", **ops.listed_counters())
     wanted = files.filter("decision = 'read'")
-    extracted = _read(spark, wanted, roots, request.mode != "fast")
+    counters = ops.read_counters() | {"changed": F.count_if(F.col("code") == reader.CHANGED)}
+    extracted, pages = keep(reader.extract(spark, wanted, roots, pages=request.mode != "fast"), "read", **counters)
+    if pages["changed"]:  # these are read once more, and flagged if they change again
+        moved = extracted.filter(F.col("code") == reader.CHANGED).select("file_id").distinct()
+        now = reader.listed_again(wanted.join(moved, "file_id", "left_semi"))
+        again = extracted.join(moved, "file_id", "left_anti").unionByName(reader.extract(spark, now, roots, pages=request.mode != "fast")).unionByName(_note(moved))
+        extracted, pages = keep(again, "read", **counters)
     body = extracted.filter("code is null").select("file_id", "chunk_index", "kind", "location", "text")
-    tell("read", files=wanted.count())
+    tell("read", files=chosen["read"])
 
     plain = files.select(*listed.columns)
     made = corpus(plain.join(files.filter("decision in ('read', 'skip_type', 'skip_size', 'skip_online')").select("file_id"), "file_id", "left_semi"), body)
@@ -164,26 +195,29 @@ def _run(spark: SparkSession, request: Request, *, index: CorpusIndex | None = N
                 below = F.lit(False)
                 for root in roots:
                     below = below | paths.is_under(F.col("path"), root)
-                gone = known.filter(below).join(listed, "file_id", "left_anti").select("file_id")
-                if ids := [r["file_id"] for r in gone.limit(10_000).collect()]:  # the rest goes with the next search
-                    index.remove(F.col("file_id").isin(ids))
+                index.forget(known.filter(below).join(listed, "file_id", "left_anti"))
             tell("index", **{r["change"]: r["n"] for r in took.groupBy("change").agg(F.count("*").alias("n")).collect()})
         except Exception as e:  # noqa: BLE001  an index that can't be kept never stops a search
             tell("index", message=str(e))
 
     found = search(here, node, request.options, confirmed=_confirmed(spark, confirmed, listed), roots=roots)
     results = found.results.join(files.select("file_id", (F.col("decision") == "index").alias("from_index")), "file_id")
-    shown, more = ops.capped(ops.sort(results), request.max_results)
-    shown, truncated = storage.stored(shown, "results"), bool(more.first()["truncated"])
+    ranked = ops.sort(results)
+    shown, hits = keep(ranked.limit(request.max_results + 1), "results", hits=F.count("*"))
+    truncated = hits["hits"] > request.max_results
+    if truncated:
+        shown = ops.sort(shown).limit(request.max_results)
 
     issues = reader.issues(extracted, files)
     skipped = files.filter("decision in ('skip_size', 'skip_online')").select("path", F.col("decision").alias("code"), F.concat(F.col("size").cast("string"), F.lit(" bytes, "), "cloud_state").alias("message"), F.lit("skip").alias("severity"), F.lit(None).cast("string").alias("detail"))
-    issues = issues.unionByName(skipped)
+    unlisted = everything.filter("error is not null").select("path", F.lit("scan").alias("code"), F.col("error").alias("message"), F.lit("warn").alias("severity"), F.lit(None).cast("string").alias("detail"))
+    issues = issues.unionByName(skipped).unionByName(unlisted)
     if truncated:
         issues = issues.unionByName(spark.createDataFrame([("", "result_cap", f"only the first {request.max_results} results are kept", "warn", None)], issues.schema))
-    issues = storage.stored(issues, "issues")
-    coverage = storage.stored(ops.covered(files, shown, issues, extracted), "coverage")
-    tell("issues", count=issues.count())
+    issues, told = keep(issues, "issues", issues=F.count("*"), **ops.issue_counters())
+    counted = chosen | pages | told | {"hits": min(hits["hits"], request.max_results)}
+    coverage = spark.createDataFrame([tuple(counted[c] for c in ops.COUNTERS)], ", ".join(f"{c} long" for c in ops.COUNTERS))
+    tell("issues", count=told["issues"])
     elapsed = time.monotonic() - began
-    tell("finished", elapsed=elapsed, **coverage.first().asDict())
-    return Outcome(request, files, here, found, shown, issues, coverage, truncated, elapsed)
+    tell("finished", elapsed=elapsed, **{c: counted[c] for c in ops.COUNTERS})
+    return Outcome(request, files, here, found, shown, issues, coverage, truncated, elapsed, tuple(held))

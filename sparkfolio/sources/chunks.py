@@ -36,7 +36,7 @@ def lines(text: Column) -> Column:
         F.sequence(F.lit(0), F.greatest(F.floor((F.length(row["text"]) - 1) / LINE), F.lit(0)).cast("int")),
         lambda w: F.struct(row["line"].alias("line"), F.substring(row["text"], w * LINE + 1, F.lit(LINE)).alias("text")),
     )
-    numbered = F.transform(F.split(text, "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    numbered = F.transform(F.split(text, "\r\n|\r|\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
     blank = lambda row: F.regexp_replace(row["text"], r"(?U)\s+", "") == ""
     return F.filter(F.flatten(F.transform(F.filter(numbered, lambda r: ~blank(r)), cut)), lambda r: ~blank(r))
 
@@ -106,14 +106,21 @@ def pages(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(with_norms(files.withColumn("extension", F.lit(".html"))), base.chunks.filter("chunk_index > 1").unionByName(normalize(named(files))))
 
 
+#: Bytes of a table for each bucket of its stored corpus.
+BUCKET_BYTES = 128 << 20
 _kept: dict[tuple, Corpus] = {}
 READERS = {"documents": documents, "conversations": conversations, "pages": pages}
 
 
 def indexed(spark: SparkSession, sf_dir: str, table: str = "documents") -> Corpus:
-    """The corpus of a table, stored on first use in a session and read from there until the table changes."""
-    key = (spark.sparkContext.applicationId, sf_dir, table, storage.stamp(spark, f"{sf_dir}/{table}.parquet"))
+    """The corpus of a table, stored on first use in a session and read from there until the table changes.
+
+    Files and chunks lie in equal buckets by file_id, so a search joins and sums them up without a shuffle.
+    """
+    stamp = storage.stamp(spark, f"{sf_dir}/{table}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, table, stamp)
     if key not in _kept:
         made = READERS[table](spark, sf_dir)
-        _kept[key] = Corpus(storage.stored(made.files, f"{table}-files"), storage.stored(made.chunks, f"{table}-chunks"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stamp[0] // BUCKET_BYTES)
+        _kept[key] = Corpus(storage.bucketed(made.files, f"{table}-files", buckets), storage.bucketed(made.chunks, f"{table}-chunks", buckets, ("file_id", "chunk_index")))
     return _kept[key]

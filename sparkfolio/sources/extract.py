@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files as paths
-from . import pdf
+from . import listing, pdf
 from .chunks import LINE
 
 Chunk = tuple[str, str, str]  # kind, location, text
@@ -43,8 +44,10 @@ ZIP_DEPTH, ZIP_ENTRIES, ZIP_MEMBER, ZIP_TOTAL, ZIP_RATIO = 2, 2000, 512 << 20, 5
 PROBE = 64 * 1024
 #: A page with less text than this counts as scanned.
 NATIVE = 40
-#: So many files are fetched by name; more are read by listing their folders again.
-NAMED = 50_000
+#: Bytes of files that one task reads, about.
+TASK_BYTES = 64 << 20
+#: The issue of a file that changed between its listing and its reading.
+CHANGED = "file_changed"
 SCHEMA = "file_id long, chunk_index int, kind string, location string, text string, code string, message string, severity string"
 
 
@@ -82,7 +85,7 @@ def looks_binary(data: bytes) -> bool:
 
 def text_lines(data: bytes) -> Iterator[Chunk]:
     said = data.decode(sniff_encoding(data[:PROBE]), errors="replace")
-    for n, line in enumerate(said.splitlines(keepends=True), 1):
+    for n, line in enumerate(io.StringIO(said, newline=""), 1):  # ends at \n, \r and both, and nowhere else
         for a in range(0, len(line), LINE):
             if line[a : a + LINE].strip():
                 yield "line", f"{n}行", line[a : a + LINE]
@@ -348,13 +351,34 @@ def paths_extension(name: str) -> str:
     return posixpath.splitext(name.lower())[1]
 
 
-def scan(spark: SparkSession, roots: str | Sequence[str], *, subfolders: bool = True, max_files: int | None = None) -> DataFrame:
+def listed(spark: SparkSession, roots: str | Sequence[str], *, subfolders: bool = True) -> DataFrame:
+    """path, size, mtime_ns, uri and error of everything below one or more roots, each URI once.
+
+    Roots in a store that only Spark can open are listed by Spark's own reader, which hides names that begin with ``_`` or ``.``.
+    """
+    own, foreign = [], []
+    for root in roots_of(roots):
+        (own if listing.scheme(root) in listing.KNOWN else foreign).append(root)
+    spark.dataSource.register(listing.FolderListing)
+    found = spark.read.format("folder_listing").options(roots=json.dumps(own), subfolders=str(subfolders).lower()).load()
+    if foreign:
+        others = spark.read.format("binaryFile").option("recursiveFileLookup", str(subfolders).lower()).load(foreign)
+        found = found.unionByName(others.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"), F.lit(None).cast("string").alias("error")))
+    return found.dropDuplicates(["uri"])  # roots may overlap
+
+
+def described(found: DataFrame, *, removable: Sequence[str] = (), caseless: bool = False) -> DataFrame:
+    """Files of a listing with file_id and what their paths tell. ``caseless`` roots hold no two names that differ in case only."""
+    out = found.filter("error is null").drop("error").withColumn("file_id", F.xxhash64("uri"))
+    path = F.col("path")
+    out = out.withColumns({"name": paths.name(path), "directory": paths.directory(path), "extension": paths.extension(path), "source_type": paths.source_type(path, removable), "path_key": paths.path_key(path, caseless=caseless)})
+    out = out.withColumn("cloud_state", paths.cloud_state(F.lit(0), F.col("source_type")))
+    return out.dropDuplicates(["path_key"]) if caseless else out
+
+
+def scan(spark: SparkSession, roots: str | Sequence[str], *, subfolders: bool = True, max_files: int | None = None, removable: Sequence[str] = (), caseless: bool = False) -> DataFrame:
     """The files below one or more roots (a string may part them by ``;`` or line), each once; no content is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(subfolders).lower()).load(roots_of(roots))
-    path = F.regexp_replace("path", r"^file:/+", "/")
-    out = found.select(F.xxhash64("path").alias("file_id"), path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"))
-    out = out.withColumns({"name": paths.name(F.col("path")), "directory": paths.directory(F.col("path")), "extension": paths.extension(F.col("path")), "source_type": paths.source_type(F.col("path"))})
-    out = out.withColumn("cloud_state", paths.cloud_state(F.lit(0), F.col("source_type"))).withColumn("path_key", paths.path_key(F.col("path"))).dropDuplicates(["path_key"])
+    out = described(listed(spark, roots, subfolders=subfolders), removable=removable, caseless=caseless)
     return out.limit(max_files) if max_files else out
 
 
@@ -387,18 +411,22 @@ def prefilter(files: DataFrame, *, kinds: Sequence[str] | None = None, limits: d
 
 
 def _extract(frames: Iterator[pd.DataFrame], handlers: list, recogniser) -> Iterator[pd.DataFrame]:  # type: ignore[no-untyped-def, type-arg]
+    """Read one file at a time; a file whose size or time is another than listed, before or after, has an issue row."""
     HANDLERS[:], _recogniser[0] = handlers, recogniser  # what the driver registered
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     made = lambda rows: pd.DataFrame(rows, columns=columns).astype({"chunk_index": "Int32"})
     for frame in frames:
-        for file_id, path, size, content in zip(frame["file_id"], frame["path"], frame["size"], frame["content"], strict=True):
+        held = frame["content"] if "content" in frame else [None] * len(frame)
+        for file_id, path, uri, size, mtime, content in zip(frame["file_id"], frame["path"], frame["uri"], frame["size"], frame["mtime_ns"], held, strict=True):
             rows: list[tuple] = []
             issue = lambda code, message, severity, i=file_id: (i, None, None, None, None, code, str(message)[:300], severity)
             at = 2
             try:
-                if len(content) != size:
-                    rows.append(issue("file_changed", f"{size} bytes listed, {len(content)} read", "warn"))
-                for found in handler_for(paths_extension(path))(path, bytes(content)):
+                data = listing.content(uri) if content is None else bytes(content)
+                now = listing.stat(uri) if content is None else (len(data), mtime)
+                if now != (size, mtime) or len(data) != size:
+                    rows.append(issue(CHANGED, f"{size} bytes listed, {len(data)} read", "warn"))
+                for found in handler_for(paths_extension(path))(path, data):
                     if isinstance(found, Note):
                         rows.append(issue(found.code, found.message, "warn"))
                     else:
@@ -409,7 +437,9 @@ def _extract(frames: Iterator[pd.DataFrame], handlers: list, recogniser) -> Iter
                         rows = []
             except Unreadable as e:
                 rows.append(issue(e.code, e, "skip"))
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as e:
+            except FileNotFoundError as e:
+                rows.append(issue(CHANGED, e, "warn"))
+            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, OSError) as e:
                 rows.append(issue("broken", e, "error"))
             if rows:
                 yield made(rows)
@@ -420,32 +450,35 @@ def roots_of(roots: str | Sequence[str]) -> list[str]:
     return list(dict.fromkeys(r.strip() for r in (re.split(r"[;\n]", roots) if isinstance(roots, str) else roots) if r.strip()))
 
 
-def extract(spark: SparkSession, files: DataFrame, roots: str | Sequence[str], *, pages: bool = True) -> DataFrame:
-    """Chunks (code is null) and issues (code is set) of ``files``, which ``scan`` listed under ``roots``.
+def extract(spark: SparkSession, files: DataFrame, roots: str | Sequence[str] = (), *, pages: bool = True) -> DataFrame:
+    """Chunks (code is null) and issues (code is set) of ``files``, which ``scan`` listed.
 
-    Scanned pages are recognised unless ``pages`` is false.
-
-    Up to ``NAMED`` files are fetched by name, so nothing else is read. More are picked out of another
-    listing by a broadcast of their ids, or by a join if those are many too.
+    The names are dealt to as many tasks as their sizes ask for, and each task opens its own files one by one. Files in a store
+    that only Spark can open come from Spark's reader of the ``roots`` they lie in. Scanned pages are recognised unless ``pages`` is
+    false.
     """
-    reader = spark.read.format("binaryFile")
-    some = files.select("uri").limit(NAMED + 1).collect()
-    if not some:
-        return spark.createDataFrame([], SCHEMA)
-    if len(some) <= NAMED:
-        found = reader.option("__globPaths__", "false").load([r["uri"] for r in some])
-    else:
-        found = reader.option("recursiveFileLookup", "true").load(roots_of(roots))
-    content = found.select(F.xxhash64("path").alias("file_id"), "content")
     handlers, recogniser = list(HANDLERS), _recogniser[0] if pages else _unseen
-    return content.join(files.select("file_id", "path", "size"), "file_id").mapInPandas(lambda it: _extract(it, handlers, recogniser), SCHEMA)
+    bare = files.select("file_id", "path", "uri", "size", "mtime_ns")
+    foreign = [r for r in roots_of(roots) if listing.scheme(r) not in listing.KNOWN]
+    if foreign:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(foreign).select(F.col("path").alias("uri"), "content")
+        bare = bare.join(found, "uri", "left").select("file_id", "path", "uri", "size", "mtime_ns", "content")
+    else:
+        total = bare.agg(F.sum("size")).first()[0] or 0
+        bare = bare.repartition(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), "file_id")
+    return bare.mapInPandas(lambda it: _extract(it, handlers, recogniser), SCHEMA)
+
+
+def _again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = [listing.stat(u) for u in frame["uri"]]
+        there = [x is not None for x in found]
+        yield frame[there].assign(size=[x[0] for x in found if x], mtime_ns=[x[1] for x in found if x])
 
 
-def changed(spark: SparkSession, files: DataFrame, roots: str | Sequence[str]) -> DataFrame:
-    """Of ``files``, listed before they were read, those that another listing shows different or no more."""
-    now = scan(spark, roots).select("file_id", F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"))
-    both = files.join(now, "file_id", "left")
-    return both.filter(~F.col("size").eqNullSafe(F.col("_size")) | ~F.col("mtime_ns").eqNullSafe(F.col("_mtime"))).drop("_size", "_mtime")
+def listed_again(files: DataFrame) -> DataFrame:
+    """``files`` with the size and time that they have now, without those that are gone; only these are looked at."""
+    return files.mapInPandas(_again, files.schema)
 
 
 def issues(extracted: DataFrame, files: DataFrame) -> DataFrame:

@@ -151,9 +151,52 @@ def test_result_operators(spark):
     assert ops.capped(r, 2)[0].count() == 2 and ops.capped(r, 2)[1].first()[0] and not ops.capped(r, 3)[1].first()[0]
     e = with_evidence(c, search(c, "a"))
     assert ops.clipboard(e).filter("file_id = 1").first()["text"].startswith("/d/f1.txt\n  [")
-    assert len(ops.csv_rows(e).columns) == 12
+    assert set(ops.CSV.values()) <= set(ops.csv_rows(e).columns) and len(ops.CSV) == 12
     assert ops.coverage(search(c, "a", prefilter=False, options=Options(include_path_names=False)).judged).first().asDict() == {"discovered": 4, "scanned": 4, "matched": 3, "rejected": 1, "bytes": 6000, "units": 4}
-    assert "検索 4 / 4 件、一致 3 件" == ops.coverage_text(ops.coverage(search(c, "a", prefilter=False, options=Options(include_path_names=False)).judged)).first()[0]
+    counters = spark.createDataFrame([(1200, 4, 3, 1, 3, 0, 2, 0, 1, 5, 0, 9)], ", ".join(f"{n} long" for n in ops.COUNTERS))
+    assert ops.coverage_text(counters).first()[0] == "発見 1,200 / 検索完了 4 / Hit 3資料 / 索引 1 / 実読込 3 / OCR 0ページ / Online-only skip 2 / 警告 5"
+    assert ops.summary_text(counters).first()[0] == "検索完了 4件 / 対象外 1 / 未取得 2 / 警告 5"
+
+
+def test_pages_of_a_ranked_store_open_their_ranges_only(spark):
+    c = make(spark, [["a " * (i % 7 + 1)] for i in range(60)])
+    r = search(c, "a", options=Options(include_path_names=False)).results
+    want = [x["file_id"] for x in ops.sort(r, "hits").collect()]
+    ranked = ops.Ranked(r, "hits", ranges=6)
+    assert ranked.total == 60 and len(ranked.starts) > 3
+    for offset, limit in ((0, 5), (7, 20), (55, 20), (60, 5), (0, 100)):
+        got = ranked.page(offset, limit)
+        assert [x["file_id"] for x in got.collect()] == want[offset : offset + limit]
+    plan = ranked.page(20, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "PartitionFilters: [isnotnull(_range" in plan or "PartitionFilters: [_range" in plan
+
+
+def test_starts_and_spans(spark):
+    rng = random.Random(3)
+    said = ["".join(rng.choices("abx", k=rng.randint(0, 30))) for _ in range(60)] + ["", "aaaa", "a.b\\Ea.b", "ab" * 50]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string")
+    for needle in ("a", "ab", "aa", "aba", "a.b", "\\E"):
+        got = {r["i"]: r["at"] for r in df.select("i", texts.starts(F.col("t"), needle).alias("at")).collect()}
+        assert got == {i: [m.start() for m in re.finditer(f"(?={re.escape(needle)})", s)] for i, s in enumerate(said)}
+    for left, right, d in (("ab", "x", 3), ("x", "ab", 4), ("a", "ba", 2), ("a", "a", 5)):
+        rows = df.select("i", texts.spans(F.col("t"), left, right, d).alias("s"), texts.near(F.col("t"), left, right, d).alias("near")).collect()
+        for r in rows:
+            at = lambda w, s=said[r["i"]]: [m.start() for m in re.finditer(f"(?={re.escape(w)})", s)]
+            if left == right:
+                want = [(at(left)[0], at(left)[-1])] if len(at(left)) > 1 and at(left)[-1] - at(left)[0] <= d else []
+            else:
+                near = [(a, min((b for b in at(right) if abs(a - b) <= d), key=lambda b: (abs(a - b), b), default=None)) for a in at(left)]  # noqa: B023
+                want = [(a, b) for a, b in near if b is not None]
+            assert [(x["left"], x["right"]) for x in r["s"]] == want and all(abs(x["left"] - x["right"]) == x["distance"] for x in r["s"])
+            assert bool(r["s"]) == bool(r["near"])
+
+
+def test_search_joins_without_a_shuffle(spark):
+    for query in ("thenwh & !reed.", "!the", "2of(thenwh,ouque,type:pdf)"):
+        found = search(queries._docs(spark, SF), query).results
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount" in plan
 
 
 def test_lines_are_cut_and_blank_ones_counted(spark):
@@ -163,7 +206,7 @@ def test_lines_are_cut_and_blank_ones_counted(spark):
 
 def test_text_and_path_functions(spark):
     row = spark.range(1).select(
-        paths.path_key(F.lit(r"C:\a\.\b\..\C.TXT")).alias("key"),
+        paths.path_key(F.lit(r"C:\a\.\b\..\C.TXT"), caseless=True).alias("key"),
         paths.extension(F.lit("/a.b/c")).alias("none"),
         paths.extension(F.lit("/a/.hidden")).alias("hidden"),
         paths.kind(F.lit("XLSX")).alias("kind"),
@@ -174,15 +217,28 @@ def test_text_and_path_functions(spark):
         texts.snippet(F.lit("x" * 300 + "needle" + "y" * 300), F.array(F.lit("yy"), F.lit("needle"))).alias("snippet"),
         texts.highlight(F.lit("A.b ab"), ["a.B"]).alias("marked"),
         texts.collapse_whitespace(F.lit(" a\r\n\t b ")).alias("flat"),
-        *[paths.cloud_decision(F.lit("online"), F.lit(i), mode, policy).alias(f"{mode}_{policy}_{i}") for mode in ("fast", "standard", "full") for policy in ("auto", "skip", "fetch") for i in (True, False)],
+        paths.path_key(F.lit("/A/./b/../C.TXT")).alias("exact"),
     ).first()
-    assert row["key"] == "c:/a/c.txt" and row["none"] == row["hidden"] == "" and row["kind"] == "excel" and row["smb"] == "smb" and not row["under"]
+    assert row["key"] == "c:/a/c.txt" and row["exact"] == "/A/C.TXT" and row["none"] == row["hidden"] == "" and row["kind"] == "excel" and row["smb"] == "smb" and not row["under"]
     assert row["size"] == "1.5 KB" and row["page"] == 12 and row["snippet"] == "..." + "x" * 130 + "needle" + "y" * 124 + "..." and row["marked"] == "<mark>A.b</mark> ab" and row["flat"] == "a b"
-    assert row["fast_auto_False"] == row["standard_skip_False"] == "skip" and row["standard_auto_False"] == row["fast_fetch_True"] == "read" and row["fast_auto_True"] == row["full_skip_True"] == "index"
     assert [paths.column_letter(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert texts.canonical_part("ＡＢ－ー 1*") == "ab1"
 
 
+ONLINE = {
+    ("fast", "auto", False): "skip", ("fast", "auto", True): "skip", ("fast", "skip", False): "skip", ("fast", "skip", True): "skip",
+    ("fast", "fetch", False): "read", ("fast", "fetch", True): "read", ("standard", "auto", False): "read", ("standard", "auto", True): "index",
+    ("standard", "skip", False): "skip", ("standard", "skip", True): "skip", ("standard", "fetch", False): "read", ("standard", "fetch", True): "read",
+    ("full", "auto", False): "read", ("full", "auto", True): "index", ("full", "skip", False): "skip", ("full", "skip", True): "skip",
+    ("full", "fetch", False): "read", ("full", "fetch", True): "read",
+}
+
+
+def test_files_that_lie_online_only(spark):
+    row = spark.range(1).select(*[paths.cloud_decision(F.lit("online"), F.lit(i), m, p).alias(f"{m} {p} {i}") for m, p, i in ONLINE], paths.cloud_decision(F.lit("local"), F.lit(True), "fast", "skip").alias("local")).first()
+    assert {k: row[" ".join(map(str, k))] for k in ONLINE} == ONLINE and row["local"] == "read"
+
+
 def _plain(frame):
     return sorted(tuple(str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in frame)
 
@@ -190,7 +246,7 @@ def _plain(frame):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "labels", "events"):
+    for t in ("documents", "conversations", "pages", "labels", "events", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
     columns = sorted(got.columns)

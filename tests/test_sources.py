@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import random
 import threading
 import time
 import zipfile
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 
 from sparkfolio import __main__ as command
 from sparkfolio.lang.nodes import QueryError
-from sparkfolio.plans.search import search
+from sparkfolio.operators import results as ops
+from sparkfolio.plans import topk
+from sparkfolio.plans.compile import Options
+from sparkfolio.plans.search import compiled, search
 from sparkfolio.session import Request, cancel, run
 from sparkfolio.settings import Settings
-from sparkfolio.sources import extract, index, ocr_cache, storage
-from sparkfolio.sources.chunks import corpus, from_texts
+from sparkfolio.sources import extract, index, listing, ocr_cache, storage
+from sparkfolio.sources.chunks import Corpus, corpus, from_texts
 from sparkfolio.sources.index import CorpusIndex
-from sparkfolio.streaming import incremental
+from sparkfolio.streaming import incremental, matcher
 
 W = "http://w"
 
@@ -89,10 +93,10 @@ def test_scan_and_extract(spark, tmp_path):
     _write(root)
     files = extract.scan(spark, f"{root}; {root}")
     assert files.count() == 12 and files.filter("name = 'sjis.txt'").first()["extension"] == ".txt"
-    got = extract.extract(spark, files, str(root)).join(files.select("file_id", "name"), "file_id").collect()
+    named = dict(map(tuple, files.select("file_id", "name").collect()))
     said = {}
-    for r in got:
-        said.setdefault(r["name"], []).append((r["kind"], r["location"], r["text"].rstrip("\n")) if r["code"] is None else r["code"])
+    for r in extract.extract(spark, files).collect():
+        said.setdefault(named[r["file_id"]], []).append((r["kind"], r["location"], r["text"].rstrip("\n")) if r["code"] is None else r["code"])
     assert said["utf8.txt"] == [("line", "1行", "AAA 評価"), ("line", "3行", "BBB 電源")]
     assert said["sjis.txt"][0][2] == "電源ノイズ 測定" and said["utf16.txt"][0][2] == "温度 上昇" and said["data.dat"][0][2] == "落下 試験"
     assert said["binary.bin"] == said["old.xls"] == ["unsupported"] and said["evil.docx"] == ["unsafe_xml"]
@@ -108,6 +112,56 @@ def test_scan_and_extract(spark, tmp_path):
     assert sorted((r["code"], r["severity"]) for r in told) == [("no_recogniser", "warn"), ("unsafe_xml", "skip"), ("unsupported", "skip"), ("unsupported", "skip"), ("zip_depth", "warn"), ("zip_path", "warn")]
 
 
+def test_all_names_are_listed_and_told_apart(spark, tmp_path):
+    for name in ("A/x.txt", "a/x.txt", "a/X.txt", "_draft.txt", ".note.txt", "plain.txt", "_h/.i/y.txt", "per%cent 日本.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"said in {name}")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    files = extract.scan(spark, f"{tmp_path};{tmp_path}/a\n{tmp_path}/")
+    rows = {r["path"].removeprefix(f"{tmp_path}/"): r for r in files.collect()}
+    assert set(rows) == {"A/x.txt", "a/x.txt", "a/X.txt", "_draft.txt", ".note.txt", "plain.txt", "_h/.i/y.txt", "per%cent 日本.txt"}
+    assert all(r["size"] == (tmp_path / n).stat().st_size and r["mtime_ns"] == (tmp_path / n).stat().st_mtime_ns for n, r in rows.items())
+    said = extract.extract(spark, files).join(files.select("file_id", "path"), "file_id").collect()
+    assert sorted(r["text"] for r in said) == sorted(f"said in {n}" for n in rows) and all(r["code"] is None for r in said)
+    assert extract.scan(spark, str(tmp_path), caseless=True).count() == 6 and extract.scan(spark, str(tmp_path), subfolders=False).count() == 4
+    found = run(spark, Request([str(tmp_path)], "said"))
+    assert found.results.count() == 8
+    assert {r["path"] for r in run(spark, Request([str(tmp_path / "none")], "x")).issues.collect()} == {str(tmp_path / "none")}
+
+
+def test_a_wide_tree_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "PARTS", 4)
+    for i in range(30):
+        (tmp_path / f"d{i % 7}" / f"e{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 7}" / f"e{i % 3}" / f"f{i}").write_text("x")
+        (tmp_path / f"g{i}").write_text("x")
+    dealt = listing._deal([str(tmp_path)], True)
+    assert len(dealt) == 4
+    names = [r for whole, flat in dealt for b in listing.walk(listing.Folders(whole, flat)) for r in b["path"].to_pylist()]
+    assert len(names) == len(set(names)) == 60
+
+
+def test_listing_as_a_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "SETTLED", 0.0)
+    spark.dataSource.register(listing.FolderListing)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.format("folder_listing").options(roots=json.dumps([str(tmp_path / "in")])).load()
+    q = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for n in ("_a", "b"):
+            (tmp_path / "in" / n).write_text(n)
+            until = time.time() + 60
+            while time.time() < until and n not in {r["path"][-len(n) :] for r in spark.table("arrived").collect()}:
+                time.sleep(0.2)
+        assert sorted(r["path"] for r in spark.table("arrived").collect()) == [str(tmp_path / "in" / n) for n in ("_a", "b")]
+    finally:
+        q.stop()
+
+
+def test_lines_end_where_text_files_end_them():
+    assert [c[1:] for c in extract.text_lines("a\x0cb\u2028c\x85d\r\ne\rf\n\ng".encode())] == [("1行", "a\x0cb\u2028c\x85d\r\n"), ("2行", "e\r"), ("3行", "f\n"), ("5行", "g")]
+
+
 def test_scanned_pages_go_to_the_recogniser(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(_pdf("x"))
     extract.recognise_with(lambda data, page: f"seen on {page}")
@@ -181,27 +235,27 @@ def test_session(spark, tmp_path):
     assert capped.truncated and capped.results.count() == 1 and "result_cap" in {r["code"] for r in capped.issues.collect()}
     one = again.results.first()["file_id"]
     assert [e["term"] for e in again.rescan(one).first()["evidence"]] == ["AAA", "BBB"]
-    storage.remove(spark, f"{idx.path}/{next(iter(idx._now()[1]['folders'].values()))}")
+    storage.remove(spark, _folder_of(idx))
     assert names(run(spark, ask, index=idx)) == [("a.pptx", False, False)]
     with pytest.raises(QueryError):
         run(spark, replace(ask, query="("), listener=events.append)
     assert events[-1].kind == "failed"
 
 
-def test_a_file_that_changes_is_read_again(spark, tmp_path, monkeypatch):
+def test_a_file_that_changes_is_read_again(spark, tmp_path):
     (tmp_path / "a.txt").write_text("old")
-    real, times = extract.extract, []
+    (tmp_path / "gone.txt").write_text("newer too")
 
-    def slow(spark, files, roots, **more):
-        out = storage.stored(real(spark, files, roots, **more), "read")
-        if not times:
+    def meanwhile(event):
+        if event.kind == "discovered":
             (tmp_path / "a.txt").write_text("newer words")
-        times.append(1)
-        return out
+            (tmp_path / "gone.txt").unlink()
 
-    monkeypatch.setattr(extract, "extract", slow)
-    found = run(spark, Request([str(tmp_path)], "newer"))
-    assert found.results.count() == 1 and [r["code"] for r in found.issues.collect()] == ["file_changed_retry"]
+    found = run(spark, Request([str(tmp_path)], "newer"), listener=meanwhile)
+    assert found.results.count() == 1 and sorted((r["path"][-5:], r["code"]) for r in found.issues.collect()) == [("a.txt", "file_changed_retry"), ("e.txt", "file_changed_retry")]
+    found.close()
+    with pytest.raises(Exception):  # noqa: B017  what it had stored is gone
+        found.results.count()
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -271,20 +325,137 @@ def test_index_keeps_up(spark, tmp_path):
     assert idx.load().files.count() == 0
 
 
-def test_index_writes_changed_buckets_only(spark, tmp_path):
-    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=4)
-    _refresh(idx, _rows(spark, *[(i, f"alpha {i}") for i in range(40)]))
-    before = idx._now()[1]["folders"]
-    _refresh(idx, _rows(spark, *[(i, f"alpha {i}" + " beta" * (i == 7)) for i in range(40)]))
-    after = idx._now()[1]["folders"]
-    moved = [b for b in before if before[b] != after[b]]
-    assert len(before) == 4 and len(moved) == 1 and idx.load().files.count() == 40
-    assert [r["file_id"] for r in search(idx.load(), "beta").results.collect()] == [7]
-    assert _refresh(idx, _rows(spark, *[(i, f"alpha {i}" + " beta" * (i == 7)) for i in range(40)])) == dict.fromkeys(range(40), "unchanged")
-    assert idx._commits() == [1, 2] and idx.vacuum(keep=1) == 0 and idx._commits() == [2]
-    idx.remove(F.col("file_id") < 20)
+def _folder_of(idx, table="files"):
+    commit = idx._now()[1]
+    return f"{idx._folder(commit, table)}/segment={commit['segments'][-1].id}"
+
+
+def _words(i):
+    rng = random.Random(i)
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+
+
+def test_index_writes_what_arrives(spark, tmp_path):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=2, fanout=4)
+    texts = {i: f"alpha {i} {_words(i)}" for i in range(20)}
+    for i in range(0, 20, 4):
+        _refresh(idx, _rows(spark, *[(j, texts[j]) for j in range(i, i + 4)]), complete=False)
+    segments = idx._now()[1]["segments"]
+    assert [s.level for s in segments] == [1, 0] and [s.files for s in segments] == [16, 4]
+    texts[7] += " beta"
+    before = {s.id for s in segments}
+    assert _refresh(idx, _rows(spark, (7, texts[7]), (30, "alpha new")), complete=False) == {7: "updated", 30: "added"}
+    now = idx._now()[1]
+    assert before < {s.id for s in now["segments"]} and len(now["segments"]) == 3 and len(now["gone"]) == 1  # nothing was rewritten
+    assert [r["file_id"] for r in search(idx.load(), "beta").results.collect()] == [7] and idx.load().files.count() == 21
+    assert _refresh(idx, _rows(spark, *texts.items(), (30, "alpha new"))) == dict.fromkeys([*range(20), 30], "unchanged") and idx._now()[1] == now
+    idx.remove(F.col("file_id") < 5)
+    idx.compact()
+    (one,) = idx._now()[1]["segments"]
+    assert one.files == 16 and idx._now()[1]["gone"] == [] and idx.load().chunks.select("file_id").distinct().count() == 16
+    idx.verify()
+    old = idx._commits()
+    assert idx.vacuum(keep=1) == 7 and idx._commits() == old[-1:] and sorted(r["file_id"] for r in idx.search("alpha").results.collect()) == [*range(5, 20), 30]
     idx.clear()
-    assert idx.vacuum(keep=1) > 0 and idx.load().files.count() == idx.load().chunks.count() == 0 and idx.size() == 0
+    idx.compact()
+    assert idx.load().files.count() == idx.load().chunks.count() == 0 and idx.size() == 0 and idx.search("alpha").results.count() == 0
+    assert _refresh(idx, _rows(spark, (1, "alpha"))) == {1: "added"} and idx.search("alpha").results.count() == 1
+
+
+def test_bytes_written_follow_what_arrives(spark, tmp_path):
+    """Twelve batches: each file is written once, and once more a level, never with all others."""
+    written = []
+    real = CorpusIndex._write
+
+    def counted(self, *args):
+        made = real(self, *args)
+        written.append(made.bytes)
+        return made
+
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=1, fanout=4)
+    CorpusIndex._write = counted
+    try:
+        for i in range(12):
+            _refresh(idx, _rows(spark, (i, _words(i))), complete=False)
+    finally:
+        CorpusIndex._write = real
+    own = sum(sorted(written)[:12])
+    assert len(written) == 15 and sum(written) < 2.5 * own and idx.load().files.count() == 12
+
+
+def test_a_grown_index_gets_more_buckets(spark, tmp_path, monkeypatch):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=1)
+    for i in range(2):
+        _refresh(idx, _rows(spark, *[(i * 10 + j, _words(i * 10 + j)) for j in range(10)]), complete=False)
+    monkeypatch.setattr(index, "BUCKET_BYTES", idx.size() // 4)
+    idx.compact()
+    assert idx._now()[1]["buckets"] >= 3 and idx.load().files.count() == 20 and idx.vacuum(keep=1) == 2 and idx.load().chunks.count() == 60
+
+
+def test_segments_and_buckets_that_a_search_opens(spark, tmp_path):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=16)
+    for day in range(4):
+        rows = [(i, f"{_words(i)} " + ("needle" if i == 205 else f"only{'abcd'[day]}x")) for i in range(day * 100, day * 100 + 100)]
+        _refresh(idx, _rows(spark, *rows), complete=False)
+    opened = lambda query: idx.segments_for(compiled(query))
+    ids = [s.id for s in idx._now()[1]["segments"]]
+    assert opened("needle") == [ids[2]] and opened("onlyax | onlydx") == sorted([ids[0], ids[3]]) and opened("onlyax & onlydx") == [] and len(opened("!needle")) == 4
+    assert opened("modified:2024-01-01..2024-02-01") == [ids[0]] and opened("modified:>=2024-12-01") == [ids[3]] and len(opened("size:>1")) == 4 and opened("size:>1GB") == []
+    assert opened("ext:zip") == [] and len(opened("type:pdf | needle")) == 4 and opened("source:removable") == []
+    found = idx.search("needle & !zzz").results
+    assert [r["file_id"] for r in found.collect()] == [205]
+
+    some, every = idx.opened("needle").chunks, _bytes_read(idx.load().chunks)
+    assert 0 < _bytes_read(some) < 0.3 * every  # one segment of four, and of that
+    assert "SelectedBucketsCount: 1 out of 16" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def _bytes_read(df):
+    """What the scans of a finished plan say that they have read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, stack = 0, [plan]
+    while stack:
+        node = stack.pop()
+        if hasattr(node, "finalPhysicalPlan") and node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            stack.append(node.finalPhysicalPlan())
+            continue
+        metrics = node.metrics()
+        if metrics.contains("filesSize"):
+            total += metrics.apply("filesSize").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("options", [Options(), Options(part_number_mode=True), Options(case_sensitive=True)])
+def test_index_searches_equal_the_plain_scan(spark, tmp_path, options):
+    rng = random.Random(4)
+    rows = [(i, "\n".join("".join(rng.choices(["ab", "abc", "ABC", "-1", " ", "xyz", "needle", "ab*c", "日本"], k=12)) for _ in range(4))) for i in range(60)]
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=4)
+    _refresh(idx, _rows(spark, *rows[:40]))
+    _refresh(idx, _rows(spark, *rows[10:]))
+    plain = from_texts(_rows(spark, *rows[10:]))
+    plain = Corpus(plain.files.cache(), plain.chunks.cache())
+    asked = ["abcneedle & !xyzxyz", "2of(abc-1, xyz日本, ABCABC)", "NEAR(needle,xyzabc,20) | doc_1 & ab"]
+    for query in [*asked, "xyz日本 | type:pdf", "abc*xyz & needle", '"needle xyz" | 1of(ABCxyz, ab-1ab)']:
+        want = sorted((r["file_id"], r["hit_count"], r["score"]) for r in search(plain, query, options).results.collect())
+        assert sorted((r["file_id"], r["hit_count"], r["score"]) for r in idx.search(query, options).results.collect()) == want, query
+        if query not in asked:
+            continue
+        assert {r["file_id"] for r in idx.candidates(query, options).collect()} >= {i for i, _, _ in want}, query
+        first = [(r["file_id"], r["score"]) for r in topk.best(idx, query, 5, options).results.collect()]
+        assert first == [(r["file_id"], r["score"]) for r in ops.sort(search(plain, query, options).results).limit(5).collect()], query
+
+
+def test_the_best_results_are_found_without_judging_all(spark, tmp_path):
+    idx = CorpusIndex(spark, str(tmp_path / "index"), buckets=4)
+    _refresh(idx, _rows(spark, *[(i, "alpha " * 30 + "beta " * (i % 10 == 0) + "gamma " * (i % 40 == 0)) for i in range(200)]))
+    got = topk.best(idx, "alpha, beta, gamma", 4)
+    want = ops.sort(idx.search("alpha, beta, gamma").results).limit(4)
+    assert [r["file_id"] for r in got.results.collect()] == [r["file_id"] for r in want.collect()]
+    assert got.candidates == 200 and got.judged == 5 and got.groups == 1
+    assert topk.best(idx, "nothing", 4).results.count() == 0
 
 
 def test_index_keeps_long_texts_whole(spark, tmp_path, monkeypatch):
@@ -307,8 +478,9 @@ def test_index_stops_growing_and_tells_damage(spark, tmp_path):
     idx.remove(F.col("file_id") == 1)
     with pytest.raises(index.Conflict):
         stale.remove(F.col("file_id") == 2)
+    idx.forget(spark.createDataFrame([(77,)], "file_id long"))
     assert idx.known_count() == 1
-    storage.remove(spark, f"{idx.path}/{next(iter(idx._now()[1]['folders'].values()))}")
+    storage.remove(spark, _folder_of(idx))
     with pytest.raises(index.IndexUnavailable):
         idx.verify()
     made = from_texts(_rows(spark, (9, "new")))
@@ -317,6 +489,38 @@ def test_index_stops_growing_and_tells_damage(spark, tmp_path):
     assert idx.known_count() == 1
 
 
+@pytest.mark.parametrize("query", ["alpha & !beta", "2of(alpha,beta,type:pdf) & !gamma | NEAR(alpha,beta,9)", "!type:pdf & !alpha | gamma & size:>30"])
+def test_files_are_decided_as_their_chunks_arrive(spark, tmp_path, query):
+    rng = random.Random(6)
+    made = from_texts(_rows(spark, *[(i, "\n".join(rng.choice(["alpha", "beta alpha", "gamma", "delta", "other"]) for _ in range(rng.randint(0, 9)))) for i in range(40)]))
+    c = Corpus(made.files.cache(), made.chunks.cache())
+    rows = matcher.with_ends(c.chunks)
+    rows.orderBy(F.rand(3)).repartition(12).write.parquet(str(tmp_path / "in"))
+    q = matcher.decided(spark, str(tmp_path / "in"), rows.schema, query, str(tmp_path / "out"), str(tmp_path / "cp"), c.files, per_trigger=3)
+    assert q.awaitTermination(300) and q.exception() is None
+    got = {r["file_id"]: r for r in spark.read.schema(matcher.SCHEMA).parquet(str(tmp_path / "out")).collect()}
+    want = {r["file_id"] for r in search(c, query).results.collect()}
+    assert len(got) == 40 and {i for i, r in got.items() if r["outcome"] == "accept"} == want
+    chunks = dict(map(tuple, c.chunks.groupBy("file_id").count().collect()))
+    assert any(r["early"] for r in got.values()) and all(r["units"] == chunks[i] for i, r in got.items() if not r["early"])
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # nothing is kept of files that have ended
+
+
+def test_a_silent_file_is_decided_by_what_it_showed(spark, tmp_path):
+    made = from_texts(_rows(spark, (1, "alpha\nbeta"), (2, "gamma")))
+    made.chunks.filter("chunk_index < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.chunks.schema).parquet(str(tmp_path / "in"))
+    with matcher.state_store(spark):
+        q = matcher.decide(stream, "alpha & !beta", idle=1).writeStream.format("memory").queryName("silent").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("silent").count() < 2:
+            time.sleep(0.5)
+        assert {r["file_id"]: (r["outcome"], r["early"]) for r in spark.table("silent").collect()} == {1: ("accept", False), 2: ("reject", False)}
+    finally:
+        q.stop()
+
+
 def test_streams(spark, tmp_path):
     incoming, idx = str(tmp_path / "in"), CorpusIndex(spark, str(tmp_path / "index"))
     schema = "file_id long, folder string, text string"
