@@ -147,19 +147,24 @@ def decide(chunks: DataFrame, query: str | q.Node | None, files: DataFrame | Non
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state in RocksDB, which such state needs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+def state_store(spark: SparkSession, *, idle_batches: bool = True) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, which such state needs.
+
+    Without ``idle_batches`` none runs when nothing has arrived; timers would ask for another for ever.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def decided(spark: SparkSession, source: str, schema, query: str | q.Node | None, out: str, checkpoint: str, files: DataFrame | None = None, options: Options = Options(), *, per_trigger: int = 100):  # type: ignore[no-untyped-def]
     """Decide all chunks that wait in a folder of Parquet files, write the outcomes to ``out``, and stop."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
-    with state_store(spark):
+    with state_store(spark, idle_batches=False):
         return decide(stream, query, files, options).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
