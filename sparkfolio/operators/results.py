@@ -203,7 +203,8 @@ def shown_rows(results: DataFrame) -> DataFrame:
 
 
 def _time(mtime_ns: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.floor(mtime_ns / 1_000_000_000)), "yyyy-MM-dd HH:mm")
+    shown = F.date_format(F.timestamp_seconds(F.floor(mtime_ns / 1_000_000_000).cast("long")), "yyyy-MM-dd HH:mm")
+    return F.regexp_replace(shown, r"^\+", "")  # stands before years of five digits
 
 
 #: Headings of the CSV export (fixed values), with the columns of ``csv_rows`` under them.
