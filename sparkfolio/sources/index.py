@@ -103,7 +103,7 @@ class Segment:
 def statistics(files: DataFrame) -> DataFrame:
     """One row that tells what a segment's files are like; a set that is null may hold anything."""
     some = lambda c, name: F.when(F.size(F.collect_set(c)) <= VALUES, F.sort_array(F.collect_set(c))).alias(name)
-    ranges = [f(c).cast("long").alias(f"{name}_{c}") for c in ("size", "mtime_ns") for name, f in (("least", F.min), ("most", F.max))]
+    ranges = [f(c).cast(kind).alias(f"{name}_{c}") for c, kind in (("size", "long"), ("mtime_ns", "decimal(38,0)")) for name, f in (("least", F.min), ("most", F.max))]
     return files.agg(*ranges, some(F.regexp_replace(F.lower("extension"), r"^\.+", ""), "extensions"), some("source_type", "sources"))
 
 
@@ -368,7 +368,7 @@ class CorpusIndex:
         some = [s.id for s in commit["segments"] if s.files] if commit else []
         tests = [t for c in q.conjuncts(plan.root) if isinstance(c, q.Meta) and (t := _overlap(c)) is not None]
         if some and tests:
-            known = self._small(commit, "statistics", "least_size long, most_size long, least_mtime_ns long, most_mtime_ns long, extensions array<string>, sources array<string>", some)
+            known = self._small(commit, "statistics", "least_size long, most_size long, least_mtime_ns decimal(38,0), most_mtime_ns decimal(38,0), extensions array<string>, sources array<string>", some)
             for test in tests:
                 known = known.filter(F.coalesce(test, F.lit(True)))
             some = sorted(r["segment"] for r in known.select("segment").collect())  # a row for each segment

@@ -259,7 +259,7 @@ def test_parse_of_root_filter(spark):
     assert ids(search(c, "root:proj", roots=["/data/PROJ"])) == [0] and ids(search(c, parse_query("root:proj"), roots=["/x"])) == []
 
 
-@pytest.mark.parametrize("name", ["meta_modified_range", "export_csv_projection"])
+@pytest.mark.parametrize("name", ["meta_modified_range", "export_csv_projection", "segment_search"])
 def test_days_after_the_made_up_times_begin_anew(spark, tmp_path, name):
     """Rows whose number passes the days after which stored times begin anew, and those that 64 bits of nanoseconds hold."""
     rows = [(i, "the thenwh reed.", "en", "src1", 16) for i in (*range(30, 60), *range(50_040, 50_060), *range(100_040, 100_060), 2_950_000)]
