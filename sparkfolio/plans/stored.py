@@ -43,7 +43,6 @@ class Tables(NamedTuple):
     parts: list[tuple]
     helping: list[tuple]
     levels: int
-    sizes: list[int]
 
 
 def _gram(text: str) -> str:
@@ -63,7 +62,7 @@ def _ways(needle: Needle) -> list[tuple[str, str]]:
 
 
 def compiled(queries: Mapping[int, str | q.Node], options: Options = Options()) -> Tables:
-    out = Tables([], [], [], [], [], 0, [])
+    out = Tables([], [], [], [], [], 0)
     known: dict[Any, int] = {}
     deepest = 0
 
@@ -114,23 +113,25 @@ def compiled(queries: Mapping[int, str | q.Node], options: Options = Options())
         for i in plan.positive:
             n = plan.needles[i]
             out.helping.append((query_id, needle_of(n, _ways(n), n.norm, n.part, n.pattern, None, None, None)))
-    return out._replace(levels=deepest, sizes=sorted({len(row[2]) for row in out.needles}))
+    return out._replace(levels=deepest)
 
 
-def _met(chunks: DataFrame, needles: DataFrame, sizes: list[int], part_numbers: bool) -> DataFrame:
-    """file_id, needle and hits of the needles that files hold."""
+def _met(chunks: DataFrame, needles: DataFrame, wanted: Iterable[tuple[str, str]], part_numbers: bool) -> DataFrame:
+    """file_id, needle and hits of the needles that files hold; ``wanted`` are (mark, gram) of all needles.
 
-    def of_size(text: str, mark: str, k: int) -> Column:
-        size = F.length(text)
-        at = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(k))))
+    Needles were a list on the driver, so they are sent to all tasks; no text and no gram of one is shuffled.
+    """
+    none = F.expr("cast(array() as array<string>)")
 
     def each(text: str, mark: str) -> Column:
-        return F.array_distinct(F.concat(*[of_size(text, mark, k) for k in sizes]))
+        mine = sorted({g for m, g in wanted if m == mark})
+        every = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in sorted({len(g) for g in mine})]
+        known = F.array_intersect(F.concat(*every), F.array(*map(F.lit, mine))) if mine else none
+        return F.transform(known, lambda g: F.concat(F.lit(mark), g))
 
     every = F.concat(each("norm_text", "n"), each("part_text", "p")) if part_numbers else each("norm_text", "n")
     rows = chunks.select("file_id", "chunk_index", "norm_text", "part_text", F.explode(every).alias("gram"))
-    both = rows.join(needles.withColumn("gram", F.concat("mark", "gram")), "gram")
+    both = rows.join(F.broadcast(needles.withColumn("gram", F.concat("mark", "gram"))), "gram")
     hay, part = F.col("norm_text"), F.col("part_text")
     inside = lambda hay, c: F.call_function("contains", hay, F.col(c)) & (F.col(c) != "")
     count = lambda hay, c: F.when(F.col(c) != "", ((F.length(hay) - F.length(F.replace(hay, F.col(c), F.lit("")))) / F.length(c)).cast("long")).otherwise(0)
@@ -179,7 +180,7 @@ def matches(corpus: Corpus, queries: Mapping[int, str | q.Node], options: Option
         raise ValueError(f"stored queries can't ask for {', '.join(sorted(odd))}")
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     chunks = corpus.chunks if options.include_path_names else corpus.chunks.filter(~F.col("kind").isin(*OWN))
-    met = _met(chunks, table(t.needles, _NEEDLES), t.sizes or [SIZE], options.part_number_mode)
+    met = _met(chunks, table(t.needles, _NEEDLES), [(row[1], row[2]) for row in t.needles], options.part_number_mode)
     leaves = table(t.leaves, _LEAVES)
     met = storage.stored(met, "met")
     # rows of parts whose value differs from that without terms: what they add to their parent

@@ -59,3 +59,12 @@ def test_queries_that_need_no_term_are_refused(library):
         stored.matches(library, {1: "alpha & confirmed:true"})
     with pytest.raises(ValueError, match="folded"):
         stored.matches(library, {1: "alpha"}, Options(case_sensitive=True))
+
+
+def test_no_text_is_shuffled(library, monkeypatch):
+    """Needles go to the chunks; what is dealt out by file are ids and counts."""
+    plans, real = [], stored.storage.stored
+    monkeypatch.setattr(stored.storage, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    assert stored.matches(library, {1: "alpha & !beta", 2: "delta"}).count() > 0
+    (plan,) = [p for n, p in plans if n == "met"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
