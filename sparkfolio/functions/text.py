@@ -7,6 +7,7 @@ Python functions on the driver.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -19,6 +20,10 @@ from ..lang.parser import HYPHENS
 SNIPPET, NEAR_SNIPPET, DOTS = 260, 200, "..."
 
 
+#: What a canonical part leaves out: all but letters and digits, and signs of length that count as hyphens.
+_ODD, _ODD_BUT_STAR = (re.compile(rf"(?:[^\w{star}]|[_{re.escape(HYPHENS)}])+") for star in ("", "*"))
+
+
 def normalize_text(text: str | None, *, ignore_width: bool = True, case_sensitive: bool = False) -> str:
     text = text or ""
     text = unicodedata.normalize("NFKC", text) if ignore_width else text
@@ -27,8 +32,7 @@ def normalize_text(text: str | None, *, ignore_width: bool = True, case_sensitiv
 
 def canonical_part(text: str | None, *, case_sensitive: bool = False, keep_star: bool = False) -> str:
     """Letters and digits only, width folded; ``*`` too if it is kept."""
-    text = normalize_text(text, case_sensitive=case_sensitive)
-    return "".join(c for c in text if c not in HYPHENS and (c.isalnum() or keep_star and c == "*"))
+    return (_ODD_BUT_STAR if keep_star else _ODD).sub("", normalize_text(text, case_sensitive=case_sensitive))
 
 
 def part_pattern(part: str) -> str:
@@ -48,7 +52,8 @@ def normalized(text: Column, *, ignore_width: bool = True, case_sensitive: bool
         values = values.fillna("")
         norm = values.str.normalize("NFKC") if ignore_width else values
         norm = norm if case_sensitive else norm.str.casefold()
-        return pd.DataFrame({"norm": norm, "part": [canonical_part(v, case_sensitive=case_sensitive) for v in values]})
+        part = [_ODD.sub("", v) for v in norm] if ignore_width else [canonical_part(v, case_sensitive=case_sensitive) for v in values]
+        return pd.DataFrame({"norm": norm, "part": part})
 
     return F.pandas_udf(fold, "norm string, part string")(text)
 

@@ -37,8 +37,8 @@ def lines(text: Column) -> Column:
         lambda w: F.struct(row["line"].alias("line"), F.substring(row["text"], w * LINE + 1, F.lit(LINE)).alias("text")),
     )
     numbered = F.transform(F.split(text, "\r\n|\r|\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
-    blank = lambda row: F.regexp_replace(row["text"], r"(?U)\s+", "") == ""
-    return F.filter(F.flatten(F.transform(F.filter(numbered, lambda r: ~blank(r)), cut)), lambda r: ~blank(r))
+    said = lambda row: row["text"].rlike(r"(?U)\S")
+    return F.filter(F.flatten(F.transform(F.filter(numbered, said), cut)), said)
 
 
 def with_norms(files: DataFrame) -> DataFrame:

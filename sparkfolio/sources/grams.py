@@ -2,8 +2,9 @@
 
 A posting row is (gram, shard, n, files): the sorted ids of a shard's files in whose text the gram occurs. Grams of normalised
 texts begin with ``n``, those of part numbers with ``p``. A shard has about ``SHARD`` files, so postings of common grams
-are split and no row grows with the corpus. Rows are sorted by gram and written in small row groups, so a
-query reads the rows of its own grams only.
+are split and no row grows with the corpus. Tasks turn their chunks into short posting rows, and only these
+are shuffled. Rows are sorted by gram in each file and written in small row groups, so a query reads the rows of
+its own grams only.
 
 A query asks for the rarest grams of each of its terms first, by their counts, and intersects and unites their ids as its
 operators say. That gives files that may match, never fewer than do match: terms of less than three characters, negations
@@ -14,10 +15,12 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +31,71 @@ SIZE = 3
 SHARD = 1 << 16
 #: Grams of a term that are intersected.
 RAREST = 3
+#: Characters of which a task makes posting rows at a time.
+SLICE = 2_000_000
 #: Bits that tell which grams a segment has.
 BLOOM = 1 << 16
 T = TypeVar("T")
 
 
-def grams(text: Column, mark: str) -> Column:
-    """The distinct grams of a text, with a mark in front."""
-    starts = F.sequence(F.lit(1), F.length(text) - (SIZE - 1))
-    each = F.transform(F.when(F.length(text) >= SIZE, starts).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(SIZE))))
-    return F.array_distinct(each)
-
-
 def of(text: str, mark: str) -> list[str]:
     return list(dict.fromkeys(mark + text[i : i + SIZE] for i in range(len(text) - SIZE + 1)))
 
 
 def postings(chunks: DataFrame, shards: int) -> DataFrame:
     """gram, shard, n and files of chunks (file_id, norm_text, part_text)."""
-    both = chunks.select("file_id", F.explode(F.concat(grams(F.col("norm_text"), "n"), grams(F.col("part_text"), "p"))).alias("gram"))
     shard = F.pmod(F.xxhash64("file_id", F.lit("shard")), F.lit(shards)).cast("int")
-    once = both.distinct().groupBy("gram", shard.alias("shard")).agg(F.array_sort(F.collect_list("file_id")).alias("files"))
+    rows = chunks.select("file_id", shard.alias("shard"), "norm_text", "part_text").mapInArrow(_inverted, "gram string, shard int, files array<bigint>")
+    once = rows.repartition("gram", "shard").groupBy("gram", "shard").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"))
     return once.select("gram", "shard", F.size("files").alias("n"), "files")
 
 
+def _inverted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of each batch; a file whose chunks lie in several batches is in rows of each."""
+    for batch in batches:
+        ids, shards = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for mark, i in (("n", 2), ("p", 3)):
+            said = [t or "" for t in batch.column(i).to_pylist()]
+            part = np.cumsum([len(t) for t in said]) // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(said)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from _lists(ids[a:b], shards[a:b], said[a:b], mark)
+
+
+def _lists(ids: np.ndarray, shards: np.ndarray, said: list[str], mark: str) -> Iterator[pa.RecordBatch]:
+    """Posting rows of some texts. A gram and its file are one number, so sorting numbers finds the distinct pairs in order."""
+    whole = np.frombuffer("".join(said).encode("utf-32-le"), dtype=np.uint32)
+    if whole.size < SIZE:
+        return
+    sizes = np.array([len(t) for t in said])
+    each = np.empty(len(said), dtype=[("shard", np.int64), ("id", np.int64)])
+    each["shard"], each["id"] = shards, ids
+    known, owner = np.unique(each, return_inverse=True)
+    letters = np.flatnonzero(np.bincount(whole))
+    k, n = len(letters), len(known)
+    if k**SIZE * n >= 1 << 63:
+        for half in (slice(None, len(said) // 2), slice(len(said) // 2, None)):
+            yield from _lists(ids[half], shards[half], said[half], mark)
+        return
+    place = np.zeros(letters[-1] + 1, dtype=np.int64)
+    place[letters] = np.arange(k)
+    at = place[whole]
+    code = (at[:-2] * k + at[1:-1]) * k + at[2:]
+    inside = np.arange(len(code)) + SIZE <= np.repeat(np.cumsum(sizes), sizes)[:-2]
+    pairs = np.unique((code * n + np.repeat(owner.reshape(-1), sizes)[:-2])[inside])
+    if not pairs.size:
+        return
+    code, owner = np.divmod(pairs, n)
+    shard = known["shard"][owner]
+    first = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(shard) != 0)])
+    code = code[first]
+    spelt = np.stack([np.full(len(first), ord(mark)), letters[code // k // k], letters[code // k % k], letters[code % k]], 1)
+    spelt = spelt.astype("<u4").tobytes().decode("utf-32-le")
+    names = [spelt[i : i + SIZE + 1] for i in range(0, len(spelt), SIZE + 1)]
+    files = pa.ListArray.from_arrays(pa.array(np.r_[first, pairs.size], pa.int32()), pa.array(known["id"][owner]))
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shard[first], pa.int32()), files], names=["gram", "shard", "files"])
+
+
 def needed(needle: Needle) -> list[list[str]] | None:
     """Lists of grams of which one list must be there whole; None if the term may be anywhere."""
     ways = []

@@ -214,23 +214,28 @@ class CorpusIndex:
         return sum(s.bytes for s in commit["segments"]) if commit else 0
 
     # segments ----------------------------------------------------------------------------
-    def _write(self, commit: dict, files: DataFrame, chunks: DataFrame, level: int) -> Segment:
-        """Write a segment; no reader sees it before a commit names it."""
+    def _write(self, commit: dict, files: DataFrame, chunks: DataFrame, level: int, *, new: bool = False) -> Segment:
+        """Write a segment; no reader sees it before a commit names it. Files that are ``new`` are measured by the chunks as written."""
         name = uuid.uuid4().hex
-        self._buckets(commit, "files").write(files, name)
         self._buckets(commit, "chunks").write(chunks, name)
+        self._buckets(commit, "files").write(self._measured(commit, files, self._buckets(commit, "chunks").read([name])) if new else files, name)
         here = self._buckets(commit, "files").read([name])
         n = here.count()
         if n:
             texts = self._buckets(commit, "chunks").read([name])
             into = lambda table: f"{self._folder(commit, table)}/segment={name}"
-            made = grams.postings(texts, max(1, -(-n // grams.SHARD))).repartitionByRange("gram", "shard").sortWithinPartitions("gram", "shard")
+            made = grams.postings(texts, max(1, -(-n // grams.SHARD))).sortWithinPartitions("gram", "shard")
             made.write.option("parquet.block.size", 1 << 20).option("parquet.page.row.count.limit", 500).parquet(into("postings"))
             statistics(here).write.parquet(into("statistics"))
             grams.bloom(self.spark.read.parquet(into("postings"))).coalesce(1).write.parquet(into("blooms"))
         size = sum(storage.size(self.spark, f"{self._folder(commit, t)}/segment={name}") for t in ("files", "chunks", "postings"))
         return Segment(name, level, n, size)
 
+    def _measured(self, commit: dict, files: DataFrame, chunks: DataFrame) -> DataFrame:
+        """New files with all columns that the index has."""
+        known = measured(files, chunks).withColumn("indexed_at", F.current_timestamp())
+        return known.withColumns({f.name: F.lit(None) for f in StructType.fromJson(commit["schemas"]["files"]) if f.name not in known.columns})
+
     def _bury(self, commit: dict, gone: DataFrame) -> str:
         name = uuid.uuid4().hex
         gone.select("segment", "file_id").write.parquet(f"{self._folder(commit, 'gone')}/{name}")
@@ -319,14 +324,11 @@ class CorpusIndex:
             return marks
         fresh = now.join(taken, "file_id", "left_semi")
         new = corpus(fresh, body.join(fresh.select("file_id"), "file_id", "left_semi"))
-        new_files, new_chunks = measured(new.files.withColumn("indexed_at", F.current_timestamp()), new.chunks), new.chunks
-        after = commit or self._fresh(new_files, new_chunks, self._new_buckets)
+        after = commit or self._fresh(measured(new.files, new.chunks).withColumn("indexed_at", F.current_timestamp()), new.chunks, self._new_buckets)
         if replaced:
             after = after | {"gone": [*after["gone"], self._bury(after, self._live(after, "files").join(moved, "file_id", "left_semi"))]}
         if anything:
-            for name in StructType.fromJson(after["schemas"]["files"]).fieldNames():
-                new_files = new_files if name in new_files.columns else new_files.withColumn(name, F.lit(None))
-            made = self._write(after, new_files, new_chunks, 0)
+            made = self._write(after, *new, 0, new=True)
             after = after | {"segments": [*after["segments"], made]}
         self._put(number, self._merge(after))
         return marks
@@ -355,9 +357,8 @@ class CorpusIndex:
         """Write everything anew, whatever is there, and then commit it; readers have the last commit until then."""
         known = self._commits()
         new = corpus(with_version(files, settings), body)
-        new_files = measured(new.files.withColumn("indexed_at", F.current_timestamp()), new.chunks)
-        commit = self._fresh(new_files, new.chunks, self._new_buckets)
-        made = self._write(commit, new_files, new.chunks, 0)
+        commit = self._fresh(measured(new.files, new.chunks).withColumn("indexed_at", F.current_timestamp()), new.chunks, self._new_buckets)
+        made = self._write(commit, *new, 0, new=True)
         self._put(known[-1] if known else 0, commit | {"segments": [made]})
         return self._live(commit | {"segments": [made]}, "files").select("file_id", F.lit("added").alias("change"))
 
