@@ -214,7 +214,7 @@ class CorpusIndex:
         return sum(s.bytes for s in commit["segments"]) if commit else 0
 
     # segments ----------------------------------------------------------------------------
-    def _write(self, commit: dict, files: DataFrame, chunks: DataFrame, level: int, *, new: bool = False) -> Segment:
+    def _write(self, commit: dict, files: DataFrame, chunks: DataFrame, level: int, new: bool = False) -> Segment:
         """Write a segment; no reader sees it before a commit names it. Files that are ``new`` are measured by the chunks as written."""
         name = uuid.uuid4().hex
         self._buckets(commit, "chunks").write(chunks, name)
@@ -328,7 +328,7 @@ class CorpusIndex:
         if replaced:
             after = after | {"gone": [*after["gone"], self._bury(after, self._live(after, "files").join(moved, "file_id", "left_semi"))]}
         if anything:
-            made = self._write(after, *new, 0, new=True)
+            made = self._write(after, *new, 0, True)
             after = after | {"segments": [*after["segments"], made]}
         self._put(number, self._merge(after))
         return marks
@@ -358,7 +358,7 @@ class CorpusIndex:
         known = self._commits()
         new = corpus(with_version(files, settings), body)
         commit = self._fresh(measured(new.files, new.chunks).withColumn("indexed_at", F.current_timestamp()), new.chunks, self._new_buckets)
-        made = self._write(commit, *new, 0, new=True)
+        made = self._write(commit, *new, 0, True)
         self._put(known[-1] if known else 0, commit | {"segments": [made]})
         return self._live(commit | {"segments": [made]}, "files").select("file_id", F.lit("added").alias("change"))
 
