@@ -104,7 +104,7 @@ def join_crc(first: int, second: int, size: int) -> int:
 
 
 def _shard(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, block: int, planes: str) -> Iterator[pa.RecordBatch]:
-    encode = tokens.encoder(vocabulary).encode
+    encoder = tokens.encoder(vocabulary)
     shard, number, done, ordinal = TaskContext.get().partitionId(), 0, 0, 0
     held = bytearray()
     docs: list[tuple] = []
@@ -130,9 +130,9 @@ def _shard(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, bloc
         return row
 
     for batch in common.rows_of(batches):
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"].to_pylist()), strict=True):
             first = done + len(held) // 4
-            held += encode(text) + end
+            held += ids + end
             docs.append((ordinal, doc_id, first, done + len(held) // 4 - first))
             ordinal += 1
             while len(held) >= 4 * block:

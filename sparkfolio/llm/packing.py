@@ -72,12 +72,12 @@ def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    encode = tokens.encoder(vocabulary).encode
+    encoder = tokens.encoder(vocabulary)
     end = end_id.to_bytes(4, "little")
     for batch in common.rows_of(batches):
         rows = []
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            ids = encode(text) + end
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"].to_pylist()), strict=True):
+            ids += end
             for k, (a, n) in enumerate(cut_points(len(ids) // 4, length)):
                 rows.append((doc_id, k, a, n, ids[4 * a : 4 * (a + n)]))
         if rows:

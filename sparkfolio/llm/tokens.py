@@ -3,7 +3,7 @@
 A byte-level pre-tokenizer ends a token before any white space that follows another
 character, so a text whose spaces stand singly can be cut before every space and the pieces
 encoded on their own. Pieces recur, so a worker keeps the ids of those it has met in a table
-of bounded size. A piece of letters goes straight to the library's BPE model, any other piece
+of bounded size; of many texts together each different piece is looked up once. A piece of letters goes straight to the library's BPE model, any other piece
 and every text with other spacing through its whole tokenizer, as does every text if the vocabulary's
 file asks for another pre-tokenizer, a normalizer, another model or marks that a cut or a run of letters could split.
 
@@ -16,9 +16,13 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +30,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 REMEMBERED = 400_000
 #: Longer pieces are not remembered.
 LONGEST = 64
+#: Characters of texts from which on it pays to number their pieces, and those beyond which it takes too much memory.
+FEW, MANY = 1 << 12, 1 << 25
 #: Marks that end a word and are tokens of their own after a letter.
 _TAIL = ".,;:!?"
 
@@ -37,6 +43,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Cut(NamedTuple):
+    """Texts cut at every space, and round every line end if no space and no other line end stands next to one (``by_line``).
+
+    ``parts`` are the different parts, ``at`` has the number of each part in turn, and a text's begin at ``bounds``.
+    """
+
+    parts: list[str]
+    at: np.ndarray
+    bounds: np.ndarray
+    by_line: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str]) -> Cut:
+        by_line = [not ("\n\n" in t or " \n" in t or "\n " in t) for t in texts]
+        lists = pc.split_pattern(pa.array([t.replace("\n", " \n ") if lines else t for t, lines in zip(texts, by_line, strict=True)], pa.string()), " ")
+        numbered = lists.values.dictionary_encode()
+        parts = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return cls(parts, numbered.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), np.array(by_line, bool))
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """Per text, the sum of a value of each of ``at``."""
+        return np.diff(np.concatenate([[0], np.cumsum(each)])[self.bounds])
+
+
+def sizes_of(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def gathered(data: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``data`` holds some items of each number one after another; those of each of ``at`` in turn, and how many each gave."""
+    each = sizes[at]
+    places = np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(each) - each), each)
+    places += np.arange(len(places))
+    return data[places], each
+
+
 class _Uneven(LookupError):
     """White space stands next to a cut, so the text can't be encoded by pieces."""
 
@@ -105,16 +147,69 @@ class Encoder:
         """The ids of one text; a null text counts as empty."""
         if not text:
             return b""
-        if not self.cuts:
+        if not self.cuts or "\0" in text:
             return self._whole(text)
         get, learn = self._known.get, self._learn
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["", *text]
+        pieces = text.replace(" ", "\0 ").split("\0")
         try:
-            out = [get(x) or learn(x) for x in pieces]
+            out = [get(x) or learn(x) for x in (pieces if pieces[0] else pieces[1:])]
         except _Uneven:
             return self._whole(text)
         return b"".join(out)
 
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        texts = [t or "" for t in texts]
+        if not self.cuts or not FEW <= sum(map(len, texts)) <= MANY:
+            return [self.encode(t) for t in texts]
+        cut = Cut.of(texts)
+        found, at, uneven = self._numbered(cut)
+        ids, each = gathered(np.frombuffer(b"".join(found), "<u4"), sizes_of(found), at)
+        ends = 4 * np.concatenate([[0], np.cumsum(each)])[cut.bounds]
+        said, ends = ids.tobytes(), ends.tolist()
+        return [self._whole(t) if odd else said[a:b] for t, odd, a, b in zip(texts, uneven.tolist(), ends, ends[1:], strict=False)]
+
+    def sizes(self, texts: Sequence[str], cut: Cut) -> np.ndarray:
+        """How many ids each text has."""
+        if not self.cuts:
+            return np.array([len(self._whole(t)) // 4 for t in texts], np.int64)
+        found, at, uneven = self._numbered(cut)
+        out = cut.sums(sizes_of(found)[at])
+        for i in np.flatnonzero(uneven).tolist():
+            out[i] = len(self._whole(texts[i])) // 4
+        return out
+
+    def _numbered(self, cut: Cut) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of the different pieces, the number of each piece in turn, and which texts can't be encoded by pieces.
+
+        A piece is a part with the space before it; a text's first part has none, nor have line ends and what follows them.
+        """
+        parts = cut.parts
+        ends = np.array([p == "\n" for p in parts], bool)[cut.at]
+        bare = ends.copy()
+        bare[1:] |= ends[:-1]
+        bare[cut.bounds[:-1]] = True
+        piece = 2 * cut.at + ~bare
+        used = np.zeros(2 * len(cut.parts), bool)
+        used[piece] = True
+        number = np.cumsum(used) - 1
+        names = [" " + parts[i >> 1] if i & 1 else parts[i >> 1] for i in np.flatnonzero(used).tolist()]
+        found = list(map(self._known.get, names))
+        odd = np.zeros(len(names), bool)
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            name = names[i]
+            if (ids := self._before.get(name)) is not None and len(self._known) < REMEMBERED:
+                found[i] = self._known[name] = ids
+                continue
+            try:
+                found[i] = self._learn(name) if name else b""
+            except _Uneven:
+                found[i], odd[i] = b"", True
+        at = number[piece]
+        blank = np.array([p[:1].isspace() for p in parts], bool)[cut.at]
+        blank[cut.bounds[:-1]] = False
+        uneven = (cut.sums(odd[at] | (blank & ~ends)) > 0) | (~cut.by_line & (cut.sums(ends) > 0))
+        return found, at, uneven
 
     @property
     def size(self) -> int:
