@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,22 +104,38 @@ def edges(text: str) -> tuple[int, int]:
     return first, last
 
 
+def parts(texts: list[str], encoder: tokens.Encoder) -> list[tuple[str, bytes | None, str]]:
+    """(head, ids, tail) of each stretch of text; ids are null if all of it is open."""
+    found = [edges(t) for t in texts]
+    ids = iter(encoder.encode_all([t[first:last] for t, (first, last) in zip(texts, found, strict=True) if first >= 0]))
+    return [(t, None, "") if first < 0 else (t[:first], next(ids), t[last:]) for t, (first, last) in zip(texts, found, strict=True)]
+
+
 def part(text: str, encoder: tokens.Encoder) -> tuple[str, bytes | None, str]:
-    """(head, ids, tail) of a stretch of text; ids are null if all of it is open."""
-    first, last = edges(text)
-    return (text, None, "") if first < 0 else (text[:first], encoder.encode(text[first:last]), text[last:])
+    return parts([text], encoder)[0]
 
 
-def join(parts: Iterator[tuple[str, bytes | None, str]], encoder: tokens.Encoder) -> bytes:
-    """The ids of the text whose parts these are."""
-    out: list[bytes] = []
+def windows(parts: Iterable[tuple[str, bytes | None, str]]) -> list[str | bytes]:
+    """What the ids of the text whose parts these are come from in turn: ids, and texts that are to be encoded."""
+    out: list[str | bytes] = []
     window: list[str] = []
     for head, ids, tail in parts:
         window.append(head)
         if ids is not None:
-            out += [encoder.encode("".join(window)), ids]
+            out += ["".join(window), ids]
             window = [tail]
-    return b"".join([*out, encoder.encode("".join(window))])
+    return [*out, "".join(window)]
+
+
+def filled(each: list[list[str | bytes]], encoder: tokens.Encoder) -> list[bytes]:
+    """The ids of several texts from their ``windows``."""
+    ids = iter(encoder.encode_all([x for some in each for x in some if isinstance(x, str)]))
+    return [b"".join([next(ids) if isinstance(x, str) else x for x in some]) for some in each]
+
+
+def join(parts: Iterable[tuple[str, bytes | None, str]], encoder: tokens.Encoder) -> bytes:
+    """The ids of the text whose parts these are."""
+    return filled([windows(parts)], encoder)[0]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +156,8 @@ def _wide(ids: bytes | None, kind: str) -> bytes | None:
     return ids if ids is None or kind == "<u4" else np.frombuffer(ids, kind).astype("<u4").tobytes()
 
 
+#: Bytes of a batch whose texts are encoded together, less than elsewhere, as all of their parts are held.
+BATCH = 1 << 20
 #: What a row is: parts have head, ids and tail, references a digest and the chunk's text as head.
 PART, REFERENCE = 1, 2
 _PARTS = "row long, doc_id long, text_hash long, kind byte, ord int, digest binary, head string, ids binary, tail string"
@@ -172,8 +190,8 @@ def _split(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.
     """The parts of texts with marked chunks."""
     encoder, marks = tokens.encoder(path), Marks(marked)
     kind = _narrow(encoder)
-    for batch in common.rows_of(batches):
-        rows = []
+    for batch in common.rows_of(batches, BATCH):
+        rows, stretches = [], []
         for row, doc, hash_, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text_hash", "text")), strict=True):
             name, data = (row, doc, hash_), (text or "").encode()
             ends, known, hit = marks.of(data)
@@ -181,30 +199,32 @@ def _split(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.
             for i in hit:
                 start = ends[i - 1] if i else 0
                 if start > at:
-                    head, ids, tail = part(data[at:start].decode(), encoder)
-                    rows.append((*name, PART, number, None, head, _packed(ids, kind), tail))
+                    rows.append((*name, PART, number, None))
+                    stretches.append(data[at:start].decode())
                     number += 1
                 rows.append((*name, REFERENCE, number, known[i], data[start : ends[i]].decode(), None, None))
                 at, number = ends[i], number + 1
             if hit and at < len(data):
-                head, ids, tail = part(data[at:].decode(), encoder)
-                rows.append((*name, PART, number, None, head, _packed(ids, kind), tail))
-        yield _batch(rows, _FIELDS)
+                rows.append((*name, PART, number, None))
+                stretches.append(data[at:].decode())
+        made = iter(parts(stretches, encoder))
+        yield _batch([(*row, head, _packed(ids, kind), tail) for row in rows if row[3] == PART for head, ids, tail in [next(made)]] + [row for row in rows if row[3] == REFERENCE], _FIELDS)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], marked, path: str) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
     """The ids of texts without marked chunks."""
     encoder, marks = tokens.encoder(path), Marks(marked)
-    for batch in common.rows_of(batches):
+    for batch in common.rows_of(batches, BATCH):
         texts = zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
-        yield _batch([(doc, hash_, encoder.encode(text)) for doc, hash_, text in texts if not marks.of((text or "").encode())[2]], _RESULT)
+        own = [(doc, hash_, text) for doc, hash_, text in texts if not marks.of((text or "").encode())[2]]
+        yield _batch([(doc, hash_, ids) for (doc, hash_, _), ids in zip(own, encoder.encode_all([text for *_, text in own]), strict=True)], _RESULT)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(path)
     kind = _narrow(encoder)
-    for batch in common.rows_of(batches):
-        made = [part(t, encoder) for t in batch["head"].to_pylist()]
+    for batch in common.rows_of(batches, BATCH):
+        made = parts(batch["head"].to_pylist(), encoder)
         heads, ids, tails = zip(*made, strict=True) if made else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(heads, pa.string()), pa.array([_packed(x, kind) for x in ids], pa.binary()), pa.array(tails, pa.string())], ["digest", "head", "ids", "tail"])
 
@@ -218,17 +238,18 @@ def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     kind = _narrow(encoder)
     now: tuple | None = None
     held: list[tuple[str, bytes | None, str]] = []
-    for batch in common.rows_of(batches):
-        rows = []
+    for batch in common.rows_of(batches, BATCH):
+        done, texts = [], []
         for row, doc, hash_, head, ids, tail in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text_hash", "head", "ids", "tail")), strict=True):
             if now is not None and now[0] != row:
-                rows.append((*now[1:], join(iter(held), encoder)))
+                done.append(now[1:])
+                texts.append(windows(held))
                 held = []
             now = (row, doc, hash_)
             held.append((head, _wide(ids, kind), tail))
-        yield _batch(rows, _RESULT)
+        yield _batch([(*name, ids) for name, ids in zip(done, filled(texts, encoder), strict=True)], _RESULT)
     if now is not None:
-        yield _batch([(*now[1:], join(iter(held), encoder))], _RESULT)
+        yield _batch([(*now[1:], join(held, encoder))], _RESULT)
 
 
 def shared(docs: DataFrame) -> bytes:
@@ -280,7 +301,7 @@ def decode(encoded: DataFrame, *, path: str = tokens.BYTE_BPE) -> DataFrame:
 def _digested(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     decoder = tokens.decoder(path)
     spelt = [str(i) for i in range(tokens.encoder(path).size)]
-    for batch in common.rows_of(batches):
+    for batch in common.rows_of(batches, BATCH):
         rows = []
         for doc, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
             said = ",".join(map(spelt.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -27,11 +27,11 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces remembered; as many of the time before stay at hand.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Longer pieces are not remembered.
 LONGEST = 64
-#: Characters of texts from which on it pays to number their pieces, and those beyond which it takes too much memory.
-FEW, MANY = 1 << 12, 1 << 25
+#: Characters of texts from which on it pays to number their pieces, and of those that are numbered at once, which bounds memory.
+FEW, MANY = 1 << 12, 1 << 20
 #: Marks that end a word and are tokens of their own after a letter.
 _TAIL = ".,;:!?"
 
@@ -159,8 +159,19 @@ class Encoder:
 
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text."""
-        texts = [t or "" for t in texts]
-        if not self.cuts or not FEW <= sum(map(len, texts)) <= MANY:
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if some and size + len(t or "") > MANY:
+                out += self._together(some, size)
+                some, size = [], 0
+            some.append(t or "")
+            size += len(t or "")
+        return out + self._together(some, size)
+
+    def _together(self, texts: list[str], size: int) -> list[bytes]:
+        if not self.cuts or not FEW <= size <= MANY:
             return [self.encode(t) for t in texts]
         cut = Cut.of(texts)
         found, at, uneven = self._numbered(cut)

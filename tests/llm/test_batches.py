@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sparkfolio.llm import tokens
+from sparkfolio.llm import chunkreuse, tokens
 
 PLAIN = Tokenizer.from_file(tokens.BYTE_BPE)
 PARTS = ["a", "b ", " ", "\n", "\t", "\r\n", "\n\n", "\x85", "　", "\x1c", "é", "12", "'s", ".", "x<|endoftext|>", "\n a", "foo bar", "\0", "日本"]
@@ -44,3 +44,5 @@ def test_a_text_that_begins_with_a_space_is_encoded_by_pieces(monkeypatch):
     whole = e._whole
     monkeypatch.setattr(e, "_whole", lambda text: pytest.fail("encoded whole") if len(text) > 5 else whole(text))
     assert np.frombuffer(e.encode(" some words of a chunk"), "<u4").tolist() == want
+    head, ids, tail = chunkreuse.part("ope some words of a chunk tai", e)
+    assert (head, tail) == ("ope", " tai") and np.frombuffer(ids, "<u4").tolist() == want
