@@ -63,19 +63,18 @@ class Pieces(dict):
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self._model.is_byte(i) for i in range(self._model.get_piece_size())])
 
-    def of(self, words: list[bytes]) -> bytes:
-        """The ids of words one after another; words not met before are encoded in one call."""
-        new = [w for w in set(words) if w not in self]
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words not met before are encoded in one call."""
+        out = list(map(self.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
         if len(self) + len(new) > tokens.REMEMBERED:
             self.clear()
-            new = list(set(words))
         if new:
-            found = self._model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-            self.update((w, array("I", ids).tobytes()) for w, ids in zip(new, found, strict=True))
-        out = b"".join([self[w] for w in words])
-        for w in new:
-            if len(w) > tokens.LONGEST:
-                del self[w]
+            found = self._model.encode([words[i] for i in new], num_threads=1)
+            for i, ids in zip(new, found, strict=True):
+                out[i] = array("I", ids).tobytes()
+                if len(words[i]) <= tokens.LONGEST:
+                    self[words[i]] = out[i]
         return out
 
 
@@ -101,12 +100,11 @@ def script_of(text: str) -> str:
     return min(found, key=lambda s: (-found[s], s)) if found else ""
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words that lie in a window of ``window`` words found twice or more."""
-    n = len(words) - window + 1
+def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
+    """Words that lie in a window of ``window`` words found twice or more, from the words' hashes."""
+    n = len(h) - window + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)  # these never leave the process
     out = np.zeros(n, np.uint64)
     for i in range(window):
         out = out * _ODD + h[i : n + i]
@@ -115,7 +113,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
         return 0
     _, at, counts = np.unique(out, return_inverse=True, return_counts=True)
     twice = np.flatnonzero(counts[at] > 1)
-    edge = np.zeros(len(words) + 1, np.int64)
+    edge = np.zeros(len(h) + 1, np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + window, -1)
     return int((np.cumsum(edge) > 0).sum())
@@ -131,20 +129,42 @@ def duplicate_lines(text: str) -> int:
     return again
 
 
-def measure(text: str | None, piece_ids: Pieces, encoder: tokens.Encoder) -> tuple:
-    """One text's values in the order of ``SCHEMA``."""
-    text = text or ""
-    words = text.encode("utf-8", "replace").split()
-    chars = len(text) - sum(map(text.count, _SPACE))
-    ids = np.frombuffer(piece_ids.of(words), dtype=np.uint32)
-    n = len(ids)
-    shown = (None,) * 4
-    if n:
-        counts = np.bincount(ids) if n > 4096 else np.unique(ids, return_counts=True)[1]
-        share = counts[counts > 0] / n
-        bpe = len(encoder.encode(text)) // 4
-        shown = (chars / n, float(piece_ids.is_byte[ids].mean()), chars / bpe, float(-(share * np.log2(share)).sum()))
-    return (script_of(text), len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words), n, *shown)
+def _words(parts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of texts' parts one after another, and how many each part has."""
+    words: list[str] = []
+    sizes, done = np.ones(len(parts), np.int64), 0
+    for i in [i for i, p in enumerate(parts) if not p or not p.isprintable()]:
+        several = [w.decode() for w in parts[i].encode().split()]
+        words += parts[done:i] + several
+        sizes[i], done = len(several), i + 1
+    return words + parts[done:], sizes
+
+
+def measures(texts: list[str], piece_ids: Pieces, encoder: tokens.Encoder) -> list[tuple]:
+    """Each text's values in the order of ``SCHEMA``; what is known by word is found once for each different one."""
+    cut = tokens.Cut.of(texts)
+    words, sizes = _words(cut.parts)
+    at, each = tokens.gathered(np.arange(len(words)), sizes, cut.at)
+    ends = np.concatenate([[0], np.cumsum(cut.sums(each))])
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)[at]  # these never leave the process
+    found = piece_ids.of(words)
+    ids, each = tokens.gathered(np.frombuffer(b"".join(found), np.uint32), tokens.sizes_of(found), at)
+    stops = np.concatenate([[0], np.cumsum(each)])[ends].tolist()
+    ends = ends.tolist()
+    bpe = encoder.sizes(texts, cut).tolist()
+    is_byte = piece_ids.is_byte[ids]
+    rows = []
+    for i, text in enumerate(texts):
+        chars = len(text) - sum(map(text.count, _SPACE))
+        own = ids[stops[i] : stops[i + 1]]
+        n = len(own)
+        shown = (None,) * 4
+        if n:
+            counts = np.bincount(own) if n > 4096 else np.unique(own, return_counts=True)[1]
+            share = counts[counts > 0] / n
+            shown = (chars / n, float(is_byte[stops[i] : stops[i + 1]].mean()), chars / bpe[i], float(-(share * np.log2(share)).sum()))
+        rows.append((script_of(text), ends[i + 1] - ends[i], chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(hashes[ends[i] : ends[i + 1]]), n, *shown))
+    return rows
 
 
 def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -152,7 +172,7 @@ def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: st
     kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 4]
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     for batch in common.rows_of(batches):
-        rows = [measure(t, piece_ids, encoder) for t in batch["text"].to_pylist()]
+        rows = measures([t or "" for t in batch["text"].to_pylist()], piece_ids, encoder)
         made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], batch["text_hash"], *made], ["doc_id", "language", "text_hash", *names])
 

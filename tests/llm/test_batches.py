@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sparkfolio.llm import chunkreuse, tokens
+from sparkfolio.llm import chunkreuse, fertility, tokens
 
 PLAIN = Tokenizer.from_file(tokens.BYTE_BPE)
 PARTS = ["a", "b ", " ", "\n", "\t", "\r\n", "\n\n", "\x85", "　", "\x1c", "é", "12", "'s", ".", "x<|endoftext|>", "\n a", "foo bar", "\0", "日本"]
@@ -46,3 +46,21 @@ def test_a_text_that_begins_with_a_space_is_encoded_by_pieces(monkeypatch):
     assert np.frombuffer(e.encode(" some words of a chunk"), "<u4").tolist() == want
     head, ids, tail = chunkreuse.part("ope some words of a chunk tai", e)
     assert (head, tail) == ("ope", " tai") and np.frombuffer(ids, "<u4").tolist() == want
+
+
+def test_measures_of_many_texts_are_those_of_each():
+    rng = random.Random(6)
+    texts = ["", *("".join(rng.choices([*PARTS, "one two three four five six seven eight "], k=rng.randrange(40))) for _ in range(400))]
+    pieces, encoder = fertility.Pieces(fertility.PIECES), tokens.Encoder(tokens.BYTE_BPE)
+    names = [part.split()[0] for part in fertility.SCHEMA.split(", ")]
+    for text, row in zip(texts, fertility.measures(texts, pieces, encoder), strict=True):
+        assert row == fertility.measures([text], pieces, encoder)[0]
+        got, words = dict(zip(names, row, strict=True)), text.encode().split()
+        ids = [i for w in words for i in pieces._model.encode(w.decode())]
+        spots = {}
+        for i in range(len(words) - 7):
+            spots.setdefault(tuple(words[i : i + 8]), []).append(i)
+        again = {i + k for at in spots.values() if len(at) > 1 for i in at for k in range(8)}
+        assert (got["n_words"], got["n_tokens"], got["n_repeat_words"]) == (len(words), len(ids), len(again))
+        if ids:
+            assert got["bpe_chars"] == got["word_chars"] / len(plain(text)) and got["byte_share"] == pytest.approx(np.mean([pieces.is_byte[i] for i in ids]))
