@@ -27,11 +27,11 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces remembered; as many of the time before stay at hand.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Characters of texts from which on it pays to number their pieces, and of those that are numbered at once, which bounds memory.
-FEW, MANY = 1 << 12, 1 << 20
+FEW, MANY = 1 << 12, 1 << 22
 #: Marks that end a word and are tokens of their own after a letter.
 _TAIL = ".,;:!?"
 
