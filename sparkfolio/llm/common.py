@@ -78,8 +78,12 @@ def crc(data: bytes) -> int:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text of each is about ``most_bytes``, one row at least."""
+    """Cut Arrow batches so that the text of each is about ``most_bytes``, one row at least.
+
+    Before each batch, Arrow's pool gives back what it keeps of the ones before.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         n = batch.num_rows
         step = n if batch.nbytes <= most_bytes else max(1, n * most_bytes // batch.nbytes)
         for i in range(0, n, max(1, step)):

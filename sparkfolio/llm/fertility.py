@@ -52,31 +52,44 @@ STEPS = {"piece_chars": 0.005, "byte_share": 0.002, "bpe_chars": 0.005, "entropy
 #: Bands are rows of about 150 bytes.
 BROADCAST_BANDS, SALTS = 50_000, 16
 SCHEMA = "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_share double, bpe_chars double, entropy double"
+#: Bytes of text measured together: more take more memory at once, fewer look words up more often.
+BATCH = 2 << 20
 _SPACE = " \t\n\x0b\x0c\r"
 
 
 class Pieces(dict):
-    """Sentence-piece ids of words as 32-bit bytes, remembered up to a bound."""
+    """Sentence-piece ids of words as 32-bit bytes; words that come again are remembered up to a bound, and as many of the time before."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self._before: dict[str, bytes] = {}
         self.is_byte = np.array([self._model.is_byte(i) for i in range(self._model.get_piece_size())])
 
-    def of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words not met before are encoded in one call."""
+    def of(self, words: list[str], again: list[bool]) -> list[bytes]:
+        """The ids of each word; those not known are encoded in one call, and remembered if they stand in the texts ``again``."""
         out = list(map(self.get, words))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if len(self) + len(new) > tokens.REMEMBERED:
-            self.clear()
+        new = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self._before.get(words[i])
+            if out[i] is None:
+                new.append(i)
+            else:
+                self._remember(words[i], out[i])
         if new:
             found = self._model.encode([words[i] for i in new], num_threads=1)
             for i, ids in zip(new, found, strict=True):
                 out[i] = array("I", ids).tobytes()
-                if len(words[i]) <= tokens.LONGEST:
-                    self[words[i]] = out[i]
+                if again[i] and len(words[i]) <= tokens.LONGEST:
+                    self._remember(words[i], out[i])
         return out
 
+    def _remember(self, word: str, ids: bytes) -> None:
+        if len(self) >= tokens.FEWER:
+            self._before = dict(self)
+            self.clear()
+        self[word] = ids
+
 
 @functools.cache
 def pieces(path: str) -> Pieces:
@@ -147,7 +160,7 @@ def measures(texts: list[str], piece_ids: Pieces, encoder: tokens.Encoder) -> li
     at, each = tokens.gathered(np.arange(len(words)), sizes, cut.at)
     ends = np.concatenate([[0], np.cumsum(cut.sums(each))])
     hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)[at]  # these never leave the process
-    found = piece_ids.of(words)
+    found = piece_ids.of(words, (np.bincount(at, minlength=len(words)) > 1).tolist())
     ids, each = tokens.gathered(np.frombuffer(b"".join(found), np.uint32), tokens.sizes_of(found), at)
     stops = np.concatenate([[0], np.cumsum(each)])[ends].tolist()
     ends = ends.tolist()
@@ -168,10 +181,10 @@ def measures(texts: list[str], piece_ids: Pieces, encoder: tokens.Encoder) -> li
 
 
 def _measured(batches: Iterator[pa.RecordBatch], piece_file: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    piece_ids, encoder = pieces(piece_file), tokens.encoder(vocabulary)
+    piece_ids, encoder = pieces(piece_file), tokens.encoder(vocabulary, sparing=True)
     kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 4]
     names = [part.split()[0] for part in SCHEMA.split(", ")]
-    for batch in common.rows_of(batches):
+    for batch in common.rows_of(batches, BATCH):
         rows = measures([t or "" for t in batch["text"].to_pylist()], piece_ids, encoder)
         made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["language"], batch["text_hash"], *made], ["doc_id", "language", "text_hash", *names])

@@ -72,7 +72,7 @@ def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    encoder = tokens.encoder(vocabulary)
+    encoder = tokens.encoder(vocabulary, sparing=True)
     end = end_id.to_bytes(4, "little")
     for batch in common.rows_of(batches):
         rows = []

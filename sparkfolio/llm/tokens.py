@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer ends a token before any white space that follows another
 character, so a text whose spaces stand singly can be cut before every space and the pieces
 encoded on their own. Pieces recur, so a worker keeps the ids of those it has met in a table
-of bounded size; of many texts together each different piece is looked up once. A piece of letters goes straight to the library's BPE model, any other piece
+of bounded size; of many texts together each different piece is looked up once. A sparing encoder remembers
+fewer pieces, and of many texts only those that stand there twice, as most others don't come again soon. A piece of letters goes straight to the library's BPE model, any other piece
 and every text with other spacing through its whole tokenizer, as does every text if the vocabulary's
 file asks for another pre-tokenizer, a normalizer, another model or marks that a cut or a run of letters could split.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +29,8 @@ from tokenizers import Tokenizer
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces remembered; as many of the time before stay at hand.
 REMEMBERED = 400_000
+#: The same of a sparing encoder.
+FEWER = 100_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Characters of texts from which on it pays to number their pieces, and of those that are numbered at once, which bounds memory.
@@ -86,7 +89,7 @@ class _Uneven(LookupError):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, marks_as_text: bool = False) -> None:
+    def __init__(self, path: str, marks_as_text: bool = False, sparing: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._all = Tokenizer.from_file(path)
         self._all.encode_special_tokens = marks_as_text
@@ -102,9 +105,14 @@ class Encoder:
         self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["normalizer"] is None and model["type"] == "BPE" and not any(model.get(x) for x in plain) and not marks
         self._letters = _byte_letters()
         self._bytes = [i.to_bytes(4, "little") for i in range(self._all.get_vocab_size())]
+        self._sparing = sparing
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
+    @property
+    def _most(self) -> int:
+        return min(FEWER, REMEMBERED) if self._sparing else REMEMBERED
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._all.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
@@ -113,34 +121,41 @@ class Encoder:
         ids = self._known.get(part)
         return self._learn(part) if ids is None else ids
 
+    def _once(self, part: str) -> bytes:
+        """As ``_part``, but the part isn't remembered."""
+        ids = self._known.get(part) or self._before.get(part)
+        return self._spell(part, self._once) if ids is None else ids
+
     def _learn(self, piece: str) -> bytes:
         ids = self._before.get(piece)
         if ids is None:
-            core = piece.rstrip(_TAIL)
-            letters = core[1:] if core[:1] == " " else core
-            if letters.isalpha() and (letters.isascii() or max(letters) < "ɐ"):  # beyond these, versions of Unicode may differ
-                if core is not piece and len(core) < len(piece):
-                    ids = self._part(core) + self._part(piece[len(core) :])
-                else:
-                    spelt = "Ġ" + letters if letters.isascii() and letters is not core else core.encode().decode("latin-1").translate(self._letters)
-                    of = self._bytes
-                    ids = b"".join([of[t.id] for t in self._spelt(spelt)])
-            else:
-                ids = self._odd(piece)
+            ids = self._spell(piece, self._part)
         if len(piece) <= LONGEST:
-            if len(self._known) >= REMEMBERED:
+            if len(self._known) >= self._most:
                 self._before, self._known = self._known, {}
             self._known[piece] = ids
         return ids
 
-    def _odd(self, piece: str) -> bytes:
+    def _spell(self, piece: str, part: Callable[[str], bytes]) -> bytes:
+        """The ids of a piece that isn't known; ``part`` gives those of what it is made of."""
+        core = piece.rstrip(_TAIL)
+        letters = core[1:] if core[:1] == " " else core
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < "ɐ"):  # beyond these, versions of Unicode may differ
+            return self._odd(piece, part)
+        if core is not piece and len(core) < len(piece):
+            return part(core) + part(piece[len(core) :])
+        spelt = "Ġ" + letters if letters.isascii() and letters is not core else core.encode().decode("latin-1").translate(self._letters)
+        of = self._bytes
+        return b"".join([of[t.id] for t in self._spelt(spelt)])
+
+    def _odd(self, piece: str, part: Callable[[str], bytes]) -> bytes:
         if piece == "\n":
             return self._whole(piece)
         if not piece or piece[-1].isspace() or piece[1:2].isspace():
             raise _Uneven
         lines = piece.split("\n")
         if len(lines) > 1 and all(lines) and not any(x[-1].isspace() or i and x[0].isspace() for i, x in enumerate(lines)):
-            return self._part("\n").join([self._part(x) for x in lines])
+            return part("\n").join([part(x) for x in lines])
         return self._whole(piece)
 
     def encode(self, text: str | None) -> bytes:
@@ -207,16 +222,17 @@ class Encoder:
         names = [" " + parts[i >> 1] if i & 1 else parts[i >> 1] for i in np.flatnonzero(used).tolist()]
         found = list(map(self._known.get, names))
         odd = np.zeros(len(names), bool)
+        at = number[piece]
+        kept = (np.bincount(at, minlength=len(names)) > self._sparing).tolist()
         for i in [i for i, ids in enumerate(found) if ids is None]:
             name = names[i]
-            if (ids := self._before.get(name)) is not None and len(self._known) < REMEMBERED:
+            if (ids := self._before.get(name)) is not None and len(self._known) < self._most:
                 found[i] = self._known[name] = ids
                 continue
             try:
-                found[i] = self._learn(name) if name else b""
+                found[i] = (self._learn if kept[i] else self._once)(name) if name else b""
             except _Uneven:
                 found[i], odd[i] = b"", True
-        at = number[piece]
         blank = np.array([p[:1].isspace() for p in parts], bool)[cut.at]
         blank[cut.bounds[:-1]] = False
         uneven = (cut.sums(odd[at] | (blank & ~ends)) > 0) | (~cut.by_line & (cut.sums(ends) > 0))
@@ -248,9 +264,9 @@ class Decoder:
 
 
 @functools.cache
-def encoder(path: str = BYTE_BPE, marks_as_text: bool = False) -> Encoder:
+def encoder(path: str = BYTE_BPE, marks_as_text: bool = False, sparing: bool = False) -> Encoder:
     """The worker's own encoder for a vocabulary file; kept from task to task."""
-    return Encoder(path, marks_as_text)
+    return Encoder(path, marks_as_text, sparing)
 
 
 @functools.cache

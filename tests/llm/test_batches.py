@@ -38,6 +38,22 @@ def test_pieces_are_looked_up_once_in_many_texts(monkeypatch):
     assert len(asked) < 20 and {tuple(np.frombuffer(x, "<u4").tolist()) for x in got} == {tuple(plain("same words again\nand again"))}
 
 
+def test_sparing_tables_hold_what_comes_again(monkeypatch):
+    once = [" ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}x{'abcdefghij'[i // 26]}{'abcdefghij'[j // 26]}, again and again." for j in range(150)) for i in range(150)]
+    pieces, e = fertility.Pieces(fertility.PIECES), tokens.encoder(sparing=True)
+    assert fertility.measures(once, pieces, e)[7] == fertility.measures(once[7:8], fertility.Pieces(fertility.PIECES), tokens.Encoder(tokens.BYTE_BPE))[0]
+    assert "again" in pieces and " again" in e._known and len(pieces) + len(e._known) < 100  # of 22 500 words that stand once
+    monkeypatch.setattr(tokens, "FEWER", 20)
+    rng = random.Random(7)
+    for _ in range(40):
+        texts = ["".join(rng.choices([*PARTS, *" ".join(once[:3]).split(" ")[:60], " and", " or, "], k=rng.randrange(60))) for _ in range(200)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == list(map(plain, texts))
+        fertility.measures(texts, pieces, e)
+        assert max(map(len, (pieces, pieces._before, e._known, e._before))) <= 100
+    assert max(map(len, (pieces, pieces._before, e._known, e._before))) <= 20
+    assert [pieces.of(texts[:50], [False] * 50)] == [fertility.Pieces(fertility.PIECES).of(texts[:50], [True] * 50)]
+
+
 def test_a_text_that_begins_with_a_space_is_encoded_by_pieces(monkeypatch):
     e = tokens.Encoder(tokens.BYTE_BPE)
     want = plain(" some words of a chunk")
