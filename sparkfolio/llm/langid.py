@@ -254,7 +254,7 @@ def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int
 
 def _label(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
     field: Field = sent.value
-    for batch in common.rows_of(batches):
+    for batch in common.rows_of(batches, 2 << 20):
         texts = batch["text"].to_pylist()
         spoken = [bool(field.labels) and text is not None and any(map(str.isalpha, text)) for text in texts]
         words, at = number([split(t) if s else [] for t, s in zip(texts, spoken, strict=True)])
