@@ -71,8 +71,8 @@ def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first), *[(a, length) for a in range(first, n, length)]] if n else []
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    encoder = tokens.encoder(vocabulary, sparing=True)
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int, sparing: bool = False) -> Iterator[pa.RecordBatch]:
+    encoder = tokens.encoder(vocabulary, sparing=sparing)
     end = end_id.to_bytes(4, "little")
     for batch in common.rows_of(batches):
         rows = []
@@ -85,10 +85,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, len
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def tokenize(docs: DataFrame, *, vocabulary: str = tokens.BYTE_BPE, end_id: int = 2, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece."""
+def tokenize(docs: DataFrame, *, vocabulary: str = tokens.BYTE_BPE, end_id: int = 2, length: int = LENGTH, sparing: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece; ``sparing`` takes less memory and more time."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _pieces(it, vocabulary, end_id, length), "doc_id long, piece int, start long, length long, ids binary"
+        lambda it: _pieces(it, vocabulary, end_id, length, sparing), "doc_id long, piece int, start long, length long, ids binary"
     )
 
 

@@ -48,4 +48,4 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mixture, cut into pieces and placed in sequences."""
-    return packer.pack(packer.tokenize(docs).drop("ids"))
+    return packer.pack(packer.tokenize(docs, sparing=True).drop("ids"))

@@ -109,10 +109,6 @@ class Encoder:
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
-    @property
-    def _most(self) -> int:
-        return min(FEWER, REMEMBERED) if self._sparing else REMEMBERED
-
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._all.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
@@ -131,7 +127,7 @@ class Encoder:
         if ids is None:
             ids = self._spell(piece, self._part)
         if len(piece) <= LONGEST:
-            if len(self._known) >= self._most:
+            if len(self._known) >= (FEWER if self._sparing else REMEMBERED):
                 self._before, self._known = self._known, {}
             self._known[piece] = ids
         return ids
@@ -223,14 +219,14 @@ class Encoder:
         found = list(map(self._known.get, names))
         odd = np.zeros(len(names), bool)
         at = number[piece]
-        kept = (np.bincount(at, minlength=len(names)) > self._sparing).tolist()
+        most, once = (FEWER, (np.bincount(at, minlength=len(names)) < 2).tolist()) if self._sparing else (REMEMBERED, None)
         for i in [i for i, ids in enumerate(found) if ids is None]:
             name = names[i]
-            if (ids := self._before.get(name)) is not None and len(self._known) < self._most:
+            if (ids := self._before.get(name)) is not None and len(self._known) < most:
                 found[i] = self._known[name] = ids
                 continue
             try:
-                found[i] = (self._learn if kept[i] else self._once)(name) if name else b""
+                found[i] = (self._once if once and once[i] else self._learn)(name) if name else b""
             except _Uneven:
                 found[i], odd[i] = b"", True
         blank = np.array([p[:1].isspace() for p in parts], bool)[cut.at]
