@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sparkfolio import queries
 from sparkfolio.plans import stored
 from sparkfolio.plans.compile import Options
 from sparkfolio.plans.search import search
@@ -68,3 +69,22 @@ def test_no_text_is_shuffled(library, monkeypatch):
     assert stored.matches(library, {1: "alpha & !beta", 2: "delta"}).count() > 0
     (plan,) = [p for n, p in plans if n == "met"]
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_words_are_counted_as_in_whole_chunks(spark):
+    """Needles that overlap themselves, hold a gram again, are short or stand between odd blanks."""
+    said = "aaaaaaaaa aaaab\tthatthathat that　x", "xx\x0bababababab ab\x0cthat", "𝒳aaaa日本aaaa日本 thathat"
+    made = from_texts(spark.createDataFrame([(i, "/d", s) for i, s in enumerate(said)], "file_id long, folder string, text string"))
+    library = Corpus(made.files.cache(), made.chunks.cache())
+    asked = dict(enumerate(["aaaa", "abab", "that", "x", "日本", "aaaa & that & !x", '"aaaab that" | that']))
+    got = {(r["query_id"], r["file_id"], r["hit_count"]) for r in stored.matches(library, asked).collect()}
+    assert got == {(i, r["file_id"], r["hit_count"]) for i, query in asked.items() for r in search(library, query).results.collect()}
+
+
+def test_the_corpus_is_not_stored_before_its_one_pass(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("texts were written")
+
+    monkeypatch.setattr(stored.storage, "bucketed", refused)
+    monkeypatch.setattr(queries.source, "_kept", {})
+    assert queries.QUERIES["stored_queries"](spark, "/root/testdata/sf0.001").count() >= 0
